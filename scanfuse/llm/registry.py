@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfuse.llm import exact_dedup, sharding
+from scanfuse.llm import bpe, exact_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_bpe": bpe.op2_bpe,
         "op10_sharding": sharding.op10_sharding,
     }
 
