@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfuse.llm import bpe, exact_dedup, sharding
+from scanfuse.llm import bpe, exact_dedup, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_bpe": bpe.op2_bpe,
+        "op5_simhash": simhash.op5_simhash,
         "op10_sharding": sharding.op10_sharding,
     }
 
