@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfuse.llm import bpe, exact_dedup, sharding, simhash
+from scanfuse.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_bpe": bpe.op2_bpe,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_simhash": simhash.op5_simhash,
+        "op8_quality": quality.op8_quality,
         "op10_sharding": sharding.op10_sharding,
     }
 
