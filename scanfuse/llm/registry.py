@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfuse.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash
+from scanfuse.llm import bpe, chat, decontaminate, exact_dedup, licences, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": bpe.op2_bpe,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_simhash": simhash.op5_simhash,
+        "op6_licences": licences.op6_licences,
         "op8_quality": quality.op8_quality,
+        "op9_chat": chat.op9_chat,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_licences": licences.ORACLE}
