@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
