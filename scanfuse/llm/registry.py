@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfuse.llm import bpe, chat, decontaminate, exact_dedup, licences, quality, sharding, simhash
+from scanfuse.llm import bpe, chat, decontaminate, exact_dedup, html, licences, line_dedup, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_bpe": bpe.op2_bpe,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_simhash": simhash.op5_simhash,
         "op6_licences": licences.op6_licences,
+        "op7_html": html.op7_html,
         "op8_quality": quality.op8_quality,
         "op9_chat": chat.op9_chat,
         "op10_sharding": sharding.op10_sharding,
