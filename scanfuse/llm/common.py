@@ -1,15 +1,12 @@
-"""Helpers that the training-data operators share: staged tables and connected components."""
+"""Helpers that the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from scanfuse.operators.components import UnionFind, components, discard, staged
+
+__all__ = ["SPACES", "UnionFind", "components", "discard", "staged", "table"]
 
 #: The characters of `[\x20\x09-\x0D]`.
 SPACES = " \t\n\x0b\x0c\r"
@@ -17,107 +14,3 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; a temporary one only where the setting is unset, as in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-stage-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes staged tables that no later plan reads."""
-    for df in frames:
-        files = df.inputFiles()
-        if files:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-class UnionFind:
-    """Over 0 … n-1; the root is the smallest index of its set."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n, dtype=np.int64)
-
-    def find(self, x: int) -> int:
-        p = self.parent
-        while p[x] != x:
-            p[x] = p[p[x]]
-            x = p[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
-
-    def join_all(self, left: np.ndarray, right: np.ndarray) -> None:
-        """Vectorised: hooks the larger root onto the smaller and flattens, until every edge is inside one set."""
-        while len(left):
-            a, b = self.parent[left], self.parent[right]
-            apart = a != b
-            left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
-            self.roots()
-
-    def roots(self) -> np.ndarray:
-        p = self.parent
-        while True:
-            up = p[p]
-            if np.array_equal(up, p):
-                return p
-            p[:] = up
-
-
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each batch of edges becomes a spanning forest of stars."""
-    for pdf in batches:
-        ids, at = np.unique(np.concatenate([pdf["u"], pdf["v"]]), return_inverse=True)
-        sets = UnionFind(len(ids))
-        sets.join_all(at[: len(pdf)], at[len(pdf) :])
-        root = sets.roots()
-        far = root != np.arange(len(ids))
-        yield pd.DataFrame({"u": ids[far], "v": ids[root[far]]})
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the graph with edges (u, v) of type long, as distributed union-find.
-
-    Returns node, component (the smallest node reachable) for every node that has an edge to another; loops and null ends are ignored.
-    Partial forests shrink the edges inside partitions; then large-star and small-star rounds, each a grouped minimum and a join,
-    run until a round changes nothing. No step gathers a component in one task: a hot centre is a join key that only one side repeats.
-    """
-    spark = edges.sparkSession
-    e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    e = staged(e.mapInPandas(_forest, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v")
-        done = staged(small.distinct(), "edges")
-        discard(e)
-        e = done
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark or not now[0]:
-            break
-        mark = now
-    del spark
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

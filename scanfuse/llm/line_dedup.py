@@ -32,14 +32,44 @@ def lines_of(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
-def shingles(line: str) -> set[str]:
-    return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
+def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of all shingles of the lines, and how many each line has; a line shorter than a shingle is its own."""
+    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\uffff") for x in lines]
+    size = np.fromiter(map(len, padded), np.int64, len(padded))
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    base = np.uint64(0x100000001B3)
+    with np.errstate(over="ignore"):
+        three = (code[:-2] * base + code[1:-1]) * base + code[2:]
+        h = three[:-3] * (base * base * base) + three[3:]
+    valid = np.ones(len(code), bool)
+    ends = np.cumsum(size)
+    for k in range(1, SHINGLE):
+        valid[ends - k] = False
+    return h[valid[: len(h)]], size - SHINGLE + 1
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Of each line its distinct shingles' codes, sorted."""
+    if not lines:
+        return []
+    code, many = shingle_codes(lines)
+    out = []
+    for part in np.split(code, np.cumsum(many)[:-1]):
+        part = np.sort(part)
+        out.append(part[np.r_[True, part[1:] != part[:-1]]])
+    return out
 
 
-def jaccard(a: str, b: str) -> float:
-    x, y = shingles(a), shingles(b)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of at least SIMILARITY."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < SIMILARITY * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int(np.count_nonzero(b[at] == a))
+    return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -55,22 +85,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _band_keys(lines: list[str]) -> np.ndarray:
-    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "￿") for x in lines]
-    size = np.fromiter(map(len, padded), np.int64, len(padded))
-    code = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    h, many = shingle_codes(lines)
     with np.errstate(over="ignore"):
-        base = np.uint64(0x100000001B3)
-        three = (code[:-2] * base + code[1:-1]) * base + code[2:]
-        h = three[:-3] * (base * base * base) + three[3:]
-        valid = np.ones(len(h) + SHINGLE - 1, bool)
-        ends = np.cumsum(size)
-        for k in range(1, SHINGLE):
-            valid[ends - k] = False
-        h = h[valid[: len(h)]]
         h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
-        at = np.r_[0, np.cumsum(size - SHINGLE + 1)[:-1]]
+        at = np.r_[0, np.cumsum(many)[:-1]]
         keys = np.empty((len(lines), BANDS), np.uint64)
         for band in range(BANDS):
             key = np.full(len(lines), band + 1, np.uint64)
@@ -141,36 +161,40 @@ def _texts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iter
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        near = [jaccard(a, b) >= SIMILARITY for a, b in zip(pdf["u_text"], pdf["v_text"])]
+        texts = list(dict.fromkeys([*pdf["u_text"], *pdf["v_text"]]))
+        sets = dict(zip(texts, shingle_sets(texts)))
+        near = [similar(sets[a], sets[b]) for a, b in zip(pdf["u_text"], pdf["v_text"])]
         yield pdf.loc[np.array(near, bool), ["u", "v"]]
 
 
 def _crossed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by group: links lines of one group whose components are still apart. A group has at most two blocks of lines."""
+    """Rows arrive sorted by group: links components that lines of one group show to be similar. A group has at most two blocks of lines."""
     rest = None
     for pdf in batches:
         rest = pdf if rest is None else pd.concat([rest, pdf])
         if len(rest):
-            whole = rest[rest["grp"] != rest["grp"].iloc[-1]]
-            rest = rest[rest["grp"] == rest["grp"].iloc[-1]]
-            yield _cross(whole)
+            ends = rest["grp"] == rest["grp"].iloc[-1]
+            yield _cross(rest[~ends])
+            rest = rest[ends]
     if rest is not None:
         yield _cross(rest)
 
 
 def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
-    links = []
-    for _, g in pdf.groupby("grp", sort=False):
-        lid, label = g["lid"].to_list(), g["label"].to_list()
+    texts = list(dict.fromkeys(pdf["text"]))
+    known = dict(zip(texts, shingle_sets(texts)))
+    links, grp = [], pdf["grp"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.empty(0, np.int64)
+    labels, lines = pdf["label"].to_list(), pdf["text"].to_list()
+    for first, last in zip(starts, np.r_[starts[1:], len(grp)]):
+        label = labels[first:last]
         names = {x: k for k, x in enumerate(dict.fromkeys(label))}
-        at, sets, sh = [names[x] for x in label], UnionFind(len(names)), [shingles(t) for t in g["text"]]
-        for j in range(len(lid)):
+        at, sets, sh = [names[x] for x in label], UnionFind(len(names)), [known[t] for t in lines[first:last]]
+        for j in range(len(at)):
             for i in range(j):
-                if sets.find(at[i]) != sets.find(at[j]):
-                    both = len(sh[i] & sh[j])
-                    if both >= SIMILARITY * (len(sh[i]) + len(sh[j]) - both):
-                        sets.join(at[i], at[j])
-                        links.append((lid[j], lid[i]))
+                if at[i] != at[j] and sets.find(at[i]) != sets.find(at[j]) and similar(sh[i], sh[j]):
+                    sets.join(at[i], at[j])
+                    links.append((label[j], label[i]))
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
@@ -217,9 +241,12 @@ def line_classes(docs: DataFrame) -> DataFrame:
     open_ = open_.groupBy("n", "same", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     rows = marked.join(open_, "bucket").join(text, "lid").withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "block": F.pmod(F.xxhash64("lid"), F.ceil(F.col("n") / BLOCK)).cast("int")})
     rows = rows.select("lid", "label", "text", "bucket", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("lid", "label", "text", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("grp"))
+    rows = rows.select("label", "text", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("grp"))
     more = rows.repartition(n, "grp").sortWithinPartitions("grp").mapInPandas(_crossed, "u long, v long")
-    comp = components(star.unionByName(more)).withColumnRenamed("node", "lid")
+    over = components(more).select(F.col("node").alias("component"), F.col("component").alias("over"))
+    comp = label.join(over, "component", "left").select(F.col("node").alias("lid"), F.coalesce("over", "component").alias("component"))
+    alone = over.join(label, "component", "left_anti").select(F.col("component").alias("lid"), F.col("over").alias("component"))  # lines without a star link
+    comp = comp.unionByName(alone)
 
     place = F.coalesce(F.col("doc_id").cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")) * F.lit(2**31).cast("decimal(10,0)") + F.col("line")
     place = place.cast("decimal(38,0)")
