@@ -104,7 +104,6 @@ def surfels(points: DataFrame, leaf: float, radius: float, k: int = 10, flat: fl
     """
     seeds = grid.voxel_samples(points, leaf)
     near = neighbors.nearest(seeds, points, k, radius, None, complete=True)
-    near = near.join(points.select(F.col("pt_id").alias("t_id"), *(F.col(a).alias("t" + a) for a in "xyz")), "t_id")
     fits = stats.neighbour_planes(near, flat).where("valid").select("q_id", "nx", "ny", "nz", "worst")
     pca = stats.principal(stats.moments(near, ["q_id"], ("tx", "ty", "tz"))).select("q_id", *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), "l1", "cov_xx", "cov_xy", "cov_xz", "cov_yy", "cov_yz", "cov_zz")
     out = pca.join(fits, "q_id").withColumnRenamed("q_id", "pt_id")

@@ -86,7 +86,7 @@ def occupied_points(points: DataFrame, grid: DataFrame, leaf: float, least: floa
 def visible_voxels(rays: DataFrame, grid: DataFrame, leaf: float, step: float, far: float, least: float = 0.5) -> DataFrame:
     """The first occupied voxel along each ray (ray_id, tx, ty, tz, dx, dy, dz of length 1): ray_id, t. Rays are sampled every `step` metres."""
     full = grid.where(1 / (1 + F.exp(-F.col("log_odds"))) >= least).select(*CELL)
-    s = rays.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(int(far / step)))) * step)
+    s = rays.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(int(far / step))))).withColumn("t", F.col("t") * step)
     s = s.select("ray_id", "t", *(F.floor((F.col("t" + a) + F.col("t") * F.col("d" + a)) / leaf).cast("long").alias(v) for a, v in zip(("x", "y", "z"), CELL)))
     return s.join(full, CELL, "left_semi").groupBy("ray_id").agg(F.min("t").alias("t"))
 

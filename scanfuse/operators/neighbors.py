@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanfuse.functions import geom as G
 from scanfuse.operators.grid import CELL, cells
 
 
+def _plus(at: Column) -> Callable[[Column], Column]:
+    return lambda step: at + step
+
+
 def within(queries: DataFrame, targets: DataFrame, radius: float, key: str | None = "map_key") -> DataFrame:
-    """Pairs (q_id, t_id, d2) with a squared distance under radius². Both sides: the key where there is one, pt_id, x, y, z.
+    """Pairs (q_id, qx, qy, qz, t_id, tx, ty, tz, d2) with a squared distance under radius². Both sides: the key where there is one, pt_id, x, y, z.
 
     The cell is the radius, so the 27 cells around a point hold all its partners. Down-sample first where voxels are dense.
     """
@@ -18,14 +24,14 @@ def within(queries: DataFrame, targets: DataFrame, radius: float, key: str | Non
     step = F.array(*(F.lit(k).cast("long") for k in (-1, 0, 1)))
     q = cells(queries, radius).select(*keys, F.col("pt_id").alias("q_id"), *(F.col(a).alias("q" + a) for a in "xyz"), *CELL)
     for v in CELL:
-        q = q.withColumn(v, F.explode(F.transform(step, lambda s, v=v: F.col(v) + s)))
+        q = q.withColumn(v, F.explode(F.transform(step, _plus(F.col(v)))))
     t = cells(targets, radius).select(*keys, F.col("pt_id").alias("t_id"), *(F.col(a).alias("t" + a) for a in "xyz"), *CELL)
     pairs = q.join(t, [*keys, *CELL]).withColumn("d2", G.sq_distance(G.vec("q"), G.vec("t")))
-    return pairs.where(F.col("d2") < radius * radius)
+    return pairs.where(F.col("d2") < radius * radius).drop(*keys, *CELL)
 
 
 def nearest(queries: DataFrame, targets: DataFrame, k: int, radius: float, key: str | None = "map_key", complete: bool = False) -> DataFrame:
-    """The k nearest targets inside the radius, ranked by (d2, t_id): q_id, t_id, d2, nr. complete: only queries that have all k."""
+    """The k nearest targets inside the radius, ranked by (d2, t_id): pairs with nr. complete: only queries that have all k."""
     w = Window.partitionBy("q_id")
     pairs = within(queries, targets, radius, key).withColumn("nr", F.row_number().over(w.orderBy("d2", "t_id"))).where(F.col("nr") <= k)
     if complete:

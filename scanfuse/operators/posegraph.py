@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanfuse.functions import geom as G
+from scanfuse.operators.neighbors import _plus
 from scanfuse.operators.trajectory import POSE, _compose, _mul, relative, trans, transform_points
 
 EDGE = ["session_id", "id1", "id2", "kind", *POSE, "var"]
@@ -47,7 +48,7 @@ def loop_candidates(units: DataFrame, radius: float = 40.0, gap: int = 10) -> Da
     step = F.array(*(F.lit(k).cast("long") for k in (-1, 0, 1)))
     a = units.select("session_id", F.col("frame_id").alias("id2"), F.col("tx").alias("ax"), F.col("ty").alias("ay"), cell("tx").alias("cx"), cell("ty").alias("cy"))
     for c in ("cx", "cy"):
-        a = a.withColumn(c, F.explode(F.transform(step, lambda s, c=c: F.col(c) + s)))
+        a = a.withColumn(c, F.explode(F.transform(step, _plus(F.col(c)))))
     b = units.select("session_id", F.col("frame_id").alias("id1"), F.col("tx").alias("bx"), F.col("ty").alias("by"), cell("tx").alias("cx"), cell("ty").alias("cy"))
     pairs = a.join(b, ["session_id", "cx", "cy"]).where(F.col("id2") - F.col("id1") >= gap)
     pairs = pairs.withColumn("dist", G.norm(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("dist") <= radius)

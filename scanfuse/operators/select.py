@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanfuse.functions import geom as G
 from scanfuse.operators import stats
@@ -135,7 +136,7 @@ def _clip(p: np.ndarray, by: np.ndarray) -> np.ndarray:
     return p
 
 
-@F.pandas_udf("a double, b double, c double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in "abc"]))
 def _areas(one: pd.Series, two: pd.Series) -> pd.DataFrame:
     rows = [(_area(p := np.reshape(a, (-1, 2))), _area(q := np.reshape(b, (-1, 2))), _area(_clip(p, q))) for a, b in zip(one, two)]
     return pd.DataFrame(rows, columns=["a", "b", "c"], dtype=float)

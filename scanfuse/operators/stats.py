@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanfuse.functions import geom as G
 
 SUMS = ["n", "sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz"]
+_NUMBERS = T.ArrayType(T.DoubleType())
 _PAIRS = ["xx", "xy", "xz", "yy", "yz", "zz"]
 
 
@@ -36,7 +38,7 @@ def principal(sums: DataFrame) -> DataFrame:
     return cov.withColumns(dict(zip(("l1", "l2", "l3"), G.eigenvalues(*(F.col("cov_" + p) for p in _PAIRS)))))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(_NUMBERS)
 def _eigenvectors(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
     m = np.empty((len(xx), 3, 3))
     for (i, j), v in zip(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)), (xx, xy, xz, yy, yz, zz)):
@@ -150,7 +152,7 @@ def align_pairs(pairs: DataFrame, key: str, keep: float = 0.8) -> DataFrame:
     return out.select(key, "n", "rot", *(m.alias(n) for m, n in zip(moved, ("tx", "ty", "tz"))))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(_NUMBERS)
 def _kabsch(h: pd.Series) -> pd.Series:
     if not len(h):
         return pd.Series([], dtype=object)
@@ -165,7 +167,7 @@ def solve_normal(h: list[Column], g: list[Column], damping: float = 1e-9) -> Col
     return _solve(F.array(*h), F.array(*g), F.lit(damping))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(_NUMBERS)
 def _solve(h: pd.Series, g: pd.Series, damping: pd.Series) -> pd.Series:
     if not len(h):
         return pd.Series([], dtype=object)

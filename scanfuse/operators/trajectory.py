@@ -125,15 +125,18 @@ def _neighbours(times: DataFrame, poses: DataFrame, offsets: tuple[int, ...]) ->
     return got.withColumn("u", (F.col("at") - F.col("ts")) / (F.col("next_ts") - F.col("ts")))
 
 
-def _blend(weights: list[Column]) -> dict[str, Column]:
-    """Translation as the weighted sum, rotation as a chain of slerps by running shares of the weights."""
-    out = {n: sum((w * F.col(f"p{k}.{n}") for k, w in enumerate(weights[1:], 1)), weights[0] * F.col(f"p0.{n}")) for n in POSE[:3]}
-    q: G.Quat = tuple(F.col(f"p0.{n}") for n in POSE[3:])  # type: ignore[assignment]
-    total = weights[0]
-    for k, w in enumerate(weights[1:], 1):
-        total = total + w
-        q = G.slerp(q, tuple(F.col(f"p{k}.{n}") for n in POSE[3:]), F.when(total > 1e-12, w / total).otherwise(0.0))
-    return out | dict(zip(POSE[3:], q))
+def _blend(df: DataFrame, weights: list[Column]) -> DataFrame:
+    """Adds POSE: translation as the weighted sum of p0, p1, …, rotation as a chain of slerps by running shares of the weights, one projection each."""
+    names = [f"_w{k}" for k in range(len(weights))]
+    df = df.withColumns(dict(zip(names, weights)))
+    w = [F.col(n) for n in names]
+    df = df.withColumns({n: sum((w[k] * F.col(f"p{k}.{n}") for k in range(1, len(w))), w[0] * F.col(f"p0.{n}")) for n in POSE[:3]} | {n: F.col(f"p0.{n}") for n in POSE[3:]})
+    total = w[0]
+    for k in range(1, len(w)):
+        total = total + w[k]
+        share = F.when(F.abs(total) > 1e-12, w[k] / total).otherwise(0.0)
+        df = df.withColumns(dict(zip(POSE[3:], G.slerp(quat(), tuple(F.col(f"p{k}.{n}") for n in POSE[3:]), share))))
+    return df.drop(*names)
 
 
 def interpolate(times: DataFrame, poses: DataFrame, kind: str = "slerp") -> DataFrame:
@@ -146,7 +149,7 @@ def interpolate(times: DataFrame, poses: DataFrame, kind: str = "slerp") -> Data
     got = got.where(" AND ".join(f"p{k} IS NOT NULL" for k in range(len(offsets))))
     u = F.col("u")
     weights = {"slerp": lambda: [1 - u, u], "catmull": lambda: G.catmull_rom(u), "uniform": lambda: G.uniform_cubic(u)}[kind]()
-    return got.select("session_id", "at", *(v.alias(n) for n, v in _blend(weights).items()))
+    return _blend(got, weights).select("session_id", "at", *POSE)
 
 
 def uniform_motion(times: DataFrame, poses: DataFrame) -> DataFrame:
@@ -162,7 +165,7 @@ def uniform_motion(times: DataFrame, poses: DataFrame) -> DataFrame:
 def spline_pose(windows: DataFrame, u: Column) -> DataFrame:
     """Pose at u in [0, 1] of the clamped cubic spline with five control poses c0 … c4 (structs of POSE)."""
     renamed = windows.withColumnsRenamed({f"c{k}": f"p{k}" for k in range(5)})
-    return renamed.withColumns(_blend(G.clamped_cubic(u))).drop(*(f"p{k}" for k in range(5)))
+    return _blend(renamed, G.clamped_cubic(u)).drop(*(f"p{k}" for k in range(5)))
 
 
 def control_poses(windows: DataFrame) -> DataFrame:

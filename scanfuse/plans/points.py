@@ -159,25 +159,25 @@ def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poses(spark, sf_dir).select("session_id", (F.col("ts") + 0.04).alias("at"))
 
 
-_AT = "tm AS (SELECT session_id, ts+0.04 AS at, tx, ty, frame_id, lead(frame_id) OVER w AS f1, lag(frame_id) OVER w AS f_1, lead(frame_id,2) OVER w AS f2 FROM ps WINDOW w AS (PARTITION BY session_id ORDER BY ts))"
+_AT = "tm AS (SELECT session_id, ts+0.04 AS t0, tx, ty, frame_id, lead(frame_id) OVER w AS f1, lag(frame_id) OVER w AS f_1, lead(frame_id,2) OVER w AS f2 FROM ps WINDOW w AS (PARTITION BY session_id ORDER BY ts))"
 
 
-@query("t5_slerp", oracle("SELECT session_id, round(at,5) AS at, round(tx+0.08,5) AS tx, round(sin(0.01*frame_id+0.004),5) AS qz FROM tm WHERE f1 IS NOT NULL", "poses", _AT))
+@query("t5_slerp", oracle("SELECT session_id, round(t0,5) AS t_at, round(tx+0.08,5) AS tx, round(sin(0.01*frame_id+0.004),5) AS qz FROM tm WHERE f1 IS NOT NULL", "poses", _AT))
 def slerp(spark, sf_dir):
-    return T.interpolate(_times(spark, sf_dir), poses(spark, sf_dir)).select("session_id", *r5("at", "tx", "qz"))
+    return T.interpolate(_times(spark, sf_dir), poses(spark, sf_dir)).withColumnRenamed("at", "t_at").select("session_id", *r5("t_at", "tx", "qz"))
 
 
-@query("t7_catmull_rom", oracle("SELECT session_id, round(at,5) AS at, round(tx+0.08,5) AS tx, round(ty+0.02,5) AS ty FROM tm WHERE f_1 IS NOT NULL AND f2 IS NOT NULL", "poses", _AT))
+@query("t7_catmull_rom", oracle("SELECT session_id, round(t0,5) AS t_at, round(tx+0.08,5) AS tx, round(ty+0.02,5) AS ty FROM tm WHERE f_1 IS NOT NULL AND f2 IS NOT NULL", "poses", _AT))
 def catmull_rom(spark, sf_dir):
-    return T.interpolate(_times(spark, sf_dir), poses(spark, sf_dir), "catmull").select("session_id", *r5("at", "tx", "ty"))
+    return T.interpolate(_times(spark, sf_dir), poses(spark, sf_dir), "catmull").withColumnRenamed("at", "t_at").select("session_id", *r5("t_at", "tx", "ty"))
 
 
-@query("t9_uniform_spline", oracle("SELECT session_id, round(at,5) AS at, round(tx+0.08,5) AS tx, 2.0 AS vx, 0.5 AS vy, 0.0 AS ax FROM tm WHERE f_1 IS NOT NULL AND f2 IS NOT NULL", "poses", _AT))
+@query("t9_uniform_spline", oracle("SELECT session_id, round(t0,5) AS t_at, round(tx+0.08,5) AS tx, 2.0 AS vx, 0.5 AS vy, 0.0 AS ax FROM tm WHERE f_1 IS NOT NULL AND f2 IS NOT NULL", "poses", _AT))
 def uniform_spline(spark, sf_dir):
     p, t = poses(spark, sf_dir), _times(spark, sf_dir)
     motion = T.uniform_motion(t, p).withColumn("ax", F.abs(F.round("ax", 5)))
     at = T.interpolate(t, p, "uniform").join(motion, ["session_id", "at"])
-    return at.select("session_id", *r5("at", "tx", "vx", "vy"), "ax")
+    return at.withColumnRenamed("at", "t_at").select("session_id", *r5("t_at", "tx", "vx", "vy"), "ax")
 
 
 def _windows(spark: SparkSession, sf_dir: str, turned: bool = True) -> DataFrame:

@@ -83,4 +83,4 @@ def r5(*names: str) -> list[Column]:
 def oracle(body: str, *parts: str) -> str:
     """A DuckDB query over the scene: the named common tables, then body."""
     text = {"points": POINTS.replace("{lineitem}", "lineitem"), "poses": POSES, "pixels": PIXELS}
-    return "WITH " + ",\n".join(text.get(x, x) for x in parts) + "\n" + _plain_zeros(body)
+    return ("WITH " + ",\n".join(text.get(x, x) for x in parts) + "\n" if parts else "") + _plain_zeros(body)
