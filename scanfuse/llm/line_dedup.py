@@ -11,17 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfuse.llm.common import UnionFind, components, staged, table
+from scanfuse.llm.common import components, staged, table
 
 SHINGLE = 6
 BANDS, ROWS = 12, 5  # at a similarity of 0.8 a pair meets in some band with probability 0.99
 SIMILARITY = 0.8
-#: Candidate keys (8 bytes each) up to which they are sent to every task to pick the candidates' texts; more are joined.
+#: Candidate keys (8 bytes each) up to which they are broadcast to pick the candidates' texts; more are joined by a shuffle.
 SENT_KEYS = 4_000_000
 BLOCK = 256
 _RNG = np.random.default_rng(20_240_229)
 _MUL = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
 def normalised(line: str) -> str:
@@ -91,11 +90,11 @@ def _band_keys(lines: list[str]) -> np.ndarray:
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
         at = np.r_[0, np.cumsum(many)[:-1]]
-        keys = np.empty((len(lines), BANDS), np.uint64)
+        keys, turned = np.empty((len(lines), BANDS), np.uint64), np.empty_like(h)
         for band in range(BANDS):
             key = np.full(len(lines), band + 1, np.uint64)
             for k in range(band * ROWS, (band + 1) * ROWS):
-                low = np.minimum.reduceat(h * _MUL[k] + _ADD[k], at)
+                low = np.minimum.reduceat(np.multiply(h, _MUL[k], out=turned), at)
                 key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
             keys[:, band] = key
@@ -103,7 +102,7 @@ def _band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """A row per line that is not empty: its document, number and digest; band keys where the slice has the line for the first time."""
+    """A row per line that is not empty: its document, number and digest; band keys and text where the slice has the line for the first time."""
     for whole in batches:
         for start in range(0, whole.num_rows, 1000):
             batch = whole.slice(start, 1000)
@@ -121,7 +120,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterat
             keys = band_keys(list(new.values()))
             ends = np.r_[0, np.cumsum(fresh * BANDS)].astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, kind), pa.array(no, pa.int32()), pa.array(digest, pa.binary()), bands], ["doc_id", "line", "digest", "bands"])
+            texts = pa.array([new[x] if f else None for x, f in zip(digest, fresh)], pa.string())
+            key = np.frombuffer(b"".join(x[:8] for x in digest), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(doc, kind), pa.array(no, pa.int32()), pa.array(digest, pa.binary()), pa.array(key), bands, texts], ["doc_id", "line", "digest", "key", "bands", "text"])
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,21 +145,6 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = (b[-1], k[-1])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Digest, key and normalised text of the lines whose key is wanted, once per batch."""
-    for batch in batches:
-        found: dict[bytes, str] = {}
-        for text in batch.column(0):
-            for line in map(normalised, lines_of(text.as_py())):
-                if line:
-                    found[xxhash.xxh128_digest(line.encode("utf-8", "replace"))] = line
-        key = np.frombuffer(b"".join(x[:8] for x in found), dtype="<i8")
-        pick = np.ones(len(key), bool) if wanted is None else wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key if len(wanted) else np.zeros(len(key), bool)
-        rows = [(d, k, t) for (d, t), k, p in zip(found.items(), key.tolist(), pick) if p]
-        d, k, t = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(k, pa.int64()), pa.array(t, pa.string())], ["digest", "key", "text"])
-
-
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = list(dict.fromkeys([*pdf["u_text"], *pdf["v_text"]]))
@@ -188,13 +174,13 @@ def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
     labels, lines = pdf["label"].to_list(), pdf["text"].to_list()
     for first, last in zip(starts, np.r_[starts[1:], len(grp)]):
         label = labels[first:last]
-        names = {x: k for k, x in enumerate(dict.fromkeys(label))}
-        at, sets, sh = [names[x] for x in label], UnionFind(len(names)), [known[t] for t in lines[first:last]]
+        at, sh = list(label), [known[t] for t in lines[first:last]]
         for j in range(len(at)):
             for i in range(j):
-                if at[i] != at[j] and sets.find(at[i]) != sets.find(at[j]) and similar(sh[i], sh[j]):
-                    sets.join(at[i], at[j])
+                if at[i] != at[j] and similar(sh[i], sh[j]):
                     links.append((label[j], label[i]))
+                    old, new = at[j], at[i]
+                    at = [new if x == old else x for x in at]
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
@@ -214,18 +200,13 @@ def line_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
     own = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, digest binary"
-    seen = staged(docs.select("doc_id", "text").mapInArrow(lambda it: _occurrences(it, kind), f"{own}, bands array<long>"), "lines")
+    seen = staged(docs.select("doc_id", "text").mapInArrow(lambda it: _occurrences(it, kind), f"{own}, key long, bands array<long>, text string"), "lines")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    banded = seen.where("size(bands) > 0").mapInArrow(_keyed, "bucket long, key long").repartition(n, "bucket").sortWithinPartitions("bucket", "key")
+    banded = seen.where("size(bands) > 0").select("key", "bands").mapInArrow(_keyed, "bucket long, key long").repartition(n, "bucket").sortWithinPartitions("bucket", "key")
     near = staged(banded.mapInPandas(_shared, "bucket long, key long").groupBy("bucket", "key").agg(F.lit(1).alias("one")).drop("one"), "buckets")
-    keys = near.select("key").distinct()
-    n_keys = keys.count()
-    texts = docs.select("text")
-    if n_keys <= SENT_KEYS:
-        wanted = spark.sparkContext.broadcast(np.sort(keys.toPandas()["key"].to_numpy(dtype=np.int64)))
-        found = texts.mapInArrow(lambda it: _texts(it, wanted.value), "digest binary, key long, text string")
-    else:
-        found = texts.mapInArrow(lambda it: _texts(it, None), "digest binary, key long, text string").join(keys, "key", "left_semi")
+    keys = staged(near.select("key").distinct(), "keys")
+    few = keys.count() <= SENT_KEYS
+    found = seen.where("text IS NOT NULL").select("digest", "key", "text").join(F.broadcast(keys) if few else keys, "key", "left_semi")
     cand = staged(found.groupBy("digest", "key", "text").agg(F.lit(1).alias("one")).select(F.monotonically_increasing_id().alias("lid"), "digest", "key", "text"), "candidates")
 
     member = staged(near.join(cand.select("lid", "key"), "key").select("bucket", "lid"), "members")
@@ -261,8 +242,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket and the first 8 bytes of the digest for each band of a line."""
     for batch in batches:
-        key = np.frombuffer(b"".join(x.as_py()[:8] for x in batch.column(2)), dtype="<i8")
-        yield pa.RecordBatch.from_arrays([batch.column(3).flatten(), pa.array(np.repeat(key, BANDS))], ["bucket", "key"])
+        yield pa.RecordBatch.from_arrays([batch.column(1).flatten(), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "key"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
