@@ -8,40 +8,38 @@ from pyspark.sql import functions as F
 from scanfuse.functions import geom as G
 from scanfuse.functions.profile import SensorProfile
 
-X, Y, Z = F.col("x"), F.col("y"), F.col("z")
-
 
 def spherical(points: DataFrame) -> DataFrame:
     """Adds rng, azimuth and elevation (degrees)."""
-    return points.withColumns({"rng": G.norm(X, Y, Z), "azimuth": G.azimuth(X, Y), "elevation": G.elevation(X, Y, Z)})
+    return points.withColumns({"rng": G.norm(F.col("x"), F.col("y"), F.col("z")), "azimuth": G.azimuth(F.col("x"), F.col("y")), "elevation": G.elevation(F.col("x"), F.col("y"), F.col("z"))})
 
 
 def column_of(profile: SensorProfile) -> Column:
-    first = (-F.round((G.azimuth(X, Y) - 90.0) / profile.res_x) + profile.cols // 2).cast("int")
+    first = (-F.round((G.azimuth(F.col("x"), F.col("y")) - 90.0) / profile.res_x) + profile.cols // 2).cast("int")
     return F.when(first >= profile.cols, first - profile.cols).otherwise(first)
 
 
 def _kept(points: DataFrame, row: Column, profile: SensorProfile) -> DataFrame:
-    out = points.withColumns({"row_id": row, "col_id": column_of(profile), "rng": G.norm(X, Y, Z)})
+    out = points.withColumns({"row_id": row, "col_id": column_of(profile), "rng": G.norm(F.col("x"), F.col("y"), F.col("z"))})
     return out.where(F.col("row_id").between(0, profile.rows - 1) & F.col("col_id").between(0, profile.cols - 1))
 
 
 def project(points: DataFrame, profile: SensorProfile) -> DataFrame:
     """row_id, col_id, rng by evenly spread beams; points off the image drop. A row below the lowest beam is tested before the cast."""
-    return _kept(points, G.whole((G.elevation(X, Y, Z) + profile.bottom) / profile.res_y), profile)
+    return _kept(points, G.whole((G.elevation(F.col("x"), F.col("y"), F.col("z")) + profile.bottom) / profile.res_y), profile)
 
 
 def project_nearest_beam(points: DataFrame, profile: SensorProfile) -> DataFrame:
     """The row is the beam whose angle is closest; the lower beam wins a tie."""
     table = F.array(*(F.struct(F.lit(a).alias("angle"), F.lit(k).alias("beam")) for k, a in enumerate(profile.beams)))
-    el = G.elevation(X, Y, Z)
+    el = G.elevation(F.col("x"), F.col("y"), F.col("z"))
     row = F.array_min(F.transform(table, lambda b: F.struct(F.abs(b["angle"] - el).alias("off"), b["beam"].alias("beam"))))["beam"]
     return _kept(points, row, profile)
 
 
 def project_with_ring(points: DataFrame, profile: SensorProfile) -> DataFrame:
     """The sensor's ring where it has one, else the computed row."""
-    return _kept(points, F.coalesce(F.col("ring"), G.whole((G.elevation(X, Y, Z) + profile.bottom) / profile.res_y)).cast("int"), profile)
+    return _kept(points, F.coalesce(F.col("ring"), G.whole((G.elevation(F.col("x"), F.col("y"), F.col("z")) + profile.bottom) / profile.res_y)).cast("int"), profile)
 
 
 def project_organised(points: DataFrame, index: Column, profile: SensorProfile, shift: tuple[int, ...]) -> DataFrame:
@@ -49,12 +47,12 @@ def project_organised(points: DataFrame, index: Column, profile: SensorProfile,
     row = F.pmod(index, F.lit(profile.rows)).cast("int")
     by_row = F.element_at(F.array(*map(F.lit, shift)), row + 1)
     col = F.pmod(F.floor(index / profile.rows) + by_row, F.lit(profile.cols)).cast("int")
-    return points.withColumns({"row_id": row, "col_id": col, "rng": G.norm(X, Y, Z)})
+    return points.withColumns({"row_id": row, "col_id": col, "rng": G.norm(F.col("x"), F.col("y"), F.col("z"))})
 
 
 def project_sphere(points: DataFrame, hres: float = 0.2, vres: float = 0.2, vfov: float = 60.0, max_range: float = 200.0) -> DataFrame:
     """Fine spherical image: row from the lower edge of the field of view, column from −180°."""
-    out = points.withColumns({"row_id": F.round((G.elevation(X, Y, Z) + vfov / 2) / vres).cast("int"), "col_id": F.round((G.azimuth(X, Y) + 180.0) / hres).cast("int"), "rng": G.norm(X, Y, Z)})
+    out = points.withColumns({"row_id": F.round((G.elevation(F.col("x"), F.col("y"), F.col("z")) + vfov / 2) / vres).cast("int"), "col_id": F.round((G.azimuth(F.col("x"), F.col("y")) + 180.0) / hres).cast("int"), "rng": G.norm(F.col("x"), F.col("y"), F.col("z"))})
     return out.where(F.col("row_id").between(0, int(vfov / vres)) & F.col("col_id").between(0, int(360 / hres)) & (F.col("rng") < max_range))
 
 
@@ -76,7 +74,7 @@ def crop_around(points: DataFrame, centres: DataFrame, radius: float = 80.0, key
 
 
 def range_gate(points: DataFrame, high: float, low: float = 0.0) -> DataFrame:
-    r = G.norm(X, Y, Z)
+    r = G.norm(F.col("x"), F.col("y"), F.col("z"))
     return points.where((r >= low) & (r < high))
 
 
@@ -87,7 +85,7 @@ def finite(points: DataFrame) -> DataFrame:
 
 def relative_time(points: DataFrame, scan_period: float = 0.1) -> DataFrame:
     """rel_time of each point in its sweep, from the azimuths of the sweep's first and last point; angles run clockwise and wrap at a turn."""
-    az = -F.atan2(Y, X)
+    az = -F.atan2(F.col("y"), F.col("x"))
     ends = points.groupBy("frame_id").agg(F.min_by(az, "pt_id").alias("start"), F.max_by(az, "pt_id").alias("end"))
     span = F.col("end") - F.col("start")
     turn = 2 * 3.141592653589793

@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from scanfuse.functions import geom as G
 from scanfuse.operators.project import break_distance
 
-_FRAME = Window.partitionBy("frame_id").orderBy("row_id", "col_id")
-_LINE = Window.partitionBy("frame_id", "row_id").orderBy("col_id")
-_COLUMN = Window.partitionBy("frame_id", "col_id").orderBy("row_id")
+
+def _frame():
+    return Window.partitionBy("frame_id").orderBy("row_id", "col_id")
+
+
+def _line():
+    return Window.partitionBy("frame_id", "row_id").orderBy("col_id")
+
+
+def _column():
+    return Window.partitionBy("frame_id", "col_id").orderBy("row_id")
+
 _XYZ = ("x", "y", "z")
 
 
@@ -23,23 +32,23 @@ def _step(w, k: int) -> G.Vec:
 
 def curvature(image: DataFrame) -> DataFrame:
     """Adds curvature: the squared sum of range differences to the five pixels on either side, over a frame's lines one after another. Null at the frame's ends."""
-    w = _FRAME.rowsBetween(-5, 5)
+    w = _frame().rowsBetween(-5, 5)
     value = F.sum("rng").over(w) - 11 * F.col("rng")
     return image.withColumn("curvature", F.when(F.count("*").over(w) == 11, value * value))
 
 
 def occlusion_mask(image: DataFrame) -> DataFrame:
     """Adds masked: six pixels on the far side of a jump in range between pixels at most ten columns apart, and beams nearly parallel to a surface."""
-    r, nxt, prev = F.col("rng"), F.lead("rng").over(_FRAME), F.lag("rng").over(_FRAME)
-    close = F.abs(F.lead("col_id").over(_FRAME) - F.col("col_id")) < 10
+    r, nxt, prev = F.col("rng"), F.lead("rng").over(_frame()), F.lag("rng").over(_frame())
+    close = F.abs(F.lead("col_id").over(_frame()) - F.col("col_id")) < 10
     parallel = (F.abs(prev - r) > 0.02 * r) & (F.abs(nxt - r) > 0.02 * r)
     flags = image.withColumns({
         "_here": F.coalesce(close & (r - nxt > 0.3), F.lit(False)).cast("int"),
         "_next": F.coalesce(close & (nxt - r > 0.3), F.lit(False)).cast("int"),
         "_parallel": F.coalesce(parallel, F.lit(False)).cast("int"),
     })
-    back = F.max("_here").over(_FRAME.rowsBetween(0, 5))
-    ahead = F.coalesce(F.max("_next").over(_FRAME.rowsBetween(-6, -1)), F.lit(0))
+    back = F.max("_here").over(_frame().rowsBetween(0, 5))
+    ahead = F.coalesce(F.max("_next").over(_frame().rowsBetween(-6, -1)), F.lit(0))
     return flags.withColumn("masked", F.greatest(back, ahead, F.col("_parallel")) == 1).drop("_here", "_next", "_parallel")
 
 
@@ -127,30 +136,33 @@ def livox_features(points: DataFrame, line: str = "line_id", order: str = "pt_id
 
 def line_segments(image: DataFrame, factor: float = 1.06, jump: float = 9.0) -> DataFrame:
     """Adds segment, numbered from 0 along each scan line: it breaks where neighbours lie farther apart than factor × the adaptive distance or jump × the gap before."""
-    gap = G.norm(*_step(_LINE, 1))
+    gap = G.norm(*_step(_line(), 1))
     on = image.withColumn("gap", gap)
-    far = (F.col("gap") > factor * break_distance(F.col("rng"))) | (F.col("gap") > jump * F.lag("gap").over(_LINE))
-    return on.withColumn("_break", F.coalesce(far, F.lit(False)).cast("int")).withColumn("segment", F.sum("_break").over(_LINE.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_break")
+    far = (F.col("gap") > factor * break_distance(F.col("rng"))) | (F.col("gap") > jump * F.lag("gap").over(_line()))
+    return on.withColumn("_break", F.coalesce(far, F.lit(False)).cast("int")).withColumn("segment", F.sum("_break").over(_line().rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_break")
+
+
 
+def _segment():
+    return Window.partitionBy("frame_id", "row_id", "segment").orderBy("col_id")
 
-_SEGMENT = Window.partitionBy("frame_id", "row_id", "segment").orderBy("col_id")
 
 
 def resample_lines(segmented: DataFrame, step: float = 0.08) -> DataFrame:
     """One point per `step` metres of arc length of a segment: the first in each bucket."""
-    moved = F.coalesce(G.norm(*_step(_SEGMENT, 1)), F.lit(0.0))
-    on = segmented.withColumn("_moved", moved).withColumn("arc", F.sum("_moved").over(_SEGMENT.rowsBetween(Window.unboundedPreceding, 0)))
+    moved = F.coalesce(G.norm(*_step(_segment(), 1)), F.lit(0.0))
+    on = segmented.withColumn("_moved", moved).withColumn("arc", F.sum("_moved").over(_segment().rowsBetween(Window.unboundedPreceding, 0)))
     on = on.withColumn("bucket", F.floor(F.round(F.col("arc"), 9) / step).cast("int"))
     return on.groupBy("frame_id", "row_id", "segment", "bucket").agg(F.min(F.struct("col_id", "pt_id")).alias("m")).select("frame_id", "row_id", "segment", "bucket", "m.pt_id")
 
 
 def direction_lines(segmented: DataFrame, turn: float = 45.0, least_points: int = 5, least_length: float = 0.5) -> DataFrame:
     """Runs of a segment between turns of more than `turn` degrees: frame_id, row_id, segment, run, n, length, label (SURF for long runs, else EDGE)."""
-    a, b = _step(_SEGMENT, 1), _step(_SEGMENT, -1)
+    a, b = _step(_segment(), 1), _step(_segment(), -1)
     cos = G.dot(a, b) / (G.norm(*a) * G.norm(*b))
     turning = F.coalesce(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(cos, 9))))) > turn, F.lit(False))
     on = segmented.withColumns({"_turn": turning.cast("int"), "_moved": F.coalesce(G.norm(*a), F.lit(0.0))})
-    on = on.withColumn("run", F.coalesce(F.sum("_turn").over(_SEGMENT.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    on = on.withColumn("run", F.coalesce(F.sum("_turn").over(_segment().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     runs = on.groupBy("frame_id", "row_id", "segment", "run").agg(F.count("*").alias("n"), F.sum("_moved").alias("length"))
     return runs.withColumn("label", F.when((F.col("n") > least_points) & (F.col("length") > least_length), "SURF").otherwise("EDGE"))
 
@@ -159,7 +171,7 @@ def weighted_smoothness(image: DataFrame) -> DataFrame:
     """Adds smoothness: range differences to three pixels on either side of the line, weighted by exp(−4·distance²)."""
     total, weight = F.lit(0.0), F.lit(0.0)
     for k in (-3, -2, -1, 1, 2, 3):
-        get = lambda a, k=k: F.lag(a, abs(k)).over(_LINE) if k < 0 else F.lead(a, k).over(_LINE)
+        get = lambda a, k=k: F.lag(a, abs(k)).over(_line()) if k < 0 else F.lead(a, k).over(_line())
         w = F.exp(-4 * G.sq_distance(G.vec(), tuple(get(a) for a in _XYZ)))
         total = total + F.coalesce(w * (get("rng") - F.col("rng")), F.lit(0.0))
         weight = weight + F.coalesce(w, F.lit(0.0))
@@ -194,31 +206,31 @@ def polyline_splits(segmented: DataFrame, limit: float = 0.15) -> DataFrame:
 
 def vertical_chains(image: DataFrame, bend: float = 30.0, steep: float = 45.0, flat: float = 9.0) -> DataFrame:
     """Adds up_slope (degrees to the pixel above), chain and vertical: three consecutive rows of a column that bend less than `bend` and rise at least `steep` make one chain."""
-    a, b = _step(_COLUMN, 1), _step(_COLUMN, -1)
-    adjacent = (F.col("row_id") - F.lag("row_id").over(_COLUMN) == 1) & (F.lead("row_id").over(_COLUMN) - F.col("row_id") == 1)
+    a, b = _step(_column(), 1), _step(_column(), -1)
+    adjacent = (F.col("row_id") - F.lag("row_id").over(_column()) == 1) & (F.lead("row_id").over(_column()) - F.col("row_id") == 1)
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(G.dot(a, b) / (G.norm(*a) * G.norm(*b)), 9)))
     slope = lambda v: F.degrees(F.atan2(v[2], G.norm(v[0], v[1])))
     middle = F.coalesce(adjacent & (F.degrees(F.acos(cos)) < bend) & (F.abs(slope(a)) >= steep) & (F.abs(slope(b)) >= steep), F.lit(False)).cast("int")
     on = image.withColumns({"up_slope": slope(b), "_mid": middle})
-    on = on.withColumn("vertical", F.greatest(F.col("_mid"), F.coalesce(F.lag("_mid").over(_COLUMN), F.lit(0)), F.coalesce(F.lead("_mid").over(_COLUMN), F.lit(0))) == 1)
-    starts = (F.col("vertical") & ~F.coalesce(F.lag("vertical").over(_COLUMN), F.lit(False))).cast("int")
-    on = on.withColumn("_start", starts).withColumn("chain", F.when(F.col("vertical"), F.sum("_start").over(_COLUMN.rowsBetween(Window.unboundedPreceding, 0)).cast("int")))
+    on = on.withColumn("vertical", F.greatest(F.col("_mid"), F.coalesce(F.lag("_mid").over(_column()), F.lit(0)), F.coalesce(F.lead("_mid").over(_column()), F.lit(0))) == 1)
+    starts = (F.col("vertical") & ~F.coalesce(F.lag("vertical").over(_column()), F.lit(False))).cast("int")
+    on = on.withColumn("_start", starts).withColumn("chain", F.when(F.col("vertical"), F.sum("_start").over(_column().rowsBetween(Window.unboundedPreceding, 0)).cast("int")))
     return on.withColumn("flat", F.coalesce(F.abs(F.col("up_slope")) < flat, F.lit(False))).drop("_mid", "_start")
 
 
 def ground_by_slope(image: DataFrame, rows: int = 7, limit: float = 10.0, mount: float = 0.0) -> DataFrame:
     """Adds is_ground: both pixels of a pair of rows under `rows` whose slope differs from the mount angle by at most `limit` degrees."""
-    v = _step(_COLUMN, -1)
-    pair = (F.col("row_id") < rows) & (F.lead("row_id").over(_COLUMN) - F.col("row_id") == 1)
+    v = _step(_column(), -1)
+    pair = (F.col("row_id") < rows) & (F.lead("row_id").over(_column()) - F.col("row_id") == 1)
     flat = F.coalesce(pair & (F.abs(F.degrees(F.atan2(v[2], G.norm(v[0], v[1]))) - mount) <= limit), F.lit(False)).cast("int")
-    return image.withColumn("_flat", flat).withColumn("is_ground", F.greatest(F.col("_flat"), F.coalesce(F.when(F.col("row_id") - F.lag("row_id").over(_COLUMN) == 1, F.lag("_flat").over(_COLUMN)), F.lit(0))) == 1).drop("_flat")
+    return image.withColumn("_flat", flat).withColumn("is_ground", F.greatest(F.col("_flat"), F.coalesce(F.when(F.col("row_id") - F.lag("row_id").over(_column()) == 1, F.lag("_flat").over(_column())), F.lit(0))) == 1).drop("_flat")
 
 
 def relabel_ground(image: DataFrame, limit: float = 10.0) -> DataFrame:
     """Adds ground_run: from the lowest row of a column up, ground as long as every pair of pixels so far is flat."""
-    v = _step(_COLUMN, 1)
+    v = _step(_column(), 1)
     steep = F.coalesce(F.abs(F.degrees(F.atan2(v[2], G.norm(v[0], v[1])))) > limit, F.lit(False)).cast("int")
-    return image.withColumn("_steep", steep).withColumn("ground_run", F.max("_steep").over(_COLUMN.rowsBetween(Window.unboundedPreceding, 0)) == 0).drop("_steep")
+    return image.withColumn("_steep", steep).withColumn("ground_run", F.max("_steep").over(_column().rowsBetween(Window.unboundedPreceding, 0)) == 0).drop("_steep")
 
 
 def farthest_ground(image: DataFrame) -> DataFrame:
@@ -234,7 +246,7 @@ def above_ground(image: DataFrame) -> DataFrame:
 def thinned(image: DataFrame, each: int = 5) -> DataFrame:
     """Segmented pixels and every fifth ground column, with start and end of each row in the output (index of the fifth pixel from either end)."""
     kept = image.where(~F.col("is_ground") | (F.col("col_id") % each == 0) | (F.col("col_id") <= 5))
-    at = kept.withColumn("idx", (F.row_number().over(_FRAME) - 1).cast("int"))
+    at = kept.withColumn("idx", (F.row_number().over(_frame()) - 1).cast("int"))
     return at.groupBy("frame_id", "row_id").agg((F.min("idx") + 5).alias("start_idx"), (F.max("idx") - 5).alias("end_idx"), F.count("*").alias("n"))
 
 
