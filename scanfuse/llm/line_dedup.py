@@ -231,10 +231,13 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
     place = F.coalesce(F.col("doc_id").cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")) * F.lit(2**31).cast("decimal(10,0)") + F.col("line")
     place = place.cast("decimal(38,0)")
-    first = seen.groupBy("digest").agg(F.min(place).alias("first")).join(cand.select("digest", "lid"), "digest", "left").join(comp, "lid", "left")
-    first = staged(first.select("digest", "first", F.coalesce("component", "lid").alias("class")), "first-lines")
-    keep = first.where("class IS NOT NULL").groupBy("class").agg(F.min("first").alias("keep"))
-    keep = first.join(keep, "class", "left").select("digest", F.coalesce("keep", "first").alias("keep"))
+    # lines that occur once and are like no other stay; only the others are joined
+    classes = cand.select("digest", "lid").join(comp, "lid").select("digest", F.col("component").alias("class"))
+    first = seen.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(classes, "digest", "left").where("class IS NOT NULL OR n > 1")
+    first = staged(first, "first-lines")
+    linked = first.where("class IS NOT NULL")
+    keep = linked.join(linked.groupBy("class").agg(F.min("first").alias("keep")), "class").select("digest", "keep")
+    keep = keep.unionByName(first.where("class IS NULL").select("digest", F.col("first").alias("keep")))
     gone = seen.select("doc_id", "line", "digest", place.alias("place")).join(keep, "digest").where("place <> keep")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
