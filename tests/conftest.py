@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -33,5 +34,9 @@ def duck():
 
 def rows_of(df):
     """Rows of a pandas frame, order-free, whole numbers alike whatever their type."""
-    cell = lambda v: None if v is None or v != v else str(int(v)) if isinstance(v, (bool, int, float)) and not isinstance(v, bool) and float(v).is_integer() else str(v)
+    def cell(v):
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
+            return None
+        return str(int(v)) if not isinstance(v, (bool, str)) and isinstance(v, (int, float)) and float(v).is_integer() else str(v)
+
     return sorted(map(str, ([cell(v) for v in r] for r in df[sorted(df.columns)].astype(object).values.tolist())))

@@ -9,7 +9,7 @@ from scanfuse.plans import changes, lines, maps, points  # noqa: F401
 from scanfuse.plans.registry import ORACLES, QUERIES
 
 #: Need more than the two frames of this size, or take long; bench and the driver run them at larger sizes.
-EMPTY_HERE = {"t8_control_poses", "j13_match_surfels", "t6_clamped_spline", "t10_deskew", "w13_windows", "t7_catmull_rom", "t9_uniform_spline"}
+EMPTY_HERE = {"t8_control_poses", "j13_match_surfels", "t6_clamped_spline", "t10_deskew", "w13_windows", "t7_catmull_rom", "t9_uniform_spline", "g5_window_edges", "j11_loop_candidates", "j12_history"}
 SLOW = {"r1_register", "r2_register_deskewed", "r3_register_clouds", "a19_adaptive_planes", "c10_plane_ids"}
 
 
