@@ -118,31 +118,40 @@ def _occurrences(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterat
                         digest.append(x)
             fresh = np.array(fresh, bool)
             keys = band_keys(list(new.values()))
-            ends = np.r_[0, np.cumsum(fresh * BANDS)].astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
+            rows, width = keys.tobytes(), BANDS * 8
+            at = (np.cumsum(fresh) - 1) * width
+            bands = pa.array([rows[a : a + width] if f else None for a, f in zip(at.tolist(), fresh.tolist())], pa.binary())
             texts = pa.array([new[x] if f else None for x, f in zip(digest, fresh)], pa.string())
             key = np.frombuffer(b"".join(x[:8] for x in digest), "<i8")
             yield pa.RecordBatch.from_arrays([pa.array(doc, kind), pa.array(no, pa.int32()), pa.array(digest, pa.binary()), pa.array(key), bands, texts], ["doc_id", "line", "digest", "key", "bands", "text"])
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by (bucket, key): passes on what stands in a bucket with more than one key, each once. One row is carried between batches."""
-    last, sent = None, False  # the last key so far, and whether it was passed on
-    for pdf in batches:
-        b, k = pdf["bucket"].to_numpy(), pdf["key"].to_numpy()
-        if last is not None:
-            b, k = np.r_[last[0], b], np.r_[last[1], k]
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by bucket: passes on what stands in a bucket with more than one key. One bucket's first key is carried between batches, so that a bucket of any size takes no memory; a key may pass once per batch."""
+    bucket, key, sent = None, None, False  # the last bucket so far, its first key, and whether keys of it have passed
+    for batch in batches:
+        b, k = (c.to_numpy() for c in batch.columns)
         if not len(b):
             continue
-        first = np.r_[True, (b[1:] != b[:-1]) | (k[1:] != k[:-1])]
+        if b[0] == bucket and not sent:
+            b, k = np.r_[bucket, b], np.r_[key, k]
+        last = b[-1], k[-1]
+        same = b[1:] == b[:-1]
+        rows = np.r_[same, False] | np.r_[False, same]
+        if sent:
+            rows |= b == bucket
+        b, k = b[rows], k[rows]
+        order = np.lexsort((k, b))
+        b, k = b[order], k[order]
+        first = np.r_[True, (b[1:] != b[:-1]) | (k[1:] != k[:-1])][: len(b)]
         b, k = b[first], k[first]
         same = b[1:] == b[:-1]
-        many = np.r_[same, False] | np.r_[False, same]
-        out = many.copy()
-        out[0] &= not sent
-        yield pd.DataFrame({"bucket": b[out], "key": k[out]})
-        sent = bool(many[-1]) or (sent and len(b) == 1)
-        last = (b[-1], k[-1])
+        out = (np.r_[same, False] | np.r_[False, same])[: len(b)]
+        if sent:
+            out |= b == bucket
+        b, k = b[out], k[out]
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(k)], ["bucket", "key"])
+        (bucket, key), sent = last, bool(len(b)) and b[-1] == last[0]
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,10 +209,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
     own = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, digest binary"
-    seen = staged(docs.select("doc_id", "text").mapInArrow(lambda it: _occurrences(it, kind), f"{own}, key long, bands array<long>, text string"), "lines")
+    seen = staged(docs.select("doc_id", "text").mapInArrow(lambda it: _occurrences(it, kind), f"{own}, key long, bands binary, text string"), "lines")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    banded = seen.where("size(bands) > 0").select("key", "bands").mapInArrow(_keyed, "bucket long, key long").repartition(n, "bucket").sortWithinPartitions("bucket", "key")
-    near = staged(banded.mapInPandas(_shared, "bucket long, key long").groupBy("bucket", "key").agg(F.lit(1).alias("one")).drop("one"), "buckets")
+    banded = seen.where("bands IS NOT NULL").select("key", "bands").mapInArrow(_keyed, "bucket long, key long").repartition(n, "bucket").sortWithinPartitions("bucket")
+    near = staged(banded.mapInArrow(_shared, "bucket long, key long").groupBy("bucket", "key").agg(F.lit(1).alias("one")).drop("one"), "buckets")
     keys = staged(near.select("key").distinct(), "keys")
     few = keys.count() <= SENT_KEYS
     found = seen.where("text IS NOT NULL").select("digest", "key", "text").join(F.broadcast(keys) if few else keys, "key", "left_semi")
@@ -245,7 +254,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket and the first 8 bytes of the digest for each band of a line."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(1).flatten(), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "key"])
+        bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "key"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
