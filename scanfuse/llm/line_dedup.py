@@ -19,6 +19,9 @@ SIMILARITY = 0.8
 #: Candidate keys (8 bytes each) up to which they are broadcast to pick the candidates' texts; more are joined by a shuffle.
 SENT_KEYS = 4_000_000
 BLOCK = 256
+#: Cells (8 bits of their product with a spreading factor) in which a line's shingle codes are counted to bound what two lines can share.
+CELLS = 256
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20_240_229)
 _MUL = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
@@ -177,19 +180,21 @@ def _crossed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
     texts = list(dict.fromkeys(pdf["text"]))
-    known = dict(zip(texts, shingle_sets(texts)))
+    sets, row = shingle_sets(texts), {t: k for k, t in enumerate(texts)}
+    cells = np.array([np.bincount((x * _SPREAD >> np.uint64(56)).astype(np.int64), minlength=CELLS) for x in sets], np.int32).reshape(-1, CELLS)
     links, grp = [], pdf["grp"].to_numpy()
     starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.empty(0, np.int64)
-    labels, lines = pdf["label"].to_list(), pdf["text"].to_list()
+    labels, rows = pdf["label"].to_numpy(), np.array([row[t] for t in pdf["text"]], np.int64)
     for first, last in zip(starts, np.r_[starts[1:], len(grp)]):
-        label = labels[first:last]
-        at, sh = list(label), [known[t] for t in lines[first:last]]
-        for j in range(len(at)):
-            for i in range(j):
-                if at[i] != at[j] and similar(sh[i], sh[j]):
+        label, which = labels[first:last], rows[first:last]
+        at, cell = label.copy(), cells[which]
+        size = cell.sum(1)
+        for j in range(1, len(at)):
+            most = np.minimum(cell[:j], cell[j]).sum(1)  # no two sets share more than the smaller counts of their cells
+            for i in np.flatnonzero((most >= SIMILARITY * (size[:j] + size[j] - most)) & (at[:j] != at[j])):
+                if at[i] != at[j] and similar(sets[which[i]], sets[which[j]]):
                     links.append((label[j], label[i]))
-                    old, new = at[j], at[i]
-                    at = [new if x == old else x for x in at]
+                    at[at == at[j]] = at[i]
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
