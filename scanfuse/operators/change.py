@@ -97,23 +97,24 @@ def confusion(changes: DataFrame, truth: str) -> DataFrame:
     return changes.groupBy(F.col(truth).alias("truth"), "change_type").agg(F.count("*").alias("n"))
 
 
-def surfels(points: DataFrame, leaf: float, radius: float, k: int = 10, flat: float = 0.06, hits: DataFrame | None = None) -> DataFrame:
+def surfels(points: DataFrame, leaf: float, radius: float, k: int = 10, flat: float = 0.06, hits: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """Surfels at voxel samples whose k nearest points lie within `flat` of their plane: pt_id, centre, covariance, normal's eigenvalue and confidence.
 
-    Each hit (pt_id) adds ln(.55/.45) to a confidence of one half.
+    Each hit (pt_id) adds ln(.55/.45) to a confidence of one half. With a key, each of its values is a map of its own, and the surfels carry it.
     """
-    seeds = grid.voxel_samples(points, leaf)
-    near = neighbors.nearest(seeds, points, k, radius, None, complete=True)
+    seeds = grid.voxel_samples(points, leaf, (key,) if key else ())
+    near = neighbors.nearest(seeds, points, k, radius, key, complete=True)
     fits = stats.neighbour_planes(near, flat).where("valid").select("q_id", "nx", "ny", "nz", "worst")
     pca = stats.principal(stats.moments(near, ["q_id"], ("tx", "ty", "tz"))).select("q_id", *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), "l1", "cov_xx", "cov_xy", "cov_xz", "cov_yy", "cov_yz", "cov_zz")
     out = pca.join(fits, "q_id").withColumnRenamed("q_id", "pt_id")
     n = hits.groupBy("pt_id").agg(F.count("*").alias("hits")) if hits is not None else None
     out = out.join(n, "pt_id", "left") if n is not None else out.withColumn("hits", F.lit(0))
+    out = out.join(seeds.select(key, "pt_id"), "pt_id") if key else out
     return out.withColumn("confidence", 0.5 + F.coalesce("hits", F.lit(0)) * math.log(0.55 / 0.45))
 
 
-def match_surfels(points: DataFrame, surfels_: DataFrame, radius: float) -> DataFrame:
-    """Each point's nearest surfel inside the radius, by the surfel's true distance."""
-    targets = surfels_.select("pt_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
-    return neighbors.nearest(points, targets, 1, radius, None)
+def match_surfels(points: DataFrame, surfels_: DataFrame, radius: float, key: str | None = None) -> DataFrame:
+    """Each point's nearest surfel inside the radius, by the surfel's true distance; with a key, of the surfels that share it."""
+    targets = surfels_.select(*([key] if key else []), "pt_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    return neighbors.nearest(points, targets, 1, radius, key)
 

@@ -199,9 +199,9 @@ def _clamped(u: float) -> np.ndarray:
     return n
 
 
-def deskew(points: DataFrame, windows: DataFrame) -> DataFrame:
-    """Moves each point (window_id, ratio in [0, 1]) by the spline pose at its own time. windows: window_id, c0 … c4."""
-    at = spline_pose(points.join(windows, "window_id"), F.col("ratio"))
+def deskew(points: DataFrame, windows: DataFrame, keys: tuple[str, ...] = ("window_id",)) -> DataFrame:
+    """Moves each point (keys, ratio in [0, 1]) by the spline pose at its own time. windows: keys, c0 … c4. Windows that each session numbers anew need session_id among the keys."""
+    at = spline_pose(points.join(windows, list(keys)), F.col("ratio"))
     new = tuple(a + b for a, b in zip(G.rotate(quat(), G.vec()), trans()))
     return at.withColumns(dict(zip(("x", "y", "z"), new))).select(points.columns)
 

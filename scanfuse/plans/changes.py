@@ -104,17 +104,23 @@ def fused_map(spark, sf_dir):
     return grid.cells(out, 1.0).select(*grid.CELL, "owner", "seen", *r5("change_prob"))
 
 
+def _frame_twos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by windows of two frames; five windows are a session."""
+    return points(spark, sf_dir).select(F.floor(F.col("frame_id") / 2.0).cast("int").alias("map_key"), "pt_id", "x", "y", "z")
+
+
 @query("c9_surfels")
 def surfels(spark, sf_dir):
-    p = points(spark, sf_dir).where("frame_id < 2").select("pt_id", "x", "y", "z")
-    return change.surfels(p, 0.5, 1.0, hits=p.where("pt_id % 2 = 0")).select("pt_id", *r5("cx", "cy", "cz", "confidence"))
+    p = _frame_twos(spark, sf_dir)
+    return change.surfels(p, 0.5, 1.0, hits=p.where("pt_id % 2 = 0"), key="map_key").select("pt_id", *r5("cx", "cy", "cz", "confidence"))
 
 
 @query("j13_match_surfels")
 def match_surfels(spark, sf_dir):
-    p = points(spark, sf_dir).where("frame_id < 4")
-    s = change.surfels(p.where("frame_id < 2").select("pt_id", "x", "y", "z"), 0.5, 1.0)
-    return change.match_surfels(p.where("frame_id = 3").select("pt_id", "x", "y", "z"), s, 0.6).select("q_id", "t_id", *r5("d2"))
+    """Every window's points against the surfels of the window before in their session; a session's first window has none."""
+    p = _frame_twos(spark, sf_dir)
+    later = p.where("map_key % 5 <> 0").withColumn("map_key", F.col("map_key") - 1)
+    return change.match_surfels(later, change.surfels(p, 0.5, 1.0, key="map_key"), 0.6, "map_key").select("q_id", "t_id", *r5("d2"))
 
 
 # registration: frames that end in 1 against the frame before, from a pose that is off
