@@ -10,7 +10,7 @@ from scanfuse.operators import change, grid, neighbors, posegraph, register, sta
 from scanfuse.operators.components import shared_dir, staged
 
 from scanfuse.operators.trajectory import POSE
-from scanfuse.plans.maps import five_with_places, frames_pair
+from scanfuse.plans.maps import all_pairs, five_with_places
 from scanfuse.plans.registry import query
 from scanfuse.sources.fixture import oracle, points, poses, r5, read
 from scanfuse.streaming import jobs
@@ -123,23 +123,23 @@ def match_surfels(spark, sf_dir):
     return change.match_surfels(later, change.surfels(p, 0.5, 1.0, key="map_key"), 0.6, "map_key").select("q_id", "t_id", *r5("d2"))
 
 
-# registration: frames that end in 1 against the frame before, from a pose that is off
+# registration: frames against the frame before in their session, from a pose that is off
 def _off_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = poses(spark, sf_dir).where("frame_id % 10 = 1").select("frame_id")
+    f = poses(spark, sf_dir).where("frame_id % 10 <> 0").select("frame_id")
     zero = F.lit(0.0)
     return f.select("frame_id", F.lit(0.08).alias("tx"), F.lit(-0.05).alias("ty"), zero.alias("tz"), zero.alias("qx"), zero.alias("qy"), F.sin(F.lit(0.005)).alias("qz"), F.cos(F.lit(0.005)).alias("qw"))
 
 
 @query("r1_register")
 def register_frames(spark, sf_dir):
-    q, t = frames_pair(spark, sf_dir)
+    q, t = all_pairs(spark, sf_dir)
     out = register.register(q, t, _off_poses(spark, sf_dir), rounds=4)
     return out.select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz")), "n")
 
 
 @query("r2_register_deskewed")
 def register_deskewed(spark, sf_dir):
-    q, t = frames_pair(spark, sf_dir)
+    q, t = all_pairs(spark, sf_dir)
     still = F.struct(*(F.lit(1.0 if n == "qw" else 0.0).alias(n) for n in POSE))
     windows = q.select(F.col("frame_id").alias("window_id")).distinct().select("window_id", *(still.alias(f"c{k}") for k in range(5)))
     on = q.withColumns({"window_id": F.col("frame_id"), "ratio": F.col("pt_id") % 100 / 100.0})
@@ -149,7 +149,7 @@ def register_deskewed(spark, sf_dir):
 
 @query("r3_register_clouds")
 def register_clouds(spark, sf_dir):
-    q, t = frames_pair(spark, sf_dir)
+    q, t = all_pairs(spark, sf_dir)
     return register.register_clouds(q, t, _off_poses(spark, sf_dir)).select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz")))
 
 
@@ -157,8 +157,8 @@ def register_clouds(spark, sf_dir):
 def quality(spark, sf_dir):
     from scanfuse.operators.project import cauchy_weight
 
-    q, t = frames_pair(spark, sf_dir)
-    _, near = five_with_places(spark, sf_dir)
+    q, t = all_pairs(spark, sf_dir)
+    _, near = five_with_places(spark, sf_dir, all_pairs)
     eq = stats.normal_equations(register.plane_residuals(q, stats.neighbour_planes(near), cauchy_weight(F.col("r"))), ["frame_id"])
     out = register.quality(neighbors.overlap(q, t, 0.2), neighbors.fitness(q, t, 1.0), eq)
     return out.select("frame_id", "n", "n_new", *r5("share_new", "fitness", "mean_cost"), "bad")

@@ -55,13 +55,20 @@ def restart_segments(spark, sf_dir):
     return asof.segments(e).select("s", "event_id", "segment")
 
 
-# neighbour joins: frames that end in 0 look for the points of the frame before
+# neighbour joins: frames that end in 1 look for the points of the frame before
 def frames_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf_dir).select("frame_id", "pt_id", "x", "y", "z")
     q = p.where("frame_id % 10 = 1").withColumn("map_key", F.col("frame_id") - 1)
     return q, p.where("frame_id % 10 = 0").withColumnRenamed("frame_id", "map_key")
 
 
+def all_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every frame looks for the points of the frame before in its session; the queries whose SQL takes one pair a session use frames_pair."""
+    p = points(spark, sf_dir).select("frame_id", "pt_id", "x", "y", "z")
+    q = p.where("frame_id % 10 <> 0").withColumn("map_key", F.col("frame_id") - 1)
+    return q, p.where("frame_id % 10 <> 9").withColumnRenamed("frame_id", "map_key")
+
+
 _PAIRS = """q AS (SELECT frame_id, pt_id, x, y, z FROM p WHERE frame_id%10=1), t AS (SELECT frame_id+1 AS map_for, pt_id, x, y, z FROM p WHERE frame_id%10=0),
 pr AS (SELECT q.frame_id, q.pt_id AS q_id, t.pt_id AS t_id, (q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+(q.z-t.z)*(q.z-t.z) AS d2, t.x AS tx, t.y AS ty, t.z AS tz FROM q JOIN t ON t.map_for=q.frame_id AND t.x BETWEEN q.x-1 AND q.x+1 AND t.y BETWEEN q.y-1 AND q.y+1),
 nn AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, t_id) AS nr FROM pr WHERE d2 < 1.0), nk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY q_id) AS have FROM nn WHERE nr<=5) w WHERE have=5)"""
@@ -103,8 +110,8 @@ def fitness(spark, sf_dir):
     return neighbors.fitness(*frames_pair(spark, sf_dir), 1.0).select("frame_id", *r5("fitness"), "matched")
 
 
-def five_with_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q, t = frames_pair(spark, sf_dir)
+def five_with_places(spark: SparkSession, sf_dir: str, pairs=frames_pair) -> tuple[DataFrame, DataFrame]:
+    q, t = pairs(spark, sf_dir)
     return q, neighbors.nearest(q, t, 5, 1.0, complete=True)
 
 
@@ -125,7 +132,7 @@ def planes(spark, sf_dir):
 
 @query("a10_lines")
 def lines(spark, sf_dir):
-    return stats.neighbour_lines(five_with_places(spark, sf_dir)[1]).select("q_id", "is_line", *r5("cx", "cy", "cz", "ax", "ay", "az"))
+    return stats.neighbour_lines(five_with_places(spark, sf_dir, all_pairs)[1]).select("q_id", "is_line", *r5("cx", "cy", "cz", "ax", "ay", "az"))
 
 
 @query("a15_normal_equations", oracle("""SELECT frame_id, round(sum(w*nx*nx),3)+0.0 AS h33, round(sum(w*ny*ny),3)+0.0 AS h44, round(sum(w*(y*nz-z*ny)*(y*nz-z*ny)),2)+0.0 AS h00, round(sum(w*nx*r),3)+0.0 AS g3, count(*) AS n FROM (
@@ -222,7 +229,7 @@ def shape_class(spark, sf_dir):
 
 @query("a11_ransac_lines")
 def ransac_lines(spark, sf_dir):
-    return stats.ransac_lines(points(spark, sf_dir).where("ring = 8").withColumn("line", F.col("frame_id") * 10 + F.floor(F.col("az") / 18)), "line").select("line", "inliers", *r5("length", "linearity"))
+    return stats.ransac_lines(points(spark, sf_dir).withColumn("line", F.col("ring") + 16 * (F.col("frame_id").cast("long") * 10 + F.floor(F.col("az") / 18))), "line").select("line", "inliers", *r5("length", "linearity"))
 
 
 @query("a13_distinct_rows", oracle("SELECT frame_id, col_id//10 AS cluster, count(DISTINCT row_id) AS rows FROM px GROUP BY 1,2", "points", "pixels"))
@@ -285,7 +292,7 @@ def merge_moments(spark, sf_dir):
 
 @query("a21_align_pairs")
 def align_pairs(spark, sf_dir):
-    q, t = frames_pair(spark, sf_dir)
+    q, t = all_pairs(spark, sf_dir)
     near = neighbors.nearest(q, t, 1, 1.0).join(q.select(F.col("pt_id").alias("q_id"), "frame_id"), "q_id")
     return stats.align_pairs(near, "frame_id").select("frame_id", "n", *((F.round(n, 4) + 0.0).alias(n) for n in ("tx", "ty", "tz")))
 

@@ -40,3 +40,19 @@ def test_deskew_keeps_sessions_apart(spark):
     p = spark.createDataFrame([(s, 0, s, 1.0, 0.0, 0.0, 0.3) for s in range(2)], "session_id long, window_id int, pt_id long, x double, y double, z double, ratio double")
     got = {(r["pt_id"], round(r["x"], 6)) for r in trajectory.deskew(p, windows, ("session_id", "window_id")).collect()}
     assert got == {(0, 1.0), (1, 11.0)}
+
+
+def test_pairs_are_of_every_frame(spark):
+    later = {f for f in range(20) if f % 10}
+    assert _frames(spark, QUERIES["a10_lines"](spark, SF).withColumnRenamed("q_id", "pt_id")) == later
+    assert {r["frame_id"] for r in QUERIES["a21_align_pairs"](spark, SF).collect()} == later
+    assert {r["frame_id"] for r in QUERIES["r4_quality"](spark, SF).collect()} == later
+
+
+def test_every_row_and_ring_takes_part(spark):
+    p = points(spark, "/root/testdata/sf0.001")
+    assert QUERIES["a11_ransac_lines"](spark, "/root/testdata/sf0.001").count() == p.select("frame_id", "ring", F.floor(F.col("az") / 18)).distinct().count()
+    image = lines.image(spark, "/root/testdata/sf0.001")
+    rows = image.select("row_id").distinct().count()
+    for name in ("k4_greedy_logdet", "k5_constraint_sphere"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").join(image, ["frame_id", "pt_id"]).select("row_id").distinct().count() > (1 if name[1] == "5" else rows // 2)
