@@ -35,6 +35,52 @@ SENTENCES = {
 }
 
 
+#: Sentences of the licences' own texts and headers, whole; `<who>` stands for one to twelve words.
+TEXTS = {
+    "mit license": "mit-title",
+    "the mit license": "mit-title",
+    "the mit license mit": "mit-title",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-keep-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement": "as-is",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-no-liability",
+    "apache license version 2 0 january 2004": "apache2-title",
+    "licensed under the apache license version 2 0 the license": "apache2-notice",
+    "you may not use this file except in compliance with the license": "apache2-compliance",
+    "you may not use this work except in compliance with the license": "apache2-compliance",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache2-copy-at",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-copy-at",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-basis",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-basis",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-basis",
+    "see the license for the specific language governing permissions and limitations under the license": "apache2-see",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3": "gpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl2-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-grant",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
+    "see the gnu general public license for more details": "gpl-details",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-hope",
+    "if not see http www gnu org licenses": "gpl-see",
+    "if not see https www gnu org licenses": "gpl-see",
+    "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses": "gpl-copy",
+    "you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses": "gpl-copy",
+    "you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa": "gpl-copy",
+    "you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 59 temple place suite 330 boston ma 02111 1307 usa": "gpl-copy",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of <who> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "neither the name of <who> nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "this software is provided by <who> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-as-is",
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     """A licence that is recognised where these sentences follow each other among a text's licence sentences."""
@@ -62,19 +108,62 @@ RULES = [
     Rule("CC-BY-4.0", ("ccby4-notice",)),
 ]
 
-#: Ends a sentence: a line break, or a full stop, colon, semicolon, exclamation or question mark before white space or the end.
-_END = r"\n|[.:;!?]+(?=\s|$)"
-_CUES = ("licen", "permi", "copyright", "redistribut", "warrant", "rights reserved", "free software", "general public", "may not use", "may obtain", "without", "required by", "neither the name")
+#: Rules over the sentences of whole texts. A text that the rule above would name less exactly stands before it.
+TEXT_RULES = [
+    Rule("MIT", ("mit-title", "mit-grant", "mit-keep-notice", "as-is", "mit-no-liability")),
+    Rule("MIT", ("mit-grant", "mit-keep-notice", "as-is", "mit-no-liability")),
+    Rule("MIT", ("mit-title", "mit-grant", "mit-keep-notice")),
+    Rule("MIT", ("mit-keep-notice", "as-is", "mit-no-liability")),
+    Rule("MIT", ("mit-keep-notice", "as-is")),
+    Rule("MIT", ("mit-grant",)),
+    Rule("MIT", ("mit-title",)),
+    Rule("Apache-2.0", ("apache2-notice", "apache2-compliance", "apache2-copy-at", "apache2-basis", "apache2-see")),
+    Rule("Apache-2.0", ("apache2-notice", "apache2-compliance", "apache2-basis", "apache2-see")),
+    Rule("Apache-2.0", ("apache2-notice", "apache2-compliance")),
+    Rule("Apache-2.0", ("apache2-title",)),
+    *(Rule(f"GPL-{v}.0", (f"gpl{v}-grant", *rest)) for v in (3, 2) for rest in (("gpl-hope", "gpl-implied", "gpl-details", "gpl-copy", "gpl-see"), ("gpl-hope", "gpl-details", "gpl-copy", "gpl-see"), ("gpl-hope", "gpl-implied", "gpl-details", "gpl-copy"), ("gpl-hope", "gpl-details", "gpl-copy"), ("gpl-hope", "gpl-copy"), ("gpl-hope",), ())),
+    Rule("GPL-3.0", ("gpl3-title",)),
+    Rule("GPL-2.0", ("gpl2-title",)),
+    Rule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+]
+#: Rules of both kinds, more sentences first.
+ALL_RULES = sorted([*RULES, *TEXT_RULES, Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"))], key=lambda r: -len(r.sentences))
+ALL_SENTENCES = SENTENCES | TEXTS
+
+#: Ends a sentence: a full stop, colon, semicolon, exclamation or question mark before white space or the end. A line break may end one or be white space inside it.
+_END = r"[.:;!?]+(?=\s|$)"
+_CUES = ("licen", "permi", "copyright", "redistribut", "warrant", "rights reserved", "free software", "general public", "may not use", "may obtain", "without", "required by", "neither the name", "the software is provided", "in no event", "if not see")
+#: What a text becomes before sentences are looked up: words with single spaces, these where a mark ends a sentence and where a line breaks.
+_STOP, _LINE = "\ue000", "\ue001"
+
+
+def _sentence_pattern() -> str:
+    """One alternation of all sentences, longer ones first. A line may break between any words; in the licences' own texts marks may stand there (`free software: you can`) and a number before."""
+    own = sorted(TEXTS, key=len, reverse=True)
+    own = [rf"[ {_STOP}{_LINE}]+".join(rf"\w+(?:[ {_LINE}]+\w+){{0,11}}?" if w == "<who>" else w for w in s.split(" ")) for s in own]
+    short = [s.replace(" ", f"[ {_LINE}]+") for s in sorted(SENTENCES, key=len, reverse=True)]
+    return rf"(?<=[{_STOP}{_LINE}] )(?:(?:\d{{1,2}} )?(?:{'|'.join(own)})|{'|'.join(short)})(?= [{_STOP}{_LINE}])"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known licence sentences of a text, in order."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
+    """Identifiers of the known licence sentences of a text, in order. A sentence may be wrapped over lines, each with comment marks, or be a whole line without a full stop."""
+    known = F.create_map(*(F.lit(x) for pair in ALL_SENTENCES.items() if "<who>" not in pair[0] for x in pair))
     low = F.lower(text)
-    cued = F.filter(F.split(low, _END), lambda s: F.greatest(*(F.contains(s, F.lit(c)) for c in _CUES)))
-    names = F.transform(cued, lambda s: F.element_at(known, F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "))))
+    flat = F.regexp_replace(F.regexp_replace(F.translate(low, _STOP + _LINE, "  "), _END, _STOP), r"\n", _LINE)
+    flat = F.regexp_replace(flat, rf"[^\p{{L}}\p{{N}}{_STOP}{_LINE}]+", " ")
+    flat = F.concat(F.lit(_STOP + " "), F.trim(F.regexp_replace(flat, f" *([{_STOP}{_LINE}]) *", " $1 ")), F.lit(" " + _STOP))
+    hits = F.regexp_extract_all(flat, F.lit(f"({_sentence_pattern()})"), F.lit(1))
+    slots = [(s.split("<who>"), i) for s, i in TEXTS.items() if "<who>" in s]
+
+    def name(hit: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(hit, f"[ {_STOP}{_LINE}]+", " "), r"^\d+ ", "")
+        found = F.element_at(known, plain)
+        for (head, tail), i in slots:
+            found = F.coalesce(found, F.when(F.startswith(plain, F.lit(head)) & F.endswith(plain, F.lit(tail)), F.lit(i)))
+        return found
+
     any_cue = F.greatest(*(F.contains(low, F.lit(c)) for c in _CUES))
-    return F.when(any_cue, F.filter(names, lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return F.when(any_cue, F.filter(F.transform(hits, name), lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -87,11 +176,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     found = docs.select("doc_id", sentence_ids(F.coalesce("text", F.lit(""))).alias("sentences")).where(F.size("sentences") > 0)
     # one letter for each sentence makes a sequence a string and a rule list one alternation
-    names = list(dict.fromkeys(SENTENCES.values()))
+    names = list(dict.fromkeys(ALL_SENTENCES.values()))
     letter = {n: chr(0x4E00 + k) for k, n in enumerate(names)}
     code = F.array_join(F.transform("sentences", lambda s: F.element_at(F.create_map(*(F.lit(x) for n in names for x in (n, letter[n]))), s)), "")
-    pattern = "|".join("".join(letter[s] for s in r.sentences) for r in RULES)
-    licence = F.create_map(*(F.lit(x) for r in RULES for x in ("".join(letter[s] for s in r.sentences), r.licence)))
+    pattern = "|".join("".join(letter[s] for s in r.sentences) for r in ALL_RULES)
+    licence = F.create_map(*(F.lit(x) for r in ALL_RULES for x in ("".join(letter[s] for s in r.sentences), r.licence)))
     hits = found.select("*", F.expr("size(sentences)").alias("n"), F.regexp_extract_all(code, F.lit(f"({pattern})"), F.lit(1)).alias("hits"))
     used = F.aggregate("hits", F.lit(0), lambda a, h: a + F.length(h))
     return hits.select("doc_id", "sentences", F.transform("hits", lambda h: F.element_at(licence, h)).alias("licences"), (F.col("n") - used).alias("unmatched"))
