@@ -10,6 +10,8 @@ from scanfuse.llm.common import discard, staged, table
 #: A quoted line: up to any depth of '>' marks, each with blanks around it.
 _QUOTE = r"^[ \t]*>"
 _MARKS = r"^([ \t]*>)+[ \t]?"
+#: What stands between two paragraphs.
+_BLANK = r"\n[ \t]*\n"
 #: Reply headers that mail programs put before a quotation.
 _HEADER = r"^[ \t]*(On .{1,200} wrote:|Am .{1,200} schrieb.{0,200}:|Le .{1,200} a écrit ?:|El .{1,200} escribió:|-+ ?Original Message ?-+)[ \t]*$"
 
@@ -26,7 +28,10 @@ def _lines(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Runs of lines of one quote level over 0: structs of level and normalised text, in order; empty ones dropped."""
+    """Runs of lines of one quote level over 0: structs of level, normalised text and keys, in order; empty ones dropped.
+
+    The keys are the run's text (rank 0), its paragraphs (1; a blank quoted line ends one) and its lines (2), so that a run that quotes a part of a message also finds it.
+    """
     runs = F.aggregate(
         lines,
         F.array().cast("array<struct<level:int,line:string>>"),
@@ -35,7 +40,9 @@ def passages(lines: Column) -> Column:
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", F.element_at(acc, -1)["line"], x["line"]).alias("line")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return F.filter(F.transform(F.filter(runs, lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), normalised(r["line"]).alias("line"))), lambda r: r["line"] != "")
+    ranked = lambda texts, rank: F.transform(F.array_distinct(F.filter(F.transform(texts, normalised), lambda s: s != "")), lambda s, k: F.struct(F.lit(rank).alias("rank"), k.alias("k"), s.alias("s")))
+    keys = lambda t: F.concat(ranked(F.array(t), 0), ranked(F.split(t, _BLANK), 1), ranked(F.split(t, r"\n"), 2))
+    return F.filter(F.transform(F.filter(runs, lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), normalised(r["line"]).alias("line"), keys(r["line"]).alias("keys"))), lambda r: r["line"] != "")
 
 
 def _body(lines: Column) -> Column:
@@ -46,8 +53,9 @@ def _body(lines: Column) -> Column:
 def link_quotations(messages: DataFrame) -> DataFrame:
     """Links messages to the originals that they quote and orders them into conversations without quotes.
 
-    messages: conv_id, turn (integers), role, text; other columns are not read. A message's own passages are its paragraphs and its whole
-    body; a quoted passage is a run of lines of one nesting level. A quotation belongs to the first message, by (conv_id, turn), that has the passage as its own,
+    messages: conv_id, turn (integers), role, text; other columns are not read. A message's own passages are its paragraphs, its lines and its whole
+    body; a quoted passage is a run of lines of one nesting level, or where no message has all of it, its paragraphs, and where none has one, its
+    lines: then it belongs to the message that has most of those. A passage belongs to the first message, by (conv_id, turn), that has the passage as its own,
     one of the same conversation before any other, and never to the message itself or a later one of its conversation. A message's parent
     is the original of its least nested linked passage, the first of those. Without one it answers the message before it in its
     conversation; the first has no parent. A conversation whose first linked message quotes an earlier conversation is a branch of it.
@@ -62,13 +70,14 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = messages.select("conv_id", "turn", "role", text.alias("text"), F.rlike(text, F.lit(r"(?m)" + _QUOTE)).alias("quoting"), F.rlike(text, F.lit(r"(?m)" + _HEADER)).alias("headed"))
     lines = _lines(F.col("text"))
-    rows = rows.select("conv_id", "turn", "role", "quoting", F.when(F.col("quoting") | F.col("headed"), _body(lines)).otherwise(F.trim("text")).alias("body"), F.when(F.col("quoting"), passages(lines)).alias("passages"))
+    rows = rows.select("conv_id", "turn", "role", "quoting", F.when(F.col("quoting") | F.col("headed"), _body(lines)).otherwise(F.trim(F.regexp_replace("text", r"\r\n?", "\n"))).alias("body"), F.when(F.col("quoting"), passages(lines)).alias("passages"))
     rows = staged(rows, "messages")
 
-    asked = rows.where("quoting").select("conv_id", "turn", F.posexplode("passages").alias("pos", "p")).select("conv_id", "turn", "pos", F.col("p.level").alias("level"), F.sha2("p.line", 256).alias("hash"))
+    asked = rows.where("quoting").select("conv_id", "turn", F.posexplode("passages").alias("pos", "p")).select("conv_id", "turn", "pos", F.col("p.level").alias("level"), F.sha2("p.line", 256).alias("run"), F.explode("p.keys").alias("key"))
+    asked = asked.select("conv_id", "turn", "pos", "level", "run", "key.rank", "key.k", F.sha2("key.s", 256).alias("hash"))
     asked = staged(asked, "quotations")
     wanted = asked.select("hash").distinct()
-    own = F.array_distinct(F.filter(F.transform(F.concat(F.split("body", r"\n[ \t]*\n"), F.split("body", r"\n"), F.array("body")), normalised), lambda s: s != ""))
+    own = F.array_distinct(F.filter(F.transform(F.concat(F.split("body", _BLANK), F.split("body", r"\n"), F.array("body")), normalised), lambda s: s != ""))
     has = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(own).alias("s")).select("conv_id", "turn", F.sha2("s", 256).alias("hash"))
     has = has.join(wanted, "hash", "left_semi")
     in_conv = has.groupBy("hash", "conv_id").agg(F.min("turn").alias("own_turn"))
@@ -77,7 +86,11 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     here = F.col("own_turn") < F.col("turn")
     there = (F.col("any.conv_id") < F.col("conv_id")) & F.col("own_turn").isNull()
     found = found.withColumn("at", F.when(here, F.struct(F.col("conv_id").alias("conv_id"), F.col("own_turn").alias("turn"))).when(there, F.col("any")))
-    linked = found.groupBy("conv_id", "turn").agg(F.count("*").alias("quotes"), F.count("at").alias("links"), F.min(F.when(F.col("at").isNotNull(), F.struct("level", "pos", "at"))).alias("best"))
+    run = ["conv_id", "turn", "pos", "level", "run"]
+    found = found.groupBy(*run, "rank", "at").agg(F.count("*").alias("n"), F.min("k").alias("k"))
+    at = F.min(F.when(F.col("at").isNotNull(), F.struct("rank", (-F.col("n")).alias("n"), "k", "at")))["at"]
+    found = found.groupBy(*run).agg(F.sum(F.when(F.col("rank") == 0, F.col("n"))).alias("n"), at.alias("at"))
+    linked = found.groupBy("conv_id", "turn").agg(F.sum("n").alias("quotes"), F.coalesce(F.sum(F.when(F.col("at").isNotNull(), F.col("n"))), F.lit(0)).alias("links"), F.min(F.when(F.col("at").isNotNull(), F.struct("level", "pos", "at"))).alias("best"))
     linked = staged(linked.select("conv_id", "turn", "quotes", "links", F.col("best.at").alias("at")), "links")
 
     # a conversation branches off the earlier one that its first message with a foreign link quotes; roots by pointer doubling

@@ -327,6 +327,16 @@ def test_op9_links_and_order(spark):
     assert chat.op9_chat(spark, SF).count() == spark.read.parquet(f"{SF}/conversations.parquet").count()
 
 
+def test_op9_quotes_of_a_part(spark):
+    one, two = "First part.\r\n\r\nSecond part.\r\n\r\nThird part.", "line one\nline two\nline three"
+    rows = [(1, 0, "user", one), (1, 1, "user", "Other."), (1, 2, "user", "> First part.\n>\n> Second part.\nyes"), (1, 3, "user", two), (1, 4, "user", "Aside."), (1, 5, "user", "> line two\n> line three\nno"), (2, 0, "user", "> Second part.\r\n>\r\n> Third part.\r\nhm"), (2, 1, "user", "> never said\nok"), (2, 2, "user", "> Aside.\n> > never\nok"), (2, 2, "user", "> Aside.\n> > never\nok")]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    at = lambda *k: (got[k]["parent_conv"], got[k]["parent_turn"], got[k]["quotes"], got[k]["links"])
+    assert at(1, 2) == (1, 0, 1, 1) and at(1, 5) == (1, 3, 1, 1) and at(2, 0) == (1, 0, 1, 1)
+    assert at(2, 1) == (2, 0, 1, 0) and at(2, 2) == (1, 4, 4, 2)
+    assert got[2, 0]["thread"] == got[2, 1]["thread"] == 1 and got[1, 0]["body"] == one.replace("\r\n", "\n")
+
+
 def test_op10_law_and_slots(spark, odd, none):
     got = sharding.op10_sharding(spark, SF).toPandas()
     docs = documents().set_index("doc_id")["text"].fillna("")
