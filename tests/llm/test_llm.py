@@ -108,6 +108,14 @@ def test_op3_reordered_partial_and_both_ways(spark, odd, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_op3_repetitive_item_both_ways(spark):
+    item = " ".join(["one two three four five"] * 9)
+    docs = spark.createDataFrame([(1, "x " + item + " y"), (2, "one two three four five only")], DOC)
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    for size in (1 << 20, 0):
+        assert [(r["doc_id"], r["coverage"]) for r in decontaminate.leaks(docs, bench, index_bytes=size).collect()] == [(1, 1.0)]
+
+
 def test_op4_equals_brute_force(spark):
     docs = documents().sort_values("doc_id").head(120)
     occ, first = [], {}
