@@ -82,6 +82,44 @@ def is_outside(symbol: str) -> bool:
     return symbol.startswith("<") and symbol[1] != "/" and (_name(symbol) in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(_words(symbol)) and _name(symbol) not in ("body", "html", "main"))
 
 
+def _marked_inline(tag: str) -> str:
+    """An inline tag as the symbol that a block tag would have; '' for one that holds nothing."""
+    m = _TOKEN.match(tag)
+    name = (m["name"] or "").lower() if m else ""
+    if not name or name in VOID:
+        return ""
+    if m["end"]:
+        return f"</{name}>"
+    marks = " ".join(w for a in _ATTR.findall(m["attrs"]) for w in "".join(a[1:]).lower().split())
+    return f"<{name} {marks}>" if marks else f"<{name}>"
+
+
+#: What ends an element whose end tag is left out; the end of an element around it does too.
+ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "option": {"option"}}
+
+
+def _hide(hidden: list[str], symbol: str) -> None:
+    """Keeps the stack of open elements from the hidden one on. Inline tags, given as `<span …>`, count inside a hidden inline element only."""
+    name = _name(symbol)
+    loose, inline, root = name in LOOSE, name in INLINE, hidden[0] if hidden else ""
+    if symbol[1] == "/":
+        if name in hidden and (not loose or hidden[-1] == name or root in INLINE):
+            while hidden.pop() != name:
+                pass
+        elif name not in hidden and not inline and (root in INLINE or root in LOOSE and (not loose or len(hidden) == 1 and name in ("tr", "tbody", "thead", "tfoot", "li", "td", "th"))):
+            hidden.clear()  # the element around it ends
+        return
+    if root in LOOSE and len(hidden) == 1 and not inline:
+        ends = ENDS.get(root, set())
+        if ends is None or name in ends:
+            hidden.clear()
+    if hidden:
+        if root in INLINE or not loose and not inline:
+            hidden.append(name)
+    elif is_outside(symbol):
+        hidden.append(name)
+
+
 def skeleton(page: str) -> list[str]:
     """Block tags and text slots; loose end tags and blank text left out."""
     out: list[str] = []
@@ -255,6 +293,7 @@ def main_text(page: str | None, wrapper: Compiled | None) -> str:
     blocks: list[str] = []
     run: list[str] = []
     hidden: list[str] = []
+    code = False
     for s, a, b, at in tokens:
         if at < first or at > last or at == last and s != "#" and s not in ("~", ""):
             continue
@@ -262,23 +301,20 @@ def main_text(page: str | None, wrapper: Compiled | None) -> str:
             # text that went into the slot before it has the same place in the row
             if not hidden and (at < last or row and at == last and last and row[last - 1] == "#"):
                 run.append(page[a:b])
-        elif s in ("", "~"):
+        elif s == "":
             continue
+        elif s == "~":
+            # marks in code are the colours of a highlighter
+            if not code and (hidden and hidden[0] in INLINE or _ATTR.search(page, a, b)) and (tag := _marked_inline(page[a:b])):
+                _hide(hidden, tag)
         else:
             blocks.append("".join(run))
             run = []
             if s == "~br":
                 continue
-            name = _name(s)
-            if hidden:
-                if s[1] == "/":
-                    if name in hidden:
-                        while hidden.pop() != name:
-                            pass
-                elif name not in LOOSE:
-                    hidden.append(name)
-            elif is_outside(s) and name not in LOOSE:
-                hidden.append(name)
+            if _name(s) == "pre":
+                code = s[1] != "/"
+            _hide(hidden, s)
     blocks.append("".join(run))
     return " ".join(x for x in (" ".join(entities.unescape(t).split()) for t in blocks) if x)
 

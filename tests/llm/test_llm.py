@@ -302,6 +302,27 @@ def test_op7_wrappers_and_text(spark):
     assert all(w.region(html.skeleton(p)) for _, u, p in pages[:6])
 
 
+def test_op7_marked_loose_and_inline_elements_are_hidden():
+    page = lambda body: f"<body><article>{body}</article></body>"
+    for body, want in {
+        '<p>a</p><p class="ad">buy</p><p>b</p>': "a b",
+        '<p>a<p class="ad">buy<p>b': "a b",
+        '<p>a <span class="ad">buy <span>it</span> now</span>b</p>': "a b",
+        '<p>a <a class="share">tell</a>b <a href="x">c</a></p>': "a b c",
+        '<table><tr><td>a</td><td class="sidebar"><table><tr><td>x</td></tr></table>y</td><td>b</td></tr></table>': "a b",
+        '<table><tr><td>a<td class="sidebar">x<tr><td>b</table>c': "a b c",
+        '<ul><li>a<li class="promo">x</ul><div>b</div>': "a b",
+        '<ul><li class="promo"><ul><li>x</li></ul>y</li><li>b</li></ul>': "b",
+        '<div><p class="ad">buy</div><p>b</p>': "b",
+        '<p class="ad">buy <b>now</b></p><p>b <br>c</p>': "b c",
+        '<pre>x <span class="hljs-comment"># y</span></pre>': "x # y",
+        '<div class="ad"><p>x</p></div><p>b</p>': "b",
+        '<p><span class="ad">buy</p><p>b</p>': "b",
+        '<div><span class="ad"><p>x</p>y</span>b</div>': "b",
+    }.items():
+        assert html.main_text(page(body), None) == want, body
+
+
 def test_op7_articles_of_the_pages(spark):
     import html as entities
 
