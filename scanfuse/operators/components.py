@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,18 +14,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; a temporary one only where the setting is unset, as in local tests."""
+    """The folder that `spark.checkpoint.dir` names. Where the setting is unset, a temporary one on a local master, as in tests; an error on a cluster, whose machines share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="spark-stage-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
+def staged(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+
+    dictionary=False spares tables whose values hardly repeat the attempt to encode them so.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
