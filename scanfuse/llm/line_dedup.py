@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfuse.llm.common import components, staged, table
@@ -19,35 +19,43 @@ SIMILARITY = 0.8
 #: Candidate keys (8 bytes each) up to which they are broadcast to pick the candidates' texts; more are joined by a shuffle.
 SENT_KEYS = 4_000_000
 BLOCK = 256
-#: Cells (8 bits of their product with a spreading factor) in which a line's shingle codes are counted to bound what two lines can share.
-CELLS = 256
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20_240_229)
 _MUL = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
 def normalised(line: str) -> str:
-    return " ".join(line.lower().split())
+    """Lower case, white space runs as one space, trimmed."""
+    low = line.lower()
+    # printable text has no white space but the plain space
+    return low.strip(" ") if low.isprintable() and "  " not in low else " ".join(low.split())
 
 
 def lines_of(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
-def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit codes of all shingles of the lines, and how many each line has; a line shorter than a shingle is its own."""
+def _joined(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All characters of the lines as numbers, which positions start a shingle, and how many shingles each line has; a line shorter than a shingle is its own."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\uffff") for x in lines]
     size = np.fromiter(map(len, padded), np.int64, len(padded))
-    code = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    base = np.uint64(0x100000001B3)
-    with np.errstate(over="ignore"):
-        three = (code[:-2] * base + code[1:-1]) * base + code[2:]
-        h = three[:-3] * (base * base * base) + three[3:]
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
     valid = np.ones(len(code), bool)
     ends = np.cumsum(size)
     for k in range(1, SHINGLE):
         valid[ends - k] = False
-    return h[valid[: len(h)]], size - SHINGLE + 1
+    return code, valid[: len(code) - SHINGLE + 1], size - SHINGLE + 1
+
+
+def _polynomial(code: np.ndarray, base: np.integer) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        three = (code[:-2] * base + code[1:-1]) * base + code[2:]
+        return three[:-3] * (base * base * base) + three[3:]
+
+
+def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of all shingles of the lines, and how many each line has."""
+    code, valid, many = _joined(lines)
+    return _polynomial(code.astype(np.uint64), np.uint64(0x100000001B3))[valid], many
 
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
@@ -80,28 +88,31 @@ def band_keys(lines: list[str]) -> np.ndarray:
     start, chars = 0, 0
     for k, line in enumerate(lines):  # slices that fit a cache
         chars += len(line)
-        if chars > 100_000 or k == len(lines) - 1:
+        if chars > 60_000 or k == len(lines) - 1:
             out[start : k + 1] = _band_keys(lines[start : k + 1])
             start, chars = k + 1, 0
     return out
 
 
 def _band_keys(lines: list[str]) -> np.ndarray:
-    h, many = shingle_codes(lines)
+    code, valid, many = _joined(lines)
     with np.errstate(over="ignore"):
-        h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        # 32 bits are enough to choose candidates and half the work; verification has codes of 64
+        h = _polynomial(code, np.uint32(0x9E3779B1))[valid]
+        h ^= h >> np.uint32(16)
+        h *= np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
-        at = np.r_[0, np.cumsum(many)[:-1]]
-        keys, turned = np.empty((len(lines), BANDS), np.uint64), np.empty_like(h)
-        for band in range(BANDS):
-            key = np.full(len(lines), band + 1, np.uint64)
-            for k in range(band * ROWS, (band + 1) * ROWS):
-                low = np.minimum.reduceat(np.multiply(h, _MUL[k], out=turned), at)
-                key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(31)
-            keys[:, band] = key
-    return keys
+        h *= np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        at = np.cumsum(many) - many
+        low, turned = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(h)
+        for k, mul in enumerate(_MUL):
+            np.minimum.reduceat(np.multiply(h, mul, out=turned), at, out=low[k])
+        key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+        for k in range(ROWS):
+            key = (key ^ low[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(31)
+    return key.T
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -110,7 +121,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterat
         for start in range(0, whole.num_rows, 1000):
             batch = whole.slice(start, 1000)
             doc, no, digest, fresh, new = [], [], [], [], {}
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for d, text in enumerate(batch.column(2)):
                 for k, line in enumerate(lines_of(text.as_py())):
                     if line := normalised(line):
                         x = xxhash.xxh128_digest(line.encode("utf-8", "replace"))
@@ -120,41 +131,85 @@ def _occurrences(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterat
                         no.append(k)
                         digest.append(x)
             fresh = np.array(fresh, bool)
-            keys = band_keys(list(new.values()))
-            rows, width = keys.tobytes(), BANDS * 8
+            rows, width = np.ascontiguousarray(band_keys(list(new.values()))).tobytes(), BANDS * 8
             at = (np.cumsum(fresh) - 1) * width
             bands = pa.array([rows[a : a + width] if f else None for a, f in zip(at.tolist(), fresh.tolist())], pa.binary())
             texts = pa.array([new[x] if f else None for x, f in zip(digest, fresh)], pa.string())
-            key = np.frombuffer(b"".join(x[:8] for x in digest), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(doc, kind), pa.array(no, pa.int32()), pa.array(digest, pa.binary()), pa.array(key), bands, texts], ["doc_id", "line", "digest", "key", "bands", "text"])
+            halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+            own = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(own), batch.column(1).take(own), pa.array(no, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), bands, texts],
+                ["doc_id", "mark", "line", "key", "rest", "bands", "text"],
+            )
+
+
+def _celled(batches: Iterator[pa.RecordBatch], cells: int, at_once: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Pairs (bucket, key) of every line's bands, packed by cell: one row holds what a task has for one of `cells` equal ranges of buckets, so that few rows are dealt out."""
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        pairs = np.concatenate(held) if held else np.empty((0, 2), np.int64)
+        held.clear()
+        pairs = pairs[np.argsort(pairs[:, 0].view(np.uint64))]
+        edges = np.searchsorted(pairs[:, 0].view(np.uint64), np.arange(cells, dtype=np.uint64) * np.uint64((1 << 64) // cells))
+        ends = np.r_[edges[1:], len(pairs)]
+        some = np.flatnonzero(edges < ends)
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pairs[edges[c] : ends[c]].tobytes() for c in some], pa.binary())], ["cell", "pairs"])
 
+    for batch in batches:
+        if batch.num_rows:
+            bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            held.append(np.stack([bands, np.repeat(batch.column(0).to_numpy(), BANDS)], axis=1))
+            if sum(map(len, held)) >= at_once:
+                yield out()
+    yield out()
+
+
+def _shared(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by cell: passes on what stands in a bucket with more than one key.
+
+    Whenever a cell's pairs come to `most`, shared buckets are passed on and one key of each bucket is kept, so that a bucket of any size
+    takes no memory; a key may pass more than once.
+    """
+    cell, held, size = None, [], 0
+    none = np.empty((0, 2), np.int64), np.empty(0, bool)
+
+    def settle(retain: bool = False) -> tuple[tuple[np.ndarray, np.ndarray], pa.RecordBatch]:
+        """One key of each bucket, marked where the bucket has passed already; and what passes now."""
+        pairs, sent = (np.concatenate(x) for x in zip(*held)) if held else none
+        order = np.argsort(pairs[:, 0])
+        pairs, sent = pairs[order], sent[order]
+        if not retain:  # a bucket's only pair needs no further look
+            same = pairs[1:, 0] == pairs[:-1, 0]
+            some = np.r_[same, False] | np.r_[False, same]
+            pairs, sent = pairs[some[: len(pairs)]], sent[some[: len(pairs)]]
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs, sent = pairs[order], sent[order]
+        first = np.r_[True, (pairs[1:] != pairs[:-1]).any(1)][: len(pairs)]
+        starts = np.flatnonzero(first)
+        sent = np.logical_or.reduceat(sent, starts) if len(starts) else sent
+        pairs = pairs[first]
+        bucket = np.r_[True, pairs[1:, 0] != pairs[:-1, 0]][: len(pairs)]
+        starts = np.flatnonzero(bucket)
+        many = np.diff(np.r_[starts, len(pairs)])
+        shared = (many > 1) | (np.logical_or.reduceat(sent, starts) if len(starts) else sent)
+        go = np.repeat(shared, many) & ~sent
+        return (pairs[starts], shared), pa.RecordBatch.from_arrays([pa.array(pairs[go, 0]), pa.array(pairs[go, 1])], ["bucket", "key"])
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by bucket: passes on what stands in a bucket with more than one key. One bucket's first key is carried between batches, so that a bucket of any size takes no memory; a key may pass once per batch."""
-    bucket, key, sent = None, None, False  # the last bucket so far, its first key, and whether keys of it have passed
     for batch in batches:
-        b, k = (c.to_numpy() for c in batch.columns)
-        if not len(b):
-            continue
-        if b[0] == bucket and not sent:
-            b, k = np.r_[bucket, b], np.r_[key, k]
-        last = b[-1], k[-1]
-        same = b[1:] == b[:-1]
-        rows = np.r_[same, False] | np.r_[False, same]
-        if sent:
-            rows |= b == bucket
-        b, k = b[rows], k[rows]
-        order = np.lexsort((k, b))
-        b, k = b[order], k[order]
-        first = np.r_[True, (b[1:] != b[:-1]) | (k[1:] != k[:-1])][: len(b)]
-        b, k = b[first], k[first]
-        same = b[1:] == b[:-1]
-        out = (np.r_[same, False] | np.r_[False, same])[: len(b)]
-        if sent:
-            out |= b == bucket
-        b, k = b[out], k[out]
-        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(k)], ["bucket", "key"])
-        (bucket, key), sent = last, bool(len(b)) and b[-1] == last[0]
+        for c, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if c != cell and held:
+                yield settle()[1]
+                held, size = [], 0
+            cell = c
+            pairs = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2)
+            held.append((pairs, np.zeros(len(pairs), bool)))
+            size += len(pairs)
+            if size >= most:
+                kept, passed = settle(retain=True)
+                yield passed
+                held, size = [kept], 0
+    yield settle()[1]
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,50 +236,71 @@ def _crossed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
     texts = list(dict.fromkeys(pdf["text"]))
     sets, row = shingle_sets(texts), {t: k for k, t in enumerate(texts)}
-    cells = np.array([np.bincount((x * _SPREAD >> np.uint64(56)).astype(np.int64), minlength=CELLS) for x in sets], np.int32).reshape(-1, CELLS)
     links, grp = [], pdf["grp"].to_numpy()
     starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.empty(0, np.int64)
-    labels, rows = pdf["label"].to_numpy(), np.array([row[t] for t in pdf["text"]], np.int64)
-    for first, last in zip(starts, np.r_[starts[1:], len(grp)]):
-        label, which = labels[first:last], rows[first:last]
-        at, cell = label.copy(), cells[which]
-        size = cell.sum(1)
-        for j in range(1, len(at)):
-            most = np.minimum(cell[:j], cell[j]).sum(1)  # no two sets share more than the smaller counts of their cells
-            for i in np.flatnonzero((most >= SIMILARITY * (size[:j] + size[j] - most)) & (at[:j] != at[j])):
-                if at[i] != at[j] and similar(sets[which[i]], sets[which[j]]):
-                    links.append((label[j], label[i]))
-                    at[at == at[j]] = at[i]
+    labels, rows = pdf["label"].to_numpy(), [row[t] for t in pdf["text"]]
+    for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(grp)]):
+        order = first + np.argsort(labels[first:last], kind="stable")
+        at = labels[order]
+        if at[0] == at[-1]:
+            continue
+        own, mine = at.copy(), [sets[rows[k]] for k in order.tolist()]
+        size = np.fromiter(map(len, mine), np.int64, len(mine))
+        begins = np.cumsum(size) - size
+        code = np.unique(np.concatenate(mine), return_inverse=True)[1]
+        marks = np.zeros(int(code.max()) + 1, bool)
+        for j, m in enumerate(np.searchsorted(at, at).tolist()):  # the m lines of smaller labels
+            if not m:
+                continue
+            shingles = code[begins[j] : begins[j] + size[j]]
+            marks[shingles] = True
+            both = np.add.reduceat(marks[code[: begins[m]]], begins[:m], dtype=np.int64)
+            marks[shingles] = False
+            for i in np.flatnonzero(both >= SIMILARITY * (size[:m] + size[j] - both)).tolist():
+                if own[i] != own[j]:
+                    links.append((at[j], at[i]))
+                    own[own == own[j]] = own[i]
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """For each document the numbers (from 0) of its lines that go: doc_id, dropped array<int>; documents that keep all have no row.
+def _mark() -> Column:
+    """With doc_id, what tells rows apart: rows with the same doc_id and the same text count as one document."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def line_classes(docs: DataFrame, sent_keys: int = SENT_KEYS) -> DataFrame:
+    """For each document the numbers (from 0) of its lines that go: doc_id, mark (xxhash64 of the text, null as empty), dropped array<int>; documents that keep all have no row.
 
     Lines are compared in lower case with white space collapsed; empty ones are never dropped. Lines are linked at a Jaccard similarity of
     at least 0.8 of their 6-character shingles (a shorter line is its own shingle); of each component of linked lines the first
-    occurrence by (doc_id, line) stays. Rows that repeat a doc_id count as the same occurrences. A null doc_id sorts last.
+    occurrence by (doc_id, mark, line) stays. Rows that repeat a doc_id with other texts are documents of their own; rows that repeat doc_id and
+    text count as the same occurrences. A null doc_id sorts last. doc_id is an integer.
 
     Equal lines are one key from the start. Candidates share a band; a bucket's lines are first verified against its smallest, which
     connects dense buckets in linear work; then, in buckets of three and more that are not one component, all lines of different
     components are verified, in pairs of blocks where a bucket is large, so no link inside a bucket is missed. Only candidates' texts move.
+    Candidate keys are broadcast up to `sent_keys` of 8 bytes; more are joined by a shuffle, with the same result.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    own = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, digest binary"
-    seen = staged(docs.select("doc_id", "text").mapInArrow(lambda it: _occurrences(it, kind), f"{own}, key long, bands binary, text string"), "lines")
+    kind = docs.schema["doc_id"].dataType
+    seen = staged(
+        docs.select("doc_id", _mark().alias("mark"), "text").mapInArrow(lambda it: _occurrences(it, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, mark long, line int, key long, rest long, bands binary, text string"),
+        "lines",
+        dictionary=False,
+    )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    banded = seen.where("bands IS NOT NULL").select("key", "bands").mapInArrow(_keyed, "bucket long, key long").repartition(n, "bucket").sortWithinPartitions("bucket")
-    near = staged(banded.mapInArrow(_shared, "bucket long, key long").groupBy("bucket", "key").agg(F.lit(1).alias("one")).drop("one"), "buckets")
+    cells = 16 * n
+    packed = seen.where("bands IS NOT NULL").select("key", "bands").mapInArrow(lambda it: _celled(it, cells), "cell int, pairs binary").repartition(n, "cell").sortWithinPartitions("cell")
+    near = staged(packed.mapInArrow(_shared, "bucket long, key long"), "buckets")
     keys = staged(near.select("key").distinct(), "keys")
-    few = keys.count() <= SENT_KEYS
-    found = seen.where("text IS NOT NULL").select("digest", "key", "text").join(F.broadcast(keys) if few else keys, "key", "left_semi")
-    cand = staged(found.groupBy("digest", "key", "text").agg(F.lit(1).alias("one")).select(F.monotonically_increasing_id().alias("lid"), "digest", "key", "text"), "candidates")
+    few = keys.count() <= sent_keys
+    found = seen.where("text IS NOT NULL").select("key", "rest", "text").join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    cand = staged(found.groupBy("key", "rest").agg(F.first("text").alias("text")).select(F.monotonically_increasing_id().alias("lid"), "key", "rest", "text"), "candidates")
 
     member = staged(near.join(cand.select("lid", "key"), "key").select("bucket", "lid"), "members")
-    least = member.groupBy("bucket").agg(F.min("lid").alias("v"), F.count("*").alias("n"))
+    least = member.groupBy("bucket").agg(F.min("lid").alias("v"))
     pairs = member.join(least, "bucket").where("lid <> v").select(F.col("lid").alias("u"), "v").distinct()
     text = cand.select("lid", "text")
     pairs = pairs.join(text.select(F.col("lid").alias("u"), F.col("text").alias("u_text")), "u").join(text.select(F.col("lid").alias("v"), F.col("text").alias("v_text")), "v")
@@ -238,42 +314,42 @@ def line_classes(docs: DataFrame) -> DataFrame:
     rows = rows.select("lid", "label", "text", "bucket", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("label", "text", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("grp"))
     more = rows.repartition(n, "grp").sortWithinPartitions("grp").mapInPandas(_crossed, "u long, v long")
-    over = components(more).select(F.col("node").alias("component"), F.col("component").alias("over"))
+    over = staged(components(more).select(F.col("node").alias("component"), F.col("component").alias("over")), "over-components")
     comp = label.join(over, "component", "left").select(F.col("node").alias("lid"), F.coalesce("over", "component").alias("component"))
     alone = over.join(label, "component", "left_anti").select(F.col("component").alias("lid"), F.col("over").alias("component"))  # lines without a star link
     comp = comp.unionByName(alone)
 
-    place = F.coalesce(F.col("doc_id").cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")) * F.lit(2**31).cast("decimal(10,0)") + F.col("line")
-    place = place.cast("decimal(38,0)")
-    # lines that occur once and are like no other stay; only the others are joined
-    classes = cand.select("digest", "lid").join(comp, "lid").select("digest", F.col("component").alias("class"))
-    first = seen.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(classes, "digest", "left").where("class IS NOT NULL OR n > 1")
+    # (doc_id, part of the mark, line) as one number that a hash aggregate holds in place; nulls last
+    place = F.expr("cast((coalesce(cast(doc_id AS decimal(20,0)), 9223372036854775808BD) * 1073741824BD + shiftrightunsigned(mark, 34)) * 2147483648BD + line AS decimal(38,0))")
+    # lines that occur once and are like no other stay; one aggregate finds the others, with their classes
+    classes = cand.select("key", "rest", "lid").join(comp, "lid").select("key", "rest", F.lit(None).cast("decimal(38,0)").alias("place"), F.col("component").alias("class"))
+    first = seen.select("key", "rest", place.alias("place"), F.lit(None).cast("long").alias("class")).unionByName(classes)
+    first = first.groupBy("key", "rest").agg(F.min("place").alias("first"), F.count("place").alias("n"), F.max("class").alias("class")).where("class IS NOT NULL OR n > 1")
     first = staged(first, "first-lines")
     linked = first.where("class IS NOT NULL")
-    keep = linked.join(linked.groupBy("class").agg(F.min("first").alias("keep")), "class").select("digest", "keep")
-    keep = keep.unionByName(first.where("class IS NULL").select("digest", F.col("first").alias("keep")))
-    gone = seen.select("doc_id", "line", "digest", place.alias("place")).join(keep, "digest").where("place <> keep")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    keep = linked.join(linked.groupBy("class").agg(F.min("first").alias("keep")), "class").select("key", "rest", "keep")
+    keep = staged(keep.unionByName(first.where("class IS NULL").select("key", "rest", F.col("first").alias("keep"))), "kept-lines")
+    gone = seen.select("doc_id", "mark", "line", "key", "rest").join(keep.hint("shuffle_hash"), ["key", "rest"]).where(place != F.col("keep"))
+    return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket and the first 8 bytes of the digest for each band of a line."""
-    for batch in batches:
-        bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "key"])
+def _with_dropped(docs: DataFrame) -> DataFrame:
+    """docs with __dropped, the numbers of the lines that go, or null."""
+    gone = line_classes(docs).withColumnsRenamed({"doc_id": "__id", "mark": "__mark", "dropped": "__dropped"})
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (_mark() == gone["__mark"]), "left").drop("__id", "__mark")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with `text` rid of repeated lines; other columns stay. A document all of whose lines go keeps an empty text; a null text stays null."""
-    gone = line_classes(docs).withColumnsRenamed({"doc_id": "__id", "dropped": "__dropped"})
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left")
     text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("__dropped", k)), "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return _with_dropped(docs).select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines dropped and their numbers."""
-    docs = table(spark, sf_dir, "documents")
-    n = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    gone = line_classes(docs)
-    return n.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    n = docs.select("doc_id", _mark().alias("mark"), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    gone = line_classes(docs).withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
+    out = n.join(gone, n["doc_id"].eqNullSafe(gone["__id"]) & (n["mark"] == gone["__mark"]), "left")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
