@@ -8,10 +8,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfuse.llm.common import table
+from scanfuse.llm.common import numbered, table
 
 SEED_WORDS = 5
 COVERAGE = 0.6
@@ -29,57 +30,79 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hashes of all windows of `width` tokens, over 64 bits."""
+    """Karp-Rabin hashes of all windows of `width` tokens, over 64 bits; windows of twice a width come from two neighbours."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+    part, size, power = ids.astype(np.uint64), 1, _BASE
+    h, done = np.zeros(n, np.uint64), 0
     with np.errstate(over="ignore"):
-        for k in range(width):
-            h = h * _BASE + ids[k : k + n].astype(np.uint64)
-    return h
+        while True:
+            if width & size:
+                h = h * power + part[done : done + n]
+                done += size
+            if 2 * size > width:
+                return h
+            part = part[:-size] * power + part[size:]
+            power, size = power * power, 2 * size
+
+
+def _matches(doc: np.ndarray, item: np.ndarray, width: int, used_d: np.ndarray, used_i: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Maximal matches of at least `width` free tokens: (length, start in doc, start in item)."""
+
+    def free(used: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(used)]
+        return np.flatnonzero(total[width:] == total[:-width]) if len(used) >= width else np.empty(0, np.int64)
+
+    at_d, at_i = free(used_d), free(used_i)
+    if not len(at_d) or not len(at_i):
+        return
+    hd, hi = rolling(doc, width)[at_d], rolling(item, width)[at_i]
+    order = np.argsort(hi, kind="stable")
+    lo, up = np.searchsorted(hi[order], hd, "left"), np.searchsorted(hi[order], hd, "right")
+    many = up - lo
+    if not many.any():
+        return
+    d = np.repeat(at_d, many)
+    i = at_i[order[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]]
+    line = np.lexsort((d, d - i))
+    d, i = d[line], i[line]
+    begins = np.flatnonzero(np.r_[True, (np.diff(d) != 1) | (np.diff(d - i) != 0)])
+    for n, x, y in zip((np.diff(np.r_[begins, len(d)]) + width - 1).tolist(), d[begins].tolist(), i[begins].tolist()):
+        edges = np.flatnonzero(np.diff(np.r_[False, doc[x : x + n] == item[y : y + n], False]))  # equal hashes are not yet equal tokens
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a >= width:
+                yield b - a, x + a, y + a
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in doc, start in item, length) of the longest matches that overlap neither side, longest first.
 
-    Windows of `least` tokens with equal running hashes seed the matches; seeds in line form maximal ones. The longest is marked first;
-    one that meets marked tokens is cut down to what is free and waits its turn anew.
+    Windows with equal running hashes seed the matches; seeds in line form maximal ones. The longest is marked first; one that meets marked
+    tokens is cut down to what is free and waits its turn anew. Windows start as long as the item and are halved down to `least` tokens, each
+    time over what is still free, so that texts that repeat themselves do not meet at all their places.
     """
     least = min(least, len(item))
-    if not least:
-        return []
-    hi, hd = rolling(item, least), rolling(doc, least)
-    order = np.argsort(hi, kind="stable")
-    lo, up = np.searchsorted(hi[order], hd, "left"), np.searchsorted(hi[order], hd, "right")
-    many = up - lo
-    d_at = np.repeat(np.arange(len(hd)), many)
-    i_at = order[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)] if len(d_at) else np.empty(0, np.int64)
-    same = np.ones(len(d_at), bool)
-    for k in range(least):  # equal hashes are not yet equal tokens
-        same &= doc[d_at + k] == item[i_at + k]
-    d_at, i_at = d_at[same], i_at[same]
-    if not len(d_at):
-        return []
-    line = np.lexsort((d_at, d_at - i_at))
-    d_at, i_at = d_at[line], i_at[line]
-    begins = np.flatnonzero(np.r_[True, (np.diff(d_at) != 1) | (np.diff(d_at - i_at) != 0)])
-    runs = np.diff(np.r_[begins, len(d_at)]) + least - 1
-    waiting = [(-int(n), int(d), int(i)) for n, d, i in zip(runs, d_at[begins], i_at[begins])]
-    heapq.heapify(waiting)
+    width = min(len(doc), len(item))
     used_d, used_i = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     found = []
-    while waiting:
-        n, d, i = heapq.heappop(waiting)
-        taken = used_d[d : d - n] | used_i[i : i - n]
-        if not taken.any():
-            used_d[d : d - n] = used_i[i : i - n] = True
-            found.append((d, i, -n))
-            continue
-        edges = np.flatnonzero(np.diff(np.r_[True, taken, True]))
-        for a, b in zip(edges[::2], edges[1::2]):
-            if b - a >= least:
-                heapq.heappush(waiting, (int(a - b), d + int(a), i + int(a)))
+    while least and width >= least:
+        waiting = [(-n, d, i) for n, d, i in _matches(doc, item, width, used_d, used_i)]
+        heapq.heapify(waiting)
+        while waiting:
+            n, d, i = heapq.heappop(waiting)
+            taken = used_d[d : d - n] | used_i[i : i - n]
+            if not taken.any():
+                used_d[d : d - n] = used_i[i : i - n] = True
+                found.append((d, i, -n))
+                continue
+            edges = np.flatnonzero(np.diff(np.r_[True, taken, True]))
+            for a, b in zip(edges[::2], edges[1::2]):
+                if b - a >= width:
+                    heapq.heappush(waiting, (int(a - b), d + int(a), i + int(a)))
+        if width == least:
+            break
+        width = max(least, width // 2)
     return found
 
 
@@ -168,6 +191,15 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, width: int, coverage: float)
     return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SPANS.format(item=bench.schema['item_id'].dataType.simpleString())}")
 
 
+def _bytes(bench: DataFrame) -> int:
+    return bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _sent_index(bench: DataFrame, width: int) -> Broadcast[Index]:
+    """The index of a benchmark whose size has been checked, in every task."""
+    return bench.sparkSession.sparkContext.broadcast(Index([(r["item_id"], tokens(r["text"])) for r in bench.select("item_id", "text").collect()], width))
+
+
 def leaks(docs: DataFrame, bench: DataFrame, width: int = SEED_WORDS, coverage: float = COVERAGE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains, wholly, in part or reordered.
 
@@ -181,10 +213,9 @@ def leaks(docs: DataFrame, bench: DataFrame, width: int = SEED_WORDS, coverage:
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > index_bytes:
+    if _bytes(bench) > index_bytes:
         return _by_shuffle(docs, bench, width, coverage)
-    index = Index([(r["item_id"], tokens(r["text"])) for r in bench.select("item_id", "text").collect()], width)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = _sent_index(bench, width)
     kinds = (to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(bench.schema["item_id"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +224,19 @@ def leaks(docs: DataFrame, bench: DataFrame, width: int = SEED_WORDS, coverage:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SPANS.format(item=bench.schema['item_id'].dataType.simpleString())}")
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The documents without any leak, with all their columns. Rows without a doc_id stay."""
-    gone = leaks(docs, bench).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = SEED_WORDS, coverage: float = COVERAGE, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows without any leak, with all their columns; each row is judged by its own text, whether or not rows share a doc_id or have none."""
+    if _bytes(bench) > index_bytes:
+        rows, row, _ = numbered(docs, "numbered")
+        gone = _by_shuffle(rows.select(F.col(row).alias("doc_id"), "text"), bench, width, coverage).select(F.col("doc_id").alias(row)).distinct()
+        return rows.join(gone, row, "left_anti").select(*docs.columns)
+    shared = _sent_index(bench, width)
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([next(shared.value.matches(t.as_py(), coverage), None) is None for t in texts], pa.bool_())
+
+    return docs.where(clean("text"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scanfuse.llm.common import staged, table
+from scanfuse.llm.common import fresh, staged, table
 
 #: Shape features of a text: the shares of each ASCII mark and of character and word classes.
 MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -44,11 +45,10 @@ def features(text: str) -> np.ndarray:
     return x
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = np.array([features(t.as_py() or "") for t in batch.column(1)], dtype=np.float32).reshape(-1, N_FEATURES)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "x"])
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _features(texts: pa.Array) -> pa.Array:
+    x = np.array([features(t.as_py() or "") for t in texts], dtype=np.float32).reshape(-1, N_FEATURES)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
 
 
 @dataclass(frozen=True)
@@ -90,53 +90,113 @@ def _totals(df: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray])
     return np.array([r["value"] for r in sorted(rows, key=lambda r: r["at"])])
 
 
-def fit(train: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12) -> Model | None:
-    """train: x, positive. All rows are the unlabelled web text, the positive ones the trusted sample.
+@dataclass(frozen=True)
+class Risk:
+    """Both parts of the risk at one point, without the ridge: value, slope and curvature of `trusted` and of `unbiased`."""
+
+    trusted: tuple[float, np.ndarray, np.ndarray]
+    unbiased: tuple[float, np.ndarray, np.ndarray]
+
+    @property
+    def negatives(self) -> float:
+        """The unbiased estimate of the negatives' risk, which the clipped risk cuts at zero."""
+        return self.unbiased[0] - self.trusted[0]
+
+    def mixed(self, share: float) -> tuple[float, np.ndarray, np.ndarray]:
+        return tuple(share * a + (1 - share) * b for a, b in zip(self.trusted, self.unbiased))  # type: ignore[return-value]
 
-    Minimises pi * E_P[loss(+)] + max(0, E_U[loss(-)] - pi * E_P[loss(-)]) for the logistic loss and a linear score: Newton steps over all
-    rows, each shortened until the unbiased estimate of the negatives' risk is not below zero. None if there is no positive row.
+
+def fit(train: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12, halvings: int = 12) -> Model | None:
+    """Fits a linear score to train (x, positive). All rows are the unlabelled web text, the positive ones the trusted sample.
+
+    Minimises the non-negative risk pi * E_P[loss(+)] + max(0, E_U[loss(-)] - pi * E_P[loss(-)]) for the logistic loss, plus a ridge. That is the
+    larger of two convex functions, pi * E_P[loss(+)] (`trusted`) and the unbiased risk, and its minimum that of a mixture of both: of the
+    unbiased risk alone where the estimated risk of the negatives is not below zero there, else of the mixture at which that estimate
+    is zero, whose share is found by halving; or of `trusted` alone. Each mixture is minimised by Newton steps over all rows. None if there is no positive row.
     """
-    d = N_FEATURES
     first = _totals(train, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)]))
     if not len(first) or first[1] == 0:
         return None
     n, n_pos = first[:2]
+    d = (len(first) - 2) // 2
     mean = first[2 : 2 + d] / n
     scale = np.sqrt(np.maximum(first[2 + d :] / n - mean**2, 0)) + 1e-3
-    w = np.zeros(d + 1)
-    mean_pos = _totals(train, lambda x, p: _design(x, mean, scale)[p].sum(0)) / n_pos
     penalty = ridge * np.r_[np.ones(d), 0.0]
 
-    def curve(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    def risk(w: np.ndarray) -> Risk:
         def part(x: np.ndarray, p: np.ndarray) -> np.ndarray:
             a = _design(x, mean, scale)
             z = a @ w
             s = _sigmoid(z)
-            return np.concatenate([[np.logaddexp(0, z).sum(), np.logaddexp(0, z[p]).sum()], s @ a, ((a * (s * (1 - s))[:, None]).T @ a).ravel()])
+            bend = s * (1 - s)
+            one, zp, sp = a[p], z[p], s[p]
+            unlabelled = [[np.logaddexp(0, z).sum()], s @ a, ((a * bend[:, None]).T @ a).ravel()]
+            positive = [[np.logaddexp(0, -zp).sum()], (sp - 1) @ one, ((one * bend[p][:, None]).T @ one).ravel(), one.sum(0)]
+            return np.concatenate(unlabelled + positive)
 
         t = _totals(train, part)
-        negative = t[0] / n - prior * t[1] / n_pos
-        risk = t[0] / n - prior * mean_pos @ w + 0.5 * penalty @ w**2
-        return risk, negative, t[2 : 3 + d] / n - prior * mean_pos + penalty * w, t[3 + d :].reshape(d + 1, d + 1) / n + np.diag(penalty + 1e-9)
-
-    risk, _, slope, bend = curve(w)
-    for _ in range(steps):
-        step = np.linalg.solve(bend, slope)
-        size = 1.0
-        while size > 1e-3:
-            new = curve(w - size * step)
-            if new[1] >= 0 and new[0] <= risk + 1e-12:
+        m = d + 1
+        u, q = t[: 1 + m + m * m] / n, prior * t[1 + m + m * m :] / n_pos
+        trusted = q[0], q[1 : 1 + m], q[1 + m : 1 + m + m * m].reshape(m, m)
+        pull = q[1 + m + m * m :]  # pi * E_P of the features: loss(+) - loss(-) is minus the score
+        return Risk(trusted, (u[0] - pull @ w, u[1 : 1 + m] - pull, u[1 + m :].reshape(m, m)))
+
+    def minimum(share: float, w: np.ndarray, now: Risk) -> tuple[np.ndarray, Risk]:
+        """Of the mixture with `share` of `trusted`, starting at w."""
+        for _ in range(steps):
+            value, slope, bend = now.mixed(share)
+            value, slope, bend = value + 0.5 * penalty @ w**2, slope + penalty * w, bend + np.diag(penalty + 1e-9)
+            step = np.linalg.solve(bend, slope)
+            size = 1.0
+            while size > 1e-3:
+                new = risk(w - size * step)
+                gain = value - new.mixed(share)[0] - 0.5 * penalty @ (w - size * step) ** 2
+                if gain >= -1e-12:
+                    break
+                size /= 2
+            else:
                 break
-            size /= 2
-        else:
-            break
-        w, gain = w - size * step, risk - new[0]
-        risk, _, slope, bend = new
-        if gain < 1e-5:
-            break
+            w, now = w - size * step, new
+            if gain < 1e-5:
+                break
+        return w, now
+
+    w = np.zeros(d + 1)
+    w, now = minimum(0.0, w, risk(w))
+    if now.negatives < -1e-6:
+        low, high = 0.0, 1.0
+        for _ in range(halvings):
+            share = (low + high) / 2
+            w, now = minimum(share, w, now)
+            if abs(now.negatives) <= 1e-4:
+                break
+            low, high = (share, high) if now.negatives < 0 else (low, share)
     return Model(mean, scale, w, prior)
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).alias("label"))
+
+
+def _fold() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
+
+
+def _fitted(seen: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of seen (doc_id, x, held_out; a written table) and the labels outside the held-out fold."""
+    train = staged(seen.where("NOT held_out").join(_known(labels), "doc_id", "left").select("x", F.coalesce("label", F.lit(False)).alias("positive"), F.col("label").isNotNull().alias("labelled")), "train")
+    n, pos = train.agg(F.sum(F.col("labelled").cast("long")), F.sum(F.col("positive").cast("long"))).first()
+    return fit(train, ((pos or 0) + 1) / ((n or 0) + 2)) if pos else None
+
+
+def _scorer(model: Model | None) -> Callable[[str], Column]:
+    @F.pandas_udf(T.DoubleType())
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix(x)) if model else np.full(len(x), 0.5))
+
+    return score
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Scores every document for quality.
 
@@ -146,26 +206,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     class prior, as the share of positives among learnt labels (smoothed by one of each, so below 1). Without any positive label every score is the prior 0.5.
     The unlabelled set is every document outside the held-out fold. Returns doc_id, held_out, score, predicted.
     """
-    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5))
-    seen = staged(docs.select("doc_id", "text").mapInArrow(_featured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<float>").withColumn("held_out", fold == 0), "features")
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).alias("label"))
-    train = staged(seen.where("NOT held_out").join(known, "doc_id", "left").select("x", F.coalesce("label", F.lit(False)).alias("positive"), F.col("label").isNotNull().alias("labelled")), "train")
-    n, pos = train.agg(F.sum(F.col("labelled").cast("long")), F.sum(F.col("positive").cast("long"))).first()
-    model = fit(train, ((pos or 0) + 1) / ((n or 0) + 2)) if pos else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = _matrix(pdf["x"])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": model.score(x) if model else np.full(len(x), 0.5)})
-
-    scored = seen.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    seen = staged(docs.select("doc_id", _features("text").alias("x"), _fold().alias("held_out")), "features")
+    scored = seen.select("doc_id", "held_out", _scorer(_fitted(seen, labels))("x").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns. Rows without a doc_id stay."""
-    gone = score_documents(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows that the classifier accepts, with all their columns; each row is judged by its own text, whether or not rows share a doc_id or have none."""
+    x = fresh(docs, "features")
+    rows = staged(docs.withColumn(x, _features("text")), "features", dictionary=False)
+    model = _fitted(rows.select("doc_id", F.col(x).alias("x"), _fold().alias("held_out")), labels)
+    return rows.where(_scorer(model)(x) >= threshold).select(*docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,39 +9,31 @@ from pyspark.sql import functions as F
 
 from scanfuse.llm.common import staged, table
 
-#: (region, rack, shard number, weight)
+#: region, rack, shard number, weight
 Leaf = tuple[str, str, int, float]
 
 
-def layout(shards: int, racks: int = 8, regions: int = 2, added: int = 0) -> list[Leaf]:
-    """`shards` of weight 1 over racks and regions; each added shard stands in a region of its own, so that the only weight that changes is one above it."""
-    per_rack, per_region = -(-shards // racks), -(-racks // regions)
-    leaves = [(f"region{s // per_rack // per_region}", f"rack{s // per_rack}", s, 1.0) for s in range(shards)]
-    return leaves + [(f"added{s}", f"added{s}", s, 1.0) for s in range(shards, shards + added)]
-
-
-def _draw(key: Column, children: Column) -> Column:
-    """The child with the smallest weighted exponential draw; raising one child's weight moves keys only into that child."""
-    u = lambda c: (F.shiftrightunsigned(F.xxhash64(key, c["path"]), 11).cast("double") + 0.5) / float(2**53)
-    return F.array_min(F.transform(children, lambda c: F.struct((-F.log(u(c)) / c["weight"]).alias("at"), c["path"].alias("path"))))["path"]
+def layout(shards: int, per_rack: int = 5, per_region: int = 20) -> list[Leaf]:
+    """`shards` of weight 1; racks and regions fill in order, so that one shard more is one leaf more and no other leaf changes its place."""
+    return [(f"region{s // per_region}", f"rack{s // per_rack}", s, 1.0) for s in range(shards)]
 
 
 def place(key: Column, leaves: Sequence[Leaf]) -> Column:
-    """Shard of a key: weighted draws among regions, then racks of the region, then shards of the rack.
+    """Shard of a key: the region with the least draw, in it the rack with the least, in that the shard with the least.
 
-    A key moves only at a node where the draw changes, so a changed weight moves keys in or out of the subtrees it belongs to only.
+    A shard's draw is exponential in its weight, from a hash of key and shard. A rack's and a region's is the least of those below, which
+    is exponential in the sum of their weights; so each level is a weighted draw, and a changed weight changes the draws of the
+    nodes above it alone. Raised, it moves keys only into its shard; lowered, only out of it; all other subtrees keep their keys among themselves.
     """
-    levels: list[dict[str, dict[str, float]]] = [{}, {}, {}]
+    regions: dict[str, dict[str, list[Column]]] = {}
     for region, rack, shard, weight in leaves:
-        path = ["", region, f"{region}/{rack}", f"{region}/{rack}/{shard}"]
-        for depth in range(3):
-            under = levels[depth].setdefault(path[depth], {})
-            under[path[depth + 1]] = under.get(path[depth + 1], 0.0) + weight
-    at = F.lit("")
-    for level in levels:
-        arrays = [F.array(*(F.struct(F.lit(p).alias("path"), F.lit(w).alias("weight")) for p, w in sorted(kids.items()))) for kids in level.values()]
-        at = _draw(key, arrays[0] if len(level) == 1 else F.element_at(F.create_map(*(x for p, a in zip(level, arrays) for x in (F.lit(p), a))), at))
-    return F.element_at(F.split(at, "/"), -1).cast("int")
+        regions.setdefault(region, {}).setdefault(rack, []).append(F.struct(F.lit(shard).cast("long").alias("shard"), F.lit(weight).alias("weight")))
+    tree = F.array(*(F.array(*(F.array(*kids) for kids in racks.values())) for racks in regions.values()))
+    u = lambda c: (F.shiftrightunsigned(F.xxhash64(key, c["shard"]), 11).cast("double") + 0.5) / float(2**53)
+    shard = lambda c: F.struct((-F.log(u(c)) / c["weight"]).alias("at"), c["shard"].alias("shard"))
+    rack = lambda kids: F.array_min(F.transform(kids, shard))
+    region = lambda racks: F.array_min(F.transform(racks, rack))
+    return F.array_min(F.transform(tree, region))["shard"].cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -57,7 +49,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.select("*", place(F.col("doc_id"), layout(shards)).alias("shard"), place(F.col("doc_id"), layout(shards, added=1)).alias("grown_shard"))
+    rows = rows.select("*", place(F.col("doc_id"), layout(shards)).alias("shard"), place(F.col("doc_id"), layout(shards + 1)).alias("grown_shard"))
     order = ["shard", "doc_id", "size", "text_crc32"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     rows = staged(rows.select("*", F.shiftright("at", 33).cast("int").alias("part")), "shards")

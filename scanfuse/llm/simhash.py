@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scanfuse.llm.common import UnionFind, components, staged, table
+from scanfuse.llm.common import UnionFind, components, numbered, staged, table
 
 BITS = 64
 
@@ -34,14 +35,13 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp = np.array([fingerprint(t.as_py() or "") for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+@F.arrow_udf(T.LongType())
+def _fingerprint(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t.as_py() or "") for t in texts], dtype=np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", _fingerprint("text").alias("fp"))
 
 
 def _blocks(errors: int, extra: int = 2) -> list[int]:
@@ -176,6 +176,13 @@ def _big_tries(rows: DataFrame, big: DataFrame, masks: list[int], pairs: list[tu
     return rows.select(F.xxhash64("k", "top", F.least("node", other), F.greatest("node", other)).alias("bucket"), "fp")
 
 
+def _roots(prints: DataFrame, errors: int) -> DataFrame:
+    """Of each fingerprint of prints (fp, doc_id, row; a written table): root, its smallest doc_id (first; nulls last) and a row that has it."""
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min_by("row", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("row")), "distinct-prints")
+    comp = components(links(distinct.select("fp"), errors))
+    return distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "row", F.coalesce("component", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, errors: int = 4) -> DataFrame:
     """Near-duplicate groups by SimHash: documents are linked when their fingerprints differ in at most `errors` bits.
 
@@ -184,19 +191,19 @@ def near_groups(docs: DataFrame, errors: int = 4) -> DataFrame:
     Returns doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable; of null ids alone, null).
     Copies meet as one fingerprint before the join, so that a group of copies is one leaf; links are spanning links, never all pairs.
     """
-    prints = staged(fingerprints(docs), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
-    comp = components(links(distinct.select("fp"), errors))
-    joined = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    prints = staged(fingerprints(docs).withColumn("row", F.monotonically_increasing_id()), "prints")
+    joined = staged(_roots(prints, errors), "roots")
     low = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = joined.join(low, "root").select("fp", "component_id")
     return prints.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Rows without a doc_id stay."""
-    gone = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def drop_near_copies(docs: DataFrame, errors: int = 4) -> DataFrame:
+    """One row of each group stays, with all its columns: the one with the smallest doc_id (nulls last), whether or not rows share a doc_id or have none."""
+    rows, row, more = numbered(docs, "numbered", fp=_fingerprint("text"))
+    roots = _roots(rows.select(F.col(more["fp"]).alias("fp"), "doc_id", F.col(row).alias("row")), errors)
+    keep = roots.groupBy("root").agg(F.min_by("row", F.struct(F.col("first").isNull(), "first", "row")).alias(row)).select(row)
+    return rows.join(keep, row, "left_semi").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,9 @@ def test_op1_odd(odd, none):
     g = {r.doc_id: r for r in got.itertuples() if r.doc_id == r.doc_id}
     assert (g[1].keep_id, g[1].group_size) == (3, 3) and not g[1].kept and g[3].kept
     assert (g[5].keep_id, g[5].group_size) == (4, 4)
-    assert sorted(r[0] or 0 for r in exact_dedup.drop_exact_copies(odd).select("doc_id").collect()) == [0, 3, 4, 6, 7]
+    kept = exact_dedup.drop_exact_copies(odd, hot_share=4)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6, 7]
+    assert [r["kept"] for r in exact_dedup.exact_groups(odd.where("doc_id = 5")).collect()].count(True) == 1
 
 
 def test_op2_equals_the_library(spark, odd, none):
