@@ -106,7 +106,7 @@ class Risk:
         return tuple(share * a + (1 - share) * b for a, b in zip(self.trusted, self.unbiased))  # type: ignore[return-value]
 
 
-def fit(train: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12, halvings: int = 12) -> Model | None:
+def fit(train: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12, halvings: int = 16) -> Model | None:
     """Fits a linear score to train (x, positive). All rows are the unlabelled web text, the positive ones the trusted sample.
 
     Minimises the non-negative risk pi * E_P[loss(+)] + max(0, E_U[loss(-)] - pi * E_P[loss(-)]) for the logistic loss, plus a ridge. That is the
@@ -141,14 +141,18 @@ def fit(train: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12, ha
         pull = q[1 + m + m * m :]  # pi * E_P of the features: loss(+) - loss(-) is minus the score
         return Risk(trusted, (u[0] - pull @ w, u[1 : 1 + m] - pull, u[1 + m :].reshape(m, m)))
 
-    def minimum(share: float, w: np.ndarray, now: Risk) -> tuple[np.ndarray, Risk]:
-        """Of the mixture with `share` of `trusted`, starting at w."""
+    origin = np.zeros(d + 1)
+    start = risk(origin)
+
+    def minimum(share: float) -> tuple[np.ndarray, Risk]:
+        """Of the mixture with `share` of `trusted`. It starts at the origin: where another share's minimum is far away, curvature says nothing."""
+        w, now = origin, start
         for _ in range(steps):
             value, slope, bend = now.mixed(share)
             value, slope, bend = value + 0.5 * penalty @ w**2, slope + penalty * w, bend + np.diag(penalty + 1e-9)
             step = np.linalg.solve(bend, slope)
             size = 1.0
-            while size > 1e-3:
+            while size > 1e-4:
                 new = risk(w - size * step)
                 gain = value - new.mixed(share)[0] - 0.5 * penalty @ (w - size * step) ** 2
                 if gain >= -1e-12:
@@ -161,16 +165,14 @@ def fit(train: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12, ha
                 break
         return w, now
 
-    w = np.zeros(d + 1)
-    w, now = minimum(0.0, w, risk(w))
-    if now.negatives < -1e-6:
-        low, high = 0.0, 1.0
-        for _ in range(halvings):
-            share = (low + high) / 2
-            w, now = minimum(share, w, now)
-            if abs(now.negatives) <= 1e-4:
-                break
-            low, high = (share, high) if now.negatives < 0 else (low, share)
+    w, now = minimum(0.0)
+    low, high = 0.0, 1.0
+    for _ in range(halvings if now.negatives < -1e-6 else 0):
+        share = (low + high) / 2
+        w, now = minimum(share)
+        if abs(now.negatives) <= 1e-4:
+            break
+        low, high = (share, high) if now.negatives < 0 else (low, share)
     return Model(mean, scale, w, prior)
 
 
