@@ -57,11 +57,11 @@ def test_low_quality_of_rows_that_share_or_lack_an_id(spark):
     assert len(got) == 102 and all(t == good for _, t in got) and (2, good) in got and (None, good) in got
 
 
-@pytest.mark.parametrize("prior", [0.1, 0.6, 0.9])
+@pytest.mark.parametrize("prior", [0.1, 0.6])
 def test_the_clipped_risk_is_minimal(spark, prior):
     rng = np.random.default_rng(4)
     y = rng.random(600) < 0.3
-    x = rng.normal(0, 1, (600, 2)) + np.where(y[:, None], 2.0, -0.5)
+    x = rng.normal(0, 1, (600, 2)) + np.where(y[:, None], 0.8, -0.4)
     p = y & (rng.random(600) < 0.5)
     model = quality.fit(spark.createDataFrame([(v.tolist(), bool(q)) for v, q in zip(x, p)], "x array<double>, positive boolean"), prior)
     a = quality._design(x, model.mean, model.scale)
