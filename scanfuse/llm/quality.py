@@ -106,7 +106,7 @@ class Risk:
         return tuple(share * a + (1 - share) * b for a, b in zip(self.trusted, self.unbiased))  # type: ignore[return-value]
 
 
-def fit(train: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12, halvings: int = 16) -> Model | None:
+def fit(train: DataFrame, prior: float, ridge: float = 1e-2, steps: int = 12, halvings: int = 16) -> Model | None:
     """Fits a linear score to train (x, positive). All rows are the unlabelled web text, the positive ones the trusted sample.
 
     Minimises the non-negative risk pi * E_P[loss(+)] + max(0, E_U[loss(-)] - pi * E_P[loss(-)]) for the logistic loss, plus a ridge. That is the
@@ -176,6 +176,16 @@ def fit(train: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12, ha
     return Model(mean, scale, w, prior)
 
 
+def class_prior(positive: int, labelled: int) -> float:
+    """The share of positives among labelled documents, as the lower end of its interval of two standard errors (Wilson's, so between 0 and 1).
+
+    An overstated prior takes more from the unlabelled risk than the negatives have, so the estimate errs to the low side.
+    """
+    share, z2 = positive / labelled, 4.0
+    spread = np.sqrt(z2 * (share * (1 - share) / labelled + z2 / (4 * labelled * labelled)))
+    return float((share + z2 / (2 * labelled) - spread) / (1 + z2 / labelled))
+
+
 def _known(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).alias("label"))
 
@@ -188,7 +198,7 @@ def _fitted(seen: DataFrame, labels: DataFrame) -> Model | None:
     """The model of seen (doc_id, x, held_out; a written table) and the labels outside the held-out fold."""
     train = staged(seen.where("NOT held_out").join(_known(labels), "doc_id", "left").select("x", F.coalesce("label", F.lit(False)).alias("positive"), F.col("label").isNotNull().alias("labelled")), "train")
     n, pos = train.agg(F.sum(F.col("labelled").cast("long")), F.sum(F.col("positive").cast("long"))).first()
-    return fit(train, ((pos or 0) + 1) / ((n or 0) + 2)) if pos else None
+    return fit(train, class_prior(pos, n)) if pos else None
 
 
 def _scorer(model: Model | None) -> Callable[[str], Column]:
@@ -205,7 +215,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     docs: doc_id, text; labels: doc_id, quality; other columns are not read. Null text counts as empty and is scored like any other.
     Repeated rows are scored alike. Labels are learnt only from documents whose crc32(doc_id as text) mod 5 is not 0; a document with
     conflicting labels counts as its smallest; null labels are ignored. The positives are trusted; labels of 0 serve only to estimate the
-    class prior, as the share of positives among learnt labels (smoothed by one of each, so below 1). Without any positive label every score is the prior 0.5.
+    class prior, by the share of positives among learnt labels (see class_prior). Without any positive label every score is the prior 0.5.
     The unlabelled set is every document outside the held-out fold. Returns doc_id, held_out, score, predicted.
     """
     seen = staged(docs.select("doc_id", _features("text").alias("x"), _fold().alias("held_out")), "features")

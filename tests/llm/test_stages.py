@@ -70,14 +70,14 @@ def test_the_clipped_risk_is_minimal(spark, prior):
     def risk(w):
         z = a @ w
         negatives = loss(-z).mean() - prior * loss(-z[p]).mean()
-        return prior * loss(z[p]).mean() + max(0.0, negatives) + 0.5e-3 * (w[:2] ** 2).sum(), negatives
+        return prior * loss(z[p]).mean() + max(0.0, negatives) + 0.5e-2 * (w[:2] ** 2).sum(), negatives
 
     # the plain way: subgradient steps that shrink
     w, best = np.zeros(3), np.inf
     for k in range(20_000):
         z = a @ w
         s = 1 / (1 + np.exp(-z))
-        g = prior * ((s[p] - 1) @ a[p]) / p.sum() + 1e-3 * np.r_[w[:2], 0]
+        g = prior * ((s[p] - 1) @ a[p]) / p.sum() + 1e-2 * np.r_[w[:2], 0]
         if risk(w)[1] > 0:
             g = g + s @ a / len(a) - prior * (s[p] @ a[p]) / p.sum()
         w = w - 2 / np.sqrt(k + 1) * g
