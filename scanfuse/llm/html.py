@@ -5,12 +5,12 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +18,11 @@ from scanfuse.llm.common import staged, table
 
 #: Wrappers' total bytes up to which they are sent to every task; more are joined by host.
 SENT_BYTES = 32 << 20
-#: Hosts whose partial wrappers a task holds before it passes them on, and symbols beyond which a wrapper takes no further page in.
-HELD_HOSTS, MOST_ITEMS = 5_000, 3_000
+#: Shapes of pages that a task holds before it passes them on; they meet again by host and shape.
+HELD_SHAPES = 20_000
 SALTS = 64
+#: Pages on which a slot must have the same text to be taken for the host's template.
+TEMPLATE_PAGES = 5
 
 _TOKEN = re.compile(
     r"<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -41,8 +43,16 @@ OUTSIDE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article content main post entry story maincontent articlebody postcontent entrycontent storybody".split())
 
-#: A piece of a wrapper: (a symbol or a tuple of pieces, repeated, optional).
-Piece = tuple["str | tuple[Piece, ...]", bool, bool]
+#: Elements that hold text rather than parts of a page.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure figcaption address details summary caption".split())
+#: First parts of a class name that tell of an element beside this one.
+BESIDE = frozenset("has with no without hide show toggle".split())
+
+#: Of a text slot: pages it stood on, the hash of the text that they share (VARIES where they differ), characters in all.
+Slot = tuple[int, int, int]
+VARIES = -1
+#: A piece of a wrapper: a symbol or a tuple of pieces, repeated, optional, and of a text slot what is known of it.
+Piece = tuple["str | tuple[Piece, ...]", bool, bool, "Slot | None"]
 
 
 def symbols(page: str) -> Iterator[tuple[str, int, int]]:
@@ -72,14 +82,27 @@ def _name(symbol: str) -> str:
     return symbol[1:-1].split(" ", 1)[0].lstrip("/")
 
 
+def _tokens(symbol: str) -> list[set[str]]:
+    """Of each class, id and role of an opening tag its words, and the whole without joints."""
+    return [{w for w in (*re.split(r"[^a-z0-9]+", m), re.sub(r"[^a-z0-9]+", "", m)) if w} for m in symbol[1:-1].split(" ")[1:]]
+
+
 def _words(symbol: str) -> set[str]:
-    """Words of an opening tag's marks, split and as wholes without joints."""
-    marks = symbol[1:-1].split(" ")[1:]
-    return {w for m in marks for w in (*re.split(r"[^a-z0-9]+", m), re.sub(r"[^a-z0-9]+", "", m)) if w}
+    return set().union(*_tokens(symbol))
 
 
 def is_outside(symbol: str) -> bool:
-    return symbol.startswith("<") and symbol[1] != "/" and (_name(symbol) in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(_words(symbol)) and _name(symbol) not in ("body", "html", "main"))
+    """Whether an opening tag's name or words say that it stands around an article. A name that says content beside one that does not is content; `has-sidebar` is no sidebar."""
+    if symbol[:1] != "<" or symbol[1] == "/":
+        return False
+    if _name(symbol) in OUTSIDE:
+        return True
+    if _name(symbol) in ("body", "html", "main"):
+        return False
+    marks = [m.split("-", 1)[0].split("_", 1)[0] for m in symbol[1:-1].split(" ")[1:]]
+    tokens = [t for t, m in zip(_tokens(symbol), marks) if m not in BESIDE]
+    bad = [not OUTSIDE_WORDS.isdisjoint(t) for t in tokens]
+    return any(bad) and not any(not b and not CONTENT_WORDS.isdisjoint(t) for t, b in zip(tokens, bad))
 
 
 def _marked_inline(tag: str) -> str:
@@ -120,64 +143,102 @@ def _hide(hidden: list[str], symbol: str) -> None:
         hidden.append(name)
 
 
-def skeleton(page: str) -> list[str]:
-    """Block tags and text slots; loose end tags and blank text left out."""
-    out: list[str] = []
+def skeleton(page: str) -> tuple[list[str], list[str], list[tuple[str, int, int, int]]]:
+    """The row of block tags and text slots, loose end tags and blank text left out; the texts of its slots, in order; and all tokens with the
+    place in the row that each belongs to."""
+    row: list[str] = []
+    texts: list[str] = []
+    tokens: list[tuple[str, int, int, int]] = []
     for s, a, b in symbols(page):
-        if s in ("", "~", "~br") or s[:2] == "</" and _name(s) in LOOSE:
-            continue
-        if s == "#" and (out and out[-1] == "#" or page[a:b].isspace()):
-            continue
-        out.append(s)
-    return out
+        if s == "#" and not page[a:b].isspace():
+            if row and row[-1] == "#":
+                texts[-1] += page[a:b]
+            else:
+                row.append(s)
+                texts.append(page[a:b])
+        elif s not in ("#", "", "~", "~br") and not (s[:2] == "</" and _name(s) in LOOSE):
+            row.append(s)
+        tokens.append((s, a, b, len(row) - 1))
+    return row, texts, tokens
+
+
+def _met(a: Slot, b: Slot) -> Slot:
+    """What is known of a slot of two pages."""
+    return a[0] + b[0], a[1] if a[1] == b[1] else VARIES, a[2] + b[2]
+
+
+def _folded(a: Slot, b: Slot) -> Slot:
+    """What is known of two slots of the same pages that become one: their texts one after the other."""
+    return max(a[0], b[0]), VARIES if VARIES in (a[1], b[1]) else (a[1] * 0x9E3779B97F4A7C15 + b[1]) >> 1 & (1 << 62) - 1, a[2] + b[2]
 
 
-def fold_repeats(pieces: list[Piece], longest: int = 12) -> list[Piece]:
-    """Neighbouring equal runs become one repeated group; inner ones first."""
-    for n in range(1, longest + 1):
+def _joined(a: Piece, b: Piece, how: Callable[[Slot, Slot], Slot] = _met) -> Piece:
+    body = a[0] if isinstance(a[0], str) else tuple(_joined(x, y, how) for x, y in zip(a[0], b[0]))
+    return body, a[1] or b[1], a[2] or b[2], how(a[3], b[3]) if a[3] and b[3] else None
+
+
+def _shape(p: Piece) -> object:
+    return p[0] if isinstance(p[0], str) else tuple(map(_shape, p[0]))
+
+
+def _whole(shapes: list[object]) -> bool:
+    """Whether every element that the shapes open they also close, and none other."""
+    open_: list[str] = []
+    for s in shapes:
+        if isinstance(s, str) and s[:1] == "<" and (name := _name(s)) not in LOOSE:
+            if s[1] != "/":
+                open_.append(name)
+            elif not open_ or open_.pop() != name:
+                return False
+    return not open_
+
+
+def fold_repeats(pieces: list[Piece]) -> list[Piece]:
+    """Neighbouring equal runs of whole elements become one repeated group; shorter ones first."""
+    n = 1
+    while n <= len(pieces) // 2:
         out: list[Piece] = []
+        shapes: list[object] = []
         for p in pieces:
             out.append(p)
-            if len(out) >= 2 * n and [x[0] for x in out[-n:]] == [x[0] for x in out[-2 * n : -n]]:
-                both = [(x[0], x[1] or y[1], x[2] or y[2]) for x, y in zip(out[-2 * n : -n], out[-n:])]
-                del out[-2 * n :]
-                if n == 1:
-                    out.append((both[0][0], True, both[0][2]))
-                else:
-                    out.append((tuple(both), True, False))
-            elif n > 1 and len(out) > n and isinstance(out[-n - 1][0], tuple) and out[-n - 1][1] and [x[0] for x in out[-n:]] == [x[0] for x in out[-n - 1][0]]:
-                group = tuple((x[0], x[1] or y[1], x[2] or y[2]) for x, y in zip(out[-n - 1][0], out[-n:]))
+            shapes.append(_shape(p))
+            if len(out) >= 2 * n and shapes[-1] == shapes[-1 - n] and shapes[-n] == shapes[-2 * n] and shapes[-n:] == shapes[-2 * n : -n] and _whole(shapes[-n:]):
+                both = [_joined(x, y, _folded) for x, y in zip(out[-2 * n : -n], out[-n:])]
+                group = (both[0][0], True, both[0][2], both[0][3]) if n == 1 else (tuple(both), True, False, None)
+            elif n > 1 and len(out) > n and out[-n - 1][1] and isinstance(shapes[-n - 1], tuple) and len(shapes[-n - 1]) == n and shapes[-n - 1] == tuple(shapes[-n:]):
                 old = out[-n - 1]
-                del out[-n - 1 :]
-                out.append((group, True, old[2]))
+                group = (tuple(_joined(x, y, _folded) for x, y in zip(old[0], out[-n:])), True, old[2], None)
+                both = [old]
+            else:
+                continue
+            gone = 2 * n if len(both) == n and both[0] is not out[-n - 1] else n + 1
+            del out[-gone:], shapes[-gone:]
+            out.append(group)
+            shapes.append(_shape(group))
         pieces = out
+        n += 1
     return pieces
 
 
-def _shape(p: Piece) -> object:
-    return p[0] if isinstance(p[0], str) else tuple(_shape(x) for x in p[0])
-
-
 def wrapper_of(page: str) -> list[Piece]:
-    return fold_repeats([(s, False, False) for s in skeleton(page)])
-
-
-def _joined(a: Piece, b: Piece) -> Piece:
-    body = a[0] if isinstance(a[0], str) else tuple(_joined(x, y) for x, y in zip(a[0], b[0]))
-    return body, a[1] or b[1], a[2] or b[2]
+    row, texts, _ = skeleton(page)
+    known = iter(texts)
+    pieces: list[Piece] = []
+    for s in row:
+        text = " ".join(next(known).split()) if s == "#" else None
+        pieces.append((s, False, False, None if text is None else (1, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1, len(text))))
+    return fold_repeats(pieces)
 
 
 def align(one: list[Piece], two: list[Piece]) -> list[Piece]:
     """The wrapper of both: what differs becomes optional, a group that one side repeats is repeated. No unions: differing runs follow each other."""
-    if len(one) > MOST_ITEMS:
-        return one
     a, b = _unfold(one, two), _unfold(two, one)
     out: list[Piece] = []
     for tag, i, j, k, m in SequenceMatcher(None, [_shape(x) for x in a], [_shape(x) for x in b], autojunk=False).get_opcodes():
         if tag == "equal":
             out += [_joined(x, y) for x, y in zip(a[i:j], b[k:m])]
         else:
-            out += [(x[0], x[1], True) for x in (*a[i:j], *b[k:m])]
+            out += [(x[0], x[1], True, x[3]) for x in (*a[i:j], *b[k:m])]
     return fold_repeats(out)
 
 
@@ -194,123 +255,177 @@ def _unfold(own: list[Piece], other: list[Piece]) -> list[Piece]:
             if len(out) >= n and tuple(_shape(x) for x in out[-n:]) == shape:
                 body = tuple(out[-n:])
                 del out[-n:]
-                out.append((body, False, False))
+                out.append((body, False, False, None))
                 break
     return out
 
 
-def _flat(pieces: list[Piece] | tuple[Piece, ...]) -> Iterator[tuple[str, int]]:
-    for k, p in enumerate(pieces):
-        if isinstance(p[0], str):
-            yield p[0], k
-        else:
-            for s, _ in _flat(p[0]):
-                yield s, k
-
+class Region:
+    """Which places of a row of symbols are the article's, and which of them open it."""
 
-def main_region(row: list[str]) -> tuple[int, int]:
-    """Where the article stands in a row of symbols, as a range.
+    def __init__(self, row: list[str], weights: list[float], template: set[int]):
+        """weights: of each place, its text's; template: places whose text all pages share.
 
-    The first rule that finds an element outside all menus, sidebars, comments and the like wins: article elements (from the first to the
-    end of the last beside it), main or role main, an element whose class or id says content, the body, everything.
-    """
-    depth_out = 0
-    found: dict[int, list[tuple[int, int]]] = {}
-    open_at: list[tuple[str, int, int | None, bool]] = []
-    for k, s in enumerate(row):
-        if s[:1] != "<":
-            continue
-        name = _name(s)
-        if s[1] == "/":
-            for x in range(len(open_at) - 1, -1, -1):
-                if open_at[x][0] == name:
-                    for _, start, rank, outside in open_at[x:]:
-                        depth_out -= outside
-                        if rank is not None:
-                            found.setdefault(rank, []).append((start, k + 1))
-                    del open_at[x:]
-                    break
-            continue
-        words = _words(s)
-        rank = None
-        outside = is_outside(s)
-        if not depth_out and not outside:
-            rank = 0 if name == "article" else 1 if name == "main" or "main" in words and "role" in words else 2 if not CONTENT_WORDS.isdisjoint(words) else 3 if name == "body" else None
-        if name in LOOSE and name != "body":
-            continue
-        open_at.append((name, k, rank, outside))
-        depth_out += outside
-    for _, start, rank, _ in open_at:
-        if rank is not None:
-            found.setdefault(rank, []).append((start, len(row)))
-    for rank in sorted(found):
-        spans = sorted(found[rank])
-        return (spans[0][0], max(e for _, e in spans)) if rank == 0 else max(spans, key=lambda x: x[1] - x[0])
-    return 0, len(row)
+        Starts from the whole row and goes down into the part that weighs most, as long as that is more than half of what the parts around it
+        weigh and no heading stands beside it. Tags and class names shift the weights: what says
+        that it stands outside counts a twentieth, an article four times, other names of content twice. An article is not gone down into,
+        and a part with a name of content only for one with a stronger name.
+        """
+        kids, own, heads, name, end, outside, rank = [[]], [0.0], [False], [""], [len(row)], [False], [3]
+        start, stack, at_head = [0], [0], False
+        for k, s in enumerate(row):
+            if s == "#":
+                own[stack[-1]] += weights[k]
+                heads[stack[-1]] |= at_head and weights[k] > 0
+                continue
+            tag = _name(s)
+            at_head = s[1] != "/" and tag[:1] == "h" and tag[1:].isdigit()
+            if tag in TEXTUAL or tag in LOOSE and tag != "body":
+                continue
+            if s[1] == "/":
+                for x in range(len(stack) - 1, 0, -1):
+                    if name[stack[x]] == tag:
+                        for e in stack[x:]:
+                            end[e] = k + 1
+                        del stack[x:]
+                        break
+                continue
+            words = _words(s)
+            kids[stack[-1]].append(len(kids))
+            stack.append(len(kids))
+            kids.append([])
+            own.append(0.0)
+            heads.append(False)
+            name.append(tag)
+            start.append(k)
+            end.append(len(row))
+            outside.append(is_outside(s))
+            rank.append(0 if tag == "article" else 1 if tag == "main" or "main" in words and "role" in words else 2 if not CONTENT_WORDS.isdisjoint(words) else 3)
+        total = own.copy()
+        for e in range(len(kids) - 1, -1, -1):
+            total[e] = (own[e] + sum(total[c] for c in kids[e])) * (0.05 if outside[e] else 1.0)
+        pull = lambda e: total[e] * (4.0 if rank[e] == 0 else 2.0 if rank[e] < 3 else 1.0)
+        at, spans = 0, []
+        while kids[at] and rank[at]:
+            best = max(kids[at], key=lambda e: (pull(e), -e))
+            if heads[at] or rank[at] < 3 and rank[best] >= rank[at] or pull(best) <= 0.5 * (own[at] + sum(map(pull, kids[at]))):
+                articles = [e for e in kids[at] if rank[e] == 0 and not outside[e]]
+                if articles and sum(map(pull, articles)) > 0.5 * (own[at] + sum(map(pull, kids[at]))):
+                    spans, at = [(start[articles[0]], end[articles[-1]])], at
+                    self.roots = {start[e] for e in articles}
+                break
+            at = best
+        if not spans:
+            spans = [(start[at], end[at])]
+            self.roots = {start[at]} if at else set()
+        a, b = spans[0]
+        # inside what is named as content, a text that all pages share is the author's
+        gone = template if rank[at] == 3 and not any(row[k].startswith("<article") for k in self.roots) else set()
+        self.keep = [a <= k < b and k not in gone for k in range(len(row))]
 
 
 class Compiled:
-    """A wrapper as a regular expression over one letter per symbol, with the article as a named group."""
+    """A wrapper as a position automaton over its symbols, with the article's places."""
 
     def __init__(self, pieces: list[Piece]):
-        flat = list(_flat(pieces))
-        a, b = main_region([s for s, _ in flat])
-        whole = (flat[a][1], flat[b - 1][1]) if flat and b > a else (0, len(pieces) - 1)
-        self.letter: dict[str, str] = {}
-        for s, _ in flat:
-            self.letter.setdefault(s, chr(0x100 + len(self.letter)))
-        parts = [self._pattern(p) for p in pieces]
-        if parts:
-            parts[whole[0]] = "(?P<main>" + parts[whole[0]]
-            parts[whole[1]] += ")"
-        self.match = regex.compile("".join(parts) or "(?P<main>)").fullmatch
-
-    def _pattern(self, p: Piece) -> str:
-        body = regex.escape(self.letter[p[0]]) if isinstance(p[0], str) else "(?:" + "".join(map(self._pattern, p[0])) + ")"
-        return body + ("*" if p[1] and p[2] else "+" if p[1] else "?" if p[2] else "")
-
-    def region(self, row: list[str]) -> tuple[int, int] | None:
-        """The article's range in a page's row of symbols; None if the page is not of this wrapper."""
-        try:
-            m = self.match("".join(self.letter.get(s, "\0") for s in row), timeout=1)
-        except TimeoutError:
+        self.leaves: list[tuple[str, Slot | None]] = []
+        self.follow: list[int] = []
+        self.first, self.last, self.blank = self._sequence(pieces)
+        self.places: dict[str, int] = {}
+        for k, (s, _) in enumerate(self.leaves):
+            self.places[s] = self.places.get(s, 0) | 1 << k
+        slots = [slot for _, slot in self.leaves]
+        vary = any(slot and slot[1] == VARIES for slot in slots)
+        # a text that all pages share counts once, one that varies on every page
+        weights = [0.0 if slot is None else float(slot[2]) if slot[1] == VARIES else slot[2] / slot[0] for slot in slots]
+        template = {k for k, slot in enumerate(slots) if vary and slot and slot[1] != VARIES and slot[0] >= TEMPLATE_PAGES}
+        self.region = Region([s for s, _ in self.leaves], weights, template)
+
+    def _sequence(self, pieces: list[Piece] | tuple[Piece, ...]) -> tuple[int, int, bool]:
+        """Adds the pieces' places; which of them can come first and last, and whether none need come."""
+        first, last, blank = 0, 0, True
+        for body, repeated, optional, slot in pieces:
+            if isinstance(body, str):
+                f = l = 1 << len(self.leaves)
+                n = False
+                self.leaves.append((body, slot))
+                self.follow.append(0)
+            else:
+                f, l, n = self._sequence(body)
+            if repeated:
+                self._link(l, f)
+            self._link(last, f)
+            first |= f if blank else 0
+            last = l | (last if n or optional else 0)
+            blank &= n or optional
+        return first, last, blank
+
+    def _link(self, before: int, after: int) -> None:
+        for k in _bits(before):
+            self.follow[k] |= after
+
+    def path(self, row: list[str]) -> list[int] | None:
+        """The wrapper's place of each symbol of a page's row; None if the page is not of this wrapper. Every place that a prefix can reach is
+        followed at once, so the work grows with the row and never backtracks."""
+        now, seen = self.first, []
+        for s in row:
+            now &= self.places.get(s, 0)
+            if not now:
+                return None
+            seen.append(now)
+            step = 0
+            for k in _bits(now):
+                step |= self.follow[k]
+            now = step
+        if not seen:
+            return [] if self.blank else None
+        ends = seen[-1] & self.last
+        if not ends:
             return None
-        return m.span("main") if m else None
+        out = [(ends & -ends).bit_length() - 1]
+        for now in reversed(seen[:-1]):
+            out.append(next(k for k in _bits(now) if self.follow[k] >> out[-1] & 1))
+        return out[::-1]
+
+
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
 
 
 def main_text(page: str | None, wrapper: Compiled | None) -> str:
-    """The article's text: the wrapper's article group, or where the page does not match, the same choice made on the page alone."""
+    """The article's text: what stands at the article's places of the wrapper; of a page that is not of it, or has none, the same choice made on the page alone."""
     if not page:
         return ""
-    row: list[str] = []
-    tokens: list[tuple[str, int, int, int]] = []
-    for s, a, b in symbols(page):
-        tokens.append((s, a, b, len(row)))
-        if s in ("", "~", "~br") or s[:2] == "</" and _name(s) in LOOSE or s == "#" and (row and row[-1] == "#" or page[a:b].isspace()):
-            continue
-        row.append(s)
-    first, last = (wrapper.region(row) if wrapper else None) or main_region(row)
+    row, texts, tokens = skeleton(page)
+    path = wrapper.path(row) if wrapper else None
+    if path is not None:
+        keep, roots = [wrapper.region.keep[k] for k in path], {k for k, at in enumerate(path) if at in wrapper.region.roots}
+    else:
+        known = iter(texts)
+        alone = Region(row, [float(len(next(known))) if s == "#" else 0.0 for s in row], set())
+        keep, roots = alone.keep, alone.roots
     blocks: list[str] = []
     run: list[str] = []
     hidden: list[str] = []
     code = False
     for s, a, b, at in tokens:
-        if at < first or at > last or at == last and s != "#" and s not in ("~", ""):
-            continue
+        inside = at >= 0 and keep[at]
         if s == "#":
-            # text that went into the slot before it has the same place in the row
-            if not hidden and (at < last or row and at == last and last and row[last - 1] == "#"):
+            if inside and not hidden:
                 run.append(page[a:b])
         elif s == "":
             continue
         elif s == "~":
             # marks in code are the colours of a highlighter
-            if not code and (hidden and hidden[0] in INLINE or _ATTR.search(page, a, b)) and (tag := _marked_inline(page[a:b])):
+            if inside and not code and (hidden and hidden[0] in INLINE or _ATTR.search(page, a, b)) and (tag := _marked_inline(page[a:b])):
                 _hide(hidden, tag)
         else:
             blocks.append("".join(run))
             run = []
-            if s == "~br":
+            if s == "~br" or not inside or s[1] != "/" and at in roots:
                 continue
             if _name(s) == "pre":
                 code = s[1] != "/"
@@ -324,48 +439,61 @@ def _dump(pieces: list[Piece]) -> str:
 
 
 def _load(text: str) -> list[Piece]:
-    back = lambda p: (p[0] if isinstance(p[0], str) else tuple(map(back, p[0])), p[1], p[2])
+    back = lambda p: (p[0] if isinstance(p[0], str) else tuple(map(back, p[0])), p[1], p[2], p[3] and tuple(p[3]))
     return [back(p) for p in json.loads(text)]
 
 
+def _key(pieces: list[Piece]) -> str:
+    """The wrapper without what is known of its slots."""
+    bare = lambda p: (p[0] if isinstance(p[0], str) else tuple(map(bare, p[0])), p[1], p[2])
+    return json.dumps([bare(p) for p in pieces])
+
+
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial wrappers of the hosts of a task."""
-    held: dict[str, tuple[list[Piece], set[int]]] = {}
+    """The wrappers of single pages, those of a host with the same key as one."""
+    held: dict[tuple[str, str], list[Piece]] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(h, _dump(w)) for h, (w, _) in sorted(held.items())]
+        rows = [(h, k, _dump(w)) for (h, k), w in held.items()]
         held.clear()
-        h, w = zip(*rows) if rows else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(w, pa.string())], ["host", "wrapper"])
+        h, k, w = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(k, pa.string()), pa.array(w, pa.string())], ["host", "key", "wrapper"])
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             if page := page.as_py():
                 new = wrapper_of(page)
-                shape = hash(tuple(map(_shape, new)))
-                if host not in held:
-                    held[host] = (new, {shape})
-                elif shape not in held[host][1]:
-                    held[host][1].add(shape)
-                    held[host] = (align(held[host][0], new), held[host][1])
-        if len(held) > HELD_HOSTS:
+                at = host, _key(new)
+                held[at] = [_joined(x, y) for x, y in zip(held[at], new)] if at in held else new
+        if len(held) > HELD_SHAPES:
             yield out()
     yield out()
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by host: aligns a host's wrappers one after another, holding one."""
-    host, now = None, []
+    """Rows arrive sorted by host, salt and key: aligns the wrappers of a host and salt one after another, those of one key first, holding two."""
+    at, key, now, same = None, None, None, None
+
+    def settled() -> list[Piece]:
+        return same if now is None else align(now, same)
+
+    def out() -> pd.DataFrame:
+        done = settled()
+        return pd.DataFrame({"host": [at[0]], "key": [_key(done)], "wrapper": [_dump(done)]})
+
     for pdf in batches:
-        for h, w in zip(pdf["host"], pdf["wrapper"]):
-            if h == host:
-                now = align(now, _load(w))
+        for h, salt, k, w in zip(pdf["host"], pdf["salt"], pdf["key"], pdf["wrapper"]):
+            new = _load(w)
+            if (h, salt) != at:
+                if at is not None:
+                    yield out()
+                at, key, now, same = (h, salt), k, None, new
+            elif k == key:
+                same = [_joined(x, y) for x, y in zip(same, new)]
             else:
-                if host is not None:
-                    yield pd.DataFrame({"host": [host], "wrapper": [_dump(now)]})
-                host, now = h, _load(w)
-    if host is not None:
-        yield pd.DataFrame({"host": [host], "wrapper": [_dump(now)]})
+                now, key, same = settled(), k, new
+    if at is not None:
+        yield out()
 
 
 def _host() -> Column:
@@ -375,14 +503,15 @@ def _host() -> Column:
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON) for each host of pages (url, html).
 
-    Each page's token stream, with repeats folded, is aligned with the wrapper so far: tasks do so for the hosts they meet, then at most
-    SALTS groups of partial wrappers per host, then those groups' results. A host with a third of all pages is never one task's work.
+    Each page's token stream, with repeats folded, is a wrapper; those of one host and key meet first, then the host's are aligned in the order of
+    their keys, at most SALTS groups of them by a hash of the key, then those groups' results. So neither the number of tasks nor
+    their order changes a wrapper, and a host with a third of all pages is never one task's work.
     """
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = pages.select(_host().alias("host"), "html").mapInArrow(_infer, "host string, wrapper string").distinct()
-    for salt in (F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)), F.lit(0)):
-        part = part.withColumn("salt", salt).repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper").mapInPandas(_merge, "host string, wrapper string")
-    return part
+    part = pages.select(_host().alias("host"), "html").mapInArrow(_infer, "host string, key string, wrapper string")
+    for salt in (F.pmod(F.xxhash64("key"), F.lit(SALTS)), F.lit(0).cast("long")):
+        part = part.withColumn("salt", salt).repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "key").select("host", "salt", "key", "wrapper").mapInPandas(_merge, "host string, key string, wrapper string")
+    return part.select("host", "wrapper")
 
 
 def _extract(batches: Iterator[pa.RecordBatch], sent: dict[str, str] | None) -> Iterator[pa.RecordBatch]:

@@ -301,7 +301,7 @@ def test_op7_wrappers_and_text(spark):
     assert got[7] == got[8] == "" and got[9] == "plain text only"
     assert html.extract(df.limit(0)).count() == 0
     w = html.Compiled(html._load(html.wrappers(df.where("url LIKE '%a.example%'")).first()["wrapper"]))
-    assert all(w.region(html.skeleton(p)) for _, u, p in pages[:6])
+    assert all(w.path(html.skeleton(p)[0]) for _, u, p in pages[:6])
 
 
 def test_op7_marked_loose_and_inline_elements_are_hidden():
