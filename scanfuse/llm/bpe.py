@@ -27,6 +27,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def check_supported(spec: dict) -> None:
+    """Raises on a tokenizer file with a feature that would need other cuts or merges than these."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    problems = {
+        "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "a normalizer": spec.get("normalizer") is not None,
+        "a pre-tokenizer other than byte level": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", True) or not pre.get("use_regex", True),
+        "a decoder other than byte level": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+        "dropout": bool(model.get("dropout")),
+        "an unknown token, affixes, byte fallback or ignored merges": any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "fuse_unk")),
+        "added tokens that strip, stand alone or are normalized": any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")),
+    }
+    if found := [k for k, bad in problems.items() if bad]:
+        raise ValueError(f"tokenizer file has {'; '.join(found)}")
+
+
 class ByteBpe:
     """One worker's view of a tokenizer file."""
 
@@ -34,6 +50,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
+        check_supported(spec)
         self.model = Tokenizer.from_file(path).model
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}

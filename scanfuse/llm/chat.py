@@ -13,7 +13,7 @@ _MARKS = r"^([ \t]*>)+[ \t]?"
 #: What stands between two paragraphs.
 _BLANK = r"\n[ \t]*\n"
 #: Reply headers that mail programs put before a quotation.
-_HEADER = r"^[ \t]*(On .{1,200} wrote:|Am .{1,200} schrieb.{0,200}:|Le .{1,200} a écrit ?:|El .{1,200} escribió:|-+ ?Original Message ?-+)[ \t]*$"
+_HEADER = r"^[ \t]*(On .+ wrote:|Am .+ schrieb.*:|Le .+ a écrit ?:|El .+ escribió:|-+ ?Original Message ?-+)[ \t]*$"
 
 
 def normalised(text: Column) -> Column:
@@ -27,26 +27,29 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, r"\r\n|\r|\n"), lambda s: F.struct(depth(s).alias("level"), F.regexp_replace(s, _MARKS, "").alias("line")))
 
 
-def passages(lines: Column) -> Column:
-    """Runs of lines of one quote level over 0: structs of level, normalised text and keys, in order; empty ones dropped.
+def with_passages(rows: DataFrame) -> DataFrame:
+    """Adds lines and passages to rows (quoting, text): runs of lines of one quote level over 0, as structs of level, normalised text and keys, in order; empty ones dropped.
 
     The keys are the run's text (rank 0), its paragraphs (1; a blank quoted line ends one) and its lines (2), so that a run that quotes a part of a message also finds it.
+    Each step is a column of its own: inside a lambda an expression would be worked out anew for every element.
     """
-    runs = F.aggregate(
-        lines,
-        F.array().cast("array<struct<level:int,line:string>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["level"] == x["level"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", F.element_at(acc, -1)["line"], x["line"]).alias("line")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+    level = lambda k: F.element_at("lines", k)["level"]
+    starts = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda k: (k == 1) | (level(k) != level(F.greatest(k - 1, F.lit(1)))))
+    stop = lambda i: F.when(i + 2 <= F.size("starts"), F.get("starts", i + 1)).otherwise(F.size("lines") + 1)
+    text = lambda k, i: F.array_join(F.transform(F.slice("lines", k, stop(i) - k), lambda x: x["line"]), "\n")
+    runs = F.filter(F.transform("starts", lambda k, i: F.struct(level(k).alias("level"), F.when(level(k) > 0, text(k, i)).alias("line"))), lambda r: r["level"] > 0)
     ranked = lambda texts, rank: F.transform(F.array_distinct(F.filter(F.transform(texts, normalised), lambda s: s != "")), lambda s, k: F.struct(F.lit(rank).alias("rank"), k.alias("k"), s.alias("s")))
     keys = lambda t: F.concat(ranked(F.array(t), 0), ranked(F.split(t, _BLANK), 1), ranked(F.split(t, r"\n"), 2))
-    return F.filter(F.transform(F.filter(runs, lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), normalised(r["line"]).alias("line"), keys(r["line"]).alias("keys"))), lambda r: r["line"] != "")
+    found = F.filter(F.transform("runs", lambda r: F.struct(r["level"].alias("level"), normalised(r["line"]).alias("line"), keys(r["line"]).alias("keys"))), lambda r: r["line"] != "")
+    out = rows.withColumn("lines", F.when(F.col("quoting"), _lines(F.col("text")))).withColumn("starts", F.when(F.col("quoting"), starts)).withColumn("runs", runs)
+    return out.withColumn("passages", found).drop("starts", "runs")
 
 
 def _body(lines: Column) -> Column:
-    kept = F.filter(lines, lambda x: (x["level"] == 0) & ~F.rlike(x["line"], F.lit(_HEADER)))
+    """Lines that quote nothing. A reply header goes too, where a quoted line follows it, at most one blank line between; a line that only looks like one stays."""
+    quoted = lambda k: F.coalesce(F.get(lines, k)["level"] > 0, F.lit(False))
+    before = lambda k: quoted(k + 1) | (F.coalesce(F.trim(F.get(lines, k + 1)["line"]) == "", F.lit(False)) & quoted(k + 2))
+    kept = F.filter(lines, lambda x, k: (x["level"] == 0) & ~(F.rlike(x["line"], F.lit(_HEADER)) & before(k)))
     return F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -58,7 +61,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     lines: then it belongs to the message that has most of those. A passage belongs to the first message, by (conv_id, turn), that has the passage as its own,
     one of the same conversation before any other, and never to the message itself or a later one of its conversation. A message's parent
     is the original of its least nested linked passage, the first of those. Without one it answers the message before it in its
-    conversation; the first has no parent. A conversation whose first linked message quotes an earlier conversation is a branch of it.
+    conversation; the first has no parent. Quoted lines leave the body whether or not an original is found. A conversation whose first linked message quotes an earlier conversation is a branch of it.
 
     Returns one row per input row: conv_id, turn, role, parent_conv, parent_turn, linked (by quotation), quotes (passages quoted), links (of
     them linked), thread (conv_id of the root conversation), position (gapless from 0 in the thread, by conv_id and turn), body. Null text counts as empty; null roles stay
@@ -68,9 +71,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     all messages share stays one key with one partner.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = messages.select("conv_id", "turn", "role", text.alias("text"), F.rlike(text, F.lit(r"(?m)" + _QUOTE)).alias("quoting"), F.rlike(text, F.lit(r"(?m)" + _HEADER)).alias("headed"))
-    lines = _lines(F.col("text"))
-    rows = rows.select("conv_id", "turn", "role", "quoting", F.when(F.col("quoting") | F.col("headed"), _body(lines)).otherwise(F.trim(F.regexp_replace("text", r"\r\n?", "\n"))).alias("body"), F.when(F.col("quoting"), passages(lines)).alias("passages"))
+    rows = messages.select("conv_id", "turn", "role", text.alias("text"), F.rlike(text, F.lit(r"(?m)" + _QUOTE)).alias("quoting"))
+    body = F.when(F.col("quoting"), _body(F.col("lines"))).otherwise(F.trim(F.regexp_replace("text", r"\r\n?", "\n")))
+    rows = with_passages(rows).select("conv_id", "turn", "role", "quoting", body.alias("body"), "passages")
     rows = staged(rows, "messages")
 
     asked = rows.where("quoting").select("conv_id", "turn", F.posexplode("passages").alias("pos", "p")).select("conv_id", "turn", "pos", F.col("p.level").alias("level"), F.sha2("p.line", 256).alias("run"), F.explode("p.keys").alias("key"))

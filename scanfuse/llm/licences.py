@@ -77,6 +77,68 @@ TEXTS = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of <who> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "neither the name of <who> nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "spdx license identifier mit": "mit-notice",
+    "spdx license identifier apache 2 0": "apache2-notice",
+    "spdx license identifier bsd 2 clause": "bsd2-notice",
+    "spdx license identifier bsd 3 clause": "bsd3-notice",
+    "spdx license identifier isc": "isc-notice",
+    "spdx license identifier mpl 2 0": "mpl2-notice",
+    "spdx license identifier gpl 2 0 only": "gpl2-notice",
+    "spdx license identifier gpl 2 0 or later": "gpl2-notice",
+    "spdx license identifier gpl 3 0 only": "gpl3-notice",
+    "spdx license identifier gpl 3 0 or later": "gpl3-notice",
+    "spdx license identifier lgpl 2 1 only": "lgpl21-notice",
+    "spdx license identifier lgpl 2 1 or later": "lgpl21-notice",
+    "spdx license identifier lgpl 3 0 only": "lgpl3-notice",
+    "spdx license identifier lgpl 3 0 or later": "lgpl3-notice",
+    "spdx license identifier agpl 3 0 only": "agpl3-notice",
+    "spdx license identifier agpl 3 0 or later": "agpl3-notice",
+    "spdx license identifier epl 2 0": "epl2-notice",
+    "spdx license identifier cc0 1 0": "cc0-notice",
+    "spdx license identifier unlicense": "unlicense-notice",
+    "spdx license identifier zlib": "zlib-notice",
+    "spdx license identifier bsl 1 0": "bsl1-notice",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc-no-liability",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-subject",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "mozilla public license version 2 0": "mpl2-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-grant",
+    "this library is distributed in the hope that it will be useful but without any warranty": "lgpl-hope",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-hope",
+    "see the gnu lesser general public license for more details": "lgpl-details",
+    "see the gnu affero general public license for more details": "agpl-details",
+    "this is free and unencumbered software released into the public domain": "unlicense-notice",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-grant",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-no-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "boost software license version 1 0 august 17th 2003": "bsl1-title",
+    "distributed under the boost software license version 1 0": "bsl1-notice",
+    "eclipse public license v 2 0": "epl2-title",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-notice",
+    "do what the fuck you want to public license": "wtfpl-title",
+    "sil open font license version 1 1 26 february 2007": "ofl11-title",
+    "this font software is licensed under the sil open font license version 1 1": "ofl11-notice",
+    "the artistic license 2 0": "artistic2-title",
+    "creative commons attribution 4 0 international public license": "ccby4-title",
+    "creative commons attribution sharealike 4 0 international public license": "ccbysa4-title",
+    "creative commons attribution noncommercial 4 0 international public license": "ccbync4-title",
+    "this work is licensed under a creative commons attribution 4 0 international license": "ccby4-notice",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa4-notice",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4-notice",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd4-advertising",
+    "microsoft public license ms pl": "mspl-title",
     "this software is provided by <who> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-as-is",
 }
 
@@ -125,6 +187,28 @@ TEXT_RULES = [
     Rule("GPL-3.0", ("gpl3-title",)),
     Rule("GPL-2.0", ("gpl2-title",)),
     Rule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    Rule("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd4-advertising", "bsd-endorse", "bsd-as-is")),
+    Rule("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd4-advertising", "bsd-endorse")),
+    Rule("ISC", ("isc-grant", "isc-as-is", "isc-no-liability")),
+    Rule("ISC", ("isc-grant",)),
+    Rule("0BSD", ("0bsd-grant", "isc-as-is", "isc-no-liability")),
+    Rule("0BSD", ("0bsd-grant",)),
+    Rule("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
+    *(Rule(f"LGPL-{name}", (f"lgpl{v}-grant", *rest)) for v, name in (("3", "3.0"), ("21", "2.1")) for hope in ("lgpl-hope", "gpl-hope") for rest in ((hope, "gpl-implied", "lgpl-details"), (hope, "lgpl-details"), (hope,))),
+    *(Rule("AGPL-3.0", ("agpl3-grant", *rest)) for rest in (("gpl-hope", "gpl-implied", "agpl-details"), ("gpl-hope", "agpl-details"), ())),
+    *(Rule(f"LGPL-{name}", (f"lgpl{v}-grant",)) for v, name in (("3", "3.0"), ("21", "2.1"))),
+    Rule("Unlicense", ("unlicense-notice", "unlicense-grant")),
+    Rule("Zlib", ("zlib-as-is", "zlib-no-liability", "zlib-grant")),
+    # a title or a notice alone
+    *(
+        Rule(licence, (sentence,))
+        for licence, sentence in {
+            "BSD-2-Clause": "bsd2-notice", "BSD-3-Clause": "bsd3-notice", "ISC": "isc-notice", "LGPL-2.1": "lgpl21-notice", "LGPL-3.0": "lgpl3-notice", "AGPL-3.0": "agpl3-notice", "EPL-2.0": "epl2-notice",
+            "CC0-1.0": "cc0-notice", "Unlicense": "unlicense-notice", "Zlib": "zlib-notice", "BSL-1.0": "bsl1-notice", "GPL-2.0": "gpl2-notice", "WTFPL": "wtfpl-title", "OFL-1.1": "ofl11-notice", "Artistic-2.0": "artistic2-title",
+            "CC-BY-4.0": "ccby4-title", "CC-BY-SA-4.0": "ccbysa4-title", "CC-BY-NC-4.0": "ccbync4-title", "MS-PL": "mspl-title",
+        }.items()
+    ),
+    *(Rule(licence, (sentence,)) for licence, sentence in (("MPL-2.0", "mpl2-notice"), ("MPL-2.0", "mpl2-subject"), ("MPL-2.0", "mpl2-title"), ("LGPL-2.1", "lgpl21-title"), ("LGPL-3.0", "lgpl3-title"), ("AGPL-3.0", "agpl3-title"), ("BSL-1.0", "bsl1-title"), ("EPL-2.0", "epl2-title"), ("OFL-1.1", "ofl11-title"))),
 ]
 #: Rules of both kinds, more sentences first.
 ALL_RULES = sorted([*RULES, *TEXT_RULES, Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"))], key=lambda r: -len(r.sentences))
@@ -132,7 +216,8 @@ ALL_SENTENCES = SENTENCES | TEXTS
 
 #: Ends a sentence: a full stop, colon, semicolon, exclamation or question mark before white space or the end. A line break may end one or be white space inside it.
 _END = r"[.:;!?]+(?=\s|$)"
-_CUES = ("licen", "permi", "copyright", "redistribut", "warrant", "rights reserved", "free software", "general public", "may not use", "may obtain", "without", "required by", "neither the name", "the software is provided", "in no event", "if not see")
+#: Parts of single words, one of which every listed sentence has; a text without any has no sentence, however it is broken or marked.
+_CUES = ("licen", "permi", "copyright", "distribut", "warrant", "reserved", "software", "merchantability", "general")
 #: What a text becomes before sentences are looked up: words with single spaces, these where a mark ends a sentence and where a line breaks.
 _STOP, _LINE = "\ue000", "\ue001"
 

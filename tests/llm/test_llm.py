@@ -65,6 +65,14 @@ def test_op2_equals_the_library(spark, odd, none):
     assert bpe.round_trip(none, path).count() == 0
 
 
+def test_op2_refuses_other_files():
+    spec = {"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "decoder": {"type": "ByteLevel"}, "added_tokens": []}
+    bpe.check_supported(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": {"type": "BPE", "ignore_merges": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"added_tokens": [{"content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check_supported(spec | change)
+
+
 def test_op2_cuts_are_certain():
     b = bpe.ByteBpe(bpe.public_path())
     for piece in (" Ascociónrr", "zqxjé", "漢字", "\n\n"):
@@ -286,6 +294,17 @@ def test_op6_licences_own_texts(spark):
         got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(docs, DOC)).collect()}
         for k, name in enumerate(texts):
             assert got[k]["licences"] == [name] and got[k]["unmatched"] == 0
+    headers = {
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nLesser General Public License for more details.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "GPL-2.0": "// SPDX-License-Identifier: GPL-2.0-or-later\nint main() {}",
+        "": "All rights  reserved\nand nothing else",
+    }
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame(list(enumerate(headers.values())), DOC)).collect()}
+    assert got == {k: [name] if name else [] for k, name in enumerate(headers)}
     # no sentence: other words follow or go before
     assert licences.scan(spark.createDataFrame([(1, "Not licensed under the MIT license\nfoo"), (2, "Licensed under the MIT license terms."), (3, "Licensed. Under the MIT license.")], DOC)).count() == 0
 
