@@ -34,6 +34,15 @@ def view(points: DataFrame, profile: SensorProfile, keys: tuple[str, ...] = ("fr
     return grid.nearest_returns(project(points, profile), keys)
 
 
+def reference_views(frames: DataFrame, seen: DataFrame, profile: SensorProfile) -> DataFrame:
+    """The view (row_id, col_id, rng, pt_id) of a reference that every frame (frame_id) of a sensor at rest has before it.
+
+    A frame brings its image's pixels, as many as the profile has, and these meet the view's by row and column.
+    """
+    pixels = frames.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(profile.rows - 1))).alias("row_id")).select("frame_id", "row_id", F.explode(F.sequence(F.lit(0), F.lit(profile.cols - 1))).alias("col_id"))
+    return pixels.join(seen.select("row_id", "col_id", "rng", "pt_id"), ["row_id", "col_id"])
+
+
 def difference(current: DataFrame, reference: DataFrame, ratio: float = 0.06, far: float = 100.0) -> DataFrame:
     """Pixel-wise comparison (frame_id, row_id, col_id): change_type and the probabilities that current and reference points changed.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanfuse.functions import geom as G
+from scanfuse.operators.components import staged
 
 SUMS = ["n", "sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz"]
 _NUMBERS = T.ArrayType(T.DoubleType())
@@ -72,11 +73,12 @@ def plane_from_sums(sums: DataFrame) -> DataFrame:
 
 
 def neighbour_planes(neighbours: DataFrame, limit: float = 0.2) -> DataFrame:
-    """Plane of each query's neighbours (q_id, tx, ty, tz), with the largest distance of a neighbour and whether all are within the limit."""
-    fits = plane_from_sums(moments(neighbours, ["q_id"], ("tx", "ty", "tz"))).select("q_id", "n", "nx", "ny", "nz", "d")
-    off = F.abs(G.dot(G.vec("n"), G.vec("t")) + F.col("d"))
-    worst = neighbours.join(fits, "q_id").groupBy("q_id").agg(F.max(off).alias("worst"))
-    return fits.join(worst, "q_id").withColumn("valid", F.col("worst") <= limit)
+    """Plane of each query's neighbours (q_id, tx, ty, tz; a few each), with the largest distance of a neighbour and whether all are within the limit. One pass: sums and the neighbours themselves gather together."""
+    v = dict(zip("xyz", map(F.col, ("tx", "ty", "tz"))))
+    sums = [F.count("*").alias("n"), *(F.sum(v[a]).alias("s" + a) for a in "xyz"), *(F.sum(v[p[0]] * v[p[1]]).alias("s" + p) for p in _PAIRS)]
+    fits = plane_from_sums(neighbours.groupBy("q_id").agg(*sums, F.collect_list(F.struct("tx", "ty", "tz")).alias("all")))
+    off = lambda t: F.abs(F.col("nx") * t["tx"] + F.col("ny") * t["ty"] + F.col("nz") * t["tz"] + F.col("d"))
+    return fits.select("q_id", "n", "nx", "ny", "nz", "d", F.array_max(F.transform("all", off)).alias("worst")).withColumn("valid", F.col("worst") <= limit)
 
 
 def neighbour_lines(neighbours: DataFrame, reach: float = 0.1) -> DataFrame:
@@ -125,7 +127,7 @@ def adaptive_planes(points: DataFrame, root: float = 1.0, ratio: float = 9.0, le
 
     rest, found = points.select("pt_id", "x", "y", "z"), None
     for layer in range(layers):
-        on = cells(rest, root / 2**layer)
+        on = staged(cells(rest, root / 2**layer), "layer")  # read twice: by its sums and by what goes on
         pca = principal(moments(on, CELL)).where(F.col("n") >= least)
         flat = (F.col("l2") > 1e-9) & (F.col("l2") >= ratio * F.greatest(F.col("l1"), F.lit(0.0)))
         took = pca.where(flat).select(F.lit(layer).alias("layer"), *CELL, "n", "l1", "l2", "l3")

@@ -79,10 +79,15 @@ def chain_poses(steps: DataFrame, chunk: int = 10_000) -> DataFrame:
     A frame that is not ok takes the last valid increment of its session (none yet: no motion). Sessions are cut into chunks by frame
     number; each chunk is folded on its own, then moved by the product of the chunks before it, so a long session is many tasks' work.
     """
-    w = Window.partitionBy("session_id").orderBy("frame_id")
     still = F.struct(*(F.lit(1.0 if n == "qw" else 0.0).alias(n) for n in POSE))
-    used = F.coalesce(F.last(F.when(F.col("ok"), F.struct(*POSE)), ignorenulls=True).over(w), still)
-    good = steps.select("session_id", "frame_id", used.alias("s"), F.floor(F.col("frame_id") / chunk).cast("long").alias("chunk")).select("session_id", "frame_id", "chunk", "s.*")
+    cut = steps.withColumn("chunk", F.floor(F.col("frame_id") / chunk).cast("long"))
+    # what a chunk starts with: the last valid increment of the chunks before it, one row a chunk
+    over = Window.partitionBy("session_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = cut.groupBy("session_id", "chunk").agg(F.max_by(F.when(F.col("ok"), F.struct(*POSE)), F.when(F.col("ok"), F.col("frame_id"))).alias("s"))
+    lasts = lasts.select("session_id", "chunk", F.coalesce(F.last("s", ignorenulls=True).over(over), still).alias("before"))
+    inner = Window.partitionBy("session_id", "chunk").orderBy("frame_id")
+    used = F.coalesce(F.last(F.when(F.col("ok"), F.struct(*POSE)), ignorenulls=True).over(inner), F.col("before"))
+    good = cut.join(lasts, ["session_id", "chunk"]).select("session_id", "frame_id", "chunk", used.alias("s")).select("session_id", "frame_id", "chunk", "s.*")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_id")
@@ -240,8 +245,7 @@ def compound_covariance(steps: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("frame_id")
         at, cov, out = np.array([0, 0, 0, 0, 0, 0, 1.0]), np.zeros((6, 6)), []
         for step, own in zip(pdf[POSE].to_numpy(), pdf["cov"]):
-            adj = _adjoint(at)
-            cov = _compound(cov, adj @ np.array(own).reshape(6, 6) @ adj.T)
+            cov = _compound(cov, _carried(at, np.array(own).reshape(6, 6)))
             at = _compose(at, step)
             out.append(cov.ravel())
         return pd.DataFrame({"session_id": pdf["session_id"], "frame_id": pdf["frame_id"], "cov": out})
@@ -250,30 +254,38 @@ def compound_covariance(steps: DataFrame) -> DataFrame:
     return steps.groupBy("session_id").applyInPandas(fold, f"session_id {s['session_id'].dataType.simpleString()}, frame_id {s['frame_id'].dataType.simpleString()}, cov array<double>")
 
 
-def _skew(v: np.ndarray) -> np.ndarray:
-    return np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0.0]])
+def _ad_basis() -> np.ndarray:
+    """ad(e_k) for the six unit twists, translation first: ad is linear, so these six matrices are all of it."""
+    unit = np.eye(3)
+    hat = np.cross(unit[:, None], unit).transpose(0, 2, 1)  # hat[k] @ v = e_k x v
+    basis = np.zeros((6, 6, 6))
+    basis[:3, :3, 3:] = basis[3:, :3, :3] = basis[3:, 3:, 3:] = hat
+    return basis
+
+
+_AD = _ad_basis()
 
 
-def _adjoint(pose: np.ndarray) -> np.ndarray:
-    x, y, z, w = pose[3:] / np.linalg.norm(pose[3:])
-    r = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
-    return np.block([[r, _skew(pose[:3]) @ r], [np.zeros((3, 3)), r]])
+def _carried(pose: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """A covariance in the frame that the pose stands in: each unit twist's image is one column of the adjoint."""
+    q = pose[3:] / np.linalg.norm(pose[3:])
+    turned = np.stack([_mul(_mul(q, np.r_[e, 0.0]), np.r_[-q[:3], q[3]])[:3] for e in np.eye(3)], axis=1)
+    adjoint = np.zeros((6, 6))
+    adjoint[:3, :3] = adjoint[3:, 3:] = turned
+    adjoint[:3, 3:] = np.cross(pose[:3], turned, axisb=0).T
+    return adjoint @ cov @ adjoint.T
 
 
 def _compound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Covariance of the product of two poses whose covariances stand in the same frame."""
-    one = lambda m: -np.trace(m) * np.eye(3) + m
-    two = lambda m, n: one(m) @ one(n) + one(n @ m)
-    rr, rp, pp = slice(0, 3), (slice(0, 3), slice(3, 6)), slice(3, 6)
-
-    def big(s: np.ndarray) -> np.ndarray:
-        return np.block([[one(s[pp, pp]), one(s[rp] + s[rp].T)], [np.zeros((3, 3)), one(s[pp, pp])]])
-
-    brr = two(a[pp, pp], b[rr, rr]) + two(a[rp].T, b[rp]) + two(a[rp], b[rp].T) + two(a[rr, rr], b[pp, pp])
-    brp = two(a[pp, pp], b[rp].T) + two(a[rp].T, b[pp, pp])
-    bpp = two(a[pp, pp], b[pp, pp])
-    extra = (big(a) @ b + b @ big(a).T + big(b) @ a + a @ big(b).T) / 12 + np.block([[brr, brp], [brp.T, bpp]]) / 4
-    return a + b + extra
+    """Covariance of the product of two independent uncertain poses whose covariances stand in one frame, to fourth order.
+
+    By the Baker-Campbell-Hausdorff series the product's error is x + y + [x, y]/2 + [x, [x, y]]/12 + [y, [y, x]]/12 for twists x and y of covariance
+    a and b (T. D. Barfoot and P. T. Furgale, Associating Uncertainty With Three-Dimensional Poses, IEEE Trans. Robotics 30 (3), 2014).
+    Its second moment keeps a, b, E[ad(x) y y' ad(x)']/4 and E[ad(x) ad(x)] b/12 and the like, each a sum over the six matrices of ad.
+    """
+    squared = lambda cov: np.einsum("kl,kij,ljm->im", cov, _AD, _AD)  # noqa: E731  E[ad(x) ad(x)]
+    mixed = squared(a) @ b + squared(b) @ a
+    return a + b + np.einsum("kl,kij,jm,lnm->in", a, _AD, b, _AD) / 4 + (mixed + mixed.T) / 12
 
 
 def point_uncertainty(points: DataFrame, var_t: Column, var_r: Column, var_m: Column) -> DataFrame:

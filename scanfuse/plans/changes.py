@@ -10,7 +10,7 @@ from scanfuse.operators import change, grid, neighbors, posegraph, register, sta
 from scanfuse.operators.components import shared_dir, staged
 
 from scanfuse.operators.trajectory import POSE
-from scanfuse.plans.maps import all_pairs, five_with_places
+from scanfuse.plans.maps import frames_pair, five_with_places
 from scanfuse.plans.registry import query
 from scanfuse.sources.fixture import oracle, points, poses, r5, read
 from scanfuse.streaming import jobs
@@ -42,10 +42,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = change.view(cur, ROOM)
     frames = view.select("frame_id").distinct()
     seen = change.view(ref, ROOM, keys=())
-    # one reference view of at most rows × cols pixels for every frame of the static sensor
-    pixels = seen.groupBy().agg(F.collect_list(F.struct("row_id", "col_id", "rng", "pt_id")).alias("all"))
-    every = frames.join(F.broadcast(pixels)).select("frame_id", F.explode("all").alias("v")).select("frame_id", "v.*")
-    return change.difference(view, every)
+    return change.difference(view, change.reference_views(frames, seen, ROOM))
 
 
 @query("c7_change_summary", oracle("SELECT frame_id, change_type, count(*) AS n, min(col_id) AS c_lo, max(col_id) AS c_hi FROM l GROUP BY 1,2", "points", _SCENE))
@@ -89,17 +86,16 @@ def reference_status(spark, sf_dir):
     return change.fuse_status(_observed(spark, sf_dir), "reference").select("pt_id", *r5("change_prob"))
 
 
-@query("c1_covisible", oracle("SELECT k.frame_id, r.pt_id, round((x-tx)*cos(0.02*k.frame_id)+(y-ty)*sin(0.02*k.frame_id),5) AS x, round(-(x-tx)*sin(0.02*k.frame_id)+(y-ty)*cos(0.02*k.frame_id),5) AS y FROM ref r JOIN (SELECT * FROM ps WHERE frame_id%5=0) k ON r.x BETWEEN tx-6 AND tx+6", "points", "poses", _SCENE))
+@query("c1_covisible", oracle("SELECT k.frame_id, r.pt_id, round((x-tx)*cos(0.02*k.frame_id)+(y-ty)*sin(0.02*k.frame_id),5) AS x, round(-(x-tx)*sin(0.02*k.frame_id)+(y-ty)*cos(0.02*k.frame_id),5) AS y FROM ref r JOIN ps k ON r.x BETWEEN tx-6 AND tx+6", "points", "poses", _SCENE))
 def covisible(spark, sf_dir):
-    k = poses(spark, sf_dir).where("frame_id % 5 = 0")
-    return change.covisible(scene(spark, sf_dir)[1], k, 6.0, 100).select("frame_id", "pt_id", *r5("x", "y"))
+    return change.covisible(scene(spark, sf_dir)[1], poses(spark, sf_dir), 6.0, 100).select("frame_id", "pt_id", *r5("x", "y"))
 
 
 @query("c6_fused_map", oracle("""SELECT vx, vy, vz, owner, count(*) AS seen, round(1/(1+exp(-sum(l))),5) AS change_prob FROM (SELECT m.*, min(frame_id) OVER (PARTITION BY vx,vy,vz) AS owner FROM (
- SELECT frame_id, CAST(floor(x) AS BIGINT) AS vx, CAST(floor(y) AS BIGINT) AS vy, CAST(floor(z) AS BIGINT) AS vz, sum(ln((0.4+0.01*(pt_id%20))/(1-(0.4+0.01*(pt_id%20))))) AS l FROM p WHERE frame_id<8 GROUP BY 1,2,3,4) m) q
- WHERE owner IN (SELECT frame_id FROM (SELECT frame_id, avg(CASE WHEN frame_id=owner THEN 1.0 ELSE 0.0 END) AS sh FROM (SELECT frame_id, min(frame_id) OVER (PARTITION BY floor(x),floor(y),floor(z)) AS owner, row_number() OVER (PARTITION BY frame_id,floor(x),floor(y),floor(z) ORDER BY pt_id) AS one FROM p WHERE frame_id<8) z WHERE one=1 GROUP BY 1) s WHERE sh<0.5 OR frame_id=0) GROUP BY 1,2,3,4""", "points"))
+ SELECT frame_id, CAST(floor(x) AS BIGINT) AS vx, CAST(floor(y) AS BIGINT) AS vy, CAST(floor(z) AS BIGINT) AS vz, sum(ln((0.4+0.01*(pt_id%20))/(1-(0.4+0.01*(pt_id%20))))) AS l FROM p GROUP BY 1,2,3,4) m) q
+ WHERE owner IN (SELECT frame_id FROM (SELECT frame_id, avg(CASE WHEN frame_id=owner THEN 1.0 ELSE 0.0 END) AS sh FROM (SELECT frame_id, min(frame_id) OVER (PARTITION BY floor(x),floor(y),floor(z)) AS owner, row_number() OVER (PARTITION BY frame_id,floor(x),floor(y),floor(z) ORDER BY pt_id) AS one FROM p) z WHERE one=1 GROUP BY 1) s WHERE sh<0.5 OR frame_id=0) GROUP BY 1,2,3,4""", "points"))
 def fused_map(spark, sf_dir):
-    k = points(spark, sf_dir).where("frame_id < 8").withColumn("prob", 0.4 + 0.01 * (F.col("pt_id") % 20))
+    k = points(spark, sf_dir).withColumn("prob", 0.4 + 0.01 * (F.col("pt_id") % 20))
     out = change.fuse_map(k.select("frame_id", "pt_id", "x", "y", "z", "prob"), 1.0)
     return grid.cells(out, 1.0).select(*grid.CELL, "owner", "seen", *r5("change_prob"))
 
@@ -132,14 +128,14 @@ def _off_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r1_register")
 def register_frames(spark, sf_dir):
-    q, t = all_pairs(spark, sf_dir)
+    q, t = frames_pair(spark, sf_dir)
     out = register.register(q, t, _off_poses(spark, sf_dir), rounds=4)
     return out.select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz")), "n")
 
 
 @query("r2_register_deskewed")
 def register_deskewed(spark, sf_dir):
-    q, t = all_pairs(spark, sf_dir)
+    q, t = frames_pair(spark, sf_dir)
     still = F.struct(*(F.lit(1.0 if n == "qw" else 0.0).alias(n) for n in POSE))
     windows = q.select(F.col("frame_id").alias("window_id")).distinct().select("window_id", *(still.alias(f"c{k}") for k in range(5)))
     on = q.withColumns({"window_id": F.col("frame_id"), "ratio": F.col("pt_id") % 100 / 100.0})
@@ -149,7 +145,7 @@ def register_deskewed(spark, sf_dir):
 
 @query("r3_register_clouds")
 def register_clouds(spark, sf_dir):
-    q, t = all_pairs(spark, sf_dir)
+    q, t = frames_pair(spark, sf_dir)
     return register.register_clouds(q, t, _off_poses(spark, sf_dir)).select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz")))
 
 
@@ -157,8 +153,8 @@ def register_clouds(spark, sf_dir):
 def quality(spark, sf_dir):
     from scanfuse.operators.project import cauchy_weight
 
-    q, t = all_pairs(spark, sf_dir)
-    _, near = five_with_places(spark, sf_dir, all_pairs)
+    q, t = frames_pair(spark, sf_dir)
+    _, near = five_with_places(spark, sf_dir)
     eq = stats.normal_equations(register.plane_residuals(q, stats.neighbour_planes(near), cauchy_weight(F.col("r"))), ["frame_id"])
     out = register.quality(neighbors.overlap(q, t, 0.2), neighbors.fitness(q, t, 1.0), eq)
     return out.select("frame_id", "n", "n_new", *r5("share_new", "fitness", "mean_cost"), "bad")
@@ -204,14 +200,15 @@ def adjust(spark, sf_dir):
     return posegraph.adjust(*_graph(spark, sf_dir)).select("session_id", "frame_id", (F.round("tx", 4) + 0.0).alias("tx"), (F.round("ty", 4) + 0.0).alias("ty"))
 
 
-@query("g9_reassemble", oracle("SELECT p.pt_id, round(x*cos(0.02*frame_id)-y*sin(0.02*frame_id)+tx,5) AS x FROM p JOIN ps USING (frame_id) WHERE frame_id%10<3", "points", "poses"))
+@query("g9_reassemble", oracle("SELECT p.pt_id, round(x*cos(0.02*frame_id)-y*sin(0.02*frame_id)+tx,5) AS x FROM p JOIN ps USING (frame_id)", "points", "poses"))
 def reassemble(spark, sf_dir):
-    return posegraph.reassemble(points(spark, sf_dir).where("frame_id % 10 < 3"), poses(spark, sf_dir)).select("pt_id", *r5("x"))
+    return posegraph.reassemble(points(spark, sf_dir), poses(spark, sf_dir)).select("pt_id", *r5("x"))
 
 
 # streams: the given tables, written to the shared folder in parts and read back as a stream
-def _streamed(df: DataFrame, label: str, parts: int = 2) -> tuple[DataFrame, str]:
-    on = staged(df.repartition(parts), label)
+def _streamed(df: DataFrame, label: str, parts: int = 2, key: str | None = None) -> tuple[DataFrame, str]:
+    """df as a stream of about `parts` files; rows of one key stay in one file."""
+    on = staged(df.repartition(parts, *([key] if key else [])), label)
     path = on.inputFiles()[0].rsplit("/", 1)[0]
     return jobs.source(df.sparkSession, path, df.schema.simpleString()[7:-1].replace(":", " ")), f"{shared_dir(df.sparkSession)}/{label}-out-{path.rsplit('-', 1)[-1]}"
 
@@ -226,8 +223,8 @@ def _collected(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
 
 @query("x1_frame_stream", oracle("SELECT frame_id, row_id, col_id, round(rng,5) AS rng, pt_id FROM img", "points", "pixels"))
 def frame_stream(spark, sf_dir):
-    frames = points(spark, sf_dir).select("frame_id", "pt_id", "x", "y", "z", "intensity").repartition("frame_id")  # a frame never splits
-    src, out = _streamed(frames, "frames", 1)
+    frames = points(spark, sf_dir).select("frame_id", "pt_id", "x", "y", "z", "intensity")
+    src, out = _streamed(frames, "frames", 4, "frame_id")  # a frame never splits
     jobs.run(src, jobs.frames_sink(ROOM, out + "/products"), out + "/check").awaitTermination()
     return spark.read.parquet(out + "/products/image").select("frame_id", "row_id", "col_id", *r5("rng"), "pt_id")
 

@@ -9,7 +9,7 @@ from scanfuse.functions.profile import PROFILES
 from scanfuse.operators import cluster, grid, select
 from scanfuse.operators import scanline as S
 from scanfuse.operators.project import project
-from scanfuse.plans.maps import all_pairs, five_with_places
+from scanfuse.plans.maps import frames_pair, five_with_places
 from scanfuse.plans.registry import query
 from scanfuse.sources.fixture import oracle, points, r5
 
@@ -170,7 +170,7 @@ def feature_clusters(spark, sf_dir):
 def plane_ids(spark, sf_dir):
     from scanfuse.operators import stats
 
-    _, near = five_with_places(spark, sf_dir, all_pairs)
+    _, near = five_with_places(spark, sf_dir)
     good = stats.neighbour_planes(near, 0.02).where("valid").select("q_id")
     return cluster.plane_ids(near.join(good, "q_id", "left_semi"))
 

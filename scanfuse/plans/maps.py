@@ -55,21 +55,16 @@ def restart_segments(spark, sf_dir):
     return asof.segments(e).select("s", "event_id", "segment")
 
 
-# neighbour joins: frames that end in 1 look for the points of the frame before
+# neighbour joins: every frame looks for the points of the frame before in its session
 def frames_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = points(spark, sf_dir).select("frame_id", "pt_id", "x", "y", "z")
-    q = p.where("frame_id % 10 = 1").withColumn("map_key", F.col("frame_id") - 1)
-    return q, p.where("frame_id % 10 = 0").withColumnRenamed("frame_id", "map_key")
-
-
-def all_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every frame looks for the points of the frame before in its session; the queries whose SQL takes one pair a session use frames_pair."""
     p = points(spark, sf_dir).select("frame_id", "pt_id", "x", "y", "z")
     q = p.where("frame_id % 10 <> 0").withColumn("map_key", F.col("frame_id") - 1)
     return q, p.where("frame_id % 10 <> 9").withColumnRenamed("frame_id", "map_key")
 
 
-_PAIRS = """q AS (SELECT frame_id, pt_id, x, y, z FROM p WHERE frame_id%10=1), t AS (SELECT frame_id+1 AS map_for, pt_id, x, y, z FROM p WHERE frame_id%10=0),
+
+
+_PAIRS = """q AS (SELECT frame_id, pt_id, x, y, z FROM p WHERE frame_id%10<>0), t AS (SELECT frame_id+1 AS map_for, pt_id, x, y, z FROM p WHERE frame_id%10<>9),
 pr AS (SELECT q.frame_id, q.pt_id AS q_id, t.pt_id AS t_id, (q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+(q.z-t.z)*(q.z-t.z) AS d2, t.x AS tx, t.y AS ty, t.z AS tz FROM q JOIN t ON t.map_for=q.frame_id AND t.x BETWEEN q.x-1 AND q.x+1 AND t.y BETWEEN q.y-1 AND q.y+1),
 nn AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, t_id) AS nr FROM pr WHERE d2 < 1.0), nk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY q_id) AS have FROM nn WHERE nr<=5) w WHERE have=5)"""
 
@@ -110,8 +105,8 @@ def fitness(spark, sf_dir):
     return neighbors.fitness(*frames_pair(spark, sf_dir), 1.0).select("frame_id", *r5("fitness"), "matched")
 
 
-def five_with_places(spark: SparkSession, sf_dir: str, pairs=frames_pair) -> tuple[DataFrame, DataFrame]:
-    q, t = pairs(spark, sf_dir)
+def five_with_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q, t = frames_pair(spark, sf_dir)
     return q, neighbors.nearest(q, t, 5, 1.0, complete=True)
 
 
@@ -132,7 +127,7 @@ def planes(spark, sf_dir):
 
 @query("a10_lines")
 def lines(spark, sf_dir):
-    return stats.neighbour_lines(five_with_places(spark, sf_dir, all_pairs)[1]).select("q_id", "is_line", *r5("cx", "cy", "cz", "ax", "ay", "az"))
+    return stats.neighbour_lines(five_with_places(spark, sf_dir)[1]).select("q_id", "is_line", *r5("cx", "cy", "cz", "ax", "ay", "az"))
 
 
 @query("a15_normal_equations", oracle("""SELECT frame_id, round(sum(w*nx*nx),3)+0.0 AS h33, round(sum(w*ny*ny),3)+0.0 AS h44, round(sum(w*(y*nz-z*ny)*(y*nz-z*ny)),2)+0.0 AS h00, round(sum(w*nx*r),3)+0.0 AS g3, count(*) AS n FROM (
@@ -249,14 +244,14 @@ def capped_voxels(spark, sf_dir):
     return grid.capped_voxels(points(spark, sf_dir), 1.0, 10, far=9.0).select("pt_id")
 
 
-_OCC = """ry AS (SELECT p.frame_id, x, y, z, tx, ty, tz, sqrt((x-tx)*(x-tx)+(y-ty)*(y-ty)+(z-tz)*(z-tz)) AS d FROM p JOIN ps USING (frame_id) WHERE frame_id%10<2),
+_OCC = """ry AS (SELECT p.frame_id, x, y, z, tx, ty, tz, sqrt((x-tx)*(x-tx)+(y-ty)*(y-ty)+(z-tz)*(z-tz)) AS d FROM p JOIN ps USING (frame_id)),
 en AS (SELECT DISTINCT frame_id, CAST(floor(x) AS BIGINT) AS vx, CAST(floor(y) AS BIGINT) AS vy, CAST(floor(z) AS BIGINT) AS vz FROM ry WHERE d<=50),
 fr AS (SELECT DISTINCT frame_id, CAST(floor(tx+u*(x-tx)) AS BIGINT) AS vx, CAST(floor(ty+u*(y-ty)) AS BIGINT) AS vy, CAST(floor(tz+u*(z-tz)) AS BIGINT) AS vz FROM (SELECT *, k*0.7/d AS u FROM (SELECT *, unnest(range(0, greatest(CAST(floor((d-1)/0.7) AS INT),0)+1)) AS k FROM ry WHERE d<=50) a) b),
 od AS (SELECT vx, vy, vz, greatest(-2.0, least(3.5, sum(o))) AS log_odds FROM (SELECT vx,vy,vz,0.85 AS o FROM en UNION ALL SELECT vx,vy,vz,-0.4 FROM fr ANTI JOIN en USING (frame_id,vx,vy,vz)) w GROUP BY 1,2,3)"""
 
 
 def occupancy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.occupancy(points(spark, sf_dir).where("frame_id % 10 < 2"), poses(spark, sf_dir), 1.0, 0.7)
+    return grid.occupancy(points(spark, sf_dir), poses(spark, sf_dir), 1.0, 0.7)
 
 
 @query("a18_occupancy", oracle("SELECT vx, vy, vz, round(CAST(log_odds AS DOUBLE),5) AS log_odds FROM od", "points", "poses", _OCC))
@@ -269,9 +264,9 @@ def occupied_points(spark, sf_dir):
     return grid.occupied_points(points(spark, sf_dir), occupancy_grid(spark, sf_dir), 1.0, 0.5).select("pt_id")
 
 
-@query("c3_visible_voxels", oracle("SELECT frame_id*1000+k AS ray_id, round(min(t),5) AS t FROM (SELECT frame_id, k, i*0.5::DOUBLE AS t, CAST(floor(tx+i*0.5::DOUBLE*cos(radians(k*2.0::DOUBLE))) AS BIGINT) AS vx, CAST(floor(ty+i*0.5::DOUBLE*sin(radians(k*2.0::DOUBLE))) AS BIGINT) AS vy, CAST(floor(tz) AS BIGINT) AS vz FROM ps, range(180) r(k), range(1,41) s(i) WHERE frame_id%10=0) q JOIN od USING (vx,vy,vz) WHERE 1/(1+exp(-log_odds)) >= 0.5 GROUP BY 1", "points", "poses", _OCC))
+@query("c3_visible_voxels", oracle("SELECT frame_id*1000+k AS ray_id, round(min(t),5) AS t FROM (SELECT frame_id, k, i*0.5::DOUBLE AS t, CAST(floor(tx+i*0.5::DOUBLE*cos(radians(k*2.0::DOUBLE))) AS BIGINT) AS vx, CAST(floor(ty+i*0.5::DOUBLE*sin(radians(k*2.0::DOUBLE))) AS BIGINT) AS vy, CAST(floor(tz) AS BIGINT) AS vz FROM ps, range(180) r(k), range(1,41) s(i)) q JOIN od USING (vx,vy,vz) WHERE 1/(1+exp(-log_odds)) >= 0.5 GROUP BY 1", "points", "poses", _OCC))
 def visible_voxels(spark, sf_dir):
-    rays = poses(spark, sf_dir).where("frame_id % 10 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(179))))
+    rays = poses(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(179))))
     a = F.radians(F.col("k") * 2.0)
     rays = rays.select((F.col("frame_id") * 1000 + F.col("k")).cast("long").alias("ray_id"), "tx", "ty", "tz", F.cos(a).alias("dx"), F.sin(a).alias("dy"), F.lit(0.0).alias("dz"))
     return grid.visible_voxels(rays, occupancy_grid(spark, sf_dir), 1.0, 0.5, 20.0).select("ray_id", *r5("t"))
@@ -292,7 +287,7 @@ def merge_moments(spark, sf_dir):
 
 @query("a21_align_pairs")
 def align_pairs(spark, sf_dir):
-    q, t = all_pairs(spark, sf_dir)
+    q, t = frames_pair(spark, sf_dir)
     near = neighbors.nearest(q, t, 1, 1.0).join(q.select(F.col("pt_id").alias("q_id"), "frame_id"), "q_id")
     return stats.align_pairs(near, "frame_id").select("frame_id", "n", *((F.round(n, 4) + 0.0).alias(n) for n in ("tx", "ty", "tz")))
 
@@ -348,9 +343,9 @@ def distinct_labels(spark, sf_dir):
     return points(spark, sf_dir).select("frame_id", "ring").distinct()
 
 
-@query("k2_by_azimuth", oracle("SELECT pt_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY az, pt_id) AS INT) AS order_by_az FROM p WHERE az BETWEEN 1 AND 89", "points"))
+@query("k2_by_azimuth", oracle("SELECT pt_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY az, pt_id) AS INT) AS order_by_az FROM p", "points"))
 def by_azimuth(spark, sf_dir):
-    p = points(spark, sf_dir).where("az BETWEEN 1 AND 89")
+    p = points(spark, sf_dir)
     turned = p.withColumns({"x": F.cos(F.radians(F.col("az") * 2.0 - 180.0)), "y": F.sin(F.radians(F.col("az") * 2.0 - 180.0))})
     return select.by_azimuth(turned).select("pt_id", F.col("order").alias("order_by_az"))
 

@@ -30,9 +30,9 @@ def build_map(spark, sf_dir):
     return pointcloud.build_map(poses(spark, sf_dir), timed(spark, sf_dir), 10.0).select("frame_id", "pt_id", *r5("x", "y", "z"))
 
 
-@query("s8_flatten_packets", oracle("SELECT frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY pt_id)-1 AS INT) AS pos, pt_id, round(x,5) AS x, intensity FROM p QUALIFY pos < 2000", "points"))
+@query("s8_flatten_packets", oracle("SELECT frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY pt_id)-1 AS INT) AS pos, pt_id, round(x,5) AS x, intensity FROM p QUALIFY pos < 32000", "points"))
 def flatten_packets(spark, sf_dir):
-    return pointcloud.flatten_packets(pointcloud.livox_packets(points(spark, sf_dir)), most=2000).select("frame_id", "pos", "pt_id", *r5("x"), "intensity")
+    return pointcloud.flatten_packets(pointcloud.livox_packets(points(spark, sf_dir))).select("frame_id", "pos", "pt_id", *r5("x"), "intensity")
 
 
 @query("p1_spherical", oracle("SELECT pt_id, round(sqrt(x*x+y*y+z*z),5) AS rng, round(degrees(atan2(x,y)),5) AS azimuth, round(degrees(atan2(z,sqrt(x*x+y*y))),5) AS elevation FROM p", "points"))
@@ -204,14 +204,14 @@ def control_poses(spark, sf_dir):
     return T.control_poses(on).select("session_id", "window_id", "no", *r5(*T.POSE))
 
 
-@query("t10_deskew", oracle("""SELECT pt_id, w.window_id, round(x + 0.2*w.f0 + 0.2*(w1 + 2*(1-w0-w1-w3-w4) + 3*w3 + 4*w4),5) AS x FROM (SELECT *, CASE WHEN u<0.5 THEN (1-2*u)*(1-2*u)*(1-2*u) ELSE 0 END AS w0,
+@query("t10_deskew", oracle("""SELECT pt_id, w.session_id, w.window_id, round(x + 0.2*w.f0 + 0.2*(w1 + 2*(1-w0-w1-w3-w4) + 3*w3 + 4*w4),5) AS x FROM (SELECT *, CASE WHEN u<0.5 THEN (1-2*u)*(1-2*u)*(1-2*u) ELSE 0 END AS w0,
  CASE WHEN u<0.5 THEN 2*u*(1-2*u)*(1-2*u)+2*u*(1-u)*(1-2*u)+2*u*(1-u)*(1-u) ELSE 2*(1-u)*(1-u)*(1-u) END AS w1, CASE WHEN u<0.5 THEN 2*u*u*u ELSE 2*(1-u)*(2*u-1)*(2*u-1)+2*(1-u)*u*(2*u-1)+2*(1-u)*u*u END AS w3,
- CASE WHEN u<0.5 THEN 0 ELSE (2*u-1)*(2*u-1)*(2*u-1) END AS w4 FROM (SELECT *, (pt_id%101)/100.0 AS u FROM p) a) b JOIN win w ON w.session_id=0 AND w.f0 = b.frame_id WHERE b.frame_id < 10""", "points", "poses", _WIN))
+ CASE WHEN u<0.5 THEN 0 ELSE (2*u-1)*(2*u-1)*(2*u-1) END AS w4 FROM (SELECT *, (pt_id%101)/100.0 AS u FROM p) a) b JOIN win w ON w.f0 = b.frame_id""", "points", "poses", _WIN))
 def deskew(spark, sf_dir):
     p = poses(spark, sf_dir)
-    starts = T.windows_of(p).where("no = 0 AND session_id = 0").select("frame_id", "window_id")
-    on = points(spark, sf_dir).join(starts, "frame_id").withColumn("ratio", F.col("pt_id") % 101 / 100.0).select("window_id", "pt_id", "x", "y", "z", "ratio")
-    return T.deskew(on, _windows(spark, sf_dir, False).where("session_id = 0").drop("session_id")).select("pt_id", "window_id", *r5("x"))
+    starts = T.windows_of(p).where("no = 0").select("frame_id", "session_id", "window_id")
+    on = points(spark, sf_dir).join(starts, "frame_id").withColumn("ratio", F.col("pt_id") % 101 / 100.0).select("session_id", "window_id", "pt_id", "x", "y", "z", "ratio")
+    return T.deskew(on, _windows(spark, sf_dir, False), ("session_id", "window_id")).select("pt_id", "session_id", "window_id", *r5("x"))
 
 
 @query("t11_keyframes_greedy")
