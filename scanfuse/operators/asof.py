@@ -34,3 +34,16 @@ def segments(frames: DataFrame, key: str = "s") -> DataFrame:
     """frames (key, ts, bad) with `segment`: a bad frame starts a new one."""
     w = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return frames.withColumn("segment", F.sum(F.col("bad").cast("int")).over(w).cast("int"))
+
+
+def late_counts(rows: DataFrame, allowed: int, key: str = "s", chunk: int = 100_000) -> DataFrame:
+    """Per key: rows (key, event_id in order of arrival, ts in ms), and how many come more than `allowed` after a later time has been seen.
+
+    Arrivals are cut into chunks by event_id; a chunk starts from the latest time of those before it, so a long stream is many tasks' work.
+    """
+    cut = rows.withColumn("chunk", F.floor(F.col("event_id") / chunk))
+    over = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(key, "chunk").agg(F.max("ts").alias("top")).select(key, "chunk", F.max("top").over(over).alias("before"))
+    inner = Window.partitionBy(key, "chunk").orderBy("event_id")
+    seen = cut.join(tops, [key, "chunk"]).withColumn("latest", F.greatest(F.max("ts").over(inner), "before"))
+    return seen.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("ts") < F.col("latest") - allowed).alias("n_late"))

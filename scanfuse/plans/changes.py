@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfuse.functions.profile import PROFILES
-from scanfuse.operators import change, grid, neighbors, posegraph, register, stats
+from scanfuse.operators import asof, change, grid, neighbors, posegraph, register, stats
 from scanfuse.operators.components import shared_dir, staged
 
 from scanfuse.operators.trajectory import POSE
@@ -229,6 +229,20 @@ def frame_stream(spark, sf_dir):
     return spark.read.parquet(out + "/products/image").select("frame_id", "row_id", "col_id", *r5("rng"), "pt_id")
 
 
+@query("s6_stream_topic", oracle("SELECT event_id, user_id, round(value,5) AS value FROM events"))
+def stream_topic(spark, sf_dir):
+    """The events through a stream source and sink, several batches."""
+    src, out = _streamed(read(spark, sf_dir, "events").select("event_id", "user_id", "value"), "topic", 4)
+    return _collected(src, out).select("event_id", "user_id", *r5("value"))
+
+
+@query("x3_late_rows", oracle("SELECT s, count(*) AS n, count(*) FILTER (WHERE late) AS n_late FROM (SELECT user_id%5 AS s, t < max(t) OVER (PARTITION BY user_id%5 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 50 AS late FROM (SELECT user_id, event_id, event_id*100+((event_id*37)%13-6)*30 AS t FROM events) q) w GROUP BY 1"))
+def late_rows(spark, sf_dir):
+    """Of each stream its rows and those that come over 50 ms after a later one."""
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("s"), "event_id", (F.col("event_id") * 100 + (F.col("event_id") * 37 % 13 - 6) * 30).alias("ts"))
+    return asof.late_counts(e, 50)
+
+
 @query("x4_hopping", oracle("SELECT s, w AS start_ms, count(*) AS n FROM (SELECT user_id%5 AS s, unnest([event_id*100 - event_id*100%200, event_id*100 - event_id*100%200 - 200, event_id*100 - event_id*100%200 - 400]) AS w, event_id*100 AS t FROM events) q WHERE t >= w AND t < w+500 GROUP BY 1,2"))
 def hopping(spark, sf_dir):
     e = read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("s"), F.timestamp_millis(F.col("event_id") * 100).alias("ts"), "value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from scanfuse.functions import geom as G
 from scanfuse.functions.profile import PROFILES
 from scanfuse.operators import project as P
 from scanfuse.operators import trajectory as T
+from scanfuse.operators.components import shared_dir
 from scanfuse.plans.registry import query
 from scanfuse.sources import pointcloud
 from scanfuse.sources.fixture import oracle, points, poses, r5
@@ -30,6 +33,27 @@ def build_map(spark, sf_dir):
     return pointcloud.build_map(poses(spark, sf_dir), timed(spark, sf_dir), 10.0).select("frame_id", "pt_id", *r5("x", "y", "z"))
 
 
+@query("s1_read_pcd", oracle("SELECT CAST(frame_id AS DOUBLE) AS ts, row_number() OVER (PARTITION BY frame_id ORDER BY pt_id)-1 AS pt_id, round(CAST(CAST(x AS FLOAT) AS DOUBLE),4) AS x, round(CAST(CAST(z AS FLOAT) AS DOUBLE),4) AS z, CAST(intensity AS DOUBLE) AS intensity FROM p", "points"))
+def read_pcd(spark, sf_dir):
+    """Every frame as a PCD file and back."""
+    return pointcloud.decode_pcd(pointcloud.encode_pcd(points(spark, sf_dir))).select("ts", "pt_id", F.round("x", 4).alias("x"), F.round("z", 4).alias("z"), "intensity")
+
+
+@query("s2_map_sink", oracle("SELECT CAST(floor(x/8.0) AS INT) AS tile_x, CAST(floor(y/8.0) AS INT) AS tile_y, count(*) AS n, round(sum(z),4)+0.0 AS z FROM p GROUP BY 1,2", "points"))
+def map_sink(spark, sf_dir):
+    out = f"{shared_dir(spark)}/map-{uuid.uuid4().hex}"
+    pointcloud.write_map(points(spark, sf_dir).select("pt_id", "x", "y", "z"), out, 8.0)
+    return spark.read.parquet(out).groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"), (F.round(F.sum("z"), 4) + 0.0).alias("z"))
+
+
+@query("s3_trajectory_source", oracle("SELECT frame_id, round(ty,5) AS tx, round(tz,5) AS ty, round(tx,5) AS tz, round(qz,5) AS qy FROM ps", "poses"))
+def trajectory_source(spark, sf_dir):
+    """Trajectory text, its axes turned."""
+    out = f"{shared_dir(spark)}/turned-{uuid.uuid4().hex}"
+    pointcloud.write_trajectory(poses(spark, sf_dir), out)
+    return pointcloud.read_trajectory(spark, out, switch=True).select(F.round(F.col("ts") * 10).cast("int").alias("frame_id"), *r5("tx", "ty", "tz", "qy"))
+
+
 @query("s8_flatten_packets", oracle("SELECT frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY pt_id)-1 AS INT) AS pos, pt_id, round(x,5) AS x, intensity FROM p QUALIFY pos < 32000", "points"))
 def flatten_packets(spark, sf_dir):
     return pointcloud.flatten_packets(pointcloud.livox_packets(points(spark, sf_dir))).select("frame_id", "pos", "pt_id", *r5("x"), "intensity")

@@ -41,8 +41,8 @@ def parse_pcd(content: bytes) -> pd.DataFrame:
     return pd.DataFrame({c: data.get(c, np.zeros(n)) for c in _COLUMNS})
 
 
-def read_pcd(spark: SparkSession, path: str) -> DataFrame:
-    """path, ts (the number in the file's name, if it is one), pt_id, x, y, z, intensity of the PCD files under path. One file is one row of work."""
+def decode_pcd(files: DataFrame) -> DataFrame:
+    """path, ts (the number in the file's name, if it is one), pt_id, x, y, z, intensity of files (path, content). One file is one row of work."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -52,11 +52,24 @@ def read_pcd(spark: SparkSession, path: str) -> DataFrame:
                 out.insert(0, "path", name)
                 yield out
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcd").load(path).select("path", "content")
-    rows = files.mapInPandas(decode, "path string, pt_id long, x double, y double, z double, intensity double")
+    rows = files.select("path", "content").mapInPandas(decode, "path string, pt_id long, x double, y double, z double, intensity double")
     return rows.withColumn("ts", F.expr(r"try_cast(regexp_extract(path, '([0-9]+([.][0-9]+)?)[.]pcd$', 1) AS double)"))
 
 
+def read_pcd(spark: SparkSession, path: str) -> DataFrame:
+    """As decode_pcd, of the PCD files under path."""
+    return decode_pcd(spark.read.format("binaryFile").option("pathGlobFilter", "*.pcd").load(path))
+
+
+def encode_pcd(points: DataFrame, key: str = "frame_id") -> DataFrame:
+    """path (`<key>.pcd`) and content of one PCD file per key, its points by pt_id; a scan is what a sensor bounds."""
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"path": [f"{pdf[key].iloc[0]}.pcd"], "content": [pcd_bytes(pdf.sort_values("pt_id"))]})
+
+    return points.select(key, "pt_id", *_COLUMNS).groupBy(key).applyInPandas(encode, "path string, content binary")
+
+
 def pcd_bytes(points: pd.DataFrame, binary: bool = True) -> bytes:
     n = len(points)
     head = f"# .PCD v0.7\nVERSION 0.7\nFIELDS x y z intensity\nSIZE 4 4 4 4\nTYPE F F F F\nCOUNT 1 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA {'binary' if binary else 'ascii'}\n"
@@ -65,10 +78,10 @@ def pcd_bytes(points: pd.DataFrame, binary: bool = True) -> bytes:
     return head.encode() + body
 
 
-def write_map(points: DataFrame, path: str, tile: float = 100.0) -> None:
-    """Points as Parquet, one folder per tile of the plane."""
+def write_map(points: DataFrame, path: str, tile: float = 100.0, files: int = 8) -> None:
+    """Points as Parquet, one folder per tile of the plane, each written as up to `files` files, so that a crowded tile is not one task's work."""
     tiles = points.withColumns({"tile_x": F.floor(F.col("x") / tile).cast("int"), "tile_y": F.floor(F.col("y") / tile).cast("int")})
-    tiles.repartition("tile_x", "tile_y").write.partitionBy("tile_x", "tile_y").mode("overwrite").parquet(path)
+    tiles.repartition("tile_x", "tile_y", F.pmod(F.xxhash64("x", "y", "z"), F.lit(files))).write.partitionBy("tile_x", "tile_y").mode("overwrite").parquet(path)
 
 
 def read_trajectory(spark: SparkSession, path: str, switch: bool = False) -> DataFrame:
