@@ -104,10 +104,7 @@ def pick_features(curved: DataFrame, cols: int, edge: float = 0.1, surf: float =
 
 
 def livox_features(points: DataFrame, line: str = "line_id", order: str = "pt_id") -> DataFrame:
-    """Per point of a Livox line: left and right five-point curvature, angle between the two sides, and the labels surf, corner, outlier, break.
-
-    Every point is tested. A side is flat below 0.001 of the squared depth; a corner lies between two flat sides at an angle over 30°.
-    """
+    """Per point of a Livox line: depth, the sums of the four neighbours on either side less the point (left_curv, right_curv), the angle's cosine between the sides and the gaps."""
     w = Window.partitionBy("frame_id", line).orderBy(order)
     lag, lead = (lambda a, k: F.lag(a, k).over(w)), (lambda a, k: F.lead(a, k).over(w))
 
@@ -117,21 +114,86 @@ def livox_features(points: DataFrame, line: str = "line_id", order: str = "pt_id
 
     left_dir = tuple(sum((lag(a, k) for k in range(2, 5)), lag(a, 1)) / 4 - F.col(a) for a in _XYZ)
     right_dir = tuple(sum((lead(a, k) for k in range(2, 5)), lead(a, 1)) / 4 - F.col(a) for a in _XYZ)
-    depth = G.norm(*map(F.col, _XYZ))
     gap = [G.distance(G.vec(), tuple(g(a, 1) for a in _XYZ)) for g in (lag, lead)]
-    on = points.withColumns({"depth": depth, "left_curv": curve(lag), "right_curv": curve(lead), "cos_sides": G.dot(left_dir, right_dir) / (G.norm(*left_dir) * G.norm(*right_dir)), "gap_left": gap[0], "gap_right": gap[1]})
-    flat_l, flat_r = F.col("left_curv") < 0.01 * F.col("depth"), F.col("right_curv") < 0.01 * F.col("depth")
-    outlier = (F.col("gap_left") > 0.1 * F.col("depth")) & (F.col("gap_right") > 0.1 * F.col("depth"))
-    broken = (F.col("gap_left") > 0.1 * F.col("depth")) | (F.col("gap_right") > 0.1 * F.col("depth"))
+    cos = G.dot(left_dir, right_dir) / F.greatest(G.norm(*left_dir) * G.norm(*right_dir), F.lit(_TINY))
+    return points.withColumns({"depth": G.norm(*map(F.col, _XYZ)), "left_curv": curve(lag), "right_curv": curve(lead), "cos_sides": cos, "gap_left": gap[0], "gap_right": gap[1]})
+
+
+_TINY = 1e-12
+
+
+def _toward(k: int) -> G.Vec:
+    """The unit vector from a point to the one k places on (before it: negative), of the columns that livox_labels adds."""
+    v = tuple(F.col(f"b{k}.{a}") - F.col(a) for a in _XYZ)
+    size = F.greatest(G.norm(*v), F.lit(_TINY))
+    return tuple(p / size for p in v)  # type: ignore[return-value]
+
+
+def _between(side: int, reach: int) -> G.Vec:
+    """The mean direction of the next `reach` points of a side, the farther the weightier."""
+    units = [(k, _toward(side * k)) for k in range(1, reach + 1)]
+    return tuple(sum((k * u[i] for k, u in units[1:]), units[0][1][i]) / (reach * (reach + 1) / 2) for i in range(3))  # type: ignore[return-value]
+
+
+def _cosine(a: G.Vec, b: G.Vec) -> Column:
+    return F.abs(G.dot(a, b)) / F.greatest(G.norm(*a) * G.norm(*b), F.lit(_TINY))
+
+
+def _spread(side: int) -> list[Column]:
+    """The covariance (xx, xy, xz, yy, yz, zz) of the point and the three beside it."""
+    four = [G.vec(), *(tuple(F.col(f"b{side * k}.{a}") for a in _XYZ) for k in (1, 2, 3))]
+    total = lambda i, j: sum((p[i] * p[j] for p in four[1:]), four[0][i] * four[0][j]) / 4
+    mean = [sum((p[i] for p in four[1:]), four[0][i]) / 4 for i in range(3)]
+    return [total(i, j) - mean[i] * mean[j] for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]
+
+
+def livox_labels(points: DataFrame, line: str = "line_id", order: str = "pt_id", corners_in_surf: bool = False) -> DataFrame:
+    """Adds label, is_corner and is_surf to the points of Livox lines; every point is tested.
+
+    bend of a point: squared length of its four neighbours' sum (two a side) less four times itself. Rules, the first that holds:
+    outlier: both gaps over 0.1 of the depth. break: the gaps differ by over 0.1; the four points on the side of the smaller gap lie on a line and are evenly
+    spaced (largest step under twice the smallest), that side's fourth neighbour is within 0.05 of the depth and not along the beam (cosine under 0.8), the
+    point across the gap is farther, and the two sides' mean directions over three points have a cosine under 0.8; where only this last fails, other.
+    corner: the bends two places before and after are under 0.01, the sides' directions over four points have a cosine under 0.5 and the fourth neighbours
+    are over 0.05 away. surf: the bend is under 0.001. Else other. Points with fewer than five on a side can be surf with three a side, or edge_of_line.
+    """
+    w = Window.partitionBy("frame_id", line).orderBy(order)
+    here = F.struct(*_XYZ)
+    steps = [*range(-4, 0), *range(1, 5)]
+    on = points.withColumns({**{f"b{k}": F.lead(here, k).over(w) for k in steps}, "before": F.row_number().over(w) - 1, "all": F.count("*").over(Window.partitionBy("frame_id", line))})
+    on = on.withColumn("after", F.col("all") - F.col("before") - 1)
+    bend = sum((G.dot(v, v) for v in [tuple(F.col(f"b-2.{a}") + F.col(f"b-1.{a}") + F.col(f"b1.{a}") + F.col(f"b2.{a}") - 4 * F.col(a) for a in _XYZ)]), F.lit(0.0))
+    on = on.withColumn("bend", bend).withColumns({"bend_l": F.lag("bend", 2).over(w), "bend_r": F.lead("bend", 2).over(w)})
+    for side, name in ((-1, "l"), (1, "r")):  # in steps, so that no expression holds another one many times
+        on = on.withColumns({f"{name}{k}": v for k, v in enumerate(_spread(side))})
+        on = on.withColumns(dict(zip((f"{name}_short", f"{name}_mid", f"{name}_long"), G.eigenvalues(*(F.col(f"{name}{k}") for k in range(6))))))
+    on = on.withColumns({f"cos{k}": _cosine(_between(-1, k), _between(1, k)) for k in (3, 4)})
+    depth = G.norm(*G.vec())
+    far = {k: tuple(F.col(f"b{k}.{a}") for a in _XYZ) for k in (-4, -3, -2, -1, 1, 2, 3, 4)}
+    gap_l, gap_r = G.distance(far[-1], G.vec()), G.distance(far[1], G.vec())
+
+    def breaks(side: int) -> Column:
+        steps = [G.distance(G.vec(), far[side]), G.distance(far[side], far[2 * side]), G.distance(far[2 * side], far[3 * side])]
+        away = tuple(F.col(f"b{4 * side}.{a}") - F.col(a) for a in _XYZ)
+        even = F.greatest(*steps) < 2 * F.least(*steps)
+        return (F.col("l_long" if side < 0 else "r_long") > 100 * F.col("l_mid" if side < 0 else "r_mid")) & even & (G.norm(*away) < 0.05 * depth) & (_cosine(away, G.vec()) < 0.8) & (G.norm(*far[-side]) > G.norm(*far[side]))
+
+    inside = (F.col("before") >= 5) & (F.col("after") >= 5)
+    flat = F.col("bend") < 0.001
+    candidate = (F.abs(gap_r - gap_l) > 0.1) & F.when(gap_r > gap_l, breaks(-1)).otherwise(breaks(1))
+    corner = (F.col("bend_l") < 0.01) & (F.col("bend_r") < 0.01) & (F.col("cos4") < 0.5) & (G.distance(far[-4], G.vec()) > 0.05) & (G.distance(far[4], G.vec()) > 0.05)
     label = (
-        F.when(F.col("left_curv").isNull() | F.col("right_curv").isNull(), "edge_of_line")
-        .when(outlier, "outlier")
-        .when(broken, "break")
-        .when(flat_l & flat_r & (F.abs(F.col("cos_sides")) < 0.87), "corner")
-        .when(flat_l & flat_r, "surf")
+        F.when(~inside & flat & (F.col("before") >= 3) & (F.col("after") >= 3), "surf")
+        .when(~inside, "edge_of_line")
+        .when((gap_l > 0.1 * depth) & (gap_r > 0.1 * depth), "outlier")
+        .when(candidate, F.when(F.col("cos3") < 0.8, "break").otherwise("other"))
+        .when(corner, "corner")
+        .when(flat, "surf")
         .otherwise("other")
     )
-    return on.withColumn("label", label)
+    out = on.withColumn("label", label).withColumn("is_corner", F.col("label").isin("break", "corner"))
+    surf = F.col("label") == "surf"
+    return out.select(*points.columns, "label", "is_corner", (surf | F.col("is_corner") if corners_in_surf else surf).alias("is_surf"))
 
 
 def line_segments(image: DataFrame, factor: float = 1.06, jump: float = 9.0) -> DataFrame:

@@ -82,9 +82,9 @@ def neighbour_planes(neighbours: DataFrame, limit: float = 0.2) -> DataFrame:
 
 
 def neighbour_lines(neighbours: DataFrame, reach: float = 0.1) -> DataFrame:
-    """Line of each query's neighbours: centre, direction and the points ±reach along it; is_line if l3 > 3·l2."""
+    """Line of each query's neighbours: centre, direction, axes (as eigenvectors) and the points ±reach along it; is_line if l3 > 3·l2."""
     pca = eigenvectors(shape_class(principal(moments(neighbours, ["q_id"], ("tx", "ty", "tz")))))
-    out = pca.select("q_id", "is_line", *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), *(F.col("axes")[6 + k].alias("d" + a) for k, a in enumerate("xyz")))
+    out = pca.select("q_id", "is_line", "axes", *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), *(F.col("axes")[6 + k].alias("d" + a) for k, a in enumerate("xyz")))
     return out.withColumns({f"{side}{a}": F.col("c" + a) + sign * reach * F.col("d" + a) for side, sign in (("a", 1.0), ("b", -1.0)) for a in "xyz"})
 
 
@@ -137,7 +137,7 @@ def adaptive_planes(points: DataFrame, root: float = 1.0, ratio: float = 9.0, le
 
 
 def align_pairs(pairs: DataFrame, key: str, keep: float = 0.8) -> DataFrame:
-    """Rotation (nine numbers) and translation that move the queries (qx, qy, qz) of each group onto their targets (tx, ty, tz), by the closest `keep` of the pairs.
+    """Rotation (nine numbers) and translation that move the queries (qx, qy, qz) of each group onto their targets (tx, ty, tz), by the closest `keep` of the pairs, with the number n of these and the sum of their d2 (energy).
 
     Sums of the trimmed pairs are columns; one call decomposes the 3 × 3 matrices of a batch of groups.
     """
@@ -145,13 +145,13 @@ def align_pairs(pairs: DataFrame, key: str, keep: float = 0.8) -> DataFrame:
 
     w = Window.partitionBy(key)
     near = pairs.withColumns({"nr": F.row_number().over(w.orderBy("d2", "q_id", "t_id")), "all": F.count("*").over(w)}).where(F.col("nr") <= F.ceil(F.col("all") * keep))
-    sums = near.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(s + a).alias("m" + s + a) for s in "qt" for a in "xyz"), *(F.sum(F.col("q" + a) * F.col("t" + b)).alias(f"s{a}{b}") for a in "xyz" for b in "xyz"))
+    sums = near.groupBy(key).agg(F.count("*").alias("n"), F.sum("d2").alias("energy"), *(F.avg(s + a).alias("m" + s + a) for s in "qt" for a in "xyz"), *(F.sum(F.col("q" + a) * F.col("t" + b)).alias(f"s{a}{b}") for a in "xyz" for b in "xyz"))
     h = [F.col(f"s{a}{b}") - F.col("n") * F.col("mq" + a) * F.col("mt" + b) for a in "xyz" for b in "xyz"]
     out = sums.withColumn("rot", _kabsch(F.array(*h)))
     r = [F.col("rot")[k] for k in range(9)]
     q, t = G.vec("mq"), G.vec("mt")
     moved = [t[k] - (r[3 * k] * q[0] + r[3 * k + 1] * q[1] + r[3 * k + 2] * q[2]) for k in range(3)]
-    return out.select(key, "n", "rot", *(m.alias(n) for m, n in zip(moved, ("tx", "ty", "tz"))))
+    return out.select(key, "n", "energy", "rot", *(m.alias(n) for m, n in zip(moved, ("tx", "ty", "tz"))))
 
 
 @F.pandas_udf(_NUMBERS)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanfuse.functions import geom as G
 from scanfuse.functions.profile import PROFILES
-from scanfuse.operators import asof, change, grid, neighbors, posegraph, register, stats
+from scanfuse.operators import asof, change, grid, neighbors, posegraph, register, scanline, stats, trajectory
 from scanfuse.operators.components import shared_dir, staged
 
 from scanfuse.operators.trajectory import POSE
-from scanfuse.plans.maps import frames_pair, five_with_places
+from scanfuse.plans.lines import COLS, image
+from scanfuse.plans.maps import _PAIRS, _PLANE, five_with_places, frames_pair, solid
 from scanfuse.plans.registry import query
 from scanfuse.sources.fixture import oracle, points, poses, r5, read
 from scanfuse.streaming import jobs
@@ -122,8 +127,13 @@ def match_surfels(spark, sf_dir):
 # registration: frames against the frame before in their session, from a pose that is off
 def _off_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = poses(spark, sf_dir).where("frame_id % 10 <> 0").select("frame_id")
-    zero = F.lit(0.0)
-    return f.select("frame_id", F.lit(0.08).alias("tx"), F.lit(-0.05).alias("ty"), zero.alias("tz"), zero.alias("qx"), zero.alias("qy"), F.sin(F.lit(0.005)).alias("qz"), F.cos(F.lit(0.005)).alias("qw"))
+    return f.select("frame_id", *_off())
+
+
+def _off() -> list[Column]:
+    """A pose that is a little off its place."""
+    at = {"tx": 0.08, "ty": -0.05, "qz": math.sin(0.005), "qw": math.cos(0.005)}
+    return [F.lit(at.get(n, 0.0)).alias(n) for n in POSE]
 
 
 @query("r1_register")
@@ -133,13 +143,45 @@ def register_frames(spark, sf_dir):
     return out.select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz")), "n")
 
 
+@query("r1_register_edges")
+def register_edges(spark, sf_dir):
+    """As r1_register, with the sharpest pixels of each sector as edge points beside the rest."""
+    q, t = frames_pair(spark, sf_dir)
+    sharp = scanline.ranked_features(scanline.curvature(image(spark, sf_dir)).where("curvature IS NOT NULL"), COLS).where("sharp_rank <= 4").select("pt_id")
+    out = register.register(q, t, _off_poses(spark, sf_dir), rounds=4, edges=q.join(sharp, "pt_id", "left_semi"), edge_map=t.join(sharp, "pt_id", "left_semi"), edge_rounds=2)
+    return out.select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz")), "n")
+
+
+def moving_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points as a moving sensor saw them (frame_id the window, map_key the session, ratio the time in it), the windows' control poses, and each session's map.
+
+    Five frames are a window. A point's own time is its frame's and a share of the time to the next; the true pose then is on the line of the given poses.
+    The sensor knows only the five poses of the window, from which the control poses come.
+    """
+    p = poses(spark, sf_dir)
+    five = F.floor(F.col("frame_id") / 5.0).cast("int")
+    no = (F.col("frame_id") % 5).cast("int")
+    whole = p.groupBy(five.alias("window_id")).agg(F.count("*").alias("n")).where("n = 5").select("window_id")
+    data = p.select("session_id", five.alias("window_id"), no.alias("no"), (no / 4.0).alias("u"), *POSE).join(whole, "window_id")
+    knots = trajectory.control_poses(data.withColumn("window_id", F.col("window_id").cast("long")))
+    control = knots.groupBy("window_id").agg(*(F.max(F.when(F.col("no") == k, F.struct(*POSE))).alias(f"c{k}") for k in range(5)))
+    on = points(spark, sf_dir).withColumn("window_id", five).join(whole, "window_id").withColumn("ratio", F.least(no / 4.0 + F.col("pt_id") % 100 / 400.0, F.lit(1.0)))
+    f = 5.0 * F.col("window_id") + 4.0 * F.col("ratio")
+    q = (F.lit(0.0), F.lit(0.0), F.sin(0.01 * f), F.cos(0.01 * f))
+    seen = G.rotate(G.conj(q), (F.col("x") - 0.2 * f, F.col("y") - 0.05 * f, F.col("z")))
+    session = F.floor(F.col("frame_id") / 10.0).cast("int")
+    sensor = on.select(F.col("window_id").alias("frame_id"), "window_id", session.alias("map_key"), "pt_id", *(v.alias(a) for v, a in zip(seen, "xyz")), "ratio")
+    room = grid.voxel_centroids(points(spark, sf_dir).withColumn("map_key", session), 0.4, keys=("map_key",))
+    number = sum((F.col(v) + 4096) * F.lit(8192**k).cast("long") for k, v in enumerate(grid.CELL))
+    return sensor, control, room.select("map_key", number.alias("pt_id"), "x", "y", "z")
+
+
 @query("r2_register_deskewed")
 def register_deskewed(spark, sf_dir):
-    q, t = frames_pair(spark, sf_dir)
-    still = F.struct(*(F.lit(1.0 if n == "qw" else 0.0).alias(n) for n in POSE))
-    windows = q.select(F.col("frame_id").alias("window_id")).distinct().select("window_id", *(still.alias(f"c{k}") for k in range(5)))
-    on = q.withColumns({"window_id": F.col("frame_id"), "ratio": F.col("pt_id") % 100 / 100.0})
-    out = register.register_deskewed(on, windows, t, _off_poses(spark, sf_dir), rounds=2)
+    """Windows of a moving sensor, de-skewed by their splines and registered to their session's map."""
+    sensor, windows, room = moving_windows(spark, sf_dir)
+    off = windows.select(F.col("window_id").cast("int").alias("frame_id"), *_off())
+    out = register.register_deskewed(sensor, windows, room, off, rounds=3)
     return out.select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz")), "n")
 
 
@@ -149,15 +191,18 @@ def register_clouds(spark, sf_dir):
     return register.register_clouds(q, t, _off_poses(spark, sf_dir)).select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz")))
 
 
-@query("r4_quality")
+@query("r4_quality", oracle("""SELECT o.frame_id, o.n, o.n_new, round(o.n_new*1.0/o.n,5) AS share_new, round(f.fitness,5) AS fitness, round(e.mean_cost,4)+0.0 AS mean_cost, o.n_new*1.0/o.n > 0.5 OR coalesce(f.fitness, 1e9) > 0.15 AS bad
+ FROM (SELECT frame_id, count(*) AS n, count(*) FILTER (WHERE pt_id NOT IN (SELECT q_id FROM pr WHERE d2<0.04)) AS n_new FROM q GROUP BY 1) o
+ LEFT JOIN (SELECT frame_id, avg(d2) AS fitness FROM nn WHERE nr=1 GROUP BY 1) f ON f.frame_id=o.frame_id
+ LEFT JOIN (SELECT frame_id, sum(r*r/(1+r*r/0.01))/count(*) AS mean_cost FROM (SELECT q.frame_id, q.x*g.nx+q.y*g.ny+q.z*g.nz+g.d AS r FROM q JOIN (SELECT q_id, nx, ny, nz, d FROM pl JOIN nk USING (q_id) GROUP BY ALL HAVING max(abs(nx*tx+ny*ty+nz*tz+d)) <= 0.02) g ON g.q_id=q.pt_id) v GROUP BY 1) e ON e.frame_id=o.frame_id""", "points", _PAIRS, _PLANE.replace("1e-6", "1e-3")))
 def quality(spark, sf_dir):
     from scanfuse.operators.project import cauchy_weight
 
     q, t = frames_pair(spark, sf_dir)
     _, near = five_with_places(spark, sf_dir)
-    eq = stats.normal_equations(register.plane_residuals(q, stats.neighbour_planes(near), cauchy_weight(F.col("r"))), ["frame_id"])
+    eq = stats.normal_equations(register.plane_residuals(q, stats.neighbour_planes(solid(near), 0.02), cauchy_weight(F.col("r"))), ["frame_id"])
     out = register.quality(neighbors.overlap(q, t, 0.2), neighbors.fitness(q, t, 1.0), eq)
-    return out.select("frame_id", "n", "n_new", *r5("share_new", "fitness", "mean_cost"), "bad")
+    return out.select("frame_id", "n", "n_new", *r5("share_new", "fitness"), (F.round("mean_cost", 4) + 0.0).alias("mean_cost"), "bad")
 
 
 # pose graphs
@@ -256,6 +301,36 @@ def status_stream(spark, sf_dir):
     return jobs.status(spark, out + "/sums").select("pt_id", *r5("change_prob"))
 
 
+def _in_order(df: DataFrame, label: str, first: str, files: int = 4) -> tuple[DataFrame, str]:
+    """df as a stream of two batches: the rows that `first` holds for, then the others."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for cut in (first, f"NOT ({first})"):
+        df.where(cut).repartition(files).write.mode("append").parquet(path)
+    return jobs.source(df.sparkSession, path, df.schema.simpleString()[7:-1].replace(":", " "), files), path + "-out"
+
+
+@query("x5_tile_map", oracle("""SELECT session_id, vx, vy, vz, n, round(x,5) AS x, round(y,5) AS y, round(z,5) AS z FROM (
+ SELECT session_id, vx, vy, vz, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z, max(epoch) AS epoch, max(f) AS f FROM (
+ SELECT *, sum(fresh) OVER (PARTITION BY session_id, epoch, vx, vy, vz ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM (
+ SELECT *, CASE WHEN f - lag(f) OVER (PARTITION BY session_id, epoch, vx, vy, vz ORDER BY f) > 2 THEN 1 ELSE 0 END AS fresh FROM vo) a) b GROUP BY session_id, epoch, vx, vy, vz, part) c
+ JOIN (SELECT session_id, max(epoch) AS le, max(f) AS lf FROM vo GROUP BY 1) l USING (session_id) WHERE epoch = le AND f >= lf - 2""", "points", """vo AS (SELECT CAST(floor(frame_id/10.0) AS INT) AS session_id, frame_id AS f, CASE WHEN frame_id%10>=6 THEN 1 ELSE 0 END AS epoch,
+ CAST(floor(x) AS BIGINT) AS vx, CAST(floor(y) AS BIGINT) AS vy, CAST(floor(z) AS BIGINT) AS vz, x, y, z FROM p)"""))
+def tile_map(spark, sf_dir):
+    """Each session's map of the last two frames' time, from a stream in two batches; the sixth frame begins a new map."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    f = F.col("frame_id")
+    on = points(spark, sf_dir).select(F.floor(f / 10.0).cast("int").alias("session_id"), f.cast("double").alias("ts"), "x", "y", "z", (f % 10 >= 6).cast("long").alias("epoch"), (f % 10).alias("no"))
+    src, out = _in_order(on, "tiles", "no < 5")
+    return jobs.current_map(_collected(jobs.tile_map(src, 1.0, 2.0), out, "update"), 2.0).select("session_id", "vx", "vy", "vz", "n", *r5("x", "y", "z"))
+
+
+@query("x8_snapshots", oracle("SELECT snapshot, pt_id, round(1/(1+exp(-sum(s) OVER (PARTITION BY pt_id ORDER BY snapshot))),5) AS change_prob FROM (SELECT CAST(CASE WHEN frame_id%10<5 THEN 0 ELSE 1 END AS BIGINT) AS snapshot, ref_id AS pt_id, sum(ln(ref_prob/(1-ref_prob))) AS s FROM lo GROUP BY 1,2) q", "points", _SCENE))
+def status_snapshots(spark, sf_dir):
+    src, out = _in_order(_observed(spark, sf_dir), "snapshots", "frame_id % 10 < 5")
+    jobs.run(src, jobs.status_sink(out + "/sums"), out + "/check").awaitTermination()
+    return jobs.snapshots(spark, out + "/sums").select("snapshot", "pt_id", *r5("change_prob"))
+
+
 @query("x2_sync_stream", oracle("SELECT c.s AS l_s, c.event_id AS l_id, o.odom_id AS r_id FROM (SELECT user_id%5 AS s, event_id, event_id*100 AS t FROM events) c JOIN (SELECT user_id%5 AS s, event_id AS odom_id, event_id*100+((event_id*37)%13-6)*10 AS t FROM events WHERE event_id%17<>0) o ON c.s=o.s AND o.t BETWEEN c.t-50 AND c.t+50"))
 def sync_stream(spark, sf_dir):
     e = read(spark, sf_dir, "events")

@@ -67,7 +67,7 @@ def livox_features(spark, sf_dir):
 
 @query("w4_livox_labels")
 def livox_labels(spark, sf_dir):
-    return S.livox_features(image(spark, sf_dir), "row_id", "col_id").select("pt_id", "label")
+    return S.livox_labels(image(spark, sf_dir), "row_id", "col_id").select("pt_id", "label")
 
 
 @query("w5_segments", oracle("SELECT pt_id, segment FROM sg", "points", "pixels", _SEG))
@@ -166,6 +166,11 @@ def feature_clusters(spark, sf_dir):
     return cluster.feature_clusters(image(spark, sf_dir), COLS).select("frame_id", "label", "n", "rows", "kept")
 
 
+@query("g2_surf_clusters")
+def surf_clusters(spark, sf_dir):
+    return cluster.feature_clusters(image(spark, sf_dir), COLS, kind="surf").select("frame_id", "label", "n", "rows", "kept")
+
+
 @query("c10_plane_ids")
 def plane_ids(spark, sf_dir):
     from scanfuse.operators import stats

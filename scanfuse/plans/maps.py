@@ -110,6 +110,13 @@ def five_with_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return q, neighbors.nearest(q, t, 5, 1.0, complete=True)
 
 
+def solid(near: DataFrame, least: float = 1e-3) -> DataFrame:
+    """Neighbours of the queries whose five are not near a plane through the origin, where a plane's equation has no stable solution."""
+    sums = stats.moments(near, ["q_id"], ("tx", "ty", "tz"))
+    det = G.det3(*(F.col("s" + p) for p in ("xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz")))
+    return near.join(sums.where(F.abs(det) > least).select("q_id"), "q_id", "left_semi")
+
+
 _PLANE = """s AS (SELECT q_id, count(*) AS n, sum(tx) AS sx, sum(ty) AS sy, sum(tz) AS sz, sum(tx*tx) AS sxx, sum(tx*ty) AS sxy, sum(tx*tz) AS sxz, sum(ty*ty) AS syy, sum(ty*tz) AS syz, sum(tz*tz) AS szz FROM nk GROUP BY 1),
 dt AS (SELECT *, sxx*(syy*szz-syz*syz)-sxy*(sxy*szz-syz*sxz)+sxz*(sxy*syz-syy*sxz) AS det FROM s),
 ab AS (SELECT *, -(sx*(syy*szz-syz*syz)-sxy*(sy*szz-syz*sz)+sxz*(sy*syz-syy*sz))/det AS a, -(sxx*(sy*szz-syz*sz)-sx*(sxy*szz-syz*sxz)+sxz*(sxy*sz-sy*sxz))/det AS b, -(sxx*(syy*sz-sy*syz)-sxy*(sxy*sz-sy*sxz)+sx*(sxy*syz-syy*sxz))/det AS c FROM dt WHERE abs(det)>1e-6),
@@ -137,9 +144,7 @@ def normal_equations(spark, sf_dir):
     from scanfuse.operators.register import plane_residuals
 
     q, near = five_with_places(spark, sf_dir)
-    sums = stats.moments(near, ["q_id"], ("tx", "ty", "tz"))
-    det = G.det3(*(F.col("s" + p) for p in ("xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz")))
-    near = near.join(sums.where(F.abs(det) > 1e-3).select("q_id"), "q_id", "left_semi")
+    near = solid(near)
     eq = stats.normal_equations(plane_residuals(q, stats.neighbour_planes(near, 0.02), cauchy_weight(F.col("r"))), ["frame_id"])
     return eq.select("frame_id", *((F.round(n, k) + 0.0).alias(n) for n, k in (("h33", 3), ("h44", 3), ("h00", 2), ("g3", 3))), "n")
 
@@ -292,6 +297,17 @@ def align_pairs(spark, sf_dir):
     return stats.align_pairs(near, "frame_id").select("frame_id", "n", *((F.round(n, 4) + 0.0).alias(n) for n in ("tx", "ty", "tz")))
 
 
+@query("a21_trimmed_alignment")
+def trimmed_alignment(spark, sf_dir):
+    """Every frame moved off its place, and back onto the frame before in its session."""
+    from scanfuse.operators.register import align_trimmed
+
+    q, t = frames_pair(spark, sf_dir)
+    off = q.withColumns({"x": F.col("x") + 0.08, "y": F.col("y") - 0.05})
+    out = align_trimmed(off, t, q.select("frame_id").distinct())
+    return out.select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz", "mean_d2")))
+
+
 @query("a22_hull_overlap")
 def hull_overlap(spark, sf_dir):
     p = transform_points(points(spark, sf_dir), poses(spark, sf_dir)).withColumnRenamed("frame_id", "unit_id")

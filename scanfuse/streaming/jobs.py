@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -126,6 +127,66 @@ def local_map(points: DataFrame, leaf: float = 1.0, keep: float = 20.0) -> DataF
     return points.groupBy("session_id").transformWithStateInPandas(LocalMap(leaf, keep), out, "update", "None")
 
 
+class TileMap(StatefulProcessor):
+    """The voxels of one tile of a session. A voxel starts anew after `keep` seconds without a point, and with every new epoch."""
+
+    def __init__(self, leaf: float = 1.0, keep: float = 20.0):
+        self.leaf, self.keep = leaf, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.voxels = handle.getMapState("voxels", "vx long, vy long, vz long", "epoch long, n long, sx double, sy double, sz double, ts double")
+        self.swept = handle.getValueState("swept", "ts double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["epoch", "ts"])
+        cells = [(new[a] // self.leaf).astype("int64").rename(n) for a, n in zip("xyz", ("vx", "vy", "vz"))]
+        out = []
+        for cell, g in new.groupby(cells):
+            cell = tuple(map(int, cell))
+            was = self.voxels.getValue(cell) if self.voxels.containsKey(cell) else None
+            g = g[g["epoch"] == g["epoch"].max()]
+            epoch, times = int(g["epoch"].iloc[0]), g["ts"].to_numpy()
+            if was is not None and was[0] > epoch:
+                continue  # late, of a map that a bad frame has ended
+            after_gap = np.flatnonzero(np.diff(times) > self.keep)
+            first = int(after_gap[-1]) + 1 if len(after_gap) else 0
+            goes_on = was is not None and was[0] == epoch and not first and times[0] - was[5] <= self.keep
+            old = was[1:] if goes_on else (0, 0.0, 0.0, 0.0, 0.0)
+            g = g.iloc[first:]
+            value = (epoch, int(old[0]) + len(g), *(float(o) + float(g[a].sum()) for o, a in zip(old[1:4], "xyz")), float(max(times[-1], old[4])) if goes_on else float(times[-1]))
+            self.voxels.updateValue(cell, value)
+            out.append((key[0], *cell, epoch, value[1], value[2] / value[1], value[3] / value[1], value[4] / value[1], value[5]))
+        last = float(new["ts"].max())
+        if not self.swept.exists() or self.swept.get()[0] < last - self.keep:
+            self.swept.update((last,))
+            for cell, v in list(self.voxels.iterator()):
+                if v[5] < last - self.keep:
+                    self.voxels.removeKey(cell)
+        yield pd.DataFrame(out, columns=["session_id", "vx", "vy", "vz", "epoch", "n", "x", "y", "z", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+def tile_map(points: DataFrame, leaf: float = 1.0, keep: float = 20.0, tile: int = 8) -> DataFrame:
+    """A session's local map by tiles of `tile` × `tile` voxels: each batch emits the voxels that it changed.
+
+    points: session_id int, ts, x, y, z and epoch, the number of bad frames of the session so far: a bad frame ends the map in all tiles, whether or not
+    they hear of it. Within a session batches come in order of time. A tile sweeps its old voxels at most once in `keep` seconds. Needs the RocksDB state store.
+    """
+    out = "session_id int, vx long, vy long, vz long, epoch long, n long, x double, y double, z double, ts double"
+    at = {f"tile_{a}": F.floor(F.floor(F.col(a) / leaf) / tile) for a in "xy"}
+    on = points.select("session_id", "ts", "x", "y", "z", F.col("epoch").cast("long").alias("epoch")).withColumns(at)
+    return on.groupBy("session_id", "tile_x", "tile_y").transformWithStateInPandas(TileMap(leaf, keep), out, "update", "None")
+
+
+def current_map(changes: DataFrame, keep: float = 20.0) -> DataFrame:
+    """The map as it stands after all changes of tile_map: each voxel's newest state, if of its session's last epoch and last `keep` seconds."""
+    newest = changes.groupBy("session_id", "vx", "vy", "vz").agg(F.max(F.struct("epoch", "ts", "n", "x", "y", "z")).alias("v")).select("session_id", "vx", "vy", "vz", "v.*")
+    last = changes.groupBy("session_id").agg(F.max("epoch").alias("last_epoch"), F.max("ts").alias("last_ts"))
+    return newest.join(last, "session_id").where((F.col("epoch") == F.col("last_epoch")) & (F.col("ts") >= F.col("last_ts") - keep)).drop("last_epoch", "last_ts")
+
+
 def status_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Keeps Σ log-odds per point: each batch (pt_id, prob) writes its sums under its own number, so a repeated batch replaces itself; reading merges them."""
 
@@ -139,3 +200,10 @@ def status_sink(path: str) -> Callable[[DataFrame, int], None]:
 def status(spark: SparkSession, path: str) -> DataFrame:
     """pt_id, change_prob of all batches that status_sink has written."""
     return spark.read.parquet(path).groupBy("pt_id").agg(F.sum("s").alias("s")).select("pt_id", (1 / (1 + F.exp(-F.col("s")))).alias("change_prob"))
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """snapshot, pt_id, change_prob: the points that each batch of status_sink changed, as they stood after it. A snapshot in full is the newest row of each point up to it."""
+    parts = spark.read.parquet(path).select(F.col("batch").cast("long").alias("snapshot"), "pt_id", "s")
+    so_far = F.sum("s").over(Window.partitionBy("pt_id").orderBy("snapshot"))
+    return parts.select("snapshot", "pt_id", (1 / (1 + F.exp(-so_far))).alias("change_prob"))
