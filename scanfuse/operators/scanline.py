@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,9 +126,7 @@ _TINY = 1e-12
 
 def _toward(k: int) -> G.Vec:
     """The unit vector from a point to the one k places on (before it: negative), of the columns that livox_labels adds."""
-    v = tuple(F.col(f"b{k}.{a}") - F.col(a) for a in _XYZ)
-    size = F.greatest(G.norm(*v), F.lit(_TINY))
-    return tuple(p / size for p in v)  # type: ignore[return-value]
+    return tuple((F.col(f"b{k}.{a}") - F.col(a)) / F.col(f"size{k}") for a in _XYZ)  # type: ignore[return-value]
 
 
 def _between(side: int, reach: int) -> G.Vec:
@@ -166,8 +166,19 @@ def livox_labels(points: DataFrame, line: str = "line_id", order: str = "pt_id",
     on = on.withColumn("bend", bend).withColumns({"bend_l": F.lag("bend", 2).over(w), "bend_r": F.lead("bend", 2).over(w)})
     for side, name in ((-1, "l"), (1, "r")):  # in steps, so that no expression holds another one many times
         on = on.withColumns({f"{name}{k}": v for k, v in enumerate(_spread(side))})
-        on = on.withColumns(dict(zip((f"{name}_short", f"{name}_mid", f"{name}_long"), G.eigenvalues(*(F.col(f"{name}{k}") for k in range(6))))))
-    on = on.withColumns({f"cos{k}": _cosine(_between(-1, k), _between(1, k)) for k in (3, 4)})
+        xx, xy, xz, yy, yz, zz = (F.col(f"{name}{k}") for k in range(6))
+        on = on.withColumn(f"{name}_q", (xx + yy + zz) / 3)
+        q, p = F.col(f"{name}_q"), F.col(f"{name}_p")
+        xx, yy, zz = xx - q, yy - q, zz - q
+        on = on.withColumn(f"{name}_p", F.greatest(F.sqrt((xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)) / 6), F.lit(_TINY)))
+        half_det = G.det3(xx, xy, xz, xy, yy, yz, xz, yz, zz) / (2 * p * p * p)
+        on = on.withColumn(f"{name}_phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half_det))) / 3)
+        phi = F.col(f"{name}_phi")
+        on = on.withColumns({f"{name}_long": q + 2 * p * F.cos(phi), f"{name}_mid": q + 2 * p * F.cos(phi - 2 * math.pi / 3)})
+    on = on.withColumns({f"size{k}": F.greatest(G.distance(tuple(F.col(f"b{k}.{a}") for a in _XYZ), G.vec()), F.lit(_TINY)) for k in steps})
+    for k in (3, 4):
+        on = on.withColumns({f"{name}{k}d{a}": v for name, side in (("from", -1), ("to", 1)) for a, v in zip(_XYZ, _between(side, k))})
+        on = on.withColumn(f"cos{k}", _cosine(tuple(F.col(f"from{k}d{a}") for a in _XYZ), tuple(F.col(f"to{k}d{a}") for a in _XYZ)))
     depth = G.norm(*G.vec())
     far = {k: tuple(F.col(f"b{k}.{a}") for a in _XYZ) for k in (-4, -3, -2, -1, 1, 2, 3, 4)}
     gap_l, gap_r = G.distance(far[-1], G.vec()), G.distance(far[1], G.vec())

@@ -1,4 +1,4 @@
-"""Line residuals, trimmed alignment, Livox labels and tiled maps on small fixtures."""
+"""Line residuals, trimmed alignment and tiled maps on small fixtures."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from scanfuse.operators import register, scanline, stats
+from scanfuse.operators import register, stats
 from scanfuse.streaming import jobs
 
 
@@ -34,20 +34,6 @@ def test_trimmed_alignment_finds_the_motion(spark):
     assert got[2]["mean_d2"] is None and got[2]["rounds"] == 0 and got[2]["tx"] == 0
 
 
-def test_livox_labels(spark):
-    # a wall at x = 4 seen slantwise, which ends; behind it another one at x = 8
-    y = np.arange(40) * 0.03
-    x = np.where(np.arange(40) < 20, 4.0, 8.0)
-    pts = pd.DataFrame({"frame_id": 0, "line_id": 0, "pt_id": range(40), "x": x, "y": 4 + y, "z": 0.0})
-    got = scanline.livox_labels(spark.createDataFrame(pts)).toPandas().sort_values("pt_id")["label"].tolist()
-    assert got[19] == "break" and got[8] == "surf" and got[30] == "surf" and got[0] == got[39] == "edge_of_line"
-    pts = pts.assign(x=np.where(pts["pt_id"] < 20, 4.0, 4.0 + (pts["pt_id"] - 19) * 0.05), y=4 + np.minimum(pts["pt_id"], 19) * 0.05)
-    corner = scanline.livox_labels(spark.createDataFrame(pts)).toPandas().sort_values("pt_id")
-    assert corner["label"].tolist()[19] == "corner" and corner["is_corner"].sum() >= 1
-    both = scanline.livox_labels(spark.createDataFrame(pts), corners_in_surf=True).where("is_corner AND NOT is_surf")
-    assert both.isEmpty()
-
-
 def test_tile_map_restarts_voxels_and_maps(spark, tmp_path):
     kinds = "session_id int, ts double, x double, y double, z double, epoch long"
     batches = [[(1, 0.0, 0.5, 0.5, 0.5, 0), (1, 1.0, 0.7, 0.5, 0.5, 0), (1, 1.0, 9.5, 0.5, 0.5, 0)], [(1, 9.0, 0.6, 0.5, 0.5, 0), (1, 9.0, 20.5, 0.5, 0.5, 0)], [(2, 0.0, 0.5, 0.5, 0.5, 0), (2, 1.0, 3.5, 0.5, 0.5, 1)]]
