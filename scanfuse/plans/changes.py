@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scanfuse.functions import geom as G
 from scanfuse.functions.profile import PROFILES
-from scanfuse.operators import asof, change, grid, neighbors, posegraph, register, scanline, stats, trajectory
+from scanfuse.operators import asof, change, grid, neighbors, posegraph, register, scanline, sparse, stats, trajectory
 from scanfuse.operators.components import shared_dir, staged
 
 from scanfuse.operators.trajectory import POSE
@@ -245,6 +245,16 @@ def adjust(spark, sf_dir):
     return posegraph.adjust(*_graph(spark, sf_dir)).select("session_id", "frame_id", (F.round("tx", 4) + 0.0).alias("tx"), (F.round("ty", 4) + 0.0).alias("ty"))
 
 
+@query("g7_adjust_long", oracle("SELECT frame_id, round(tx,4)+0.0 AS tx, round(ty,4)+0.0 AS ty FROM ps", "poses"))
+def adjust_long(spark, sf_dir):
+    """All frames as one session, eliminated by stretches."""
+    p = poses(spark, sf_dir).withColumn("session_id", F.lit(0))
+    edges = posegraph.odometry_edges(p).unionByName(posegraph.window_edges(p)).unionByName(posegraph.unary_edges(p.where("frame_id % 10 = 0"), "prior", 1e-6))
+    drifted = p.withColumns({"tx": F.col("tx") + 0.03 * (F.col("frame_id") % 10), "ty": F.col("ty") - 0.02 * (F.col("frame_id") % 10)})
+    out = sparse.adjust_long(drifted, edges, size=16)
+    return out.select("frame_id", (F.round("tx", 4) + 0.0).alias("tx"), (F.round("ty", 4) + 0.0).alias("ty"))
+
+
 @query("g9_reassemble", oracle("SELECT p.pt_id, round(x*cos(0.02*frame_id)-y*sin(0.02*frame_id)+tx,5) AS x FROM p JOIN ps USING (frame_id)", "points", "poses"))
 def reassemble(spark, sf_dir):
     return posegraph.reassemble(points(spark, sf_dir), poses(spark, sf_dir)).select("pt_id", *r5("x"))
