@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfuse.functions.profile import SensorProfile
@@ -29,6 +29,33 @@ def covisible(reference: DataFrame, keyframes: DataFrame, reach: float = 60.0, l
     return transform_points(near.join(enough, "frame_id", "left_semi"), keyframes, inverse=True)
 
 
+def write_reference(reference: DataFrame, path: str, tile: float = 25.0) -> None:
+    """The reference map (pt_id, x, y, z) as Parquet, a folder for each stretch of `tile` metres in x. Rows are dealt by (tile, pt_id) ranges, so that a crowded tile is several tasks' work."""
+    on = reference.select("pt_id", "x", "y", "z", F.floor(F.col("x") / tile).cast("int").alias("tile_x"))
+    on.repartitionByRange("tile_x", "pt_id").write.partitionBy("tile_x").parquet(path)
+
+
+def covisible_tiles(spark: SparkSession, path: str, keyframes: DataFrame, reach: float = 60.0, least: int = 50_000, tile: float = 25.0, most: int = 10_000) -> DataFrame:
+    """As `covisible`, of a map that write_reference has written: keyframes are joined by folder. Only folders that a keyframe can see are read: their numbers, `most` at the utmost, filter the scan; with more of them every folder is read and the join decides."""
+    number = lambda v: F.floor(v / tile).cast("int")
+    k = keyframes.select("frame_id", F.col("tx").alias("_tx"), F.explode(F.sequence(number(F.col("tx") - reach), number(F.col("tx") + reach))).alias("tile_x"))
+    wanted = [r[0] for r in k.select("tile_x").distinct().limit(most + 1).collect()]
+    ref = spark.read.schema("pt_id long, x double, y double, z double, tile_x int").parquet(path)
+    near = (ref if len(wanted) > most else ref.where(F.col("tile_x").isin(wanted))).join(k, "tile_x")
+    near = near.where(F.col("x").between(F.col("_tx") - reach, F.col("_tx") + reach)).select("frame_id", "pt_id", "x", "y", "z")
+    enough = near.groupBy("frame_id").count().where(F.col("count") >= least).select("frame_id")
+    return transform_points(near.join(enough, "frame_id", "left_semi"), keyframes, inverse=True)
+
+
+def keyframe_changes(current: DataFrame, near: DataFrame, profile: SensorProfile, ratio: float = 0.06, far: float = 100.0) -> DataFrame:
+    """Changes of keyframes of a moving sensor: each one's points against its own view of the reference. Both: frame_id, pt_id, x, y, z in the keyframe's frame; near as covisible gives it.
+
+    A keyframe that sees too little of the reference says nothing: it has no rows.
+    """
+    seen = view(near, profile)
+    return difference(view(current, profile).join(seen.select("frame_id").distinct(), "frame_id", "left_semi"), seen, ratio, far)
+
+
 def view(points: DataFrame, profile: SensorProfile, keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     """The view-traced cloud: the front surface that the sensor sees, one point per pixel."""
     return grid.nearest_returns(project(points, profile), keys)

@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def staged(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
 

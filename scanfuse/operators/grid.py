@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,19 +62,47 @@ def capped_voxels(points: DataFrame, leaf: float, cap: int, centre: tuple[float,
     return cells(near, leaf).withColumn("nr", F.row_number().over(w)).where(F.col("nr") <= cap).drop("nr")
 
 
-def occupancy(points: DataFrame, origins: DataFrame, leaf: float, step: float, hit: float = 0.85, miss: float = -0.4, low: float = -2.0, high: float = 3.5, far: float = 50.0) -> DataFrame:
+def crossed(segments: DataFrame, leaf: float, keep: tuple[str, ...]) -> DataFrame:
+    """The voxels that each segment from (tx, ty, tz) to (x, y, z) passes: the columns to keep, vx, vy, vz and u, the share of the way at which the segment enters the voxel.
+
+    Exact: a segment enters a voxel where it crosses a plane of the grid. All crossings of the three axes, sorted, cut it into pieces, and a piece's middle names its voxel. Pieces shorter than 1e-12 of the way,
+    as at an edge or corner, name none.
+    """
+    ends = {v: (F.col("t" + v) / leaf, F.col(v) / leaf) for v in "xyz"}
+    cuts = [F.array(F.lit(0.0), F.lit(1.0))]
+    for a, b in ends.values():
+        lo, hi = F.floor(F.least(a, b)) + 1, F.ceil(F.greatest(a, b)) - 1
+        cuts.append(F.when(lo <= hi, F.transform(F.sequence(lo, hi), _share(a, b))).otherwise(F.array().cast("array<double>")))
+    on = segments.select(*keep, *(e.alias(f"_{k}{v}") for v, (a, b) in ends.items() for k, e in (("a", a), ("b", b - a))), F.array_sort(F.concat(*cuts)).alias("_cuts"))
+    n = F.size("_cuts") - 1
+    on = on.withColumn("_piece", F.explode(F.arrays_zip(F.slice("_cuts", 1, n).alias("u"), F.slice("_cuts", 2, n).alias("w"))))
+    u, w = F.col("_piece.u"), F.col("_piece.w")
+    return on.where(w - u > 1e-12).select(*keep, *(F.floor(F.col("_a" + v) + (u + w) / 2 * F.col("_b" + v)).cast("long").alias(c) for v, c in zip("xyz", CELL)), u.alias("u"))
+
+
+def _share(a: Column, b: Column) -> Callable[[Column], Column]:
+    return lambda k: (k - a) / (b - a)
+
+
+def occupancy(points: DataFrame, origins: DataFrame, leaf: float, step: float | None, hit: float = 0.85, miss: float = -0.4, low: float = -2.0, high: float = 3.5, far: float = 50.0) -> DataFrame:
     """vx, vy, vz, log_odds: voxels that ray ends hit and voxels that rays cross, each once per frame; a voxel hit in a frame is not missed in it.
 
-    Rays are sampled every `step` metres from the frame's origin (frame_id, tx, ty, tz), ends excluded. Sums are clamped once at the end, so order does not matter.
+    Rays start at the frame's origin (frame_id, tx, ty, tz). They are sampled every `step` metres, ends excluded; without a step every voxel that a ray passes is found. Sums are clamped once at the end, so order does not matter.
     """
     ray = points.join(origins.select("frame_id", "tx", "ty", "tz"), "frame_id")
     d = G.distance(G.vec(), G.vec("t"))
     ray = ray.withColumn("d", d).where(F.col("d") <= far)
     ends = cells(ray, leaf).select("frame_id", *CELL).distinct()
+    if step is None:
+        every = crossed(ray, leaf, ("frame_id",)).drop("u").distinct()
+        return _log_odds(ends, every.join(ends, ["frame_id", *CELL], "left_anti"), hit, miss, low, high)
     k = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.col("d") - leaf) / step).cast("int"), F.lit(0))))
     sample = ray.select("frame_id", "x", "y", "z", "tx", "ty", "tz", "d", k.alias("k")).withColumn("u", F.col("k") * step / F.col("d"))
     sample = sample.select("frame_id", *(F.floor((F.col("t" + a) + F.col("u") * (F.col(a) - F.col("t" + a))) / leaf).cast("long").alias(v) for a, v in zip(("x", "y", "z"), CELL))).distinct()
-    free = sample.join(ends, ["frame_id", *CELL], "left_anti")
+    return _log_odds(ends, sample.join(ends, ["frame_id", *CELL], "left_anti"), hit, miss, low, high)
+
+
+def _log_odds(ends: DataFrame, free: DataFrame, hit: float, miss: float, low: float, high: float) -> DataFrame:
     odds = ends.withColumn("o", F.lit(hit)).unionByName(free.withColumn("o", F.lit(miss)))
     return odds.groupBy(*CELL).agg(F.greatest(F.lit(low), F.least(F.lit(high), F.sum("o"))).alias("log_odds"))
 
@@ -83,9 +113,12 @@ def occupied_points(points: DataFrame, grid: DataFrame, leaf: float, least: floa
     return cells(points, leaf).join(full, CELL, "left_semi").drop(*CELL)
 
 
-def visible_voxels(rays: DataFrame, grid: DataFrame, leaf: float, step: float, far: float, least: float = 0.5) -> DataFrame:
-    """The first occupied voxel along each ray (ray_id, tx, ty, tz, dx, dy, dz of length 1): ray_id, t. Rays are sampled every `step` metres."""
+def visible_voxels(rays: DataFrame, grid: DataFrame, leaf: float, step: float | None, far: float, least: float = 0.5) -> DataFrame:
+    """The first occupied voxel along each ray (ray_id, tx, ty, tz, dx, dy, dz of length 1): ray_id, t. Rays are sampled every `step` metres; without a step, t is where the ray enters the voxel, and none is missed."""
     full = grid.where(1 / (1 + F.exp(-F.col("log_odds"))) >= least).select(*CELL)
+    if step is None:
+        on = crossed(rays.withColumns({v: F.col("t" + v) + far * F.col("d" + v) for v in "xyz"}), leaf, ("ray_id",))
+        return on.join(full, CELL, "left_semi").groupBy("ray_id").agg((F.min("u") * far).alias("t"))
     s = rays.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(int(far / step))))).withColumn("t", F.col("t") * step)
     s = s.select("ray_id", "t", *(F.floor((F.col("t" + a) + F.col("t") * F.col("d" + a)) / leaf).cast("long").alias(v) for a, v in zip(("x", "y", "z"), CELL)))
     return s.join(full, CELL, "left_semi").groupBy("ray_id").agg(F.min("t").alias("t"))
@@ -93,8 +126,8 @@ def visible_voxels(rays: DataFrame, grid: DataFrame, leaf: float, step: float, f
 
 def recent(points: DataFrame, ts: Column, keep: float = 20.0) -> DataFrame:
     """Map points seen in the last `keep` seconds; the latest time is one number."""
-    last = points.agg(F.max(ts)).first()[0]
-    return points.where(ts >= F.lit(last) - keep)
+    last = points.agg(F.max(ts).alias("_last"))
+    return points.join(F.broadcast(last), ts >= F.col("_last") - keep).drop("_last")
 
 
 def rolled_submaps(frames: DataFrame, most: int) -> DataFrame:

@@ -136,6 +136,35 @@ def adaptive_planes(points: DataFrame, root: float = 1.0, ratio: float = 9.0, le
     return found
 
 
+def adaptive_features(points: DataFrame, root: float = 1.0, plane: float = 9.0, line: float = 4.0, least: int = 7, layers: int = 5) -> DataFrame:
+    """Planes and lines of points (pt_id, x, y, z, kind: "plane" or "line"), each at the coarsest of `layers` voxel sizes at which it holds: kind, layer, vx, vy, vz, n, l1, l2, l3, cx, cy, cz.
+
+    A voxel of plane points is accepted where its middle eigenvalue is at least `plane` times its smallest, one of line points where its largest is at least `line` times its
+    middle one; the two kinds share the descent and no voxel. The points of the others go on to voxels half the size. A voxel of fewer than `least` points ends.
+    """
+    from scanfuse.operators.grid import CELL, cells
+
+    keys = ["kind", *CELL]
+    rest, found = points.select("pt_id", "x", "y", "z", "kind"), None
+    for layer in range(layers):
+        on = staged(cells(rest, root / 2**layer), "layer")  # read twice: by its sums and by what goes on
+        pca = principal(moments(on, keys)).where(F.col("n") >= least)
+        flat = (F.col("l2") > 1e-9) & (F.col("l2") >= plane * F.greatest(F.col("l1"), F.lit(0.0)))
+        thin = (F.col("l3") > 1e-9) & (F.col("l3") >= line * F.greatest(F.col("l2"), F.lit(0.0)))
+        ok = F.when(F.col("kind") == "line", thin).otherwise(flat)
+        pca = staged(pca.withColumn("ok", ok), "voxels")
+        took = pca.where("ok").select("kind", F.lit(layer).alias("layer"), *CELL, "n", "l1", "l2", "l3", *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), *("cov_" + p for p in _PAIRS))
+        found = took if found is None else found.unionByName(took)
+        rest = on.join(pca.where("NOT ok").select(*keys), keys, "left_semi").select("pt_id", "x", "y", "z", "kind")
+    return found
+
+
+def feature_axes(found: DataFrame) -> DataFrame:
+    """adaptive_features with the unit vector nx, ny, nz: a plane's normal, a line's direction."""
+    first = F.when(F.col("kind") == "line", 6).otherwise(0)
+    return eigenvectors(found).withColumns({"n" + a: F.get("axes", first + k) for k, a in enumerate("xyz")}).drop("axes")
+
+
 def align_pairs(pairs: DataFrame, key: str, keep: float = 0.8) -> DataFrame:
     """Rotation (nine numbers) and translation that move the queries (qx, qy, qz) of each group onto their targets (tx, ty, tz), by the closest `keep` of the pairs, with the number n of these and the sum of their d2 (energy).
 

@@ -96,6 +96,69 @@ def covisible(spark, sf_dir):
     return change.covisible(scene(spark, sf_dir)[1], poses(spark, sf_dir), 6.0, 100).select("frame_id", "pt_id", *r5("x", "y"))
 
 
+# a moving sensor: sessions lie 100 m apart, each keyframe (odd frame) stands at its own pose, and the reference lies in files by tile
+_MOVING = """mk AS (SELECT DISTINCT frame_id, 0.2*(frame_id%10) AS tx, 0.05*(frame_id%10) AS ty, 0.02*(frame_id%10) AS a, CAST(floor(frame_id/10.0) AS INT) AS s FROM p WHERE frame_id%2=1),
+mr AS (SELECT CAST(floor(frame_id/10.0) AS INT) AS s, pt_id, x*m AS x, y*m AS y, z*m AS z FROM (SELECT *, CASE WHEN az BETWEEN 100 AND 107 AND ring>=6 THEN 0.7 ELSE 1.0 END AS m FROM p WHERE frame_id%2=0) q),
+mb AS (SELECT 'cur' AS side, frame_id, pt_id, (x-tx)*cos(a)+(y-ty)*sin(a) AS x, (y-ty)*cos(a)-(x-tx)*sin(a) AS y, z FROM p JOIN mk USING (frame_id)
+ UNION ALL SELECT 'ref', mk.frame_id, pt_id, (x-tx)*cos(a)+(y-ty)*sin(a), (y-ty)*cos(a)-(x-tx)*sin(a), z FROM mr JOIN mk USING (s) WHERE x BETWEEN tx-8 AND tx+8),
+mp AS (SELECT *, CAST(floor((degrees(atan2(z, sqrt(x*x+y*y)))+15.1)/2.0) AS INT) AS row_id, CAST(-round((degrees(atan2(x,y))-90.0)/2.0)+90 AS INT) AS c0, sqrt(x*x+y*y+z*z) AS rng FROM mb),
+mi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, frame_id, row_id, col_id ORDER BY rng, pt_id) AS nr FROM (SELECT *, CASE WHEN c0>=180 THEN c0-180 ELSE c0 END AS col_id FROM mp WHERE degrees(atan2(z, sqrt(x*x+y*y)))+15.1 >= 0 AND row_id BETWEEN 0 AND 15) v) w WHERE nr=1),
+l AS (SELECT *, CASE WHEN cur_rng>100 OR ref_rng>100 THEN 'skip' WHEN cur_rng IS NULL THEN 'unseen' WHEN ref_rng IS NULL THEN 'new' WHEN ref_rng-cur_rng > 0.06*ref_rng THEN 'appeared' WHEN ref_rng-cur_rng < -0.06*ref_rng THEN 'disappeared' ELSE 'static' END AS change_type FROM (
+ SELECT coalesce(c.frame_id,r.frame_id) AS frame_id, coalesce(c.row_id,r.row_id) AS row_id, coalesce(c.col_id,r.col_id) AS col_id, c.rng AS cur_rng, r.rng AS ref_rng, r.pt_id AS ref_id
+ FROM (SELECT * FROM mi WHERE side='cur') c FULL OUTER JOIN (SELECT * FROM mi WHERE side='ref') r ON c.frame_id=r.frame_id AND c.row_id=r.row_id AND c.col_id=r.col_id) j),
+lo AS (SELECT *, CASE change_type WHEN 'disappeared' THEN 0.6 WHEN 'static' THEN 0.4 ELSE 0.5 END AS ref_prob FROM l WHERE ref_id IS NOT NULL)"""
+_TILED: dict[tuple[str, str], str] = {}
+
+
+def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("frame_id") % 10
+    at = {"tx": 100.0 * F.floor(F.col("frame_id") / 10.0) + 0.2 * k, "ty": 0.05 * k, "tz": F.lit(0.0), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.sin(0.01 * k), "qw": F.cos(0.01 * k)}
+    return poses(spark, sf_dir).where("frame_id % 2 = 1").select("frame_id", *(v.alias(n) for n, v in at.items()))
+
+
+def tiled_reference(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the sessions' reference, written by tile once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TILED:
+        _TILED[key] = f"{shared_dir(spark)}/reference-{uuid.uuid4().hex}"
+        m = F.when(F.col("az").between(100, 107) & (F.col("ring") >= 6), 0.7).otherwise(1.0)
+        ref = points(spark, sf_dir).where("frame_id % 2 = 0").select("pt_id", (F.col("x") * m + 100.0 * F.floor(F.col("frame_id") / 10.0)).alias("x"), (F.col("y") * m).alias("y"), (F.col("z") * m).alias("z"))
+        change.write_reference(ref, _TILED[key])
+    return _TILED[key]
+
+
+def moving_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = keyframes(spark, sf_dir)
+    near = change.covisible_tiles(spark, tiled_reference(spark, sf_dir), k, 8.0, 100)
+    world = points(spark, sf_dir).where("frame_id % 2 = 1").select("frame_id", "pt_id", (F.col("x") + 100.0 * F.floor(F.col("frame_id") / 10.0)).alias("x"), "y", "z")
+    return change.keyframe_changes(trajectory.transform_points(world, k, inverse=True), near, ROOM)
+
+
+def _moving_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moving_changes(spark, sf_dir).where("ref_id IS NOT NULL").select(F.col("ref_id").alias("pt_id"), "frame_id", F.col("ref_prob").alias("prob"))
+
+
+@query("c1_tile_covisible", oracle("SELECT frame_id, pt_id, round(x,5) AS x, round(y,5) AS y FROM mb WHERE side='ref'", "points", _MOVING))
+def tile_covisible(spark, sf_dir):
+    near = change.covisible_tiles(spark, tiled_reference(spark, sf_dir), keyframes(spark, sf_dir), 8.0, 100)
+    return near.select("frame_id", "pt_id", *r5("x", "y"))
+
+
+@query("c4_keyframe_difference", oracle("SELECT frame_id, row_id, col_id, change_type, round(cur_rng,5) AS cur_rng, round(ref_rng,5) AS ref_rng FROM l", "points", _MOVING))
+def keyframe_difference(spark, sf_dir):
+    return moving_changes(spark, sf_dir).select("frame_id", "row_id", "col_id", "change_type", *r5("cur_rng", "ref_rng"))
+
+
+@query("c5_keyframe_status", oracle("SELECT ref_id AS pt_id, round(1/(1+exp(-sum(ln(ref_prob/(1-ref_prob))))),5) AS change_prob FROM lo GROUP BY 1", "points", _MOVING))
+def keyframe_status(spark, sf_dir):
+    return change.fuse_status(_moving_observed(spark, sf_dir)).select("pt_id", *r5("change_prob"))
+
+
+@query("c7_keyframe_summary", oracle("SELECT frame_id, change_type, count(*) AS n, min(col_id) AS c_lo, max(col_id) AS c_hi FROM l GROUP BY 1,2", "points", _MOVING))
+def keyframe_summary(spark, sf_dir):
+    return change.summary(moving_changes(spark, sf_dir))
+
+
 @query("c6_fused_map", oracle("""SELECT vx, vy, vz, owner, count(*) AS seen, round(1/(1+exp(-sum(l))),5) AS change_prob FROM (SELECT m.*, min(frame_id) OVER (PARTITION BY vx,vy,vz) AS owner FROM (
  SELECT frame_id, CAST(floor(x) AS BIGINT) AS vx, CAST(floor(y) AS BIGINT) AS vy, CAST(floor(z) AS BIGINT) AS vz, sum(ln((0.4+0.01*(pt_id%20))/(1-(0.4+0.01*(pt_id%20))))) AS l FROM p GROUP BY 1,2,3,4) m) q
  WHERE owner IN (SELECT frame_id FROM (SELECT frame_id, avg(CASE WHEN frame_id=owner THEN 1.0 ELSE 0.0 END) AS sh FROM (SELECT frame_id, min(frame_id) OVER (PARTITION BY floor(x),floor(y),floor(z)) AS owner, row_number() OVER (PARTITION BY frame_id,floor(x),floor(y),floor(z) ORDER BY pt_id) AS one FROM p) z WHERE one=1 GROUP BY 1) s WHERE sh<0.5 OR frame_id=0) GROUP BY 1,2,3,4""", "points"))
@@ -304,6 +367,14 @@ def hopping(spark, sf_dir):
     return jobs.hopping(e).select("s", F.unix_millis("start").alias("start_ms"), "n")
 
 
+@query("x7_keyframe_stream", oracle("SELECT ref_id AS pt_id, round(1/(1+exp(-sum(ln(ref_prob/(1-ref_prob))))),5) AS change_prob FROM lo GROUP BY 1", "points", _MOVING))
+def keyframe_stream(spark, sf_dir):
+    """The moving sensor's observations as a stream of several batches."""
+    src, out = _streamed(_moving_observed(spark, sf_dir), "keyframes", 3)
+    jobs.run(src, jobs.status_sink(out + "/sums"), out + "/check").awaitTermination()
+    return jobs.status(spark, out + "/sums").select("pt_id", *r5("change_prob"))
+
+
 @query("x7_status_stream", oracle("SELECT ref_id AS pt_id, round(1/(1+exp(-sum(ln(ref_prob/(1-ref_prob))))),5) AS change_prob FROM lo GROUP BY 1", "points", _SCENE))
 def status_stream(spark, sf_dir):
     src, out = _streamed(_observed(spark, sf_dir), "status", 3)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,14 @@ def restart_segments(spark, sf_dir):
     return asof.segments(e).select("s", "event_id", "segment")
 
 
+@query("x6_one_stream", oracle("SELECT event_id, CAST(sum(CAST(event_type='error' OR event_id%50=0 AS INT)) OVER w AS INT) AS segment, round(max(value) OVER w,5) AS highest, max(CASE WHEN event_type='error' THEN event_id END) OVER w AS last_error FROM events WINDOW w AS (ORDER BY event_id)"))
+def one_stream(spark, sf_dir):
+    """All events as one long stream: segments, the highest value and the last error so far."""
+    e = read(spark, sf_dir, "events").select(F.lit(0).alias("s"), "event_id", ((F.col("event_type") == "error") | (F.col("event_id") % 50 == 0)).cast("int").alias("bad"), "value", F.when(F.col("event_type") == "error", F.col("event_id")).alias("error_id"))
+    out = asof.scanned(e, "s", "event_id", segment=(F.col("bad"), "sum"), highest=(F.col("value"), "max"), last_error=(F.col("error_id"), "last"))
+    return out.select("event_id", F.col("segment").cast("int").alias("segment"), *r5("highest"), "last_error")
+
+
 # neighbour joins: every frame looks for the points of the frame before in its session
 def frames_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf_dir).select("frame_id", "pt_id", "x", "y", "z")
@@ -277,6 +287,65 @@ def visible_voxels(spark, sf_dir):
     return grid.visible_voxels(rays, occupancy_grid(spark, sf_dir), 1.0, 0.5, 20.0).select("ray_id", *r5("t"))
 
 
+_CROSSED = """sg AS (SELECT frame_id, pt_id, x, y, z, tx, ty, tz FROM p JOIN ps USING (frame_id) WHERE sqrt((x-tx)*(x-tx)+(y-ty)*(y-ty)+(z-tz)*(z-tz))<=50),
+cu AS (SELECT frame_id, pt_id, unnest([0.0::DOUBLE, 1.0::DOUBLE]) AS u FROM sg """ + " ".join(
+    f"UNION ALL SELECT frame_id, pt_id, (unnest(generate_series(CAST(floor(least(t{a},{a})) AS BIGINT)+1, CAST(ceil(greatest(t{a},{a})) AS BIGINT)-1))-t{a})/({a}-t{a}) AS u FROM sg" for a in "xyz"
+) + """),
+mi AS (SELECT frame_id, pt_id, u, (u+nu)/2 AS m FROM (SELECT *, lead(u) OVER (PARTITION BY pt_id ORDER BY u) AS nu FROM cu) q WHERE nu-u > 1e-12),
+fx AS (SELECT DISTINCT frame_id, CAST(floor(tx+m*(x-tx)) AS BIGINT) AS vx, CAST(floor(ty+m*(y-ty)) AS BIGINT) AS vy, CAST(floor(tz+m*(z-tz)) AS BIGINT) AS vz FROM mi JOIN sg USING (frame_id, pt_id)),
+ox AS (SELECT vx, vy, vz, greatest(-2.0, least(3.5, sum(o))) AS log_odds FROM (SELECT vx,vy,vz,0.85 AS o FROM en UNION ALL SELECT vx,vy,vz,-0.4 FROM fx ANTI JOIN en USING (frame_id,vx,vy,vz)) w GROUP BY 1,2,3)"""
+
+
+def exact_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.occupancy(points(spark, sf_dir), poses(spark, sf_dir), 1.0, None)
+
+
+@query("a18_exact_occupancy", oracle("SELECT vx, vy, vz, round(CAST(log_odds AS DOUBLE),5) AS log_odds FROM ox", "points", "poses", _OCC, _CROSSED))
+def exact_occupancy(spark, sf_dir):
+    return exact_grid(spark, sf_dir).select(*grid.CELL, *r5("log_odds"))
+
+
+@query("c8_exact_filter", oracle("SELECT pt_id FROM p JOIN ox ON ox.vx=CAST(floor(x) AS BIGINT) AND ox.vy=CAST(floor(y) AS BIGINT) AND ox.vz=CAST(floor(z) AS BIGINT) WHERE 1/(1+exp(-log_odds)) >= 0.5", "points", "poses", _OCC, _CROSSED))
+def exact_filter(spark, sf_dir):
+    return grid.occupied_points(points(spark, sf_dir), exact_grid(spark, sf_dir), 1.0, 0.5).select("pt_id")
+
+
+@query("c3_exact_visible", oracle("""SELECT ray_id, round(min(lo),4)+0.0 AS t FROM (SELECT ray_id, greatest(0, lx, ly) AS lo, least(20, hx, hy) AS hi FROM (
+ SELECT r.frame_id*1000+k AS ray_id, least((vx-tx)/dx,(vx+1-tx)/dx) AS lx, greatest((vx-tx)/dx,(vx+1-tx)/dx) AS hx, least((vy-ty)/dy,(vy+1-ty)/dy) AS ly, greatest((vy-ty)/dy,(vy+1-ty)/dy) AS hy
+ FROM (SELECT *, cos(radians(k*2.0::DOUBLE+0.7)) AS dx, sin(radians(k*2.0::DOUBLE+0.7)) AS dy FROM ps, range(180) s(k)) r JOIN ox ON ox.vz=CAST(floor(tz) AS BIGINT) AND vx BETWEEN tx-21 AND tx+20 AND vy BETWEEN ty-21 AND ty+20 WHERE 1/(1+exp(-log_odds)) >= 0.5) q) s WHERE hi-lo > 1e-9 GROUP BY 1""", "points", "poses", _OCC, _CROSSED))
+def exact_visible(spark, sf_dir):
+    """Its SQL cuts every ray with every occupied voxel near it, by their faces."""
+    rays = poses(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(179))))
+    a = F.radians(F.col("k") * 2.0 + 0.7)
+    rays = rays.select((F.col("frame_id") * 1000 + F.col("k")).cast("long").alias("ray_id"), "tx", "ty", "tz", F.cos(a).alias("dx"), F.sin(a).alias("dy"), F.lit(0.0).alias("dz"))
+    return grid.visible_voxels(rays, exact_grid(spark, sf_dir), 1.0, None, 20.0).select("ray_id", (F.round("t", 4) + 0.0).alias("t"))
+
+
+def _layers(n: int, root: float) -> str:
+    """Common tables of each layer: its voxels with eigenvalues, and the points that go on."""
+    parts = ["f0 AS (SELECT pt_id, x, y, z, CASE WHEN ring<3 THEN 'line' ELSE 'plane' END AS kind FROM p)"]
+    for k in range(n):
+        size = root / 2**k
+        eig = _EIG.replace("mo WHERE n>=20", f"mo{k} WHERE n>=7")
+        eig = re.sub(r"\b(cv|e\d|ev)\b", rf"\g<1>_{k}", eig)
+        cell = ", ".join(f"CAST(floor({a}/{size}) AS BIGINT) AS v{a}" for a in "xyz")
+        parts += [
+            f"g{k} AS (SELECT *, {cell} FROM f{k})",
+            f"mo{k} AS (SELECT kind, vx, vy, vz, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(x*x) AS sxx, sum(x*y) AS sxy, sum(x*z) AS sxz, sum(y*y) AS syy, sum(y*z) AS syz, sum(z*z) AS szz FROM g{k} GROUP BY 1,2,3,4)",
+            eig,
+            f"ok{k} AS (SELECT *, CASE WHEN kind='line' THEN l3>1e-9 AND l3>=4*greatest(l2,0) ELSE l2>1e-9 AND l2>=9*greatest(l1,0) END AS ok FROM ev_{k})",
+            f"f{k + 1} AS (SELECT pt_id, x, y, z, kind FROM g{k} SEMI JOIN (SELECT kind, vx, vy, vz FROM ok{k} WHERE NOT ok) r USING (kind, vx, vy, vz))",
+        ]
+    return ",\n".join(parts)
+
+
+@query("a19_adaptive_features", oracle(" UNION ALL ".join(f"SELECT kind, CAST({k} AS INT) AS layer, vx, vy, vz, n, round(l2,5) AS l2, round(l3,5) AS l3, round(sx/n,5) AS cx FROM ok{k} WHERE ok" for k in range(3)), "points", _layers(3, 2.0)))
+def adaptive_features(spark, sf_dir):
+    """The lowest three beams as line points, the others as plane points."""
+    p = points(spark, sf_dir).withColumn("kind", F.when(F.col("ring") < 3, "line").otherwise("plane"))
+    return stats.adaptive_features(p, 2.0, layers=3).select("kind", "layer", *grid.CELL, "n", *r5("l2", "l3", "cx"))
+
+
 @query("a19_adaptive_planes")
 def adaptive_planes(spark, sf_dir):
     return stats.adaptive_planes(points(spark, sf_dir), 2.0, layers=3).select("layer", *grid.CELL, "n", *r5("l2", "l3"))
