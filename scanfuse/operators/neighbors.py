@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanfuse.functions import geom as G
+from scanfuse.operators.components import staged
 from scanfuse.operators.grid import CELL, cells
 
 
@@ -39,6 +40,68 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, radius: float, key:
     return pairs
 
 
+def _tree(targets: DataFrame, radius: float, crowd: int, depth: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Targets with the cell they lie in (level, cell), and all cells with their number of points (n) and whether they are split (inner).
+
+    A cell of level l is radius / 2^l wide. One of over `crowd` points is split into eight, down to `depth`; only the points of split cells meet the next level.
+    """
+    rest, placed, known = targets, None, None
+    for level in range(depth + 1):
+        on = cells(rest, radius / 2**level)
+        n = on.groupBy(*keys, *CELL).agg(F.count("*").alias("n")).withColumns({"level": F.lit(level), "inner": (F.col("n") > crowd) if level < depth else F.lit(False)})
+        n = staged(n, "cells")
+        known = n if known is None else known.unionByName(n)
+        split = n.where("inner").select(*keys, *CELL)
+        done = on.join(n.where("NOT inner").select(*keys, *CELL, "level"), [*keys, *CELL])
+        placed = done if placed is None else placed.unionByName(done)
+        if split.isEmpty():
+            break
+        rest = staged(on.join(split, [*keys, *CELL], "left_semi").drop(*CELL), "crowded")
+    return placed, known
+
+
+def nearest_uneven(queries: DataFrame, targets: DataFrame, k: int, radius: float, key: str | None = "map_key", complete: bool = False, crowd: int = 64, depth: int = 12) -> DataFrame:
+    """As `nearest`, for targets of uneven density: no pair is made with a point that k nearer ones are known to precede.
+
+    Cells of over `crowd` points are split (see `_tree`). A query starts from the 27 cells around it and the numbers of points in them: as soon as the cells whose far corners lie within some distance hold k points, cells whose
+    near corners lie farther go. Split cells that are left give way to their parts, level by level, and only the points of what is left in the end meet the query. Of targets at one
+    place only the k of smallest pt_id take part, so that no cell holds more than k copies of a point that no split can part.
+    """
+    keys = [key] if key else []
+    same = Window.partitionBy(*keys, "x", "y", "z").orderBy("pt_id")
+    targets = targets.select(*keys, "pt_id", "x", "y", "z").withColumn("_nr", F.row_number().over(same)).where(F.col("_nr") <= k).drop("_nr")
+    placed, known = _tree(targets, radius, crowd, depth, keys)
+    q = cells(queries, radius).select(*keys, F.col("pt_id").alias("q_id"), *(F.col(a).alias("q" + a) for a in "xyz"), *CELL)
+    step = F.array(*(F.lit(j).cast("long") for j in (-1, 0, 1)))
+    for v in CELL:
+        q = q.withColumn(v, F.explode(F.transform(step, _plus(F.col(v)))))
+    open_ = q.withColumn("level", F.lit(0)).join(known, [*keys, "level", *CELL])
+    size = F.lit(radius) / F.pow(F.lit(2.0), F.col("level"))
+    slack = 1e-9 * (radius + sum((F.abs("q" + a) for a in "yz"), F.abs("qx")))
+    low, high = {}, {}
+    for a, v in zip("xyz", CELL):
+        left, right = F.col(v) * size - F.col("q" + a), (F.col(v) + 1) * size - F.col("q" + a)
+        low[a], high[a] = F.greatest(left, -right, F.lit(0.0)), F.greatest(F.abs(left), F.abs(right))
+    near, far = G.norm(*low.values()) - slack, G.norm(*high.values()) + slack
+    by_far = Window.partitionBy("q_id").orderBy("far").rangeBetween(Window.unboundedPreceding, 0)
+    for _ in range(depth + 1):
+        on = open_.withColumns({"near": near, "far": far}).where(F.col("near") < radius)
+        on = on.withColumn("have", F.sum("n").over(by_far))
+        bound = F.min(F.when(F.col("have") >= k, F.col("far"))).over(Window.partitionBy("q_id"))
+        on = staged(on.withColumn("bound", bound).where("bound IS NULL OR near <= bound").drop("near", "far", "have", "bound"), "frontier")
+        if on.where("inner").isEmpty():
+            break
+        parts = on.where("inner").drop("n", "inner").withColumn("level", F.col("level") + 1)
+        for v in CELL:
+            parts = parts.withColumn(v, F.explode(F.array(F.col(v) * 2, F.col(v) * 2 + 1)))
+        open_ = on.where("NOT inner").unionByName(parts.join(known, [*keys, "level", *CELL]))
+    t = placed.select(*keys, "level", *CELL, F.col("pt_id").alias("t_id"), *(F.col(a).alias("t" + a) for a in "xyz"))
+    pairs = on.drop("n", "inner").join(t, [*keys, "level", *CELL]).withColumn("d2", G.sq_distance(G.vec("q"), G.vec("t"))).where(F.col("d2") < radius * radius).drop(*keys, *CELL, "level")
+    w = Window.partitionBy("q_id")
+    pairs = pairs.withColumn("nr", F.row_number().over(w.orderBy("d2", "t_id"))).where(F.col("nr") <= k)
+    return pairs.withColumn("have", F.count("*").over(w)).where(F.col("have") == k).drop("have") if complete else pairs
+
+
 def new_points(queries: DataFrame, targets: DataFrame, radius: float, key: str | None = "map_key") -> DataFrame:
     """Queries without any target inside the radius."""
     near = within(queries, targets, radius, key).select(F.col("q_id").alias("pt_id")).distinct()

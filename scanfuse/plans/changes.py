@@ -390,6 +390,49 @@ def _in_order(df: DataFrame, label: str, first: str, files: int = 4) -> tuple[Da
     return jobs.source(df.sparkSession, path, df.schema.simpleString()[7:-1].replace(":", " "), files), path + "-out"
 
 
+def _in_batches(df: DataFrame, label: str, number: Column, batches: int, files: int = 2) -> tuple[DataFrame, str]:
+    """df as a stream of `batches` batches: the rows of number 0, then of 1, and so on."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for k in range(batches):
+        df.where(number == k).repartition(files).write.mode("append").parquet(path)
+    return jobs.source(df.sparkSession, path, df.schema.simpleString()[7:-1].replace(":", " "), files), path + "-out"
+
+
+def _state_store(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query("x3_late_stream", oracle("SELECT s, count(*) AS n, count(*) FILTER (WHERE late) AS n_late FROM (SELECT user_id%5 AS s, t < max(t) OVER (PARTITION BY user_id%5 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 50 AS late FROM (SELECT user_id, event_id, event_id*100+((event_id*37)%13-6)*30 AS t FROM events) q) w GROUP BY 1"))
+def late_stream(spark, sf_dir):
+    """The events of each stream in four batches; what comes late is written aside and counted."""
+    _state_store(spark)
+    e = read(spark, sf_dir, "events")
+    last = e.agg(F.max("event_id").alias("last"))
+    e = e.crossJoin(F.broadcast(last)).select((F.col("user_id") % 5).cast("long").alias("s"), F.col("event_id").cast("long").alias("event_id"), (F.col("event_id") * 100 + (F.col("event_id") * 37 % 13 - 6) * 30).cast("long").alias("ts"), F.floor(4 * F.col("event_id") / (F.col("last") + 1)).cast("int").alias("batch"))
+    src, out = _in_batches(e, "late", F.col("batch"), 4)
+    jobs.run(jobs.mark_late(src.drop("batch"), 50), jobs.aside_sink(out + "/data"), out + "/check").awaitTermination()
+    return spark.read.parquet(out + "/data").groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("late") == "true").alias("n_late"))
+
+
+@query("x4_hopping_stream", oracle("SELECT s, w AS start_ms, count(*) AS n FROM (SELECT user_id%5 AS s, unnest([event_id*100 - event_id*100%200, event_id*100 - event_id*100%200 - 200, event_id*100 - event_id*100%200 - 400]) AS w, event_id*100 AS t FROM events) q WHERE t >= w AND t < w+500 GROUP BY 1,2"))
+def hopping_stream(spark, sf_dir):
+    """The hopping windows of a stream of three batches that cut windows; each batch emits the windows that it changed."""
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("s"), F.timestamp_millis(F.col("event_id") * 100).alias("ts"), "value", (F.col("event_id") % 3).alias("batch"))
+    src, out = _in_batches(e, "hops", F.col("batch"), 3)
+    rows = jobs.hopping(src.drop("batch"), late="10 days")
+    jobs.run(rows, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/data/batch={n}"), out + "/check", "update").awaitTermination()
+    newest = spark.read.parquet(out + "/data").groupBy("s", "start").agg(F.max_by("n", "batch").alias("n"))
+    return newest.select("s", F.unix_millis("start").alias("start_ms"), "n")
+
+
+@query("x8_compacted", oracle("SELECT ref_id AS pt_id, round(1/(1+exp(-sum(ln(ref_prob/(1-ref_prob))))),5) AS change_prob FROM lo GROUP BY 1", "points", _SCENE))
+def compacted(spark, sf_dir):
+    """The fused status from a stream of five batches whose sums are merged two by two."""
+    src, out = _in_batches(_observed(spark, sf_dir), "compacted", F.pmod(F.col("frame_id"), F.lit(5)), 5)
+    jobs.run(src, jobs.compacting_sink(out + "/sums", 2), out + "/check").awaitTermination()
+    return jobs.compacted_status(spark, out + "/sums").select("pt_id", *r5("change_prob"))
+
+
 @query("x5_tile_map", oracle("""SELECT session_id, vx, vy, vz, n, round(x,5) AS x, round(y,5) AS y, round(z,5) AS z FROM (
  SELECT session_id, vx, vy, vz, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z, max(epoch) AS epoch, max(f) AS f FROM (
  SELECT *, sum(fresh) OVER (PARTITION BY session_id, epoch, vx, vy, vz ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM (
@@ -414,12 +457,27 @@ def status_snapshots(spark, sf_dir):
 
 @query("x2_sync_stream", oracle("SELECT c.s AS l_s, c.event_id AS l_id, o.odom_id AS r_id FROM (SELECT user_id%5 AS s, event_id, event_id*100 AS t FROM events) c JOIN (SELECT user_id%5 AS s, event_id AS odom_id, event_id*100+((event_id*37)%13-6)*10 AS t FROM events WHERE event_id%17<>0) o ON c.s=o.s AND o.t BETWEEN c.t-50 AND c.t+50"))
 def sync_stream(spark, sf_dir):
+    return _collected(jobs.sync(*_two_sides(spark, sf_dir, 1)[:2]), f"{shared_dir(spark)}/synced-{uuid.uuid4().hex}").select("l_s", "l_id", "r_id")
+
+
+@query("x2_stale_drop", oracle("SELECT c.s AS l_s, c.event_id AS l_id, o.odom_id AS r_id FROM (SELECT user_id%5 AS s, event_id, event_id*100 AS t FROM events WHERE NOT (event_id%97=0 AND event_id < (SELECT max(event_id) FROM events)/2)) c JOIN (SELECT user_id%5 AS s, event_id AS odom_id, event_id*100+((event_id*37)%13-6)*10 AS t FROM events WHERE event_id%17<>0) o ON c.s=o.s AND o.t BETWEEN c.t-50 AND c.t+50"))
+def stale_drop(spark, sf_dir):
+    """Both sides in four batches by time; some left rows of the first half come in the last batch, long after the watermark, and drop."""
+    return _collected(jobs.sync(*_two_sides(spark, sf_dir, 4)), f"{shared_dir(spark)}/synced-{uuid.uuid4().hex}").select("l_s", "l_id", "r_id")
+
+
+def _two_sides(spark: SparkSession, sf_dir: str, batches: int) -> tuple[DataFrame, DataFrame]:
     e = read(spark, sf_dir, "events")
     ms = lambda c: F.timestamp_millis(c.cast("long"))
     left = e.select((F.col("user_id") % 5).alias("s"), ms(F.col("event_id") * 100).alias("ts"), F.col("event_id").alias("id"))
     right = e.where("event_id % 17 <> 0").select((F.col("user_id") % 5).alias("s"), ms(F.col("event_id") * 100 + (F.col("event_id") * 37 % 13 - 6) * 10).alias("ts"), F.col("event_id").alias("id"))
-    (l, out), (r, _) = _streamed(left, "left", 1), _streamed(right, "right", 1)
-    return _collected(jobs.sync(l, r), out).select("l_s", "l_id", "r_id")
+    if batches == 1:
+        return _streamed(left, "left", 1)[0], _streamed(right, "right", 1)[0]
+    n = F.lit(e.agg(F.max("event_id")).first()[0] or 0)
+    batch = F.floor(batches * F.col("id") / (n + 1)).cast("int")
+    stale = (F.col("id") % 97 == 0) & (F.col("id") < n / 2)
+    sides = (left.withColumn("batch", F.when(stale, batches - 1).otherwise(batch)), right.withColumn("batch", batch))
+    return tuple(_in_batches(side, name, F.col("batch"), batches)[0].drop("batch") for side, name in zip(sides, ("left", "right")))
 
 
 @query("s4_trajectory_text", oracle("SELECT session_id, frame_id, round(tx,5) AS tx, round(qw,5) AS qw FROM ps", "poses"))

@@ -84,6 +84,22 @@ def nearest_five(spark, sf_dir):
     return neighbors.nearest(*frames_pair(spark, sf_dir), 5, 1.0, complete=True).select("q_id", "t_id", *r5("d2"), "nr")
 
 
+_CROWD = """cw AS (SELECT frame_id, pt_id, 3.0+(x-3.0)*f AS x, 2.0+(y-2.0)*f AS y, z*f AS z FROM (SELECT *, CASE WHEN pt_id%3=0 THEN 0.01 ELSE 1.0 END AS f FROM p) a)"""
+
+
+def crowded_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As frames_pair, a third of the points drawn together into a spot a few centimetres wide."""
+    f = F.when(F.col("pt_id") % 3 == 0, 0.01).otherwise(1.0)
+    p = points(spark, sf_dir).select("frame_id", "pt_id", (3.0 + (F.col("x") - 3.0) * f).alias("x"), (2.0 + (F.col("y") - 2.0) * f).alias("y"), (F.col("z") * f).alias("z"))
+    return p.where("frame_id % 10 <> 0").withColumn("map_key", F.col("frame_id") - 1), p.where("frame_id % 10 <> 9").withColumnRenamed("frame_id", "map_key")
+
+
+@query("j4_uneven", oracle("SELECT q_id, t_id, round(d2,7) AS d2, CAST(nr AS INT) AS nr FROM nk", "points", _CROWD, _PAIRS.replace("FROM p ", "FROM cw ")))
+def uneven(spark, sf_dir):
+    out = neighbors.nearest_uneven(*crowded_pair(spark, sf_dir), 5, 1.0, complete=True)
+    return out.select("q_id", "t_id", F.round("d2", 7).alias("d2"), "nr")
+
+
 @query("j5_within_radius", oracle("SELECT q_id, count(*) AS n, round(min(d2),5) AS nearest FROM pr WHERE d2 < 0.25 GROUP BY 1", "points", _PAIRS))
 def within_radius(spark, sf_dir):
     return neighbors.within(*frames_pair(spark, sf_dir), 0.5).groupBy("q_id").agg(F.count("*").alias("n"), F.min("d2").alias("nearest")).select("q_id", "n", *r5("nearest"))

@@ -90,50 +90,54 @@ def count_windows(frames: DataFrame, length: int = 5, stride: int = 2) -> DataFr
     return frames.groupBy("session_id").transformWithStateInPandas(CountWindows(length, stride), "session_id int, window_id long, frame_id long, no int", "append", "None")
 
 
-class LocalMap(StatefulProcessor):
-    """A key's voxels of the last `keep` seconds. A bad frame clears them. Each batch emits the unit as it stands."""
+class LateRows(StatefulProcessor):
+    """Marks the rows of a key that come over `allowed` ms after a later time has been seen, in order of arrival (event_id)."""
 
-    def __init__(self, leaf: float = 1.0, keep: float = 20.0):
-        self.leaf, self.keep = leaf, keep
+    def __init__(self, allowed: int):
+        self.allowed = allowed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.voxels = handle.getMapState("voxels", "vx long, vy long, vz long", "n long, sx double, sy double, sz double, ts double")
+        self.latest = handle.getValueState("latest", "ts long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("ts")
-        bad = new.loc[new["bad"], "ts"]
-        if len(bad):
-            self.voxels.clear()
-            new = new[new["ts"] > bad.max()]
-        if len(new):
-            cell = [(new[a] // self.leaf).astype(int) for a in "xyz"]
-            for c, g in new.groupby([x.rename(n) for x, n in zip(cell, ("vx", "vy", "vz"))]):
-                old = self.voxels.getValue(c) if self.voxels.containsKey(c) else (0, 0.0, 0.0, 0.0, 0.0)
-                self.voxels.updateValue(c, (int(old[0] + len(g)), float(old[1] + g["x"].sum()), float(old[2] + g["y"].sum()), float(old[3] + g["z"].sum()), float(max(old[4], g["ts"].max()))))
-            last = new["ts"].max()
-            for c, v in list(self.voxels.iterator()):
-                if v[4] < last - self.keep:
-                    self.voxels.removeKey(c)
-        out = [(key[0], *c, v[0], v[1] / v[0], v[2] / v[0], v[3] / v[0], v[4]) for c, v in self.voxels.iterator()]
-        yield pd.DataFrame(out, columns=["session_id", "vx", "vy", "vz", "n", "x", "y", "z", "ts"])
+        new = pd.concat(list(rows)).sort_values("event_id")
+        before = self.latest.get()[0] if self.latest.exists() else -(1 << 62)
+        top = np.maximum(np.maximum.accumulate(new["ts"].to_numpy()), before)
+        self.latest.update((int(top[-1]),))
+        yield pd.DataFrame({"s": key[0], "event_id": new["event_id"], "ts": new["ts"], "late": new["ts"].to_numpy() < top - self.allowed})
 
     def close(self) -> None:
         pass
 
 
-def local_map(points: DataFrame, leaf: float = 1.0, keep: float = 20.0) -> DataFrame:
-    """Snapshots of a session's local map from a stream of points (session_id int, ts, x, y, z, bad)."""
-    out = "session_id int, vx long, vy long, vz long, n long, x double, y double, z double, ts double"
-    return points.groupBy("session_id").transformWithStateInPandas(LocalMap(leaf, keep), out, "update", "None")
+def mark_late(rows: DataFrame, allowed: int) -> DataFrame:
+    """A stream's rows (s long, event_id, ts in ms) with `late`: none is dropped, late ones can be sent aside and counted. A key's state is one number."""
+    return rows.groupBy("s").transformWithStateInPandas(LateRows(allowed), "s long, event_id long, ts long, late boolean", "append", "None")
+
+
+def aside_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes rows in time and late ones to folders of their own, by batch: a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("late").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+_TILE = ["session_id", "vx", "vy", "vz", "epoch", "n", "x", "y", "z", "ts"]
 
 
 class TileMap(StatefulProcessor):
-    """The voxels of one tile of a session. A voxel starts anew after `keep` seconds without a point, and with every new epoch."""
+    """The voxels of one tile of a session. A voxel starts anew after `keep` seconds without a point, and with every new epoch.
 
-    def __init__(self, leaf: float = 1.0, keep: float = 20.0):
-        self.leaf, self.keep = leaf, keep
+    With timers (event time), a tile that hears nothing for `keep` seconds of the stream's watermark gives up its state, and says so by a row of n = 0 for each of its voxels.
+    """
+
+    def __init__(self, leaf: float = 1.0, keep: float = 20.0, timers: bool = False):
+        self.leaf, self.keep, self.timers = leaf, keep, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.voxels = handle.getMapState("voxels", "vx long, vy long, vz long", "epoch long, n long, sx double, sy double, sz double, ts double")
         self.swept = handle.getValueState("swept", "ts double")
 
@@ -162,29 +166,43 @@ class TileMap(StatefulProcessor):
             for cell, v in list(self.voxels.iterator()):
                 if v[5] < last - self.keep:
                     self.voxels.removeKey(cell)
-        yield pd.DataFrame(out, columns=["session_id", "vx", "vy", "vz", "epoch", "n", "x", "y", "z", "ts"])
+        if self.timers:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(int(1000 * (last + self.keep)) + 1)
+        yield pd.DataFrame(out, columns=_TILE)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        gone = [(key[0], *cell, int(v[0]), 0, None, None, None, expiredTimerInfo.getExpiryTimeInMs() / 1000) for cell, v in self.voxels.iterator()]
+        self.voxels.clear()
+        self.swept.clear()
+        yield pd.DataFrame(gone, columns=_TILE).astype({"x": float, "y": float, "z": float})
 
     def close(self) -> None:
         pass
 
 
-def tile_map(points: DataFrame, leaf: float = 1.0, keep: float = 20.0, tile: int = 8) -> DataFrame:
+def tile_map(points: DataFrame, leaf: float = 1.0, keep: float = 20.0, tile: int = 8, late: str | None = None) -> DataFrame:
     """A session's local map by tiles of `tile` × `tile` voxels: each batch emits the voxels that it changed.
 
     points: session_id int, ts, x, y, z and epoch, the number of bad frames of the session so far: a bad frame ends the map in all tiles, whether or not
     they hear of it. Within a session batches come in order of time. A tile sweeps its old voxels at most once in `keep` seconds. Needs the RocksDB state store.
+    With `late`, how long the watermark waits, tiles that hear nothing more lose their state by event-time timers.
     """
     out = "session_id int, vx long, vy long, vz long, epoch long, n long, x double, y double, z double, ts double"
     at = {f"tile_{a}": F.floor(F.floor(F.col(a) / leaf) / tile) for a in "xy"}
     on = points.select("session_id", "ts", "x", "y", "z", F.col("epoch").cast("long").alias("epoch")).withColumns(at)
-    return on.groupBy("session_id", "tile_x", "tile_y").transformWithStateInPandas(TileMap(leaf, keep), out, "update", "None")
+    if late is None:
+        return on.groupBy("session_id", "tile_x", "tile_y").transformWithStateInPandas(TileMap(leaf, keep), out, "update", "None")
+    on = on.withColumn("at", F.timestamp_millis((F.col("ts") * 1000).cast("long"))).withWatermark("at", late)
+    return on.groupBy("session_id", "tile_x", "tile_y").transformWithStateInPandas(TileMap(leaf, keep, True), out, "update", "eventTime")
 
 
 def current_map(changes: DataFrame, keep: float = 20.0) -> DataFrame:
     """The map as it stands after all changes of tile_map: each voxel's newest state, if of its session's last epoch and last `keep` seconds."""
     newest = changes.groupBy("session_id", "vx", "vy", "vz").agg(F.max(F.struct("epoch", "ts", "n", "x", "y", "z")).alias("v")).select("session_id", "vx", "vy", "vz", "v.*")
     last = changes.groupBy("session_id").agg(F.max("epoch").alias("last_epoch"), F.max("ts").alias("last_ts"))
-    return newest.join(last, "session_id").where((F.col("epoch") == F.col("last_epoch")) & (F.col("ts") >= F.col("last_ts") - keep)).drop("last_epoch", "last_ts")
+    return newest.join(last, "session_id").where((F.col("epoch") == F.col("last_epoch")) & (F.col("ts") >= F.col("last_ts") - keep) & (F.col("n") > 0)).drop("last_epoch", "last_ts")
 
 
 def status_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -197,6 +215,60 @@ def status_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def compacting_sink(path: str, fan: int = 8) -> Callable[[DataFrame, int], None]:
+    """As status_sink, with compaction: whenever fan, fan², … batches are complete, their sums become one folder, so that of n batches about fan · log n folders are left and a batch is rewritten log n times.
+
+    A folder names the batches that it sums and counts once it is complete; readers take the widest of overlapping ones (`covering`). So nothing is lost or counted twice
+    if a run ends between a merge and the deletes after it, or in either; a repeated batch or merge replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        logit = F.log(F.col("prob") / (1 - F.col("prob")))
+        batch.groupBy("pt_id").agg(F.sum(logit).alias("s")).write.mode("overwrite").parquet(f"{path}/sums-{number}-{number}")
+        width = fan
+        while (number + 1) % width == 0:
+            first = number + 1 - width
+            parts = [x for x in covering(spark, path) if first <= x[0] and x[1] <= number]
+            if parts != [(first, number)] and len(parts) > 1:
+                spark.read.parquet(*(f"{path}/sums-{a}-{b}" for a, b in parts)).groupBy("pt_id").agg(F.sum("s").alias("s")).write.mode("overwrite").parquet(f"{path}/sums-{first}-{number}")
+            for a, b in _folders(spark, path):
+                if first <= a and b <= number and (a, b) != (first, number):
+                    _delete(spark, f"{path}/sums-{a}-{b}")
+            width *= fan
+
+    return write
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """First and last batch of each folder, complete or not."""
+    fs, at = _file_system(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(tuple(map(int, x.split("-")[1:])) for x in names if x.startswith("sums-"))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def covering(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """The complete folders that no other complete one holds."""
+    whole = [(a, b) for a, b in _folders(spark, path) if (x := _file_system(spark, f"{path}/sums-{a}-{b}/_SUCCESS"))[0].exists(x[1])]
+    return [(a, b) for a, b in whole if not any((c, d) != (a, b) and c <= a and b <= d for c, d in whole)]
+
+
+def compacted_status(spark: SparkSession, path: str) -> DataFrame:
+    """pt_id, change_prob of all batches that compacting_sink has written."""
+    sums = spark.read.schema("pt_id long, s double").parquet(*(f"{path}/sums-{a}-{b}" for a, b in covering(spark, path)))
+    return sums.groupBy("pt_id").agg(F.sum("s").alias("s")).select("pt_id", (1 / (1 + F.exp(-F.col("s")))).alias("change_prob"))
+
+
 def status(spark: SparkSession, path: str) -> DataFrame:
     """pt_id, change_prob of all batches that status_sink has written."""
     return spark.read.parquet(path).groupBy("pt_id").agg(F.sum("s").alias("s")).select("pt_id", (1 / (1 + F.exp(-F.col("s")))).alias("change_prob"))

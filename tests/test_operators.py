@@ -101,12 +101,3 @@ def test_count_windows_stream_equals_batch(spark, tmp_path):
     jobs.run(stream, lambda b, n: got.extend(map(tuple, b.collect())), str(tmp_path / "check")).awaitTermination()
     want = trajectory.windows_of(frames).collect()
     assert sorted(got) == sorted((r["session_id"], r["window_id"], r["frame_id"], r["no"]) for r in want)
-
-
-def test_local_map_keeps_recent_voxels(spark, tmp_path):
-    rows = [(1, float(t), t * 1.0, 0.5, 0.5, False) for t in range(0, 40, 5)]
-    spark.createDataFrame(rows, "session_id int, ts double, x double, y double, z double, bad boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
-    got: list = []
-    stream = jobs.local_map(jobs.source(spark, str(tmp_path / "in"), "session_id int, ts double, x double, y double, z double, bad boolean"))
-    jobs.run(stream, lambda b, n: got.extend(b.collect()), str(tmp_path / "check"), "update").awaitTermination()
-    assert sorted(r["ts"] for r in got) == [15.0, 20.0, 25.0, 30.0, 35.0]
