@@ -248,6 +248,16 @@ def register_deskewed(spark, sf_dir):
     return out.select("frame_id", *((F.round(n, 2) + 0.0).alias(n) for n in ("tx", "ty", "qz")), "n")
 
 
+@query("r2_register_windows")
+def register_windows(spark, sf_dir):
+    """Windows of a moving sensor whose five control poses are each off by an error of their own."""
+    sensor, windows, room = moving_windows(spark, sf_dir)
+    wrong = {k: (0.04 * (-1) ** k, 0.03 * (k - 2), 0.004 * (2 - k)) for k in range(5)}
+    off = lambda k: F.struct(*((F.col(f"c{k}")[n] + dict(zip(("tx", "ty", "qz"), wrong[k])).get(n, 0.0)).alias(n) for n in POSE))
+    out = register.register_windows(sensor, windows.select(F.col("window_id").cast("int").alias("window_id"), *(off(k).alias(f"c{k}") for k in range(5))), room, rounds=3)
+    return out.select("window_id", *((F.round(F.col(f"c{k}")[n], 2) + 0.0).alias(f"{n}{k}") for k in range(5) for n in ("tx", "ty")), "n")
+
+
 @query("r3_register_clouds")
 def register_clouds(spark, sf_dir):
     q, t = frames_pair(spark, sf_dir)
