@@ -65,11 +65,11 @@ def plane_from_sums(sums: DataFrame) -> DataFrame:
     s = {p: F.col("s" + p) for p in _PAIRS}
     b = [-F.col("s" + a) for a in "xyz"]
     m = [s["xx"], s["xy"], s["xz"], s["xy"], s["yy"], s["yz"], s["xz"], s["yz"], s["zz"]]
-    det = G.det3(*m)
-    solve = lambda k: G.det3(*(b[i // 3] if i % 3 == k else m[i] for i in range(9))) / det
-    a = [solve(k) for k in range(3)]
-    size = G.norm(*a)
-    return sums.withColumns({"nx": a[0] / size, "ny": a[1] / size, "nz": a[2] / size, "d": 1 / size}).where(F.abs(det) > 1e-12)
+    # step by step: one formula for all would outgrow generated code
+    on = sums.withColumn("_det", G.det3(*m)).where(F.abs("_det") > 1e-12)
+    on = on.withColumns({f"_a{k}": G.det3(*(b[i // 3] if i % 3 == k else m[i] for i in range(9))) / F.col("_det") for k in range(3)})
+    on = on.withColumn("_size", G.norm(*(F.col(f"_a{k}") for k in range(3))))
+    return on.withColumns({n: F.col(f"_a{k}") / F.col("_size") for k, n in enumerate(("nx", "ny", "nz"))} | {"d": 1 / F.col("_size")}).drop("_det", "_a0", "_a1", "_a2", "_size")
 
 
 def neighbour_planes(neighbours: DataFrame, limit: float = 0.2) -> DataFrame:
