@@ -167,18 +167,21 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, width: int, coverage: float)
     """For a benchmark of any size: shared seeds by an equi-join of hashes, then tiling of the candidate pairs."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    # rows that share an id, or have none, are told apart by numbers
+    docs, row, _ = numbered(docs.select("doc_id", "text"), "leak-docs")
+    bench, item = numbered(bench.select("item_id", "text"), "leak-items")[0].withColumnRenamed("row_number", "item_number"), "item_number"
     words = lambda text: F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _MARKS, _TO), " +"), lambda w: w != "")
     grams = lambda w: F.when(F.size(w) < width, F.array(F.concat_ws(" ", w))).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda k: F.concat_ws(" ", F.slice(w, k + 1, width))))
-    seeds = bench.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).select("item_id", F.explode(grams(F.col("w"))).alias("g")).groupBy("item_id", F.xxhash64("g").alias("h")).agg(F.count("*").alias("places"))
-    d = docs.select("doc_id", words(F.col("text")).alias("w"))
+    seeds = bench.select(item, words(F.col("text")).alias("w")).where(F.size("w") > 0).select(item, F.explode(grams(F.col("w"))).alias("g")).groupBy(item, F.xxhash64("g").alias("h")).agg(F.count("*").alias("places"))
+    d = docs.select(row, words(F.col("text")).alias("w"))
     short = bench.select(F.size(words(F.col("text"))).alias("n")).where(f"n BETWEEN 1 AND {width - 1}").distinct()
-    own = d.where(F.size("w") >= width).select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
-    few = d.select("doc_id", "w", F.explode(F.array(*map(F.lit, range(1, width)))).alias("n")).where("size(w) >= n").join(short, "n", "left_semi").select("doc_id", F.explode(F.expr("array_distinct(transform(sequence(0, size(w) - n), k -> concat_ws(' ', slice(w, k + 1, n))))")).alias("g"))
-    pairs = own.unionByName(few).select("doc_id", F.xxhash64("g").alias("h")).join(seeds, "h").groupBy("doc_id", "item_id").agg(F.sum("places").alias("shared"))
+    own = d.where(F.size("w") >= width).select(row, F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
+    few = d.select(row, "w", F.explode(F.array(*map(F.lit, range(1, width)))).alias("n")).where("size(w) >= n").join(short, "n", "left_semi").select(row, F.explode(F.expr("array_distinct(transform(sequence(0, size(w) - n), k -> concat_ws(' ', slice(w, k + 1, n))))")).alias("g"))
+    pairs = own.unionByName(few).select(row, F.xxhash64("g").alias("h")).join(seeds, "h").groupBy(row, item).agg(F.sum("places").alias("shared"))
     # each place of the item that a shared seed has covers at most `width` words, so no tiling covers more
-    size = bench.select("item_id", F.size(words(F.col("text"))).alias("n"))
-    pairs = pairs.join(size, "item_id").where(F.col("shared") * width >= F.lit(coverage) * F.col("n")).select("doc_id", "item_id")
-    both = pairs.join(docs.select("doc_id", "text"), "doc_id").join(bench.select("item_id", F.col("text").alias("item_text")), "item_id")
+    size = bench.select(item, F.size(words(F.col("text"))).alias("n"))
+    pairs = pairs.join(size, item).where(F.col("shared") * width >= F.lit(coverage) * F.col("n")).select(row, item)
+    both = pairs.join(docs.select(row, "doc_id", "text"), row).join(bench.select(item, "item_id", F.col("text").alias("item_text")), item)
     kinds = [to_arrow_type(both.schema[c].dataType) for c in ("doc_id", "item_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

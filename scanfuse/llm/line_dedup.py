@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfuse.llm.common import components, staged, table
+from scanfuse.llm.common import components, fresh, staged, table
 
 SHINGLE = 6
 BANDS, ROWS = 12, 5  # at a similarity of 0.8 a pair meets in some band with probability 0.99
@@ -333,16 +333,19 @@ def line_classes(docs: DataFrame, sent_keys: int = SENT_KEYS) -> DataFrame:
     return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
-def _with_dropped(docs: DataFrame) -> DataFrame:
-    """docs with __dropped, the numbers of the lines that go, or null."""
-    gone = line_classes(docs).withColumnsRenamed({"doc_id": "__id", "mark": "__mark", "dropped": "__dropped"})
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (_mark() == gone["__mark"]), "left").drop("__id", "__mark")
+def _with_dropped(docs: DataFrame, name: str = "__dropped") -> DataFrame:
+    """docs with `name`, the numbers of the lines that go, or null."""
+    id_, mark = fresh(docs, "id_"), fresh(docs, "mark")
+    gone = line_classes(docs).withColumnsRenamed({"doc_id": id_, "mark": mark, "dropped": name})
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[id_]) & (_mark() == gone[mark]), "left").drop(id_, mark)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with `text` rid of repeated lines; other columns stay. A document all of whose lines go keeps an empty text; a null text stays null."""
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("__dropped", k)), "\n"))
-    return _with_dropped(docs).select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    """docs with `text` rid of repeated lines; other columns stay, whatever their names. A document all of whose lines go keeps an empty text; a null text stays null."""
+    name = fresh(docs, "__dropped")
+    on = _with_dropped(docs, name)
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(name, k)), "\n"))
+    return on.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanfuse.llm.common import staged, table
 
@@ -18,22 +21,57 @@ def layout(shards: int, per_rack: int = 5, per_region: int = 20) -> list[Leaf]:
     return [(f"region{s // per_region}", f"rack{s // per_rack}", s, 1.0) for s in range(shards)]
 
 
-def place(key: Column, leaves: Sequence[Leaf]) -> Column:
-    """Shard of a key: the region with the least draw, in it the rack with the least, in that the shard with the least.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (SplitMix64): every bit of x decides about half the bits of the result."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    A shard's draw is exponential in its weight, from a hash of key and shard. A rack's and a region's is the least of those below, which
-    is exponential in the sum of their weights; so each level is a weighted draw, and a changed weight changes the draws of the
-    nodes above it alone. Raised, it moves keys only into its shard; lowered, only out of it; all other subtrees keep their keys among themselves.
+
+def descend(keys: np.ndarray, weights: np.ndarray, shards: np.ndarray) -> np.ndarray:
+    """Shards of hashed keys (uint64) in a tree of weights[region, rack, place] from 0 (no such shard) to 1.
+
+    A try draws a region from the key and the try's number, a rack from that draw, a place from that, and is taken with the place's weight; else the next try starts at the root. So a shard gets keys by its weight. A
+    changed weight only decides anew about the tries that meet that place: raised, it takes keys from others and gives none, lowered, it gives and takes none; all other places keep their keys.
+    """
+    out, left = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys))
+    tries = np.uint64(0)
+    while len(left):
+        h, at = _mixed(keys[left] ^ _mixed(np.full(len(left), tries))), []
+        for width in weights.shape:
+            at.append(((h >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64))
+            h = _mixed(h ^ at[-1].astype(np.uint64))
+        took = (h >> np.uint64(11)).astype(np.float64) / 2.0**53 < weights[tuple(at)]
+        out[left[took]] = shards[tuple(at)][took]
+        left, tries = left[~took], tries + np.uint64(1)
+    return out
+
+
+def place(key: Column, leaves: Sequence[Leaf], capacity: tuple[int, int, int] = (8, 4, 5), top: float = 1.0) -> Column:
+    """Shard of a key by weighted hash draws down a tree of regions, racks and places (see `descend`).
+
+    The tree has a fixed capacity: regions, racks a region, places a rack. Regions, racks and shards take its places as they come; places that none has taken are empty. A shard more is a place more with a weight, and nothing else changes.
+    `top` is the greatest weight that a shard of this tree will ever have. The work of a key is the depth times capacity / (sum of weights / top), whatever the number of shards.
+    Too small a capacity or top is an error.
     """
-    regions: dict[str, dict[str, list[Column]]] = {}
+    weights, shards = np.zeros(capacity), np.zeros(capacity, dtype=np.int64)
+    tree: dict[str, dict[str, int]] = {}
     for region, rack, shard, weight in leaves:
-        regions.setdefault(region, {}).setdefault(rack, []).append(F.struct(F.lit(shard).cast("long").alias("shard"), F.lit(weight).alias("weight")))
-    tree = F.array(*(F.array(*(F.array(*kids) for kids in racks.values())) for racks in regions.values()))
-    u = lambda c: (F.shiftrightunsigned(F.xxhash64(key, c["shard"]), 11).cast("double") + 0.5) / float(2**53)
-    shard = lambda c: F.struct((-F.log(u(c)) / c["weight"]).alias("at"), c["shard"].alias("shard"))
-    rack = lambda kids: F.array_min(F.transform(kids, shard))
-    region = lambda racks: F.array_min(F.transform(racks, rack))
-    return F.array_min(F.transform(tree, region))["shard"].cast("int")
+        racks = tree.setdefault(region, {})
+        racks[rack] = racks.get(rack, -1) + 1
+        at = list(tree).index(region), list(racks).index(rack), racks[rack]
+        if any(k >= n for k, n in zip(at, capacity)) or not 0 <= weight <= top:
+            raise ValueError(f"shard {shard} does not fit in a tree of {capacity} with weights up to {top}")
+        weights[at], shards[at] = weight / top, shard
+    if not weights.any():
+        raise ValueError("no shard has a weight")
+
+    @F.pandas_udf(T.IntegerType())
+    def placed(keys: pd.Series) -> pd.Series:
+        return pd.Series(descend(keys.to_numpy(np.int64).view(np.uint64), weights, shards).astype(np.int32))
+
+    return placed(F.xxhash64(key))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:

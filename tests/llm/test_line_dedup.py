@@ -101,3 +101,11 @@ def test_shared_buckets_in_little_memory():
 def test_white_space_and_case():
     for line in ("  A  b ", "a\xa0b", "x y\x1cz", "\t", "", "plain", "Éİ q"):
         assert line_dedup.normalised(line) == " ".join(line.lower().split())
+
+
+def test_columns_of_any_name_stay(spark):
+    shape = "doc_id long, text string, __dropped string, id_ int, mark string, key int"
+    df = spark.createDataFrame([(1, "a line of some length\nanother line of the text", "x", 1, "m", 2), (2, "a line of some length\nthird", "y", 2, "n", 3)], shape)
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], r["__dropped"]) for r in got.collect()) == [(1, "a line of some length\nanother line of the text", "x"), (2, "third", "y")]

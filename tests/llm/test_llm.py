@@ -403,7 +403,7 @@ def test_op10_movement_stays_in_changed_subtrees(spark):
 
     old = sharding.layout(40)
     new = [(r, k, s, 3.0 if s == 7 else w) for r, k, s, w in old]
-    rows = spark.range(4000).select("id", sharding.place(F.col("id"), old).alias("a"), sharding.place(F.col("id"), new).alias("b")).where("a <> b").collect()
+    rows = spark.range(4000).select("id", sharding.place(F.col("id"), old, top=4.0).alias("a"), sharding.place(F.col("id"), new, top=4.0).alias("b")).where("a <> b").collect()
     region = {s: r for r, _, s, _ in old}
     rack = {s: k for _, k, s, _ in old}
     for r in rows:  # into the region, the rack or the shard whose weight rose

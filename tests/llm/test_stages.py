@@ -86,13 +86,27 @@ def test_the_clipped_risk_is_minimal(spark, prior):
     assert mine <= best + 1e-3
 
 
-def plain_place(key: int, leaves) -> int:
-    """Tournament of exponential draws, the plain way, with Spark's chained XXH64."""
-    first = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
-    at = {s: (-np.log(((xxhash.xxh64_intdigest(struct.pack("<q", s), first) >> 11) + 0.5) / 2**53) / w, s) for _, _, s, w in leaves}
-    region = min({r for r, _, _, _ in leaves}, key=lambda r: min(at[s] for q, _, s, _ in leaves if q == r))
-    rack = min({k for r, k, _, _ in leaves if r == region}, key=lambda k: min(at[s] for r, q, s, _ in leaves if q == k and r == region))
-    return min(at[s] for r, k, s, _ in leaves if (r, k) == (region, rack))[1]
+def plain_place(key: int, leaves, capacity=(8, 4, 5), top=1.0) -> int:
+    """The descent the plain way, a key at a time, with Spark's XXH64 of the key."""
+    def mixed(x):
+        x = (x + 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    tree = {}
+    for region, rack, shard, weight in leaves:
+        tree.setdefault(region, {}).setdefault(rack, []).append((shard, weight))
+    tree = [list(racks.values()) for racks in tree.values()]
+    hashed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    for n in range(100_000):
+        h, node = mixed(hashed ^ mixed(n)), tree
+        for width in capacity:
+            k = (h >> 32) * width >> 32
+            h = mixed(h ^ k)
+            node = node[k] if node is not None and k < len(node) else None
+        if node is not None and (h >> 11) / 2**53 < node[1] / top:
+            return node[0]
 
 
 def test_shards_equal_the_plain_version_and_grow_by_one(spark):
@@ -101,13 +115,37 @@ def test_shards_equal_the_plain_version_and_grow_by_one(spark):
     keys = spark.range(-300, 700)
     got = {r["id"]: r["s"] for r in keys.select("id", sharding.place(F.col("id"), sharding.layout(40)).alias("s")).collect()}
     assert got == {k: plain_place(k, sharding.layout(40)) for k in range(-300, 700)}
-    at = [sharding.place(F.col("id"), sharding.layout(n)).alias(f"n{n}") for n in range(1, 61)]
+    hashed = keys.select(F.xxhash64("id").alias("h")).toPandas()["h"].to_numpy().view(np.uint64)
+    before = None
+    for n in range(1, 161):  # up to the tree's capacity
+        weights, shards = np.zeros((8, 4, 5)), np.arange(160).reshape(8, 4, 5)
+        weights.reshape(-1)[:n] = 1
+        now = sharding.descend(hashed, weights, shards)
+        assert before is None or np.all((now == before) | (now == n - 1))
+        before = now
+    at = [sharding.place(F.col("id"), sharding.layout(n)).alias(f"n{n}") for n in (7, 8, 40, 41, 100, 101)]
     for r in keys.select(*at).collect():
-        for n in range(1, 60):
-            assert r[f"n{n + 1}"] in (r[f"n{n}"], n)
+        assert all(r[f"n{n + 1}"] in (r[f"n{n}"], n) for n in (7, 40, 100))
     docs = keys.select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     old = {r["doc_id"]: r for r in sharding.shard_documents(docs, 23).collect()}
     assert all(r["shard"] == old[r["doc_id"]]["grown_shard"] for r in sharding.shard_documents(docs, 24).collect())
+    with pytest.raises(ValueError, match="fit"):
+        sharding.place(F.col("id"), sharding.layout(161))
+
+
+def test_the_tree_decides(spark):
+    """The same shards in other racks take other keys; each gets its share; a changed weight moves keys only into or out of its shard."""
+    from pyspark.sql import functions as F
+
+    keys = spark.range(20_000)
+    flat = [(f"region{s % 8}", f"rack{s % 8}-{s // 8 % 4}", s, 1.0) for s in range(40)]
+    heavy = [(r, k, s, 3.0 if s == 7 else w) for r, k, s, w in sharding.layout(40)]
+    at = {"a": (sharding.layout(40), 1.0), "b": (flat, 1.0), "c": (sharding.layout(40), 4.0), "d": (heavy, 4.0)}
+    df = keys.select(*(sharding.place(F.col("id"), leaves, top=top).alias(k) for k, (leaves, top) in at.items())).toPandas()
+    assert (df["a"] != df["b"]).mean() > 0.9
+    assert all(df[k].value_counts().reindex(range(40)).between(380, 620).all() for k in "abc")
+    moved = df[df["c"] != df["d"]]
+    assert len(moved) and (moved["d"] == 7).all() and 1250 < (df["d"] == 7).sum() < 1600
 
 
 def test_tiles_of_texts_that_repeat_themselves():
@@ -145,3 +183,12 @@ def test_both_ways_of_leaks_equal_brute_force(spark):
     for size in (1 << 20, 0):
         got = {(r["doc_id"], r["item_id"]): round(r["coverage"], 9) for r in decontaminate.leaks(make(docs, "doc_id"), make(items, "item_id"), index_bytes=size).collect()}
         assert got == want
+
+
+def test_leaks_of_rows_that_share_or_lack_an_id(spark):
+    """A benchmark of any size gives the same rows, null ids and repeated ids on both sides included."""
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, item), (1, item), (1, "zzz " + item), (2, "quite another text of some words here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (7, item), (7, item + " eleven")], "item_id long, text string")
+    found = [sorted(map(str, decontaminate.leaks(docs, bench, **how).select("doc_id", "item_id", "coverage").collect())) for how in ({}, {"index_bytes": 0})]
+    assert found[0] == found[1] and len(found[0]) == 9
