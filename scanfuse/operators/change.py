@@ -116,8 +116,8 @@ def fuse_map(points: DataFrame, leaf: float, limit: float = 0.5) -> DataFrame:
     owner = mine.groupBy(*grid.CELL).agg(F.min("frame_id").alias("owner"))
     on = mine.join(owner, grid.CELL)
     share = on.groupBy("frame_id").agg((F.avg((F.col("frame_id") == F.col("owner")).cast("double"))).alias("new_share"))
-    first = points.agg(F.min("frame_id")).first()[0]
-    ok = share.where((F.col("new_share") < limit) | (F.col("frame_id") == F.lit(first))).select(F.col("frame_id").alias("owner"))
+    first = F.broadcast(points.agg(F.min("frame_id").alias("first")))
+    ok = share.join(first, (F.col("new_share") < limit) | (F.col("frame_id") == F.col("first"))).select(F.col("frame_id").alias("owner"))
     status = on.join(ok, "owner", "left_semi").groupBy(*grid.CELL, "owner").agg((1 / (1 + F.exp(-F.sum("l")))).alias("change_prob"), F.count("*").alias("seen"))
     best = grid.voxel_samples(points, leaf, ("frame_id",)).withColumnRenamed("frame_id", "owner")
     return status.join(best, [*grid.CELL, "owner"]).select("pt_id", "owner", "x", "y", "z", "seen", "change_prob")

@@ -415,6 +415,14 @@ def polygon_area(spark, sf_dir):
     return select.polygon_area(ring, "frame_id").select("frame_id", *r5("area"))
 
 
+@query("a23_ring_areas", oracle("SELECT frame_id*16+row_id AS ring_id, round(abs(sum(x*ny-y*nx))/2,4)+0.0 AS area FROM (SELECT frame_id, row_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM img WINDOW w AS (PARTITION BY frame_id, row_id ORDER BY col_id)) q GROUP BY 1", "points", "pixels"))
+def ring_areas(spark, sf_dir):
+    """Every row of every frame as a ring."""
+    p = project(points(spark, sf_dir), ROOM)
+    rings = grid.nearest_returns(p).select("pt_id", F.col("col_id").alias("no")).join(p.select("pt_id", (F.col("frame_id") * 16 + F.col("row_id")).alias("ring_id"), "x", "y"), "pt_id")
+    return select.polygon_area(rings, "ring_id").select("ring_id", (F.round("area", 4) + 0.0).alias("area"))
+
+
 @query("a24_submaps", oracle("SELECT session_id, frame_id, n, CAST(floor(coalesce(sum(n) OVER (PARTITION BY session_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)/7000.0) AS INT) AS submap FROM (SELECT CAST(floor(frame_id/10.0) AS INT) AS session_id, frame_id, count(*) AS n FROM p GROUP BY 1,2) q", "points"))
 def submaps(spark, sf_dir):
     f = points(spark, sf_dir).groupBy(F.floor(F.col("frame_id") / 10.0).cast("int").alias("session_id"), "frame_id").agg(F.count("*").alias("n"))
