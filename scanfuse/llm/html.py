@@ -21,7 +21,7 @@ SENT_BYTES = 32 << 20
 #: Shapes of pages that a task holds before it passes them on; they meet again by host and shape.
 HELD_SHAPES = 20_000
 SALTS = 64
-#: Pages on which a slot must have the same text to be taken for the host's template.
+#: Pages on which a slot that not every page has must have the same text to be taken for the host's template.
 TEMPLATE_PAGES = 5
 
 _TOKEN = re.compile(
@@ -263,8 +263,8 @@ def _unfold(own: list[Piece], other: list[Piece]) -> list[Piece]:
 class Region:
     """Which places of a row of symbols are the article's, and which of them open it."""
 
-    def __init__(self, row: list[str], weights: list[float], template: set[int]):
-        """weights: of each place, its text's; template: places whose text all pages share.
+    def __init__(self, row: list[str], weights: list[float], template: set[int], shared: set[int] = frozenset()):
+        """weights: of each place, its text's; template: places whose text many pages share; shared: those whose text every page of the host has, which weigh nothing outside what is named as content.
 
         Starts from the whole row and goes down into the part that weighs most, as long as that is more than half of what the parts around it
         weigh and no heading stands beside it. Tags and class names shift the weights: what says
@@ -275,7 +275,7 @@ class Region:
         start, stack, at_head = [0], [0], False
         for k, s in enumerate(row):
             if s == "#":
-                own[stack[-1]] += weights[k]
+                own[stack[-1]] += 0.0 if k in shared and all(rank[e] == 3 for e in stack) else weights[k]
                 heads[stack[-1]] |= at_head and weights[k] > 0
                 continue
             tag = _name(s)
@@ -338,8 +338,11 @@ class Compiled:
         vary = any(slot and slot[1] == VARIES for slot in slots)
         # a text that all pages share counts once, one that varies on every page
         weights = [0.0 if slot is None else float(slot[2]) if slot[1] == VARIES else slot[2] / slot[0] for slot in slots]
-        template = {k for k, slot in enumerate(slots) if vary and slot and slot[1] != VARIES and slot[0] >= TEMPLATE_PAGES}
-        self.region = Region([s for s, _ in self.leaves], weights, template)
+        # from three pages on, what all have alike while other text varies is the host's; on two it may as well be a copied article
+        pages = max((slot[0] for slot in slots if slot), default=0)
+        shared = {k for k, slot in enumerate(slots) if vary and slot and slot[1] != VARIES and slot[0] == pages >= 3}
+        template = shared | {k for k, slot in enumerate(slots) if vary and slot and slot[1] != VARIES and slot[0] >= TEMPLATE_PAGES}
+        self.region = Region([s for s, _ in self.leaves], weights, template, shared)
 
     def _sequence(self, pieces: list[Piece] | tuple[Piece, ...]) -> tuple[int, int, bool]:
         """Adds the pieces' places; which of them can come first and last, and whether none need come."""

@@ -95,3 +95,12 @@ def test_both_ways_give_the_same(spark, monkeypatch):
     sent = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
     monkeypatch.setattr(html, "SENT_BYTES", -1)
     assert sent == {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 8])
+def test_text_that_all_pages_share_is_not_the_article(spark, n):
+    """However long it is, and on however few pages from three on."""
+    shop = "Buy our fine goods, delivered the same day to every town in the land, at prices that nobody else can offer you today or at any other time."
+    news = ["The council met on Monday about the bridge.", "Rain is expected in the north by the evening.", "A new school opens its doors next week.", "The harbour was closed after the storm.", "Two teams share the first place.", "The old mill becomes a museum.", "Buses run later on Fridays now.", "The mayor spoke of the budget."]
+    pages = spark.createDataFrame([(k, f"http://shop.example/{k}", f"<html><body><div>{shop}</div><div><p>{news[k]}</p></div></body></html>") for k in range(n)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == dict(enumerate(news[:n]))
