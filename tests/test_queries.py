@@ -10,7 +10,7 @@ from scanfuse.plans.registry import ORACLES, QUERIES
 
 #: Need more than the two frames of this size, or take long; bench and the driver run them at larger sizes.
 EMPTY_HERE = {"t8_control_poses", "j13_match_surfels", "t6_clamped_spline", "t10_deskew", "w13_windows", "t7_catmull_rom", "t9_uniform_spline", "g5_window_edges", "j11_loop_candidates", "j12_history"}
-SLOW = {"r1_register", "r1_register_edges", "r2_register_deskewed", "r3_register_clouds", "c10_plane_ids"}
+SLOW = {"r1_register", "r1_register_edges", "r2_register_deskewed", "r2_register_windows", "r3_register_clouds", "c10_plane_ids"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
