@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html as entities
 import json
+import random
 import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -23,6 +26,10 @@ HELD_SHAPES = 20_000
 SALTS = 64
 #: Pages on which a slot that not every page has must have the same text to be taken for the host's template.
 TEMPLATE_PAGES = 5
+#: Of the article's main part, the share of its weight, or of the mean length of its texts, from which on a part beside it is the article's too.
+BESIDE_SHARE = 0.25
+#: Pairs of places that the search for repeats compares at a time.
+HELD_PAIRS = 1 << 20
 
 _TOKEN = re.compile(
     r"<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -30,6 +37,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+_LINK = re.compile(r"</?a[\s>]", re.I)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that stand inside a line, that have no end, and whose end tag pages leave out.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,8 +56,8 @@ TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure figc
 #: First parts of a class name that tell of an element beside this one.
 BESIDE = frozenset("has with no without hide show toggle".split())
 
-#: Of a text slot: pages it stood on, the hash of the text that they share (VARIES where they differ), characters in all.
-Slot = tuple[int, int, int]
+#: Of a text slot: pages it stood on, the hash of the text that they share (VARIES where they differ), characters in all, those of them in links, texts.
+Slot = tuple[int, int, int, int, int]
 VARIES = -1
 #: A piece of a wrapper: a symbol or a tuple of pieces, repeated, optional, and of a text slot what is known of it.
 Piece = tuple["str | tuple[Piece, ...]", bool, bool, "Slot | None"]
@@ -143,33 +151,40 @@ def _hide(hidden: list[str], symbol: str) -> None:
         hidden.append(name)
 
 
-def skeleton(page: str) -> tuple[list[str], list[str], list[tuple[str, int, int, int]]]:
-    """The row of block tags and text slots, loose end tags and blank text left out; the texts of its slots, in order; and all tokens with the
-    place in the row that each belongs to."""
+def skeleton(page: str) -> tuple[list[str], list[str], list[tuple[str, int, int, int]], list[int]]:
+    """The row of block tags and text slots, loose end tags and blank text left out; the texts of its slots, in order; all tokens with the
+    place in the row that each belongs to; and how many characters of each text stand in links."""
     row: list[str] = []
-    texts: list[str] = []
+    parts: list[list[str]] = []
+    links: list[int] = []
     tokens: list[tuple[str, int, int, int]] = []
+    linked = False
     for s, a, b in symbols(page):
         if s == "#" and not page[a:b].isspace():
-            if row and row[-1] == "#":
-                texts[-1] += page[a:b]
-            else:
+            if not row or row[-1] != "#":
                 row.append(s)
-                texts.append(page[a:b])
-        elif s not in ("#", "", "~", "~br") and not (s[:2] == "</" and _name(s) in LOOSE):
+                parts.append([])
+                links.append(0)
+            parts[-1].append(page[a:b])
+            links[-1] += b - a if linked else 0
+        elif s == "~":
+            if _LINK.match(page, a, b):
+                linked = page[a + 1] != "/"
+        elif s not in ("#", "", "~br") and not (s[:2] == "</" and _name(s) in LOOSE):
             row.append(s)
+            linked = False
         tokens.append((s, a, b, len(row) - 1))
-    return row, texts, tokens
+    return row, ["".join(p) for p in parts], tokens, links
 
 
 def _met(a: Slot, b: Slot) -> Slot:
     """What is known of a slot of two pages."""
-    return a[0] + b[0], a[1] if a[1] == b[1] else VARIES, a[2] + b[2]
+    return a[0] + b[0], a[1] if a[1] == b[1] else VARIES, a[2] + b[2], a[3] + b[3], a[4] + b[4]
 
 
 def _folded(a: Slot, b: Slot) -> Slot:
     """What is known of two slots of the same pages that become one: their texts one after the other."""
-    return max(a[0], b[0]), VARIES if VARIES in (a[1], b[1]) else (a[1] * 0x9E3779B97F4A7C15 + b[1]) >> 1 & (1 << 62) - 1, a[2] + b[2]
+    return max(a[0], b[0]), VARIES if VARIES in (a[1], b[1]) else (a[1] * 0x9E3779B97F4A7C15 + b[1]) >> 1 & (1 << 62) - 1, a[2] + b[2], a[3] + b[3], a[4] + b[4]
 
 
 def _joined(a: Piece, b: Piece, how: Callable[[Slot, Slot], Slot] = _met) -> Piece:
@@ -193,15 +208,97 @@ def _whole(shapes: list[object]) -> bool:
     return not open_
 
 
+class _Open:
+    """Numbers for the stacks of open elements along a row: a run of whole elements ends with the number that it began with."""
+
+    def __init__(self):
+        self.number: dict[tuple[int, str], int] = {}
+        self.below: list[tuple[int, str]] = [(0, "")]
+
+    def _new(self, below: int, name: str) -> int:
+        self.below.append((below, name))
+        return len(self.below) - 1
+
+    def after(self, now: int, shape: object) -> int:
+        if not isinstance(shape, str) or shape[:1] != "<" or (name := _name(shape)) in LOOSE:
+            return now
+        if shape[1] != "/":
+            if (now, name) not in self.number:
+                self.number[now, name] = self._new(now, name)
+            return self.number[now, name]
+        below, top = self.below[now]
+        return below if top == name else self._new(0, "")  # what was not opened: a number that comes once
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+
+
+def _next_repeat(shapes: list[object], after: int) -> int:
+    """The least n over after such that two neighbouring runs of n shapes may be equal; 0 if there is none.
+
+    Equal neighbouring runs of n cover a place that n divides and the place n further, and how far both agree to the left and the right adds up to
+    n. So only len / n places are looked at for each n, and a rolling hash and bisection tell how far they agree: len · log² in all.
+    Runs of whole elements leave open what was open before, wherever between their first and last place one looks. A hash never tells equal runs apart; should it take others for equal, that costs a pass and changes nothing.
+    """
+    size = len(shapes)
+    known: dict[object, int] = {}
+    ids = np.fromiter((known.setdefault(s, len(known)) for s in shapes), np.int64, size)
+    draw = random.Random(1)
+    codes = np.array([draw.getrandbits(64) for _ in known], np.uint64)[ids]
+    power = _powers(draw.getrandbits(64) | 1, size)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[:size])])
+    open_ = _Open()
+    stacks = np.fromiter(accumulate(shapes, open_.after, initial=0), np.int64, size + 1)
+    n = after + 1
+    while n <= size // 2:
+        most = n
+        pairs = 0
+        while most <= size // 2 and (most == n or pairs < HELD_PAIRS):
+            pairs += (size - most - 1) // most + 1
+            most += 1
+        counts = (size - np.arange(n, most) - 1) // np.arange(n, most) + 1
+        step = np.repeat(np.arange(n, most), counts)
+        at = (np.arange(len(step)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+        same = ids[at] == ids[at + step]
+        step, at = step[same], at[same]
+        balanced = stacks[at] == stacks[at + step]
+        step, at = step[balanced], at[balanced]
+        equal = lambda a, b: (sums[b] - sums[a]) * power[step] == sums[b + step] - sums[a + step]  # noqa: E731, B023
+        right, left = np.ones_like(at), np.ones_like(at)
+        top_right, top_left = np.minimum(step, size - at - step), np.minimum(step, at + 1)
+        for _ in range(int(most).bit_length() + 1):
+            mid = (right + top_right + 1) // 2
+            good = equal(at, at + mid)
+            right, top_right = np.where(good, mid, right), np.where(good, top_right, mid - 1)
+            mid = (left + top_left + 1) // 2
+            good = equal(at + 1 - mid, at + 1)
+            left, top_left = np.where(good, mid, left), np.where(good, top_left, mid - 1)
+        found = step[right + left - 1 >= step]
+        if len(found):
+            return int(found.min())
+        n = most
+    return 0
+
+
 def fold_repeats(pieces: list[Piece]) -> list[Piece]:
-    """Neighbouring equal runs of whole elements become one repeated group; shorter ones first."""
-    n = 1
-    while n <= len(pieces) // 2:
+    """Neighbouring equal runs of whole elements become one repeated group; shorter ones first. Lengths of which no two runs are equal are passed over."""
+    n = 0
+    while True:
+        shapes = list(map(_shape, pieces))
+        grouped = min((len(s) for s in shapes if isinstance(s, tuple) and len(s) > n), default=0)
+        n = min(filter(None, (grouped, _next_repeat(shapes, n))), default=0)
+        if not n or n > len(pieces) // 2:
+            return pieces
         out: list[Piece] = []
-        shapes: list[object] = []
+        shapes = []
+        open_, stacks = _Open(), [0]  # what is open before each of shapes, and after the last
         for p in pieces:
             out.append(p)
             shapes.append(_shape(p))
+            stacks.append(open_.after(stacks[-1], shapes[-1]))
+            if len(out) < n or stacks[-1] != stacks[-1 - n]:
+                continue
             if len(out) >= 2 * n and shapes[-1] == shapes[-1 - n] and shapes[-n] == shapes[-2 * n] and shapes[-n:] == shapes[-2 * n : -n] and _whole(shapes[-n:]):
                 both = [_joined(x, y, _folded) for x, y in zip(out[-2 * n : -n], out[-n:])]
                 group = (both[0][0], True, both[0][2], both[0][3]) if n == 1 else (tuple(both), True, False, None)
@@ -212,21 +309,24 @@ def fold_repeats(pieces: list[Piece]) -> list[Piece]:
             else:
                 continue
             gone = 2 * n if len(both) == n and both[0] is not out[-n - 1] else n + 1
-            del out[-gone:], shapes[-gone:]
+            del out[-gone:], shapes[-gone:], stacks[-gone:]
             out.append(group)
             shapes.append(_shape(group))
+            stacks.append(open_.after(stacks[-1], shapes[-1]))
         pieces = out
-        n += 1
-    return pieces
 
 
 def wrapper_of(page: str) -> list[Piece]:
-    row, texts, _ = skeleton(page)
-    known = iter(texts)
+    row, texts, _, links = skeleton(page)
+    known = zip(texts, links)
     pieces: list[Piece] = []
     for s in row:
-        text = " ".join(next(known).split()) if s == "#" else None
-        pieces.append((s, False, False, None if text is None else (1, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1, len(text))))
+        slot = None
+        if s == "#":
+            text, link = next(known)
+            text = " ".join(text.split())
+            slot = 1, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1, len(text), min(link, len(text)), 1
+        pieces.append((s, False, False, slot))
     return fold_repeats(pieces)
 
 
@@ -263,23 +363,32 @@ def _unfold(own: list[Piece], other: list[Piece]) -> list[Piece]:
 class Region:
     """Which places of a row of symbols are the article's, and which of them open it."""
 
-    def __init__(self, row: list[str], weights: list[float], template: set[int], shared: set[int] = frozenset()):
-        """weights: of each place, its text's; template: places whose text many pages share; shared: those whose text every page of the host has, which weigh nothing outside what is named as content.
+    def __init__(self, row: list[str], weights: list[float], template: set[int], shared: set[int] = frozenset(), own_text: dict[int, tuple[int, int, int]] | None = None):
+        """weights: of each place, its text's; template: places whose text many pages share; shared: those whose text every page of the host has, which weigh nothing outside what is named as content;
+        own_text: of places whose text is a page's own, its characters, those in links, and how many texts they are.
 
         Starts from the whole row and goes down into the part that weighs most, as long as that is more than half of what the parts around it
         weigh and no heading stands beside it. Tags and class names shift the weights: what says
-        that it stands outside counts a twentieth, an article four times, other names of content twice. An article is not gone down into,
+        that it stands outside, and text that is mostly links, counts a twentieth, an article four times, other names of content twice. An article is not gone down into,
         and a part with a name of content only for one with a stronger name.
+
+        Where no name tells, an article may stand in several parts side by side. A part, or a text, beside the one gone down into stays too if its own text
+        weighs at least BESIDE_SHARE of that one's or comes in texts of such a length, unless more than half of it is links or it ends before
+        the main heading's part. Where no part weighs more than half, all stay but such ones.
         """
         kids, own, heads, name, end, outside, rank = [[]], [0.0], [False], [""], [len(row)], [False], [3]
         start, stack, at_head = [0], [0], False
+        up, places, titles = [0], [[]], []
         for k, s in enumerate(row):
             if s == "#":
+                places[stack[-1]].append(k)
                 own[stack[-1]] += 0.0 if k in shared and all(rank[e] == 3 for e in stack) else weights[k]
                 heads[stack[-1]] |= at_head and weights[k] > 0
                 continue
             tag = _name(s)
             at_head = s[1] != "/" and tag[:1] == "h" and tag[1:].isdigit()
+            if at_head and tag == "h1":
+                titles.append(k)
             if tag in TEXTUAL or tag in LOOSE and tag != "body":
                 continue
             if s[1] == "/":
@@ -291,6 +400,8 @@ class Region:
                         break
                 continue
             words = _words(s)
+            up.append(stack[-1])
+            places.append([])
             kids[stack[-1]].append(len(kids))
             stack.append(len(kids))
             kids.append([])
@@ -301,11 +412,32 @@ class Region:
             end.append(len(row))
             outside.append(is_outside(s))
             rank.append(0 if tag == "article" else 1 if tag == "main" or "main" in words and "role" in words else 2 if not CONTENT_WORDS.isdisjoint(words) else 3)
+        # own text of each part, without what stands outside, and whether a part of it is named as content
+        own_text = own_text or {}
+        nothing = 0, 0, 0
+        said = [tuple(map(sum, zip(nothing, *(own_text.get(k, nothing) for k in at)))) for at in places]
+        named = [r < 3 and not o for r, o in zip(rank, outside)]
+        for e in range(len(kids) - 1, 0, -1):
+            if outside[e]:
+                said[e] = nothing
+            said[up[e]] = tuple(a + b for a, b in zip(said[up[e]], said[e]))
+            named[up[e]] |= named[e]
+
+        def listed(what: tuple[int, ...]) -> bool:
+            return 2 * what[1] > what[0]
+
+        def beside(what: tuple[int, ...], best: int, before: int) -> bool:
+            chars, _, texts = what
+            most, _, parts = said[best]
+            if not chars or listed(what) or any(before <= t < end[best] and t >= start[best] for t in titles):
+                return False
+            return chars >= BESIDE_SHARE * most or chars * parts >= BESIDE_SHARE * most * texts
+
         total = own.copy()
         for e in range(len(kids) - 1, -1, -1):
-            total[e] = (own[e] + sum(total[c] for c in kids[e])) * (0.05 if outside[e] else 1.0)
+            total[e] = (own[e] + sum(total[c] for c in kids[e])) * (0.05 if outside[e] or listed(said[e]) and not named[e] else 1.0)
         pull = lambda e: total[e] * (4.0 if rank[e] == 0 else 2.0 if rank[e] < 3 else 1.0)
-        at, spans = 0, []
+        at, spans, more, less = 0, [], [], set()
         while kids[at] and rank[at]:
             best = max(kids[at], key=lambda e: (pull(e), -e))
             if heads[at] or rank[at] < 3 and rank[best] >= rank[at] or pull(best) <= 0.5 * (own[at] + sum(map(pull, kids[at]))):
@@ -313,15 +445,22 @@ class Region:
                 if articles and sum(map(pull, articles)) > 0.5 * (own[at] + sum(map(pull, kids[at]))):
                     spans, at = [(start[articles[0]], end[articles[-1]])], at
                     self.roots = {start[e] for e in articles}
+                elif not named[at] and not heads[at]:
+                    title = min((t for t in titles if start[at] <= t < end[at]), default=0)
+                    less = {k for e in kids[at] if listed(said[e]) or end[e] <= title for k in range(start[e], end[e])}
                 break
+            if not named[at]:
+                more += [(start[e], end[e]) for e in kids[at] if e != best and beside(said[e], best, end[e])]
+                more += [(k, k + 1) for k in places[at] if beside(own_text.get(k, nothing), best, k)]
             at = best
         if not spans:
             spans = [(start[at], end[at])]
             self.roots = {start[at]} if at else set()
-        a, b = spans[0]
+        spans += more
         # inside what is named as content, a text that all pages share is the author's
         gone = template if rank[at] == 3 and not any(row[k].startswith("<article") for k in self.roots) else set()
-        self.keep = [a <= k < b and k not in gone for k in range(len(row))]
+        inside = {k for a, b in spans for k in range(a, b)}
+        self.keep = [k in inside and k not in gone and k not in less for k in range(len(row))]
 
 
 class Compiled:
@@ -342,7 +481,8 @@ class Compiled:
         pages = max((slot[0] for slot in slots if slot), default=0)
         shared = {k for k, slot in enumerate(slots) if vary and slot and slot[1] != VARIES and slot[0] == pages >= 3}
         template = shared | {k for k, slot in enumerate(slots) if vary and slot and slot[1] != VARIES and slot[0] >= TEMPLATE_PAGES}
-        self.region = Region([s for s, _ in self.leaves], weights, template, shared)
+        own_text = {k: slot[2:] for k, slot in enumerate(slots) if slot and (slot[1] == VARIES or not vary)}
+        self.region = Region([s for s, _ in self.leaves], weights, template, shared, own_text)
 
     def _sequence(self, pieces: list[Piece] | tuple[Piece, ...]) -> tuple[int, int, bool]:
         """Adds the pieces' places; which of them can come first and last, and whether none need come."""
@@ -402,13 +542,16 @@ def main_text(page: str | None, wrapper: Compiled | None) -> str:
     """The article's text: what stands at the article's places of the wrapper; of a page that is not of it, or has none, the same choice made on the page alone."""
     if not page:
         return ""
-    row, texts, tokens = skeleton(page)
+    row, texts, tokens, links = skeleton(page)
     path = wrapper.path(row) if wrapper else None
     if path is not None:
         keep, roots = [wrapper.region.keep[k] for k in path], {k for k, at in enumerate(path) if at in wrapper.region.roots}
     else:
-        known = iter(texts)
-        alone = Region(row, [float(len(next(known))) if s == "#" else 0.0 for s in row], set())
+        slots = [k for k, s in enumerate(row) if s == "#"]
+        weights = [0.0] * len(row)
+        for k, text in zip(slots, texts):
+            weights[k] = float(len(text))
+        alone = Region(row, weights, set(), own_text={k: (len(text), link, 1) for k, text, link in zip(slots, texts, links)})
         keep, roots = alone.keep, alone.roots
     blocks: list[str] = []
     run: list[str] = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -104,3 +105,52 @@ def test_text_that_all_pages_share_is_not_the_article(spark, n):
     news = ["The council met on Monday about the bridge.", "Rain is expected in the north by the evening.", "A new school opens its doors next week.", "The harbour was closed after the storm.", "Two teams share the first place.", "The old mill becomes a museum.", "Buses run later on Fridays now.", "The mayor spoke of the budget."]
     pages = spark.createDataFrame([(k, f"http://shop.example/{k}", f"<html><body><div>{shop}</div><div><p>{news[k]}</p></div></body></html>") for k in range(n)], "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == dict(enumerate(news[:n]))
+
+
+def halves(n: int) -> list[tuple[int, str, str, str]]:
+    """Articles in two neighbouring parts without telling names, beside a link list and a short line that vary too."""
+    rng = random.Random(6)
+    out = []
+    for k in range(n):
+        one, two, three = words(rng, 35), words(rng, 20), words(rng, 25)
+        links = "".join(f"<div><a href='/{j}'>{words(rng, 6)}</a></div>" for j in range(8))
+        page = f'<body><div class="top">Home</div><div class="tick">{words(rng, 1)}</div><div class="wrap"><h1>No {k}</h1>{one}</div><div class="wrap2">{two}</div><p>{three}</p><div class="more">{links}</div><div class="end">All of this is ours, and nobody else may print it again.</div></body>'
+        out.append((k, "http://halves.example/", page, f"No {k} {one} {two} {three}"))
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 12])
+def test_articles_in_neighbouring_parts_are_whole(spark, n):
+    pages = halves(n)
+    df = spark.createDataFrame([p[:3] for p in pages], SHAPE)
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {k: text for k, _, _, text in pages}
+
+
+def test_articles_in_neighbouring_parts_of_a_single_page():
+    rng = random.Random(7)
+    one, two = words(rng, 35), words(rng, 20)
+    assert html.main_text(f'<body><div class="wrap">{one}</div><div class="wrap2">{two}</div></body>', None) == f"{one} {two}"
+    named = f'<body><div class="box">{two}</div><div class="box2"><div class="entry-content">{one}</div></div></body>'
+    assert html.main_text(named, None) == one
+
+
+def plain_fold(shapes: list) -> list[int]:
+    """The lengths of which two neighbouring runs of whole elements are equal."""
+    return [n for n in range(1, len(shapes) // 2 + 1) if any(shapes[k : k + n] == shapes[k + n : k + 2 * n] and html._whole(shapes[k : k + n]) for k in range(len(shapes) - 2 * n + 1))]
+
+
+def test_no_repeat_is_passed_over():
+    rng = random.Random(8)
+    for _ in range(300):
+        shapes = rng.choices(["#", "<div>", "</div>", "<p>", "<ul>", "</ul>"], k=rng.randint(0, 12)) * rng.randint(1, 4)
+        found, n = [], 0
+        while n := html._next_repeat(shapes, n):
+            found.append(n)
+        assert set(plain_fold(shapes)) <= set(found)
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<div>x</div>", "<p>x", "<div></section>", "<div class=k{}>x</div>"])
+def test_pages_of_many_tags_are_folded_soon(part):
+    start = time.process_time()
+    html.wrapper_of("<body>" + "".join(part.format(k % 5_000) for k in range(15_000)))
+    assert time.process_time() - start < 10
