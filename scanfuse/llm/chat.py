@@ -65,19 +65,20 @@ def link_quotations(messages: DataFrame) -> DataFrame:
 
     Returns one row per input row: conv_id, turn, role, parent_conv, parent_turn, linked (by quotation), quotes (passages quoted), links (of
     them linked), thread (conv_id of the root conversation), position (gapless from 0 in the thread, by conv_id and turn), body. Null text counts as empty; null roles stay
-    null; null ids are values like any other that sort first and link to nothing. Rows that repeat (conv_id, turn) share the links of either. An empty table gives an empty result.
+    null; null ids are values like any other that sort first and link to nothing. Rows that repeat (conv_id, turn) are one message in several parts: each has the parent that its own part quotes, quotes and links count all parts. An empty table gives an empty result.
 
     Only messages with a quoting line take part in the join; originals meet it as one row per passage hash, so a passage that a third of
-    all messages share stays one key with one partner.
+    all messages share stays one key with one partner. Positions and turns before are found in ranges of the ordered rows, so a conversation of any
+    length is many tasks' work.
     """
     text = F.coalesce("text", F.lit(""))
     rows = messages.select("conv_id", "turn", "role", text.alias("text"), F.rlike(text, F.lit(r"(?m)" + _QUOTE)).alias("quoting"))
     body = F.when(F.col("quoting"), _body(F.col("lines"))).otherwise(F.trim(F.regexp_replace("text", r"\r\n?", "\n")))
-    rows = with_passages(rows).select("conv_id", "turn", "role", "quoting", body.alias("body"), "passages")
+    rows = with_passages(rows).select("conv_id", "turn", "role", "quoting", body.alias("body"), "passages", F.monotonically_increasing_id().alias("row"))
     rows = staged(rows, "messages")
 
-    asked = rows.where("quoting").select("conv_id", "turn", F.posexplode("passages").alias("pos", "p")).select("conv_id", "turn", "pos", F.col("p.level").alias("level"), F.sha2("p.line", 256).alias("run"), F.explode("p.keys").alias("key"))
-    asked = asked.select("conv_id", "turn", "pos", "level", "run", "key.rank", "key.k", F.sha2("key.s", 256).alias("hash"))
+    asked = rows.where("quoting AND conv_id IS NOT NULL AND turn IS NOT NULL").select("row", "conv_id", "turn", F.posexplode("passages").alias("pos", "p")).select("row", "conv_id", "turn", "pos", F.col("p.level").alias("level"), F.sha2("p.line", 256).alias("run"), F.explode("p.keys").alias("key"))
+    asked = asked.select("row", "conv_id", "turn", "pos", "level", "run", "key.rank", "key.k", F.sha2("key.s", 256).alias("hash"))
     asked = staged(asked, "quotations")
     wanted = asked.select("hash").distinct()
     own = F.array_distinct(F.filter(F.transform(F.concat(F.split("body", _BLANK), F.split("body", r"\n"), F.array("body")), normalised), lambda s: s != ""))
@@ -89,12 +90,12 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     here = F.col("own_turn") < F.col("turn")
     there = (F.col("any.conv_id") < F.col("conv_id")) & F.col("own_turn").isNull()
     found = found.withColumn("at", F.when(here, F.struct(F.col("conv_id").alias("conv_id"), F.col("own_turn").alias("turn"))).when(there, F.col("any")))
-    run = ["conv_id", "turn", "pos", "level", "run"]
+    run = ["row", "conv_id", "turn", "pos", "level", "run"]
     found = found.groupBy(*run, "rank", "at").agg(F.count("*").alias("n"), F.min("k").alias("k"))
     at = F.min(F.when(F.col("at").isNotNull(), F.struct("rank", (-F.col("n")).alias("n"), "k", "at")))["at"]
     found = found.groupBy(*run).agg(F.sum(F.when(F.col("rank") == 0, F.col("n"))).alias("n"), at.alias("at"))
-    linked = found.groupBy("conv_id", "turn").agg(F.sum("n").alias("quotes"), F.coalesce(F.sum(F.when(F.col("at").isNotNull(), F.col("n"))), F.lit(0)).alias("links"), F.min(F.when(F.col("at").isNotNull(), F.struct("level", "pos", "at"))).alias("best"))
-    linked = staged(linked.select("conv_id", "turn", "quotes", "links", F.col("best.at").alias("at")), "links")
+    linked = found.groupBy("row", "conv_id", "turn").agg(F.sum("n").alias("quotes"), F.coalesce(F.sum(F.when(F.col("at").isNotNull(), F.col("n"))), F.lit(0)).alias("links"), F.min(F.when(F.col("at").isNotNull(), F.struct("level", "pos", "at"))).alias("best"))
+    linked = staged(linked.select("row", "conv_id", "turn", "quotes", "links", F.col("best.at").alias("at")), "links")
 
     # a conversation branches off the earlier one that its first message with a foreign link quotes; roots by pointer doubling
     up = linked.where("at.conv_id < conv_id").groupBy("conv_id").agg(F.min(F.struct("turn", "at")).alias("x")).select("conv_id", F.col("x.at.conv_id").alias("root"))
@@ -106,16 +107,20 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         up = new.select("conv_id", "root")
         if new.where("moved").isEmpty():
             break
-    out = rows.drop("passages", "quoting").join(linked, ["conv_id", "turn"], "left").join(up, "conv_id", "left").withColumn("thread", F.coalesce("root", "conv_id"))
+    counts = linked.groupBy("conv_id", "turn").agg(F.sum("quotes").alias("quotes"), F.sum("links").alias("links"))
+    out = rows.drop("passages", "quoting").join(linked.select("row", "at"), "row", "left").join(counts, ["conv_id", "turn"], "left").join(up, "conv_id", "left").withColumn("thread", F.coalesce("root", "conv_id"))
 
     # positions: range-sorted rows are numbered inside their partition and shifted by what the thread has in earlier ones
-    order = ["thread", "conv_id", "turn", "role", "body"]
+    order = ["thread", "conv_id", "turn", "role", "body", "at"]
     out = out.repartitionByRange(*(F.col(c) for c in order[:3])).sortWithinPartitions(*order).withColumn("at_row", F.monotonically_increasing_id())
     out = staged(out.withColumn("part", F.shiftright("at_row", 33).cast("int")), "ordered")
     runs = out.groupBy("part", "thread").agg(F.min("at_row").alias("first"), F.count("*").alias("n"))
     runs = runs.select("part", "thread", (F.col("first") - F.coalesce(F.expr("sum(n) OVER (PARTITION BY thread ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))).alias("shift"))
-    turns = out.where("conv_id IS NOT NULL").select("conv_id", "turn").distinct()
-    turns = turns.withColumn("last", F.expr("lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)"))
+    # the turn before, likewise: inside the part, or the highest of the conversation's part before
+    turns = out.where("conv_id IS NOT NULL").select("part", "conv_id", "turn").distinct()
+    turns = turns.withColumn("first", F.expr("row_number() OVER (PARTITION BY part, conv_id ORDER BY turn) = 1")).withColumn("last", F.expr("lag(turn) OVER (PARTITION BY part, conv_id ORDER BY turn)"))
+    tops = turns.groupBy("part", "conv_id").agg(F.max("turn").alias("top")).withColumn("before", F.expr("lag(top) OVER (PARTITION BY conv_id ORDER BY part)"))
+    turns = turns.join(tops, ["part", "conv_id"]).select("conv_id", "turn", F.when(F.col("first"), F.col("before")).otherwise(F.col("last")).alias("last"))
     out = out.join(runs, out["part"].eqNullSafe(runs["part"]) & out["thread"].eqNullSafe(runs["thread"])).drop(runs["part"]).drop(runs["thread"]).join(turns, ["conv_id", "turn"], "left")
     is_linked = F.col("at").isNotNull()
     return out.select(

@@ -86,3 +86,30 @@ def test_many_quoted_lines_and_lines_like_headers(spark):
     got = {r["turn"]: r for r in chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got[0]["body"] == rows[0][3] and got[1]["body"] == "end" and got[1]["quotes"] == 8_000 and got[1]["links"] == 1
     assert got[2]["body"].split() == "On and on she wrote: yes".split() and got[2]["parent_turn"] == 1
+
+
+def test_rows_that_repeat_a_turn_have_their_own_parents(spark):
+    rows = [(1, 0, "u", "the first word"), (1, 1, "a", "an answer"), (1, 2, "u", "> the first word\nyes"), (1, 2, "u", "other row"), (1, 2, "u", "other row"), (None, 3, "u", "> the first word\nno id"), (2, None, "u", "> the first word\nno turn")]
+    got = chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["body"], r["linked"], r["parent_turn"], r["quotes"]) for r in got if r["conv_id"] == 1) == [("an answer", False, 0, 0), ("other row", False, 1, 1), ("other row", False, 1, 1), ("the first word", False, None, 0), ("yes", True, 0, 1)]
+    assert {(r["body"], r["linked"], r["parent_conv"]) for r in got if r["conv_id"] != 1} == {("no id", False, None), ("no turn", False, None)}
+    assert sorted(r["position"] for r in got if r["thread"] == 1) == list(range(5))
+
+
+def test_turns_before_over_the_parts_of_a_long_conversation(spark):
+    """One conversation over many ranges, with gaps, repeats and null turns."""
+    turns = [None, None, *(3 * k for k in range(4_000)), *(3 * k for k in range(0, 4_000, 7))]
+    rows = [(5, t, "u", f"says {t}") for t in turns] + [(6, t, "u", "other") for t in range(50)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows)
+    for r in got:
+        step = 3 if r["conv_id"] == 5 else 1
+        assert r["parent_turn"] == (r["turn"] - step if r["turn"] else None)
+    assert sorted(r["position"] for r in got if r["conv_id"] == 5) == list(range(len(turns)))
