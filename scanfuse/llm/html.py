@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from itertools import accumulate
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ TEMPLATE_PAGES = 5
 BESIDE_SHARE = 0.25
 #: Pairs of places that the search for repeats compares at a time.
 HELD_PAIRS = 1 << 20
+#: Symbols of a row up to which the search for repeats compares all places, which costs less; both ways find the same lengths of whole elements.
+SHORT_ROW = 100
 
 _TOKEN = re.compile(
     r"<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -243,7 +246,10 @@ def _next_repeat(shapes: list[object], after: int) -> int:
     """
     size = len(shapes)
     known: dict[object, int] = {}
-    ids = np.fromiter((known.setdefault(s, len(known)) for s in shapes), np.int64, size)
+    ids = [known.setdefault(s, len(known)) for s in shapes]
+    if size <= SHORT_ROW:
+        return next((n for n in range(after + 1, size // 2 + 1) if b"\1" * n in bytes(map(eq, ids, ids[n:]))), 0)
+    ids = np.array(ids, np.int64)
     draw = random.Random(1)
     codes = np.array([draw.getrandbits(64) for _ in known], np.uint64)[ids]
     power = _powers(draw.getrandbits(64) | 1, size)

@@ -139,7 +139,9 @@ def plain_fold(shapes: list) -> list[int]:
     return [n for n in range(1, len(shapes) // 2 + 1) if any(shapes[k : k + n] == shapes[k + n : k + 2 * n] and html._whole(shapes[k : k + n]) for k in range(len(shapes) - 2 * n + 1))]
 
 
-def test_no_repeat_is_passed_over():
+@pytest.mark.parametrize("short", [0, html.SHORT_ROW])
+def test_no_repeat_is_passed_over(monkeypatch, short):
+    monkeypatch.setattr(html, "SHORT_ROW", short)
     rng = random.Random(8)
     for _ in range(300):
         shapes = rng.choices(["#", "<div>", "</div>", "<p>", "<ul>", "</ul>"], k=rng.randint(0, 12)) * rng.randint(1, 4)
