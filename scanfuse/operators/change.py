@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanfuse.functions.profile import SensorProfile
 from scanfuse.operators import grid, neighbors, stats
+from scanfuse.operators.components import staged
 from scanfuse.operators.project import project
 from scanfuse.operators.trajectory import transform_points
 
@@ -138,11 +139,10 @@ def surfels(points: DataFrame, leaf: float, radius: float, k: int = 10, flat: fl
 
     Each hit (pt_id) adds ln(.55/.45) to a confidence of one half. With a key, each of its values is a map of its own, and the surfels carry it.
     """
-    seeds = grid.voxel_samples(points, leaf, (key,) if key else ())
-    near = neighbors.nearest(seeds, points, k, radius, key, complete=True)
-    fits = stats.neighbour_planes(near, flat).where("valid").select("q_id", "nx", "ny", "nz", "worst")
-    pca = stats.principal(stats.moments(near, ["q_id"], ("tx", "ty", "tz"))).select("q_id", *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), "l1", "cov_xx", "cov_xy", "cov_xz", "cov_yy", "cov_yz", "cov_zz")
-    out = pca.join(fits, "q_id").withColumnRenamed("q_id", "pt_id")
+    seeds = staged(grid.voxel_samples(points, leaf, (key,) if key else ()), "seeds")
+    near = neighbors.nearest_sets(seeds, points, k, radius, key, complete=True, sums=True)
+    fits = stats.principal(stats.neighbour_planes(near, flat).where("valid"))
+    out = fits.select(F.col("q_id").alias("pt_id"), *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), "l1", "cov_xx", "cov_xy", "cov_xz", "cov_yy", "cov_yz", "cov_zz", "nx", "ny", "nz", "worst")
     n = hits.groupBy("pt_id").agg(F.count("*").alias("hits")) if hits is not None else None
     out = out.join(n, "pt_id", "left") if n is not None else out.withColumn("hits", F.lit(0))
     out = out.join(seeds.select(key, "pt_id"), "pt_id") if key else out
