@@ -53,7 +53,7 @@ def keyframe_changes(current: DataFrame, near: DataFrame, profile: SensorProfile
 
     A keyframe that sees too little of the reference says nothing: it has no rows.
     """
-    seen = view(near, profile)
+    seen = staged(view(near, profile), "seen")  # read twice: by its frames and by its pixels
     return difference(view(current, profile).join(seen.select("frame_id").distinct(), "frame_id", "left_semi"), seen, ratio, far)
 
 
@@ -65,10 +65,11 @@ def view(points: DataFrame, profile: SensorProfile, keys: tuple[str, ...] = ("fr
 def reference_views(frames: DataFrame, seen: DataFrame, profile: SensorProfile) -> DataFrame:
     """The view (row_id, col_id, rng, pt_id) of a reference that every frame (frame_id) of a sensor at rest has before it.
 
-    A frame brings its image's pixels, as many as the profile has, and these meet the view's by row and column.
+    A frame brings its image's pixels, as many as the profile has, and these meet the view's by row and column. The view is the side to broadcast, one image of bounded size: left to estimates, which count frames and not
+    their pixels, all frames' pixels went through the driver.
     """
     pixels = frames.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(profile.rows - 1))).alias("row_id")).select("frame_id", "row_id", F.explode(F.sequence(F.lit(0), F.lit(profile.cols - 1))).alias("col_id"))
-    return pixels.join(seen.select("row_id", "col_id", "rng", "pt_id"), ["row_id", "col_id"])
+    return pixels.join(F.broadcast(seen.select("row_id", "col_id", "rng", "pt_id")), ["row_id", "col_id"])
 
 
 def difference(current: DataFrame, reference: DataFrame, ratio: float = 0.06, far: float = 100.0) -> DataFrame:

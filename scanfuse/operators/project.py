@@ -20,7 +20,8 @@ def column_of(profile: SensorProfile) -> Column:
 
 
 def _kept(points: DataFrame, row: Column, profile: SensorProfile) -> DataFrame:
-    out = points.withColumns({"row_id": row, "col_id": column_of(profile), "rng": G.norm(F.col("x"), F.col("y"), F.col("z"))})
+    pixel = F.struct(row.alias("row_id"), column_of(profile).alias("col_id"), G.norm(F.col("x"), F.col("y"), F.col("z")).alias("rng"))
+    out = points.select(*(c for c in points.columns if c not in ("row_id", "col_id", "rng")), F.inline(F.array(pixel)))  # worked out once a row, not again by the filter
     return out.where(F.col("row_id").between(0, profile.rows - 1) & F.col("col_id").between(0, profile.cols - 1))
 
 

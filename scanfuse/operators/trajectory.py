@@ -29,7 +29,8 @@ def transform_points(points: DataFrame, poses: DataFrame, key: str = "frame_id",
     t = trans("__")
     new = G.rotate(G.conj(q), tuple(a - b for a, b in zip(p, t))) if inverse else tuple(a + b for a, b in zip(G.rotate(q, p), t))
     joined = points.join(poses.select(key, *(F.col(n).alias("__" + n) for n in POSE)), key)
-    return joined.withColumns(dict(zip(("x", "y", "z"), new))).select(points.columns)
+    moved = F.inline(F.array(F.struct(*(v.alias(a) for v, a in zip(new, "xyz")))))  # worked out once a row: inlined, what reads x, y, z would repeat the rotation at each mention
+    return joined.select(*(c for c in points.columns if c not in ("x", "y", "z")), moved).select(points.columns)
 
 
 def relative(a: str, b: str) -> dict[str, Column]:

@@ -92,3 +92,26 @@ def test_lines_and_planes_share_a_descent(spark):
     assert abs(found["line", 0, 0]["nx"]) > 0.99 and found["line", 0, 0]["n"] == 60
     assert abs(found["plane", 0, 0]["nz"]) > 0.99 and found["plane", 0, 0]["n"] == 80
     assert {(k, l) for k, l, v in found if v >= 2} == {("plane", 1)} and sum(r["n"] for r in got) == 260
+
+
+def test_reference_views_broadcast_one_image(spark):
+    """However many frames there are, only the view is broadcast, not their pixels."""
+    from scanfuse.functions.profile import PROFILES
+    from scanfuse.operators import change
+
+    seen = spark.range(40).selectExpr("CAST(id % 16 AS INT) AS row_id", "CAST(id AS INT) AS col_id", "1.0D AS rng", "id AS pt_id")
+    out = change.reference_views(spark.range(3).selectExpr("CAST(id AS INT) AS frame_id"), seen, PROFILES["room"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    assert out.count() == 120
+
+
+def test_moved_points_are_worked_out_once(spark):
+    """A filter on moved points does not carry their formula with it."""
+    from scanfuse.operators.trajectory import POSE, transform_points
+
+    p = spark.range(4).selectExpr("0 AS frame_id", "id AS pt_id", "id * 1.0D AS x", "0.0D AS y", "0.0D AS z")
+    pose = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.6, 0.8)], "frame_id int, " + ", ".join(f"{n} double" for n in POSE))
+    out = transform_points(p, pose).where("abs(x) + x * x + x * x * x > -1e9")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("SQRT") <= 12
+    assert out.count() == 4
