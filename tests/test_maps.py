@@ -113,5 +113,6 @@ def test_moved_points_are_worked_out_once(spark):
     p = spark.range(4).selectExpr("0 AS frame_id", "id AS pt_id", "id * 1.0D AS x", "0.0D AS y", "0.0D AS z")
     pose = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.6, 0.8)], "frame_id int, " + ", ".join(f"{n} double" for n in POSE))
     out = transform_points(p, pose).where("abs(x) + x * x + x * x * x > -1e9")
-    assert out._jdf.queryExecution().optimizedPlan().toString().count("SQRT") <= 12
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in lines if "SQRT" in line and ("Filter" in line or "Join" in line)]
     assert out.count() == 4
