@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,25 +101,64 @@ def neighbour_lines(neighbours: DataFrame, reach: float = 0.1) -> DataFrame:
 
 
 def ransac_lines(points: DataFrame, key: str, threshold: float = 0.1, rounds: int = 50, seed: int = 7) -> DataFrame:
-    """A line per group (one line feature's points): point, direction, inliers, length along the line and linearity. Seeded by the group, so repeatable."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("pt_id")[["x", "y", "z"]].to_numpy()
-        rng, best = np.random.default_rng([seed, abs(int(pdf[key].iloc[0]))]), np.zeros(len(p), bool)
-        for _ in range(rounds if len(p) > 1 else 0):
-            a, b = p[rng.choice(len(p), 2, replace=False)]
-            if (size := np.linalg.norm(b - a)) > 1e-9:
-                inside = np.linalg.norm(np.cross(p - a, (b - a) / size), axis=1) <= threshold
-                best = inside if inside.sum() > best.sum() else best
-        chosen = p[best] if best.sum() > 1 else p
-        centre = chosen.mean(0)
-        values, vectors = np.linalg.eigh((chosen - centre).T @ (chosen - centre) / len(chosen))
-        d = vectors[:, 2] * np.sign(vectors[np.abs(vectors[:, 2]).argmax(), 2])
-        along = (chosen - centre) @ d
-        return pd.DataFrame({key: pdf[key].iloc[:1], "cx": centre[0], "cy": centre[1], "cz": centre[2], "dx": d[0], "dy": d[1], "dz": d[2], "inliers": int(best.sum()), "length": np.ptp(along), "linearity": (values[2] - values[1]) / max(values[2], 1e-12)})
-
+    """A line per group (one line feature's points): point, direction, inliers, length along the line and linearity. Seeded by the group, so repeatable. A call fits a batch of lines."""
+    lines = points.groupBy(key).agg(F.collect_list(F.struct(F.col("pt_id").cast("long").alias("pt_id"), *(F.col(a).cast("double").alias(a) for a in "xyz"))).alias("p"))
     kinds = ", ".join(f"{n} double" for n in ("cx", "cy", "cz", "dx", "dy", "dz"))
-    return points.groupBy(key).applyInPandas(fit, f"{key} {points.schema[key].dataType.simpleString()}, {kinds}, inliers long, length double, linearity double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("p")
+            bounds, rows = lists.offsets.to_numpy().astype(np.int64), lists.values
+            pt_id, xyz = rows.field("pt_id").to_numpy(zero_copy_only=False), np.stack([rows.field(a).to_numpy(zero_copy_only=False) for a in "xyz"])
+            ends = np.searchsorted(bounds, np.arange(bounds[0] + 20_000, bounds[-1], 20_000))  # slices of some 20,000 points, of whole lines
+            for a, b in zip(cuts := np.unique(np.r_[0, ends, batch.num_rows])[:-1], np.r_[cuts[1:], batch.num_rows]):
+                names, of, n = batch.column(key)[a : b], slice(bounds[a], bounds[b]), np.diff(bounds[a : b + 1])
+                order = np.lexsort((pt_id[of], np.repeat(np.arange(b - a), n)))
+                fits = _ransac(xyz[:, of][:, order], n, names.to_numpy(zero_copy_only=False), threshold, rounds, seed)
+                yield pa.RecordBatch.from_pydict({key: names} | {k: pa.array(v) for k, v in fits.items()})
+
+    return lines.mapInArrow(run, f"{key} {points.schema[key].dataType.simpleString()}, {kinds}, inliers long, length double, linearity double")
+
+
+def _two_of(n: int, rounds: int, seed: list[int]) -> np.ndarray:
+    """Two different places under n for each round. The draws are those of Generator.choice without replacement, all in one call."""
+    first, second, swap = np.random.default_rng(seed).integers(0, np.tile([n - 1, n, 2], rounds)).reshape(rounds, 3).T
+    second = np.where(second == first, n - 1, second)
+    return np.where(swap == 0, (second, first), (first, second))
+
+
+def _ransac(p: np.ndarray, n: np.ndarray, names: np.ndarray, threshold: float, rounds: int, seed: int) -> dict[str, np.ndarray]:
+    """The fits of ransac_lines to lines of n points each, one after another in p (3 × all)."""
+    start, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    picks = np.zeros((len(n), 2, rounds), np.int64)
+    for i in np.flatnonzero(n > 1):
+        picks[i] = _two_of(int(n[i]), rounds, [seed, abs(int(names[i]))])
+    picks += start[:, None, None]
+    best, most = np.zeros(p.shape[1], bool), np.zeros(len(n), np.int64)
+    for k in range(rounds):
+        a, d = p[:, picks[:, 0, k]], p[:, picks[:, 1, k]] - p[:, picks[:, 0, k]]
+        size = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+        ok = size > 1e-9
+        off, (u, v, w) = p - a[:, of], (d / np.where(ok, size, 1.0))[:, of]
+        x, y, z = off[1] * w - off[2] * v, off[2] * u - off[0] * w, off[0] * v - off[1] * u
+        inside = np.sqrt(x * x + y * y + z * z) <= threshold
+        found = np.add.reduceat(inside, start, dtype=np.int64)
+        better = ok & (found > most)
+        most = np.where(better, found, most)
+        best = np.where(better[of], inside, best)
+    chosen = best | (most < 2)[of]
+    total = lambda v: np.add.reduceat(np.where(chosen, v, 0.0), start)
+    count = total(1.0)
+    centre = np.stack([total(v) / count for v in p])
+    off = p - centre[:, of]
+    cov = np.stack([[total(a * b) / count for a in off] for b in off]).transpose(2, 0, 1)
+    values, vectors = np.linalg.eigh(cov)
+    d = vectors[:, :, 2].T
+    d = d * np.sign(np.take_along_axis(d, np.abs(d).argmax(0)[None], 0))
+    along = (off * d[:, of]).sum(0)
+    length = np.maximum.reduceat(np.where(chosen, along, -np.inf), start) - np.minimum.reduceat(np.where(chosen, along, np.inf), start)
+    linearity = (values[:, 2] - values[:, 1]) / np.maximum(values[:, 2], 1e-12)
+    return dict(zip(("cx", "cy", "cz", "dx", "dy", "dz"), (*centre, *d))) | {"inliers": most, "length": length, "linearity": linearity}
 
 
 def normal_equations(residuals: DataFrame, keys: list[str]) -> DataFrame:
