@@ -35,6 +35,12 @@ def nearest_returns(pixels: DataFrame, keys: tuple[str, ...] = ("frame_id",)) ->
     return pixels.groupBy(*keys, "row_id", "col_id").agg(F.min(F.struct("rng", "pt_id")).alias("b"), F.count("*").alias("n")).select(*keys, "row_id", "col_id", "b.rng", "b.pt_id", "n")
 
 
+def front(pixels: DataFrame) -> DataFrame:
+    """The rows of pixels that nearest_returns names, with all their columns. Rows are dealt by frame once: the windows and groups inside frames that follow need no further shuffle."""
+    w = Window.partitionBy("frame_id", "row_id", "col_id").orderBy("rng", "pt_id")
+    return pixels.repartition("frame_id").withColumn("_nr", F.row_number().over(w)).where("_nr = 1").drop("_nr")
+
+
 def projection_counts(pixels: DataFrame, rows: int, cols: int) -> DataFrame:
     """Per frame: points that share a pixel with a nearer one, and points off the image by row and by column. pixels: not filtered by row or column."""
     inside = F.col("row_id").between(0, rows - 1) & F.col("col_id").between(0, cols - 1)

@@ -19,8 +19,7 @@ COLS = 180
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The front surface of every frame, with its points."""
-    px = project(points(spark, sf_dir), ROOM).drop("ring", "az")
-    return px.join(grid.nearest_returns(px).select("pt_id"), "pt_id", "left_semi")
+    return grid.front(project(points(spark, sf_dir), ROOM).drop("ring", "az"))
 
 
 _FRAME = "PARTITION BY frame_id ORDER BY row_id, col_id"
