@@ -40,17 +40,19 @@ def greedy_logdet(features: DataFrame, share: float = 0.4, tries: int = 20, seed
         p, n = pdf[["x", "y", "z"]].to_numpy(), pdf[["nx", "ny", "nz"]].to_numpy()
         j = np.hstack([np.cross(p, n), n])
         rng, h = np.random.default_rng([seed, int(pdf["frame_id"].iloc[0])]), 1e-3 * np.eye(6)
-        left, chosen = list(range(len(j))), []
-        for _ in range(int(np.ceil(share * len(j)))):
-            some = rng.choice(len(left), min(tries, len(left)), replace=False)
-            inv = np.linalg.inv(h)
-            gain = np.einsum("ij,jk,ik->i", j[np.array(left)[some]], inv, j[np.array(left)[some]])  # det(H + jjᵀ) = det H · (1 + jᵀH⁻¹j)
-            k = left.pop(int(some[gain.argmax()]))
+        left, chosen = np.arange(len(j)), []
+        for n_left in range(len(j), len(j) - int(np.ceil(share * len(j))), -1):  # left[:n_left] in order
+            some = rng.choice(n_left, min(tries, n_left), replace=False)
+            rows = j[left[some]]
+            gain = np.einsum("ij,jk,ik->i", rows, np.linalg.inv(h), rows)  # det(H + jjᵀ) = det H · (1 + jᵀH⁻¹j)
+            at = int(some[gain.argmax()])
+            k = left[at]
+            left[at : n_left - 1] = left[at + 1 : n_left]
             chosen.append(k)
             h += np.outer(j[k], j[k])
         return pdf.iloc[sorted(chosen)][["frame_id", "pt_id"]]
 
-    return features.groupBy("frame_id").applyInPandas(choose, "frame_id int, pt_id long")
+    return features.select("frame_id", "pt_id", *"xyz", "nx", "ny", "nz").groupBy("frame_id").applyInPandas(choose, "frame_id int, pt_id long")
 
 
 def normal_moments(features: DataFrame) -> DataFrame:
