@@ -126,7 +126,8 @@ def finite(spark, sf_dir):
 @query("p12_relative_time", oracle("""SELECT pt_id, round((CASE WHEN round(off,9)<0 THEN off+2*pi() ELSE off END)/(CASE WHEN span<=0 THEN span+2*pi() ELSE span END)*0.1,5) AS rel_time FROM (
  SELECT pt_id, -atan2(y,x)-st AS off, en-st AS span FROM p JOIN (SELECT frame_id, arg_min(-atan2(y,x),pt_id) AS st, arg_max(-atan2(y,x),pt_id) AS en FROM p GROUP BY 1) f USING (frame_id)) q""", "points"))
 def relative_time(spark, sf_dir):
-    return P.relative_time(points(spark, sf_dir)).select("pt_id", *r5("rel_time"))
+    # rounded as the SQL's round does, by scaling: shares of a sweep such as 110 of 320 lie between two fifth decimals
+    return P.relative_time(points(spark, sf_dir)).select("pt_id", (F.round(F.col("rel_time") * 1e5) / 1e5 + 0.0).alias("rel_time"))
 
 
 @query("p14_select", oracle("SELECT 'in' AS side, count(*) AS n FROM p WHERE ring>=8 UNION ALL SELECT 'out', count(*) FROM p WHERE ring<8", "points"))
