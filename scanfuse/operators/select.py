@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -90,20 +92,43 @@ def hull_overlap(points: DataFrame, pairs: DataFrame, key: str = "unit_id", stri
 
     kind = points.schema[key].dataType.simpleString()
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        corners = _hull(pdf[["x", "y"]].to_numpy())
-        return pd.DataFrame({key: pdf[key].iloc[0], "x": corners[:, 0], "y": corners[:, 1]})
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            group = np.cumsum(np.r_[True, ((pdf[key].to_numpy() != pdf[key].shift().to_numpy()) | (pdf["s"].to_numpy() != pdf["s"].shift().to_numpy()))[1:]][: len(pdf)])
+            yield pdf.loc[_outer(pdf["x"].to_numpy(), pdf["y"].to_numpy(), group), [key, "x", "y"]]
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({key: pdf[key].iloc[:1], "hull": [_hull(pdf[["x", "y"]].to_numpy()).ravel()]})
 
-    # hulls of strips first: only their corners meet in the unit's group
-    strips = points.select(key, "x", "y", F.floor(F.col("x") / strip).alias("s")).groupBy(key, "s").applyInPandas(part, f"{key} {kind}, x double, y double")
+    # what can be a corner of a strip first: only that meets in the unit's group
+    strips = points.select(key, F.col("x").cast("double"), F.col("y").cast("double"), F.floor(F.col("x") / strip).alias("s")).repartition(key, "s").sortWithinPartitions(key, "s", "x", "y")
+    strips = strips.mapInPandas(part, f"{key} {kind}, x double, y double")
     hulls = strips.groupBy(key).applyInPandas(whole, f"{key} {kind}, hull array<double>")
     on = pairs.join(hulls.select(F.col(key).alias("id1"), F.col("hull").alias("h1")), "id1").join(hulls.select(F.col(key).alias("id2"), F.col("hull").alias("h2")), "id2")
     return on.withColumn("area", _areas("h1", "h2")).select("id1", "id2", F.col("area.a").alias("area1"), F.col("area.b").alias("area2"), (F.col("area.c") / F.least("area.a", "area.b")).alias("overlap"))
 
 
+def _outer(x: np.ndarray, y: np.ndarray, group: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Places of the points, in order of (group, x, y), that may be corners of their group's hull; no corner is left out.
+
+    A point that is not above the chord of the points before and after it is no corner of the upper hull, and these two may go at the same time without changing the hull. So do rounds over all groups at once,
+    for the upper and the lower hull; what they leave inside does no harm.
+    """
+    found = []
+    for side in (1, -1):
+        at = np.arange(len(x))
+        for _ in range(rounds):
+            a, b, c = at[:-2], at[1:-1], at[2:]
+            turn = (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+            # points at one place, or under one another, are told apart by the exact hull later
+            inner = (group[a] == group[c]) & (side * turn >= 0) & (x[a] < x[b]) & (x[b] < x[c])
+            if not inner.any():
+                break
+            at = at[np.r_[True, ~inner, True]] if len(at) > 2 else at
+        found.append(at)
+    return np.unique(np.concatenate(found))
+
+
 def _hull(p: np.ndarray) -> np.ndarray:
     p = np.unique(p, axis=0)
     if len(p) < 3:
@@ -127,14 +152,10 @@ def _area(p: np.ndarray) -> float:
 def _clip(p: np.ndarray, by: np.ndarray) -> np.ndarray:
     for a, b in zip(by, np.roll(by, -1, axis=0)):
         side = (b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0]) if len(p) else np.empty(0)
-        out = []
-        for k in range(len(p)):
-            s, t = side[k - 1], side[k]
-            if (s < 0) != (t < 0):
-                out.append(p[k - 1] + (p[k] - p[k - 1]) * s / (s - t))
-            if t >= 0:
-                out.append(p[k])
-        p = np.array(out).reshape(-1, 2)
+        s, t, before = np.roll(side, 1), side, np.roll(p, 1, axis=0)
+        crosses = (s < 0) != (t < 0)
+        cut = before + (p - before) * s[:, None] / np.where(crosses, s - t, 1.0)[:, None]
+        p = np.stack([cut, p], axis=1).reshape(-1, 2)[np.stack([crosses, t >= 0], axis=1).ravel()]  # a cut comes before the point it leads to
     return p
 
 
