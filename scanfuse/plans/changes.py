@@ -334,11 +334,11 @@ def reassemble(spark, sf_dir):
 
 
 # streams: the given tables, written to the shared folder in parts and read back as a stream
-def _streamed(df: DataFrame, label: str, parts: int = 2, key: str | None = None) -> tuple[DataFrame, str]:
-    """df as a stream of about `parts` files; rows of one key stay in one file."""
-    on = staged(df.repartition(parts, *([key] if key else [])), label)
+def _streamed(df: DataFrame, label: str, parts: int = 2, key: str | None = None, files: int = 1) -> tuple[DataFrame, str]:
+    """df as a stream of about `parts` batches of `files` files; rows of one key stay in one file."""
+    on = staged(df.repartition(parts * files, *([key] if key else [])), label)
     path = on.inputFiles()[0].rsplit("/", 1)[0]
-    return jobs.source(df.sparkSession, path, df.schema.simpleString()[7:-1].replace(":", " ")), f"{shared_dir(df.sparkSession)}/{label}-out-{path.rsplit('-', 1)[-1]}"
+    return jobs.source(df.sparkSession, path, df.schema.simpleString()[7:-1].replace(":", " "), files), f"{shared_dir(df.sparkSession)}/{label}-out-{path.rsplit('-', 1)[-1]}"
 
 
 def _collected(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
@@ -352,7 +352,7 @@ def _collected(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
 @query("x1_frame_stream", oracle("SELECT frame_id, row_id, col_id, round(rng,5) AS rng, pt_id FROM img", "points", "pixels"))
 def frame_stream(spark, sf_dir):
     frames = points(spark, sf_dir).select("frame_id", "pt_id", "x", "y", "z", "intensity")
-    src, out = _streamed(frames, "frames", 4, "frame_id")  # a frame never splits
+    src, out = _streamed(frames, "frames", 4, "frame_id", 8)  # a frame never splits
     jobs.run(src, jobs.frames_sink(ROOM, out + "/products"), out + "/check").awaitTermination()
     return spark.read.parquet(out + "/products/image").select("frame_id", "row_id", "col_id", *r5("rng"), "pt_id")
 

@@ -31,19 +31,21 @@ def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: s
 def frame_pipeline(points: DataFrame, profile: SensorProfile) -> dict[str, DataFrame]:
     """What one micro-batch of whole frames yields: the front surface, its segments and its lines."""
     px = project(points, profile)
-    front = px.join(grid.nearest_returns(px).select("frame_id", "pt_id"), ["frame_id", "pt_id"], "left_semi")
+    front = grid.front(px)
     cut = scanline.line_segments(front)
     return {"image": front, "segments": cut, "lines": scanline.direction_lines(cut)}
 
 
 def frames_sink(profile: SensorProfile, out: str) -> Callable[[DataFrame, int], None]:
-    """Writes the products of each batch, computed from one cached batch, under its number: a repeated batch overwrites itself."""
+    """Writes the products of each batch under its number: a repeated batch overwrites itself. The segments are worked out once; the image and the lines come from what was written of them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        for name, df in frame_pipeline(batch, profile).items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        batch.unpersist()
+        to = {name: f"{out}/{name}/batch={number}" for name in ("image", "segments", "lines")}
+        made = frame_pipeline(batch, profile)
+        made["segments"].write.mode("overwrite").parquet(to["segments"])
+        cut = batch.sparkSession.read.schema(made["segments"].schema).parquet(to["segments"])
+        cut.select(made["image"].columns).write.mode("overwrite").parquet(to["image"])
+        scanline.direction_lines(cut).write.mode("overwrite").parquet(to["lines"])
 
     return write
 
