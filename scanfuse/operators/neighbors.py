@@ -61,11 +61,11 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, radius: float, key:
     return pairs.select("q_id", "qx", "qy", "qz", "_t.*", (F.col("nr") + 1).alias("nr"))
 
 
-def nearest_sets(queries: DataFrame, targets: DataFrame, k: int, radius: float, key: str | None = "map_key", complete: bool = False, sums: bool = False, crowd: int = 4096) -> DataFrame:
+def nearest_sets(queries: DataFrame, targets: DataFrame, k: int, radius: float, key: str | None = "map_key", complete: bool = False, sums: bool = False, crowd: int = 4096, split: Callable[[DataFrame, DataFrame, list[str]], DataFrame] | None = None) -> DataFrame:
     """As `nearest`, one row per query that has a target: q_id, qx, qy, qz and near, its targets (t_id, tx, ty, tz, d2) in order; sums adds their number n and the sums of their coordinates and products.
 
     A tile's queries and targets meet as two lists in one row, so no pair is shuffled or sorted. Tiles with over `crowd` queries or targets are no lists: their points meet cell by cell and all pairs of a query are ranked, with
-    the same result.
+    the same result; with `split`, it finds their ranked pairs, of both sides and the columns that name a tile.
     """
     keys = [key] if key else []
     on = [*keys, *TILE]
@@ -77,18 +77,25 @@ def nearest_sets(queries: DataFrame, targets: DataFrame, k: int, radius: float,
     lists = [side.repartition(*on).groupBy(*on).agg(F.collect_list(F.struct(F.col(s + "_id").cast("long").alias("id"), *(F.col(s + a).cast("double").alias(a) for a in "xyz"))).alias(s)) for side, s in zip(sides, "qt")]
     numbers = (", n long, " + ", ".join(f"{s} double" for s in _SUMS)) if sums else ""
     out = lists[0].join(lists[1], on).select("q", "t").mapInArrow(_closest(k, radius, complete, sums), f"q_id long, qx double, qy double, qz double, {_NEAR}{numbers}")
-    return out.unionByName(_ranked(*(side.join(F.broadcast(full), on, "left_semi") for side in (q, t)), k, radius, on, complete, sums)) if crowded else out
+    if not crowded:
+        return out
+    q, t = (side.join(F.broadcast(full), on, "left_semi") for side in (q, t))
+    return out.unionByName(_sets(split(q, t, on) if split else _ranked(q, t, k, radius, on), k, complete, sums))
 
 
-def _ranked(q: DataFrame, t: DataFrame, k: int, radius: float, on: list[str], complete: bool, sums: bool) -> DataFrame:
-    """nearest_sets of crowded tiles: a query goes to the 27 cells around it, and its pairs are ranked by a window."""
+def _ranked(q: DataFrame, t: DataFrame, k: int, radius: float, on: list[str]) -> DataFrame:
+    """Ranked pairs of crowded tiles: a query goes to the 27 cells around it, and its pairs are ranked by a window."""
     at = lambda side: [F.floor(F.col(side + a) / radius).cast("long").alias(v) for a, v in zip("xyz", CELL)]
     q, t = q.select("*", *at("q")), t.select("*", *at("t"))
     step = F.array(*(F.lit(j).cast("long") for j in (-1, 0, 1)))
     for v in CELL:
         q = q.withColumn(v, F.explode(F.transform(step, _plus(F.col(v)))))
     pairs = q.join(t, [*on, *CELL]).where(_close(radius)).withColumn("d2", G.sq_distance(G.vec("q"), G.vec("t")))
-    pairs = pairs.withColumn("nr", F.row_number().over(Window.partitionBy("q_id").orderBy("d2", "t_id"))).where(F.col("nr") <= k)
+    return pairs.withColumn("nr", F.row_number().over(Window.partitionBy("q_id").orderBy("d2", "t_id"))).where(F.col("nr") <= k)
+
+
+def _sets(pairs: DataFrame, k: int, complete: bool, sums: bool) -> DataFrame:
+    """Ranked pairs as nearest_sets gives them."""
     v = dict(zip("xyz", G.vec("t")))
     total = [F.count("*").alias("n"), *(F.sum(v[s[1]] if len(s) == 2 else v[s[1]] * v[s[2]]).alias(s) for s in _SUMS)]
     out = pairs.groupBy("q_id", "qx", "qy", "qz").agg(F.array_sort(F.collect_list(F.struct("nr", "t_id", "tx", "ty", "tz", "d2"))).alias("near"), *total)
@@ -174,14 +181,28 @@ def _tree(targets: DataFrame, radius: float, crowd: int, depth: int, keys: list[
     return placed, known
 
 
-def nearest_uneven(queries: DataFrame, targets: DataFrame, k: int, radius: float, key: str | None = "map_key", complete: bool = False, crowd: int = 64, depth: int = 12) -> DataFrame:
-    """As `nearest`, for targets of uneven density: no pair is made with a point that k nearer ones are known to precede.
+def nearest_uneven(queries: DataFrame, targets: DataFrame, k: int, radius: float, key: str | None = "map_key", complete: bool = False, crowd: int = 64, depth: int = 12, whole: int = 4096) -> DataFrame:
+    """As `nearest`, for targets of uneven density. Tiles of up to `whole` queries and targets meet as lists (see nearest_sets), and only the points of more crowded tiles are dealt to cells that are split.
+
+    So no query meets more than `whole` points, and the rows that go from level to level are those of crowded tiles alone.
+    """
+
+    def split(q: DataFrame, t: DataFrame, on: list[str]) -> DataFrame:
+        sides = [side.select(*on, F.col(s + "_id").alias("pt_id"), *(F.col(s + a).alias(a) for a in "xyz")) for side, s in ((q, "q"), (t, "t"))]
+        return _split_cells(*sides, k, radius, on, crowd, depth)
+
+    sets = nearest_sets(queries, targets, k, radius, key, complete, crowd=whole, split=split)
+    pairs = sets.select("q_id", "qx", "qy", "qz", F.posexplode("near").alias("nr", "_t"))
+    return pairs.select("q_id", "qx", "qy", "qz", "_t.*", (F.col("nr") + 1).alias("nr"))
+
+
+def _split_cells(queries: DataFrame, targets: DataFrame, k: int, radius: float, keys: list[str], crowd: int, depth: int) -> DataFrame:
+    """Ranked pairs of crowded tiles: no pair is made with a point that k nearer ones are known to precede.
 
     Cells of over `crowd` points are split (see `_tree`). A query starts from the 27 cells around it and the numbers of points in them: as soon as the cells whose far corners lie within some distance hold k points, cells whose
     near corners lie farther go. Split cells that are left give way to their parts, level by level, and only the points of what is left in the end meet the query. Of targets at one
     place only the k of smallest pt_id take part, so that no cell holds more than k copies of a point that no split can part.
     """
-    keys = [key] if key else []
     same = Window.partitionBy(*keys, "x", "y", "z").orderBy("pt_id")
     targets = targets.select(*keys, "pt_id", "x", "y", "z").withColumn("_nr", F.row_number().over(same)).where(F.col("_nr") <= k).drop("_nr")
     placed, known = _tree(targets, radius, crowd, depth, keys)
@@ -211,9 +232,7 @@ def nearest_uneven(queries: DataFrame, targets: DataFrame, k: int, radius: float
         open_ = on.where("NOT inner").unionByName(parts.join(known, [*keys, "level", *CELL]))
     t = placed.select(*keys, "level", *CELL, F.col("pt_id").alias("t_id"), *(F.col(a).alias("t" + a) for a in "xyz"))
     pairs = on.drop("n", "inner").join(t, [*keys, "level", *CELL]).withColumn("d2", G.sq_distance(G.vec("q"), G.vec("t"))).where(F.col("d2") < radius * radius).drop(*keys, *CELL, "level")
-    w = Window.partitionBy("q_id")
-    pairs = pairs.withColumn("nr", F.row_number().over(w.orderBy("d2", "t_id"))).where(F.col("nr") <= k)
-    return pairs.withColumn("have", F.count("*").over(w)).where(F.col("have") == k).drop("have") if complete else pairs
+    return pairs.withColumn("nr", F.row_number().over(Window.partitionBy("q_id").orderBy("d2", "t_id"))).where(F.col("nr") <= k)
 
 
 def new_points(queries: DataFrame, targets: DataFrame, radius: float, key: str | None = "map_key") -> DataFrame:
