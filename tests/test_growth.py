@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from scanfuse.operators import cluster, grid, stats
-from scanfuse.plans import lines
+from scanfuse.operators import cluster, components, grid, neighbors, select, stats
+from scanfuse.plans import lines, maps
 from scanfuse.plans.registry import QUERIES
 from scanfuse.sources.fixture import points
 
@@ -63,3 +63,49 @@ def test_frame_clusters_without_joined_pairs(spark):
     on = image.join(cluster.frame_components(pairs), ["frame_id", "pt_id"], "left").withColumn("label", F.coalesce("label", "pt_id"))
     want = {tuple(r) for r in on.groupBy("frame_id", "label").agg(F.count("*"), F.countDistinct("row_id")).collect()}
     assert {tuple(r) for r in cluster.feature_clusters(image, 180).select("frame_id", "label", "n", "rows").collect()} == want
+
+
+def test_tiles_of_some_density_are_not_split(spark, monkeypatch):
+    q, t = maps.crowded_pair(spark, SF)
+    pairs = lambda **o: sorted(map(tuple, neighbors.nearest_uneven(q, t, 5, 1.0, complete=True, **o).select("q_id", "nr", "t_id", F.round("d2", 9)).collect()))
+    split = pairs(whole=60, crowd=16)
+    monkeypatch.setattr(neighbors, "_split_cells", None)  # a tile of up to 4,096 points goes as a list: nothing is dealt to cells
+    assert pairs() == split and split
+
+
+def test_components_of_near_numbers(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    u = np.r_[rng.integers(0, 20_000, 15_000), np.full(500, 7), np.arange(30_000, 30_300)]
+    v = np.r_[u[:15_000] + rng.integers(-3, 4, 15_000), rng.integers(0, 200, 500), np.arange(30_001, 30_301)]
+    sets = components.UnionFind(40_000)
+    sets.join_all(np.abs(u), np.abs(v))
+    root = sets.roots()
+    edges = spark.createDataFrame([(int(abs(a)), int(abs(b))) for a, b in zip(u, v)], "u long, v long").repartition(6)
+    want = {(int(n), int(root[n])) for n in np.unique(np.abs(np.r_[u[u != v], v[u != v]]))}
+    rounds, left = components.components, []
+    monkeypatch.setattr(components, "components", lambda e: left.append(e.count()) or rounds(e))
+    assert {tuple(r) for r in components.near_components(edges).collect()} == want
+    assert left[0] < 0.1 * len(u)
+    assert components.near_components(edges.limit(0)).isEmpty()
+
+
+def test_times_between_two_decimals(spark, duck):
+    from __spark_entry__ import oracle_sql
+
+    sf = "/root/testdata/sf0.1"
+    duck.execute(f"CREATE OR REPLACE TEMP VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet'")
+    want = duck.execute(oracle_sql()["p12_relative_time"]).df().set_index("pt_id").rel_time
+    duck.execute("DROP VIEW temp.lineitem")
+    got = QUERIES["p12_relative_time"](spark, sf).toPandas().set_index("pt_id").rel_time
+    assert (got.reindex(want.index) == want).all()
+
+
+def test_hull_keeps_what_batches_leave(spark):
+    rng = np.random.default_rng(1)
+    for t in range(60):
+        p = rng.normal(size=(50, 2)) if t % 2 else rng.integers(0, 5, (50, 2)).astype(float)
+        g = np.sort(rng.integers(0, 3, 50))
+        order = np.lexsort((p[:, 1], p[:, 0], g))
+        p, keep = p[order], select._outer(*p[order].T, g)
+        for k in set(g):
+            assert np.array_equal(select._hull(p[g == k]), select._hull(p[keep][g[keep] == k]))
