@@ -11,23 +11,41 @@ from scanfuse.functions.profile import SensorProfile
 from scanfuse.operators import grid, neighbors, stats
 from scanfuse.operators.components import staged
 from scanfuse.operators.project import project
-from scanfuse.operators.trajectory import transform_points
+from scanfuse.operators.trajectory import into_pose, transform_points, with_rotation
 
 #: Probabilities of the statuses.
 P_NEW, P_MOVED, P_STATIC, P_UNKNOWN = 0.55, 0.6, 0.4, 0.5
 
 
-def covisible(reference: DataFrame, keyframes: DataFrame, reach: float = 60.0, least: int = 50_000) -> DataFrame:
+def covisible(reference: DataFrame, keyframes: DataFrame, reach: float = 60.0, least: int = 50_000, small: int = 20_000) -> DataFrame:
     """The reference points within ±reach in x of each keyframe's pose, in its frame: frame_id, pt_id, x, y, z. Keyframes with fewer than `least` drop.
 
-    Reference points carry their tile in x; a keyframe goes to the tiles it can see, so each point meets only keyframes near it.
+    Cells in x, an eighth of the reach wide, tell how many points a keyframe sees: those strictly between its first and last cell it sees whole, and only where the two outer ones decide are points counted one by one.
+    Keyframes that see enough carry their pose to their cells. Up to `small` of them go to every task, so points stay where they are; more of them meet the points by cell and one of 16 lots of points.
     """
-    tile = lambda v: F.floor(v / (2 * reach)).cast("int")
-    k = keyframes.withColumn("tile", F.explode(F.sequence(tile(F.col("tx") - reach), tile(F.col("tx") + reach))))
-    on = reference.withColumn("tile", tile(F.col("x"))).join(k.select("frame_id", "tile", F.col("tx").alias("_tx")), "tile")
-    near = on.where(F.col("x").between(F.col("_tx") - reach, F.col("_tx") + reach)).select("frame_id", "pt_id", "x", "y", "z")
-    enough = near.groupBy("frame_id").count().where(F.col("count") >= least).select("frame_id")
-    return transform_points(near.join(enough, "frame_id", "left_semi"), keyframes, inverse=True)
+    cell = lambda v: F.floor(v / (reach / 8)).cast("long")
+    first, last = cell(F.col("tx") - reach), cell(F.col("tx") + reach)
+    on = reference.where(~F.isnan("x")).select("pt_id", "x", "y", "z", cell(F.col("x")).alias("cell"))
+    k = with_rotation(keyframes.withColumn("cell", F.explode(F.sequence(first, last))).withColumn("outer", F.col("cell").isin(first, last)), "frame_id", "cell", "outer")
+    k = staged(k.join(on.groupBy("cell").agg(F.count("*").alias("n")), "cell"), "sees")  # keyframes by the cells that hold points
+    sees = k.groupBy("frame_id").agg(F.sum(F.when(F.col("outer"), 0).otherwise(F.col("n"))).alias("sure"), F.sum("n").alias("most")).where(F.col("most") >= least)
+    doubt = sees.where(F.col("sure") < least)
+    some = sees.agg(F.count("*").alias("n"), F.count_if(F.col("sure") < least).alias("open")).first()
+    within = F.col("x").between(F.col("__tx") - reach, F.col("__tx") + reach)
+    meet = lambda rows, frames: _by_cell(on, rows.drop("n", "outer").join(frames.select("frame_id"), "frame_id", "left_semi"), some["n"] <= small).where(within)
+    enough = sees.where(F.col("sure") >= least).select("frame_id")
+    if some["open"]:
+        counted = meet(k.where("outer"), doubt).groupBy("frame_id").agg(F.count("*").alias("n"))
+        enough = enough.unionByName(doubt.join(counted, "frame_id").where(F.col("sure") + F.col("n") >= least).select("frame_id"))
+    return into_pose(meet(k, enough), ["frame_id", "pt_id", "x", "y", "z"])
+
+
+def _by_cell(points: DataFrame, keyframes: DataFrame, few: bool, lots: int = 16) -> DataFrame:
+    """Points with the keyframes of their cell; few keyframes are broadcast."""
+    if few:
+        return points.join(F.broadcast(keyframes), "cell")
+    lot = F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))
+    return points.withColumn("lot", F.pmod("pt_id", F.lit(lots)).cast("int")).join(keyframes.withColumn("lot", lot), ["cell", "lot"])
 
 
 def write_reference(reference: DataFrame, path: str, tile: float = 25.0) -> None:

@@ -33,6 +33,19 @@ def transform_points(points: DataFrame, poses: DataFrame, key: str = "frame_id",
     return joined.select(*(c for c in points.columns if c not in ("x", "y", "z")), moved).select(points.columns)
 
 
+def with_rotation(poses: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, and each pose as its place (__tx …) and the nine entries of its rotation (__r0 …), worked out once a pose."""
+    r = G.rotation_matrix(G.unit(quat()))
+    return poses.select(*keep, *(F.col(n).alias("__" + n) for n in POSE[:3]), *(v.alias(f"__r{i}") for i, v in enumerate(r)))
+
+
+def into_pose(points: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of points that carry their pose as with_rotation gives it, with x, y, z in the pose's frame."""
+    off = [p - t for p, t in zip(G.vec(), trans("__"))]
+    new = {a: F.col(f"__r{k}") * off[0] + F.col(f"__r{k + 3}") * off[1] + F.col(f"__r{k + 6}") * off[2] for k, a in enumerate("xyz")}
+    return points.select(*(new[c].alias(c) if c in new else c for c in columns))
+
+
 def relative(a: str, b: str) -> dict[str, Column]:
     """Columns of inverse(pose a) · pose b."""
     qa, qb = G.unit(quat(a)), G.unit(quat(b))

@@ -17,7 +17,7 @@ from scanfuse.operators.trajectory import POSE
 from scanfuse.plans.lines import COLS, image
 from scanfuse.plans.maps import _PAIRS, _PLANE, five_with_places, frames_pair, solid
 from scanfuse.plans.registry import query
-from scanfuse.sources.fixture import oracle, points, poses, r5, read
+from scanfuse.sources.fixture import oracle, points, poses, r5, r5_off_ties, read
 from scanfuse.streaming import jobs
 
 ROOM = PROFILES["room"]
@@ -93,7 +93,7 @@ def reference_status(spark, sf_dir):
 
 @query("c1_covisible", oracle("SELECT k.frame_id, r.pt_id, round((x-tx)*cos(0.02*k.frame_id)+(y-ty)*sin(0.02*k.frame_id),5) AS x, round(-(x-tx)*sin(0.02*k.frame_id)+(y-ty)*cos(0.02*k.frame_id),5) AS y FROM ref r JOIN ps k ON r.x BETWEEN tx-6 AND tx+6", "points", "poses", _SCENE))
 def covisible(spark, sf_dir):
-    return change.covisible(scene(spark, sf_dir)[1], poses(spark, sf_dir), 6.0, 100).select("frame_id", "pt_id", *r5("x", "y"))
+    return change.covisible(scene(spark, sf_dir)[1], poses(spark, sf_dir), 6.0, 100).select("frame_id", "pt_id", *r5_off_ties("x", "y"))
 
 
 # a moving sensor: sessions lie 100 m apart, each keyframe (odd frame) stands at its own pose, and the reference lies in files by tile

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from scanfuse.operators import cluster, components, grid, neighbors, select, stats
+from scanfuse.operators import change, cluster, components, grid, neighbors, select, stats, trajectory
 from scanfuse.plans import lines, maps
 from scanfuse.plans.registry import QUERIES
+from scanfuse.sources import fixture
 from scanfuse.sources.fixture import points
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +111,36 @@ def test_hull_keeps_what_batches_leave(spark):
         p, keep = p[order], select._outer(*p[order].T, g)
         for k in set(g):
             assert np.array_equal(select._hull(p[g == k]), select._hull(p[keep][g[keep] == k]))
+
+
+@pytest.mark.parametrize("small", [0, 100])
+def test_covisible_points_stay_in_place(spark, small):
+    """Every keyframe's points and the least number are exact, also where the outer cells decide; what a keyframe sees is not dealt by place."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(-9, 9, 600) * rng.uniform(0, 1, 600), 1)
+    ref = spark.createDataFrame([(k, float(v), 0.5 * k, 1.0) for k, v in enumerate(x)], "pt_id long, x double, y double, z double")
+    poses = [(k, -12.0 + 0.5 * k, 0.1 * k, 0.2, 0.0, 0.0, float(np.sin(0.1 * k)), float(np.cos(0.1 * k))) for k in range(50)]
+    frames = spark.createDataFrame(poses, "frame_id int, " + ", ".join(f"{n} double" for n in trajectory.POSE))
+    sees = {f[0]: [k for k, v in enumerate(x) if f[1] - 2.0 <= v <= f[1] + 2.0] for f in poses}
+    for least in sorted({len(s) for s in sees.values()})[1::4]:
+        want = {(f, k) for f, s in sees.items() if len(s) >= least for k in s}
+        got = change.covisible(ref, frames, 2.0, least, small)
+        assert sorted((r["frame_id"], r["pt_id"]) for r in got.collect()) == sorted(want)
+    want = trajectory.transform_points(got.select("frame_id", "pt_id").join(ref, "pt_id").select("frame_id", "pt_id", "x", "y", "z"), frames, inverse=True)
+    key = lambda df: sorted(map(tuple, df.select("frame_id", "pt_id", *(F.round(a, 9) + 0.0 for a in "xyz")).collect()))
+    assert key(got) == key(want)
+    if small:
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if tables were large
+        try:
+            plan = _plan(change.covisible(ref, frames, 2.0, least))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert "hashpartitioning(cell" not in plan and "hashpartitioning(tile" not in plan
+
+
+def test_rounding_off_ties_is_rounding(spark):
+    values = [0.0, -0.0, 1.000005, -1.000005, 2.675e-5, 0.123455, 12.0, 1e12 + 0.3, -7.1234549999, 1e300, float("nan"), float("inf"), None, *np.random.default_rng(1).normal(0, 10, 500).tolist(), *(k / 200000 for k in range(-99, 99, 2))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select(fixture.r5("v")[0].alias("a"), fixture.r5_off_ties("v")[0].alias("b"))
+    assert [repr(r["a"]) for r in got.collect()] == [repr(r["b"]) for r in got.collect()]
