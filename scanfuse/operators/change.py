@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfuse.functions.profile import SensorProfile
-from scanfuse.operators import grid, neighbors, stats
+from scanfuse.operators import asof, grid, neighbors, stats
 from scanfuse.operators.components import staged
 from scanfuse.operators.project import project
 from scanfuse.operators.trajectory import into_pose, transform_points, with_rotation
@@ -77,7 +77,8 @@ def keyframe_changes(current: DataFrame, near: DataFrame, profile: SensorProfile
 
 def view(points: DataFrame, profile: SensorProfile, keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     """The view-traced cloud: the front surface that the sensor sees, one point per pixel."""
-    return grid.nearest_returns(project(points, profile), keys)
+    pixels = project(points, profile)
+    return grid.nearest_returns(pixels, keys) if keys else grid.nearest_in_image(pixels)
 
 
 def reference_views(frames: DataFrame, seen: DataFrame, profile: SensorProfile) -> DataFrame:
@@ -97,8 +98,15 @@ def difference(current: DataFrame, reference: DataFrame, ratio: float = 0.06, fa
     """
     cur = current.select("frame_id", "row_id", "col_id", F.col("rng").alias("cur_rng"), F.col("pt_id").alias("cur_id"))
     ref = reference.select("frame_id", "row_id", "col_id", F.col("rng").alias("ref_rng"), F.col("pt_id").alias("ref_id"))
+    out = cur.join(ref, ["frame_id", "row_id", "col_id"], "full_outer").withColumn("change_type", _kind(ratio, far))
+    t = F.col("change_type")
+    cur_prob = F.when(t == "new", P_NEW).when(t == "appeared", P_MOVED).when(t == "static", P_STATIC).otherwise(P_UNKNOWN)
+    return out.withColumns({"cur_prob": cur_prob, "ref_prob": _ref_prob(t)})
+
+
+def _kind(ratio: float, far: float) -> Column:
     c, r = F.col("cur_rng"), F.col("ref_rng")
-    kind = (
+    return (
         F.when((c > far) | (r > far), "skip")
         .when(c.isNull(), "unseen")
         .when(r.isNull(), "new")
@@ -106,27 +114,65 @@ def difference(current: DataFrame, reference: DataFrame, ratio: float = 0.06, fa
         .when(r - c < -ratio * r, "disappeared")
         .otherwise("static")
     )
-    out = cur.join(ref, ["frame_id", "row_id", "col_id"], "full_outer").withColumn("change_type", kind)
-    t = F.col("change_type")
-    cur_prob = F.when(t == "new", P_NEW).when(t == "appeared", P_MOVED).when(t == "static", P_STATIC).otherwise(P_UNKNOWN)
-    ref_prob = F.when(t == "disappeared", P_MOVED).when(t == "static", P_STATIC).otherwise(P_UNKNOWN)
-    return out.withColumns({"cur_prob": cur_prob, "ref_prob": ref_prob})
 
 
-def fuse_status(observations: DataFrame, mode: str = "logodds") -> DataFrame:
+def _ref_prob(kind: Column) -> Column:
+    return F.when(kind == "disappeared", P_MOVED).when(kind == "static", P_STATIC).otherwise(P_UNKNOWN)
+
+
+def resting_observations(current: DataFrame, seen: DataFrame, profile: SensorProfile, ratio: float = 0.06, far: float = 100.0) -> DataFrame:
+    """What the frames (points) of a sensor at rest say of a reference view's points: pt_id, frame_id, prob, as `difference` has it, of the pixels with a current return. All others are unseen, with a probability of one half: `fuse_status` counts these without rows.
+
+    Of a pixel only the nearest range is wanted, which combines before the shuffle; the view, one image of bounded size, is the side to broadcast.
+    """
+    near = project(current, profile).groupBy("frame_id", "row_id", "col_id").agg(F.min("rng").alias("cur_rng"))
+    on = near.join(F.broadcast(seen.select("row_id", "col_id", F.col("rng").alias("ref_rng"), "pt_id")), ["row_id", "col_id"])
+    return on.select("pt_id", "frame_id", _ref_prob(_kind(ratio, far)).alias("prob"))
+
+
+def fuse_status(observations: DataFrame, mode: str = "logodds", points: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
     """pt_id, change_prob of points observed with probabilities prob (pt_id, frame_id, prob).
 
     `logodds`: Bayes with a prior of one half; sums, so any order and any number of merges. `reference`: log-odds are added to the
     probability itself from one half on and cut to [0, 1], in keyframe order; a point that fell to 0 starts anew at one half.
+
+    With points (pt_id, each once) and frames (frame_id, each once), every point is observed in every frame, with one half where observations, at most one a point and frame, have no row. Rows of one half are not made nor moved:
+    they add nothing, and in the order of frames only whether one lies between two others is wanted.
     """
     logit = F.log(F.col("prob") / (1 - F.col("prob")))
     if mode == "logodds":
-        return observations.groupBy("pt_id").agg(F.sum(logit).alias("s")).select("pt_id", (1 / (1 + F.exp(-F.col("s")))).alias("change_prob"))
+        sums = observations.groupBy("pt_id").agg(F.sum(logit).alias("s"))
+        if points is not None:
+            sums = points.join(frames.limit(1).select(F.lit(1)), F.lit(True), "left_semi").join(sums, "pt_id", "left").select("pt_id", F.coalesce("s", F.lit(0.0)).alias("s"))
+        return sums.select("pt_id", (1 / (1 + F.exp(-F.col("s")))).alias("change_prob"))
+    if points is not None:
+        return _sparse_fold(observations.select("pt_id", "frame_id", logit.alias("l")).where("l <> 0"), points, frames)
     steps = F.transform(F.array_sort(F.collect_list(F.struct("frame_id", logit.alias("l")))), lambda s: s["l"])
-    fold = F.aggregate("steps", F.lit(0.5), lambda p, l: F.when(p > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), p + l))).otherwise(0.5))
+    fold = F.aggregate("steps", F.lit(0.5), _step)
     return observations.groupBy("pt_id").agg(steps.alias("steps")).select("pt_id", fold.alias("change_prob"))
 
 
+def _step(p: Column, l: Column) -> Column:
+    return F.when(p > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), p + l))).otherwise(0.5)
+
+
+def _sparse_fold(steps: DataFrame, points: DataFrame, frames: DataFrame) -> DataFrame:
+    """The fold of fuse_status over steps (pt_id, frame_id, l) that are not 0. A step of 0 only takes a point at 0 to one half, and so do any number of them: a gap in the frames' numbers tells of one."""
+    no = asof.scanned(frames.select(F.lit(0).alias("s"), "frame_id"), "s", "frame_id", no=(F.lit(1), "sum")).select("frame_id", F.col("no").cast("int").alias("no"))
+    no = staged(no, "numbers")
+    last = no.agg(F.max("no").alias("last"))
+    after = F.when(F.col("p") > 0, F.col("p")).otherwise(0.5)
+
+    def step(was: Column, s: Column) -> Column:
+        p = F.when((was["p"] > 0) | (s["no"] == was["no"] + 1), was["p"]).otherwise(0.5)
+        return F.struct(s["no"].alias("no"), _step(p, s["l"]).alias("p"))
+
+    folded = F.aggregate("steps", F.struct(F.lit(0).alias("no"), F.lit(0.5).alias("p")), step)
+    ends = steps.join(no, "frame_id").groupBy("pt_id").agg(F.array_sort(F.collect_list(F.struct("no", "l"))).alias("steps")).select("pt_id", folded.alias("e")).select("pt_id", "e.*")
+    every = points.join(F.broadcast(last.where("last IS NOT NULL"))).join(ends, "pt_id", "left")
+    return every.select("pt_id", F.when(F.col("p").isNull(), 0.5).when(F.col("no") == F.col("last"), F.col("p")).otherwise(after).alias("change_prob"))
+
+
 def fuse_map(points: DataFrame, leaf: float, limit: float = 0.5) -> DataFrame:
     """A change-aware map of keyframe points (frame_id, pt_id, x, y, z, prob): per voxel the first keyframe's point nearest its middle and the fused status of later ones.
 

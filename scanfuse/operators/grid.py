@@ -35,6 +35,16 @@ def nearest_returns(pixels: DataFrame, keys: tuple[str, ...] = ("frame_id",)) ->
     return pixels.groupBy(*keys, "row_id", "col_id").agg(F.min(F.struct("rng", "pt_id")).alias("b"), F.count("*").alias("n")).select(*keys, "row_id", "col_id", "b.rng", "b.pt_id", "n")
 
 
+def nearest_in_image(pixels: DataFrame) -> DataFrame:
+    """As nearest_returns without keys: one image, which bounds the pixels, of any number of points.
+
+    The ranges come first, then the points at them, both as minima of numbers, which combine by hash in each task; the minimum of a pair would sort all points.
+    """
+    least = pixels.groupBy("row_id", "col_id").agg(F.min("rng").alias("_rng"), F.count("*").alias("_n"))
+    at = pixels.select("row_id", "col_id", "rng", "pt_id").join(F.broadcast(least), ["row_id", "col_id"]).where("rng = _rng")
+    return at.groupBy("row_id", "col_id").agg(F.min("rng").alias("rng"), F.min("pt_id").alias("pt_id"), F.min("_n").alias("n"))
+
+
 def front(pixels: DataFrame) -> DataFrame:
     """The rows of pixels that nearest_returns names, with all their columns. Rows are dealt by frame once: the windows and groups inside frames that follow need no further shuffle."""
     w = Window.partitionBy("frame_id", "row_id", "col_id").orderBy("rng", "pt_id")

@@ -17,14 +17,23 @@ def spherical(points: DataFrame) -> DataFrame:
     return points.withColumns({"rng": G.norm(F.col("x"), F.col("y"), F.col("z")), "azimuth": G.azimuth(F.col("x"), F.col("y")), "elevation": G.elevation(F.col("x"), F.col("y"), F.col("z"))})
 
 
-def column_of(profile: SensorProfile) -> Column:
-    first = (-F.round((G.azimuth(F.col("x"), F.col("y")) - 90.0) / profile.res_x) + profile.cols // 2).cast("int")
+def column_of(profile: SensorProfile, turn: Column | None = None) -> Column:
+    """turn: a column that holds `_turn`, for those who work it out once a row."""
+    v = _turn(profile) if turn is None else turn
+    near = F.when(F.abs(v - F.rint(v)) < 0.499, F.rint(v)).otherwise(F.round(v))  # as round, whose decimal arithmetic only what lies near a half needs
+    first = (-near + profile.cols // 2).cast("int")
     return F.when(first >= profile.cols, first - profile.cols).otherwise(first)
 
 
+def _turn(profile: SensorProfile) -> Column:
+    return (G.azimuth(F.col("x"), F.col("y")) - 90.0) / profile.res_x
+
+
 def _kept(points: DataFrame, row: Column, profile: SensorProfile) -> DataFrame:
-    pixel = F.struct(row.alias("row_id"), column_of(profile).alias("col_id"), G.norm(F.col("x"), F.col("y"), F.col("z")).alias("rng"))
-    out = points.select(*(c for c in points.columns if c not in ("row_id", "col_id", "rng")), F.inline(F.array(pixel)))  # worked out once a row, not again by the filter
+    pixel = F.struct(row.alias("row_id"), _turn(profile).alias("_turn"), G.norm(F.col("x"), F.col("y"), F.col("z")).alias("rng"))
+    kept = [c for c in points.columns if c not in ("row_id", "col_id", "rng")]
+    out = points.select(*kept, F.inline(F.array(pixel)))  # worked out once a row, not again by the filter
+    out = out.select(*kept, "row_id", column_of(profile, F.col("_turn")).alias("col_id"), "rng")
     return out.where(F.col("row_id").between(0, profile.rows - 1) & F.col("col_id").between(0, profile.cols - 1))
 
 

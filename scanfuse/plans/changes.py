@@ -12,6 +12,7 @@ from scanfuse.functions import geom as G
 from scanfuse.functions.profile import PROFILES
 from scanfuse.operators import asof, change, grid, neighbors, posegraph, register, scanline, sparse, stats, trajectory
 from scanfuse.operators.components import shared_dir, staged
+from scanfuse.operators.project import project
 
 from scanfuse.operators.trajectory import POSE
 from scanfuse.plans.lines import COLS, image
@@ -81,14 +82,21 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes(spark, sf_dir).where("ref_id IS NOT NULL").select(F.col("ref_id").alias("pt_id"), "frame_id", F.col("ref_prob").alias("prob"))
 
 
+def _status(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    cur, ref = scene(spark, sf_dir)
+    seen = staged(change.view(ref, ROOM, keys=()), "view")  # one image, read twice
+    frames = project(cur, ROOM).select("frame_id").distinct()
+    return change.fuse_status(change.resting_observations(cur, seen, ROOM), mode, seen.select("pt_id"), frames).select("pt_id", *r5("change_prob"))
+
+
 @query("c5_fused_status", oracle("SELECT ref_id AS pt_id, round(1/(1+exp(-sum(ln(ref_prob/(1-ref_prob))))),5) AS change_prob FROM lo GROUP BY 1", "points", _SCENE))
 def fused_status(spark, sf_dir):
-    return change.fuse_status(_observed(spark, sf_dir)).select("pt_id", *r5("change_prob"))
+    return _status(spark, sf_dir, "logodds")
 
 
 @query("c5_reference_status")
 def reference_status(spark, sf_dir):
-    return change.fuse_status(_observed(spark, sf_dir), "reference").select("pt_id", *r5("change_prob"))
+    return _status(spark, sf_dir, "reference")
 
 
 @query("c1_covisible", oracle("SELECT k.frame_id, r.pt_id, round((x-tx)*cos(0.02*k.frame_id)+(y-ty)*sin(0.02*k.frame_id),5) AS x, round(-(x-tx)*sin(0.02*k.frame_id)+(y-ty)*cos(0.02*k.frame_id),5) AS y FROM ref r JOIN ps k ON r.x BETWEEN tx-6 AND tx+6", "points", "poses", _SCENE))

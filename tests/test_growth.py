@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scanfuse.operators import change, cluster, components, grid, neighbors, select, stats, trajectory
-from scanfuse.plans import lines, maps
+from scanfuse.operators import change, cluster, components, grid, neighbors, project, select, stats, trajectory
+from scanfuse.plans import changes, lines, maps
 from scanfuse.plans.registry import QUERIES
 from scanfuse.sources import fixture
 from scanfuse.sources.fixture import points
@@ -144,3 +144,47 @@ def test_rounding_off_ties_is_rounding(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = df.select(fixture.r5("v")[0].alias("a"), fixture.r5_off_ties("v")[0].alias("b"))
     assert [repr(r["a"]) for r in got.collect()] == [repr(r["b"]) for r in got.collect()]
+
+
+def test_status_without_rows_of_one_half(spark):
+    rng = np.random.default_rng(8)
+    frames = [0, 1, 2, 5, 6, *range(9, 40)]
+    kinds = rng.choice([0.6, 0.4, 0.5], (60, len(frames)), p=[0.25, 0.35, 0.4])
+    kinds[:3] = [[0.4], [0.5], [0.6]]
+    kinds[3, -4:] = 0.4, 0.4, 0.4, 0.5
+    dense = spark.createDataFrame([(k, f, float(p)) for k, row in enumerate(kinds) for f, p in zip(frames, row)], "pt_id long, frame_id int, prob double")
+    sparse = dense.where("prob <> 0.5 OR (pt_id + frame_id) % 3 = 0")
+    every, seen = dense.select("pt_id").distinct(), dense.select("frame_id").distinct()
+    for mode in ("logodds", "reference"):
+        want = {r["pt_id"]: r["change_prob"] for r in change.fuse_status(dense, mode).collect()}
+        got = {r["pt_id"]: r["change_prob"] for r in change.fuse_status(sparse, mode, every, seen).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        assert change.fuse_status(sparse.limit(0), mode, every, seen.limit(0)).isEmpty()  # no frame, no status
+    for name in ("c5_fused_status", "c5_reference_status"):
+        plan = _plan(QUERIES[name](spark, SF))
+        assert "FullOuter" not in plan and "explode" not in plan
+
+
+@pytest.mark.parametrize("mode", ["logodds", "reference"])
+def test_status_is_that_of_all_pixels(spark, mode):
+    cur = changes._observed(spark, SF)
+    want = {tuple(r) for r in change.fuse_status(cur, mode).select("pt_id", F.round("change_prob", 9)).collect()}
+    name = {"logodds": "c5_fused_status", "reference": "c5_reference_status"}[mode]
+    got = {(r["pt_id"], r["change_prob"]) for r in QUERIES[name](spark, SF).collect()}
+    assert got == {(k, round(v, 5) + 0.0) for k, v in want} and got
+
+
+def test_one_image_without_sorts(spark):
+    rng = np.random.default_rng(4)
+    px = spark.createDataFrame([(int(r), int(c), float(v), k) for k, (r, c, v) in enumerate(zip(rng.integers(0, 4, 900), rng.integers(0, 5, 900), rng.integers(1, 9, 900) / 4))], "row_id int, col_id int, rng double, pt_id long")
+    got, want = grid.nearest_in_image(px), grid.nearest_returns(px, ())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Sort" not in _plan(got)
+
+
+def test_columns_are_rounded_as_before(spark):
+    p = points(spark, SF).select("x", "y").unionByName(spark.createDataFrame([(float(np.sin(np.radians(a))), float(np.cos(np.radians(a)))) for a in np.arange(-180, 181, 0.5)], "x double, y double"))
+    v = (F.degrees(F.atan2("x", "y")) - 90.0) / lines.ROOM.res_x
+    first = (-F.round(v) + lines.ROOM.cols // 2).cast("int")
+    want = F.when(first >= lines.ROOM.cols, first - lines.ROOM.cols).otherwise(first)
+    assert p.where(~project.column_of(lines.ROOM).eqNullSafe(want)).isEmpty()
