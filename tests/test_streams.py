@@ -24,6 +24,21 @@ def test_tile_map_keeps_recent_voxels_and_silent_tiles_end(spark, tmp_path):
     assert sorted((r["vx"], r["n"]) for r in now.collect()) == [(20, 4), (40, 1)]
 
 
+@pytest.mark.parametrize("cut", [7, 10])
+def test_tile_map_begins_anew_with_all_points_of_the_frame_after_a_gap(spark, tmp_path, cut):
+    """Frames 6 and 9 of one voxel, over `keep` apart, in two batches or in one: what begins at 9 holds all its points, in whatever order they come."""
+    shape = "session_id int, ts double, x double, y double, z double, epoch long"
+    rows = [(0, 9.0, 0.3, 0.5, 0.5, 1), (0, 6.0, 0.9, 0.5, 0.5, 1), (0, 9.0, 0.1, 0.5, 0.5, 1), (0, 9.0, 0.2, 0.5, 0.5, 1), (0, 8.0, 3.5, 0.5, 0.5, 1)]
+    for part in ([r for r in rows if r[1] < cut], [r for r in rows if r[1] >= cut]):
+        if part:
+            spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got: list = []
+    stream = jobs.tile_map(jobs.source(spark, str(tmp_path / "in"), shape), 1.0, 2.0)
+    jobs.run(stream, lambda b, n: got.extend(b.collect()), str(tmp_path / "check"), "update").awaitTermination()
+    now = jobs.current_map(spark.createDataFrame(got, "session_id int, vx long, vy long, vz long, epoch long, n long, x double, y double, z double, ts double"), 2.0)
+    assert sorted((r["vx"], r["n"], round(r["x"], 5)) for r in now.collect()) == [(0, 3, 0.2), (3, 1, 3.5)]
+
+
 def batch(spark, k):
     return spark.createDataFrame([(p, 0.3 + 0.05 * ((p + k) % 9)) for p in range(k % 3, 6)], "pt_id long, prob double")
 
