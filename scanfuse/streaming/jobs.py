@@ -51,11 +51,16 @@ def frames_sink(profile: SensorProfile, out: str) -> Callable[[DataFrame, int],
 
 
 def sync(left: DataFrame, right: DataFrame, tolerance: str = "50 milliseconds", late: str = "1 second") -> DataFrame:
-    """Pairs of two streams (s, ts, id each) within the tolerance. Rows later than the watermark drop, as do the heads of lagging queues."""
+    """Pairs of two streams (s, ts, id each) within the tolerance. Rows later than the watermark drop, as do the heads of lagging queues.
+
+    Time is cut into spans of four tolerances. A right row lies in one, a left row goes to those that its tolerance meets, one or two, so that no row meets all that its key holds.
+    """
+    span = lambda at: F.expr(f"floor(unix_micros({at}) / greatest(4 * unix_micros(timestamp_seconds(0) + INTERVAL {tolerance}), 1))")
     l = left.withWatermark("ts", late).select(F.col("s").alias("l_s"), F.col("ts").alias("l_ts"), F.col("id").alias("l_id"))
-    r = right.withWatermark("ts", late).select(F.col("s").alias("r_s"), F.col("ts").alias("r_ts"), F.col("id").alias("r_id"))
+    l = l.withColumn("l_span", F.explode(F.sequence(span(f"l_ts - INTERVAL {tolerance}"), span(f"l_ts + INTERVAL {tolerance}"))))
+    r = right.withWatermark("ts", late).select(F.col("s").alias("r_s"), F.col("ts").alias("r_ts"), F.col("id").alias("r_id")).withColumn("r_span", span("r_ts"))
     near = F.expr(f"r_ts BETWEEN l_ts - INTERVAL {tolerance} AND l_ts + INTERVAL {tolerance}")
-    return l.join(r, (F.col("l_s") == F.col("r_s")) & near)
+    return l.join(r, (F.col("l_s") == F.col("r_s")) & (F.col("l_span") == F.col("r_span")) & near).drop("l_span", "r_span")
 
 
 def hopping(events: DataFrame, length: str = "500 milliseconds", step: str = "200 milliseconds", late: str = "1 second") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,13 @@ def test_late_rows_are_marked_across_batches(spark, tmp_path):
     jobs.run(stream, jobs.aside_sink(out), str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(out).where("late = 'true'").orderBy("event_id").select("event_id").toPandas()["event_id"].tolist()
     assert got == [3, 5, 8] and spark.read.parquet(out).agg(F.count("*")).first()[0] == 11
+
+
+def test_sync_meets_no_row_with_all_of_its_key(spark):
+    rng = np.random.default_rng(5)
+    times = {side: np.r_[rng.integers(-3000, 3000, 400), np.arange(-1000, 1001, 50)].tolist() for side in "lr"}
+    side = lambda ts: spark.createDataFrame([(1, t, k) for k, t in enumerate(ts)], "s long, ms long, id long").select("s", F.timestamp_millis("ms").alias("ts"), "id")
+    got = jobs.sync(side(times["l"]), side(times["r"]))
+    want = sorted((i, j) for i, a in enumerate(times["l"]) for j, b in enumerate(times["r"]) if abs(a - b) <= 50)
+    assert got.columns == ["l_s", "l_ts", "l_id", "r_s", "r_ts", "r_id"] and sorted((r["l_id"], r["r_id"]) for r in got.collect()) == want
+    assert "l_span" in got._jdf.queryExecution().executedPlan().toString()  # spans of time are part of what the sides are joined on
