@@ -145,44 +145,61 @@ class TileMap(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.voxels = handle.getMapState("voxels", "vx long, vy long, vz long", "epoch long, n long, sx double, sy double, sz double, ts double")
-        self.swept = handle.getValueState("swept", "ts double")
+        # a tile's voxels as one value, rows of (vx, vy, vz, epoch, n) and of (Σx, Σy, Σz, ts): a batch reads and writes it once
+        self.tile = handle.getValueState("tile", "voxels binary, sums binary, swept double")
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray, float]:
+        voxels, sums, swept = self.tile.get() if self.tile.exists() else (b"", b"", -np.inf)
+        return np.frombuffer(voxels, np.int64).reshape(-1, 5), np.frombuffer(sums, np.float64).reshape(-1, 4), float(swept)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["epoch", "ts"])
-        cells = [(new[a] // self.leaf).astype("int64").rename(n) for a, n in zip("xyz", ("vx", "vy", "vz"))]
-        out = []
-        for cell, g in new.groupby(cells):
-            cell = tuple(map(int, cell))
-            was = self.voxels.getValue(cell) if self.voxels.containsKey(cell) else None
-            g = g[g["epoch"] == g["epoch"].max()]
-            epoch, times = int(g["epoch"].iloc[0]), g["ts"].to_numpy()
-            if was is not None and was[0] > epoch:
-                continue  # late, of a map that a bad frame has ended
-            after_gap = np.flatnonzero(np.diff(times) > self.keep)
-            first = int(after_gap[-1]) + 1 if len(after_gap) else 0
-            goes_on = was is not None and was[0] == epoch and not first and times[0] - was[5] <= self.keep
-            old = was[1:] if goes_on else (0, 0.0, 0.0, 0.0, 0.0)
-            g = g.iloc[first:]
-            value = (epoch, int(old[0]) + len(g), *(float(o) + float(g[a].sum()) for o, a in zip(old[1:4], "xyz")), float(max(times[-1], old[4])) if goes_on else float(times[-1]))
-            self.voxels.updateValue(cell, value)
-            out.append((key[0], *cell, epoch, value[1], value[2] / value[1], value[3] / value[1], value[4] / value[1], value[5]))
-        last = float(new["ts"].max())
-        if not self.swept.exists() or self.swept.get()[0] < last - self.keep:
-            self.swept.update((last,))
-            for cell, v in list(self.voxels.iterator()):
-                if v[5] < last - self.keep:
-                    self.voxels.removeKey(cell)
+        new = pd.concat(list(rows))
+        cell = [(new[a] // self.leaf).astype("int64").to_numpy() for a in "xyz"]
+        order = np.lexsort((new["ts"].to_numpy(), new["epoch"].to_numpy(), *cell[::-1]))
+        cell, epoch, ts = [c[order] for c in cell], new["epoch"].to_numpy()[order].astype(np.int64), new["ts"].to_numpy()[order]
+        first = np.r_[True, (np.diff(cell[0]) != 0) | (np.diff(cell[1]) != 0) | (np.diff(cell[2]) != 0)]
+        of, start = np.cumsum(first) - 1, np.flatnonzero(first)
+        last = np.r_[start[1:], len(of)] - 1
+        # of a voxel's rows those of its last epoch count, from after their last gap
+        late = epoch == epoch[last][of]
+        inside = ~first & np.r_[False, late[:-1]]
+        gap = inside & np.r_[False, np.diff(ts) > self.keep]
+        begin = np.maximum.reduceat(np.where(late & (~inside | gap), np.arange(len(of)), 0), start)
+        used = np.arange(len(of)) >= begin[of]
+        sums = np.stack([np.add.reduceat(np.where(used, new[a].to_numpy()[order], 0.0), start) for a in "xyz"], axis=1)
+        voxels = np.stack([*(c[start] for c in cell), epoch[last], last - begin + 1], axis=1)
+        was, held, swept = self._held()
+        place = {c: i for i, c in enumerate(zip(*was[:, :3].T.tolist()))}
+        at = np.array([place.get(c, -1) for c in zip(*voxels[:, :3].T.tolist())])
+        known = at >= 0
+        if len(was):
+            old, old_sums = was[at], held[at]
+            ahead = known & (old[:, 3] > voxels[:, 3])  # late, of a map that a bad frame has ended
+            goes_on = known & (old[:, 3] == voxels[:, 3]) & ~np.logical_or.reduceat(gap, start) & (ts[begin] - old_sums[:, 3] <= self.keep)
+            voxels[goes_on, 4] += old[goes_on, 4]
+            sums[goes_on] += old_sums[goes_on, :3]
+            stamp = np.where(goes_on, np.maximum(ts[last], old_sums[:, 3]), ts[last])
+            voxels, sums, stamp, at = voxels[~ahead], sums[~ahead], stamp[~ahead], at[~ahead]
+        else:
+            stamp = ts[last]
+        rest = np.ones(len(was), bool)
+        rest[at[at >= 0]] = False
+        all_voxels, all_sums = np.concatenate([was[rest], voxels]), np.concatenate([held[rest], np.c_[sums, stamp]])
+        top = float(ts.max())
+        if swept < top - self.keep:
+            fresh = all_sums[:, 3] >= top - self.keep
+            all_voxels, all_sums, swept = all_voxels[fresh], all_sums[fresh], top
+        self.tile.update((all_voxels.tobytes(), all_sums.tobytes(), swept))
         if self.timers:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(int(1000 * (last + self.keep)) + 1)
-        yield pd.DataFrame(out, columns=_TILE)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(1000 * (top + self.keep)) + 1)
+        mean = sums / voxels[:, 4:]
+        yield pd.DataFrame(dict(zip(_TILE, ([key[0]] * len(voxels), *voxels.T, *mean.T, stamp))))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        gone = [(key[0], *cell, int(v[0]), 0, None, None, None, expiredTimerInfo.getExpiryTimeInMs() / 1000) for cell, v in self.voxels.iterator()]
-        self.voxels.clear()
-        self.swept.clear()
+        gone = [(key[0], *cell, 0, None, None, None, expiredTimerInfo.getExpiryTimeInMs() / 1000) for cell in self._held()[0][:, :4].tolist()]
+        self.tile.clear()
         yield pd.DataFrame(gone, columns=_TILE).astype({"x": float, "y": float, "z": float})
 
     def close(self) -> None:

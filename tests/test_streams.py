@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,43 @@ def test_sync_meets_no_row_with_all_of_its_key(spark):
     want = sorted((i, j) for i, a in enumerate(times["l"]) for j, b in enumerate(times["r"]) if abs(a - b) <= 50)
     assert got.columns == ["l_s", "l_ts", "l_id", "r_s", "r_ts", "r_id"] and sorted((r["l_id"], r["r_id"]) for r in got.collect()) == want
     assert "l_span" in got._jdf.queryExecution().executedPlan().toString()  # spans of time are part of what the sides are joined on
+
+
+def test_a_tile_reads_and_writes_its_state_once_a_batch():
+    class Value:
+        held, calls = None, 0
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, held):
+            self.held, self.calls = held, self.calls + 1
+
+    class Handle:
+        def __init__(self):
+            self.states = {}
+
+        def getValueState(self, name, schema):
+            return self.states.setdefault(name, Value())
+
+    rng, tile, handle = np.random.default_rng(2), jobs.TileMap(1.0, 2.0), Handle()
+    tile.init(handle)
+    want: dict = {}
+    for batch in range(3):
+        p = pd.DataFrame({"ts": np.sort(rng.integers(4 * batch, 4 * batch + 4, 300)).astype(float), **{a: rng.uniform(-4, 4, 300) for a in "xyz"}})
+        p["epoch"] = (p["ts"] >= 9).astype(int)
+        for r in p.itertuples():  # one by one, in order of time
+            cell = (math.floor(r.x), math.floor(r.y), math.floor(r.z))
+            v = want.get(cell)
+            v = v if v and v[0] == r.epoch and r.ts - v[2] <= 2 else (r.epoch, [], r.ts)
+            want[cell] = (r.epoch, [*v[1], r.x], r.ts)
+        got = pd.concat(tile.handleInputRows((1, 0, 0), iter([p.iloc[:100], p.iloc[100:]]), None))
+        for r in got.itertuples():
+            epoch, xs, ts = want[r.vx, r.vy, r.vz]
+            assert (r.epoch, r.n, r.ts) == (epoch, len(xs), ts) and math.isclose(r.x, sum(xs) / len(xs), rel_tol=1e-9)
+        assert len(got) == len({(math.floor(r.x), math.floor(r.y), math.floor(r.z)) for r in p.itertuples()})
+    assert sum(v.calls for v in handle.states.values()) <= 6
