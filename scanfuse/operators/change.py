@@ -205,12 +205,11 @@ def surfels(points: DataFrame, leaf: float, radius: float, k: int = 10, flat: fl
     Each hit (pt_id) adds ln(.55/.45) to a confidence of one half. With a key, each of its values is a map of its own, and the surfels carry it.
     """
     seeds = staged(grid.voxel_samples(points, leaf, (key,) if key else ()), "seeds")
-    near = neighbors.nearest_sets(seeds, points, k, radius, key, complete=True, sums=True)
+    near = neighbors.nearest_sets(seeds, points, k, radius, key, complete=True, sums=True, by=key)
     fits = stats.principal(stats.neighbour_planes(near, flat).where("valid"))
-    out = fits.select(F.col("q_id").alias("pt_id"), *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), "l1", "cov_xx", "cov_xy", "cov_xz", "cov_yy", "cov_yz", "cov_zz", "nx", "ny", "nz", "worst")
+    out = fits.select(*([key] if key else []), F.col("q_id").alias("pt_id"), *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), "l1", "cov_xx", "cov_xy", "cov_xz", "cov_yy", "cov_yz", "cov_zz", "nx", "ny", "nz", "worst")
     n = hits.groupBy("pt_id").agg(F.count("*").alias("hits")) if hits is not None else None
     out = out.join(n, "pt_id", "left") if n is not None else out.withColumn("hits", F.lit(0))
-    out = out.join(seeds.select(key, "pt_id"), "pt_id") if key else out
     return out.withColumn("confidence", 0.5 + F.coalesce("hits", F.lit(0)) * math.log(0.55 / 0.45))
 
 
