@@ -204,8 +204,7 @@ def surfels(points: DataFrame, leaf: float, radius: float, k: int = 10, flat: fl
 
     Each hit (pt_id) adds ln(.55/.45) to a confidence of one half. With a key, each of its values is a map of its own, and the surfels carry it.
     """
-    seeds = staged(grid.voxel_samples(points, leaf, (key,) if key else ()), "seeds")
-    near = neighbors.nearest_sets(seeds, points, k, radius, key, complete=True, sums=True, by=key)
+    near = neighbors.sample_sets(points, leaf, k, radius, key)
     fits = stats.principal(stats.neighbour_planes(near, flat).where("valid"))
     out = fits.select(*([key] if key else []), F.col("q_id").alias("pt_id"), *((F.col("s" + a) / F.col("n")).alias("c" + a) for a in "xyz"), "l1", "cov_xx", "cov_xy", "cov_xz", "cov_yy", "cov_yz", "cov_zz", "nx", "ny", "nz", "worst")
     n = hits.groupBy("pt_id").agg(F.count("*").alias("hits")) if hits is not None else None
@@ -215,6 +214,6 @@ def surfels(points: DataFrame, leaf: float, radius: float, k: int = 10, flat: fl
 
 def match_surfels(points: DataFrame, surfels_: DataFrame, radius: float, key: str | None = None) -> DataFrame:
     """Each point's nearest surfel inside the radius, by the surfel's true distance; with a key, of the surfels that share it."""
-    targets = surfels_.select(*([key] if key else []), "pt_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    targets = staged(surfels_.select(*([key] if key else []), "pt_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), "surfels")  # read twice: counted and searched
     return neighbors.nearest(points, targets, 1, radius, key)
 

@@ -55,3 +55,39 @@ def test_more_rounds_are_no_more_jobs(spark, room):
         assert jobs(1) == jobs(4)
     finally:
         spark.sparkContext.setJobGroup("rest", "")
+
+
+@pytest.fixture(scope="module")
+def clouds(spark):
+    rng = np.random.default_rng(9)
+    p = pd.DataFrame({"map_key": np.repeat([0, 1, 2], 400), "pt_id": rng.permutation(1200), **{a: np.round(rng.uniform(0, 3, 1200), 1) for a in "xyz"}})
+    return spark.createDataFrame(p)
+
+
+def test_samples_searched_in_a_group_equal_those_by_tiles(spark, clouds):
+    from scanfuse.operators import grid, neighbors
+
+    rows = lambda df: sorted((r["map_key"], r["q_id"], tuple(t["t_id"] for t in r["near"]), r["n"], round(r["sxy"], 9)) for r in df.collect())
+    want = rows(neighbors.nearest_sets(grid.voxel_samples(clouds, 0.5, ("map_key",)), clouds, 6, 0.8, complete=True, sums=True, by="map_key", whole=0))
+    got = neighbors.sample_sets(clouds, 0.5, 6, 0.8, "map_key")
+    assert got.columns[-1] == "map_key" and rows(got) == want and want
+    assert rows(neighbors.sample_sets(clouds, 0.5, 6, 0.8, "map_key", whole=100)) == want
+
+
+def test_sets_in_order_follow_their_keys(spark, clouds):
+    from scanfuse.operators import neighbors
+
+    keys = [r["map_key"] for r in neighbors.nearest_sets(clouds, clouds, 3, 1.0, by="map_key", in_order=True).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == 3
+
+
+def test_quality_by_one_search_equals_its_parts(spark, room):
+    from scanfuse.operators import neighbors, stats
+    from scanfuse.operators.project import cauchy_weight
+    from scanfuse.plans.maps import solid
+
+    q, t = room["points"], room["map"]
+    sets = neighbors.nearest_sets(q, t, 5, 1.0, complete=True, sums=True)
+    eq = stats.normal_equations(register.plane_residuals(q, stats.neighbour_planes(solid(sets), 0.02), cauchy_weight(F.col("r"))), ["frame_id"])
+    want = register.quality(neighbors.overlap(q, t, 0.2), neighbors.fitness(q, t, 1.0), eq)
+    _same(register.quality_of(q, t), want)
